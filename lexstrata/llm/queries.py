@@ -4,22 +4,68 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexstrata.llm.balltree import integer_vectors, top_k_inner_product
+from lexstrata.llm.byte_bpe import round_trip
 from lexstrata.llm.exact_dedup import exact_duplicates
+from lexstrata.llm.language import predict_languages
+from lexstrata.llm.quotes import reply_threads
+from lexstrata.llm.token_counts import token_counts
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ball_tree_top5(spark, sf_dir):
+    points = integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return top_k_inner_product(points, points.filter("vec_id % 50 = 0"), 5)
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark, sf_dir):
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op7_quotation_threads(spark, sf_dir):
+    return reply_threads(_table(spark, sf_dir, "conversations"))
+
+
+def op8_language_id(spark, sf_dir):
+    return predict_languages(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark, sf_dir):
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_ball_tree_top5": op1_ball_tree_top5,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_quotation_threads": op7_quotation_threads,
+    "op8_language_id": op8_language_id,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
+    "op1_ball_tree_top5": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id,

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from lexstrata.llm.balltree import integer_vectors, top_k_inner_product
 from lexstrata.llm.byte_bpe import round_trip
 from lexstrata.llm.exact_dedup import exact_duplicates
+from lexstrata.llm.gear_chunks import substring_dedup
+from lexstrata.llm.jaccard_join import near_duplicates
 from lexstrata.llm.language import predict_languages
+from lexstrata.llm.packing import pack, with_checksums
 from lexstrata.llm.quotes import reply_threads
+from lexstrata.llm.suffix_dedup import remove_repeats
 from lexstrata.llm.token_counts import token_counts
 
 
@@ -21,6 +25,22 @@ def op1_ball_tree_top5(spark, sf_dir):
     return top_k_inner_product(points, points.filter("vec_id % 50 = 0"), 5)
 
 
+def _digests(cut):
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_suffix_dedup(spark, sf_dir):
+    return _digests(remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+def op3_ngram_jaccard(spark, sf_dir):
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=3, share=(90, 100))
+
+
+def op4_mixture_packing(spark, sf_dir):
+    return with_checksums(pack(_table(spark, sf_dir, "documents")))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -37,16 +57,24 @@ def op8_language_id(spark, sf_dir):
     return predict_languages(_table(spark, sf_dir, "documents"))
 
 
+def op9_gear_chunks(spark, sf_dir):
+    return _digests(substring_dedup(_table(spark, sf_dir, "documents")))
+
+
 def op10_token_counts(spark, sf_dir):
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_ball_tree_top5": op1_ball_tree_top5,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_mixture_packing": op4_mixture_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quotation_threads": op7_quotation_threads,
     "op8_language_id": op8_language_id,
+    "op9_gear_chunks": op9_gear_chunks,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -66,6 +94,41 @@ ORACLE_SQL = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op2_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        s AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
+        p AS (SELECT doc_id, unnest(range(0, n - 399)) AS at FROM s WHERE n >= 400),
+        w AS (SELECT p.doc_id, at, substr(x, 2 * at + 1, 800) AS w FROM p JOIN s USING (doc_id)),
+        h AS (SELECT doc_id, at, hash(w) AS a, hash(substr(w, 2)) AS b FROM w),
+        r AS (SELECT doc_id, at FROM (SELECT *, count(*) OVER (PARTITION BY a, b) AS c FROM h) WHERE c > 1),
+        e AS (SELECT *, coalesce(at - lag(at) OVER (PARTITION BY doc_id ORDER BY at) > 400, true) AS head FROM r),
+        g AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY at) AS k FROM e),
+        v AS (SELECT doc_id, k, min(at) AS a, max(at) + 400 AS b FROM g GROUP BY doc_id, k),
+        f AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM v),
+        c AS (
+            SELECT f.doc_id, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept,
+                   max(b) AS tail, sum(b - a) AS removed, count(*) AS spans
+            FROM f JOIN s USING (doc_id) GROUP BY f.doc_id)
+        SELECT s.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept || substr(x, 2 * tail + 1), x))) AS kept_sha256
+        FROM s LEFT JOIN c USING (doc_id)""",
+    "op3_ngram_jaccard": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), g AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+            FROM w
+        ), s AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM g),
+        u AS (SELECT doc_id, unnest(g) AS x FROM g),
+        i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM i JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS reached FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a)
+        SELECT s.doc_id, any_value(n) AS n_shingles, min(reached) AS component_id
+        FROM s JOIN r USING (doc_id) GROUP BY s.doc_id""",
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id,

@@ -429,3 +429,12 @@ def _across_blocks(blocks: DataFrame, labelled: DataFrame, hubs: DataFrame, shar
     gids = marked.select("key", "gid").distinct()
     queries = open_rows.join(gids, "key").select(name().alias("gid"), "sid", "n", "vec", "label")
     return _candidate_pairs(every.select(name().alias("gid"), "sid", "n", "vec", "label").unionByName(queries).distinct(), share, True)
+
+
+def keep_one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (80, 100)
+) -> DataFrame:
+    """The rows of ``docs`` whose id names their component, and those without an id, with all their columns."""
+    found = near_duplicates(docs, id_col, text_col, words, share)
+    lost = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_lost")).distinct()
+    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")

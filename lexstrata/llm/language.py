@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of the letter table: the word break, then letters by code point.
 LETTERS = 128
@@ -109,20 +110,24 @@ def fit_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     )
 
 
-def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """``doc_id, lang_pred, score`` for each row; ``score`` is the cosine, cut to 0..1.
+def with_language(
+    docs: DataFrame, prototypes: dict[str, list[float]], text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", seed: int = 7
+) -> DataFrame:
+    """All rows and columns of ``docs`` with the predicted language and its cosine, cut to 0..1.
 
     Null text and text without a letter get ``und`` and score 0, as does
     every text where nothing was learned.  Ties go to the language that sorts
-    first.  Whole texts are read; repeated rows each get their row.
+    first.  Whole texts are read.  The two new columns must not be there yet.
     """
+    clash = {pred_col, score_col} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns are there already: {sorted(clash)}")
     langs = sorted(prototypes)
     dimensions = len(prototypes[langs[0]]) if langs else DIMENSIONS
     profile = np.array([prototypes[k] for k in langs], np.float32).reshape(len(langs), dimensions)
     if langs:
         profile /= np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-9)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def scored(batches):
         import pyarrow as pa
@@ -132,8 +137,8 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str =
         known = np.zeros((CACHED_ROWS, dimensions), np.float32)
         for batch in batches:
             preds, scores = [], []
-            for text in batch.column("text").to_pylist():
-                codes, n = trigram_counts(text, table)
+            for x in batch.column(text_col):
+                codes, n = trigram_counts(x.as_py(), table)
                 if not len(codes) or not langs:
                     preds.append(UNKNOWN)
                     scores.append(0.0)
@@ -155,10 +160,10 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str =
                 preds.append(langs[best])
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"]
+                [*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred_col, score_col]
             )
 
-    return rows.mapInArrow(scored, schema)
+    return docs.mapInArrow(scored, schema)
 
 
 def collect_prototypes(prototypes: DataFrame, most: int = 1000) -> dict[str, list[float]]:
@@ -169,8 +174,35 @@ def collect_prototypes(prototypes: DataFrame, most: int = 1000) -> dict[str, lis
     return {r["lang"]: list(r["vector"]) for r in got}
 
 
+def _learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[float]]:
+    return collect_prototypes(fit_prototypes(docs.filter(~F.coalesce(held_out(F.col(id_col)), F.lit(False))), lang_col, text_col))
+
+
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learn from the rows that are not held out, predict every row: ``doc_id, held_out, lang_pred, score``."""
-    model = collect_prototypes(fit_prototypes(docs.filter(~F.coalesce(held_out(F.col(id_col)), F.lit(False))), lang_col, text_col))
-    found = identify(docs, model, id_col, text_col)
+    """Learn from the rows that are not held out, predict every row: ``doc_id, held_out, lang_pred, score``.
+
+    A null id is not held out.  Repeated rows each get their row; other
+    columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = with_language(rows, _learned(docs, id_col, text_col, lang_col))
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.1, least_chars: int = 400
+) -> DataFrame:
+    """The rows of ``docs`` in some language, with their columns.
+
+    A row goes if its text is null or has no letter, or if it has
+    ``least_chars`` characters and is like no language (a cosine under
+    ``least_score``); in a shorter text a low cosine says little.  Without
+    any labelled row only texts without a letter go.
+    """
+    model = _learned(docs, id_col, text_col, lang_col)
+    found = with_language(docs, model, text_col, "_lexstrata_lang", "_lexstrata_score")
+    if model:
+        kept = found.filter((F.col("_lexstrata_lang") != UNKNOWN) & ((F.col("_lexstrata_score") >= least_score) | (F.length(text_col) < least_chars)))
+    else:
+        kept = found.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    return kept.drop("_lexstrata_lang", "_lexstrata_score")

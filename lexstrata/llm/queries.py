@@ -65,6 +65,12 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_ball_tree_top5": op1_ball_tree_top5,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -76,6 +82,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_gear_chunks": op9_gear_chunks,
     "op10_token_counts": op10_token_counts,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
@@ -97,13 +104,13 @@ ORACLE_SQL = {
     "op2_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
         s AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
-        p AS (SELECT doc_id, unnest(range(0, n - 399)) AS at FROM s WHERE n >= 400),
-        w AS (SELECT p.doc_id, at, substr(x, 2 * at + 1, 800) AS w FROM p JOIN s USING (doc_id)),
-        h AS (SELECT doc_id, at, hash(w) AS a, hash(substr(w, 2)) AS b FROM w),
-        r AS (SELECT doc_id, at FROM (SELECT *, count(*) OVER (PARTITION BY a, b) AS c FROM h) WHERE c > 1),
-        e AS (SELECT *, coalesce(at - lag(at) OVER (PARTITION BY doc_id ORDER BY at) > 400, true) AS head FROM r),
-        g AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY at) AS k FROM e),
-        v AS (SELECT doc_id, k, min(at) AS a, max(at) + 400 AS b FROM g GROUP BY doc_id, k),
+        p AS (SELECT doc_id, unnest(range(0, n - 399)) AS pos FROM s WHERE n >= 400),
+        w AS (SELECT p.doc_id, pos, substr(x, 2 * pos + 1, 800) AS w FROM p JOIN s USING (doc_id)),
+        h AS (SELECT doc_id, pos, hash(w) AS a FROM w),
+        r AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY a) AS c FROM h) WHERE c > 1),
+        e AS (SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 400, true) AS head FROM r),
+        g AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM e),
+        v AS (SELECT doc_id, k, min(pos) AS a, max(pos) + 400 AS b FROM g GROUP BY doc_id, k),
         f AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM v),
         c AS (
             SELECT f.doc_id, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept,

@@ -293,3 +293,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = keyed_by_text(docs, id_col, text_col)
     return unkeyed(cut_spans(docs, repeated_spans(docs, repeat=repeat)))
+
+
+def replace_texts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT_BYTES, count_col: str | None = "n_chars"
+) -> DataFrame:
+    """``docs`` with the long repeated strings out of their texts, all rows and columns kept.
+
+    A character goes if all its bytes are repeated.  ``count_col``, where it
+    is a column, gets the length of a text that changed.  Null texts stay
+    null.
+    """
+    keyed = keyed_by_text(docs, id_col, text_col)
+    spans = repeated_spans(keyed, repeat=repeat)
+    spans = spans.select(F.col("doc_id")["id"].alias("_lexstrata_id"), F.col("doc_id")["print"].alias("_lexstrata_print"), F.col("spans").alias("_lexstrata_spans"))
+    fits = docs[id_col].eqNullSafe(spans["_lexstrata_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == spans["_lexstrata_print"])
+    joined = docs.join(spans, fits, "left").select(*(docs[c] for c in docs.columns), "_lexstrata_spans")
+    counts = count_col in docs.columns if count_col else False
+    schema = docs.schema
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, sizes = batch.column(text_col).to_pylist(), batch.column(count_col).to_pylist() if counts else None
+            for r, found in enumerate(batch.column("_lexstrata_spans")):
+                if not found.is_valid:
+                    continue
+                data, kept, begin = texts[r].encode("utf-8", "surrogatepass"), [], 0
+                for x in found.as_py():
+                    a, b = x["begin"], x["end"]
+                    while a < b and data[a] & 0xC0 == 0x80:
+                        a += 1
+                    while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+                        b -= 1
+                    kept.append(data[begin:a])
+                    begin = b
+                kept.append(data[begin:])
+                texts[r] = b"".join(kept).decode("utf-8", "surrogatepass")
+                if counts:
+                    sizes[r] = len(texts[r])
+            columns = []
+            for name in schema.names:
+                column = batch.column(name)
+                columns.append(pa.array(texts, column.type) if name == text_col else pa.array(sizes, column.type) if counts and name == count_col else column)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return joined.mapInArrow(cut, schema)

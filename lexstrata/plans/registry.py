@@ -6,7 +6,9 @@ A family module exposes ``QUERIES`` (name -> callable) and ``ORACLES``
 
 from __future__ import annotations
 
-FAMILIES = ()
+from lexstrata.plans import chunk_plans, source_plans, structure_plans, text_plans
+
+FAMILIES = (text_plans, source_plans, structure_plans, chunk_plans)
 
 
 def queries():

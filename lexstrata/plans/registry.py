@@ -6,9 +6,9 @@ A family module exposes ``QUERIES`` (name -> callable) and ``ORACLES``
 
 from __future__ import annotations
 
-from lexstrata.plans import chunk_plans, source_plans, structure_plans, text_plans
+from lexstrata.plans import chunk_plans, quality_plans, retrieval_plans, source_plans, structure_plans, text_plans
 
-FAMILIES = (text_plans, source_plans, structure_plans, chunk_plans)
+FAMILIES = (text_plans, source_plans, structure_plans, chunk_plans, quality_plans, retrieval_plans)
 
 
 def queries():

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import salted_join
+from lexstrata.llm.common import salted_join, written
 
 #: A chunk has 256 characters at least, ends behind white space that follows
 #: one of these letters, and has 2048 characters at most.
@@ -38,7 +38,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     shared = prints.groupBy("_bytes", "_print").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     keyed = rows.withColumns({"_bytes": F.octet_length("_text"), "_print": F.xxhash64("_text")})
-    candidates = salted_join(keyed, shared, ["_bytes", "_print"], F.col("doc_id"), "left_semi", salts)
+    # Written once: the chunks are read twice, the whole texts are not moved twice.
+    candidates = written(salted_join(keyed, shared, ["_bytes", "_print"], F.col("doc_id"), "left_semi", salts), "exact-candidates")
 
     pieces = candidates.select(
         "doc_id", "_bytes", "_print", F.posexplode_outer(F.regexp_extract_all("_text", F.lit(CHUNK_PATTERN), F.lit(0))).alias("_pos", "_chunk")

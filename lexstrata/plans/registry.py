@@ -6,9 +6,10 @@ A family module exposes ``QUERIES`` (name -> callable) and ``ORACLES``
 
 from __future__ import annotations
 
-from lexstrata.plans import chunk_plans, quality_plans, retrieval_plans, source_plans, structure_plans, text_plans
+from lexstrata.plans.base import Tables
+from lexstrata.plans import chunk_plans, quality_plans, ranking_plans, retrieval_plans, source_plans, structure_plans, text_plans
 
-FAMILIES = (text_plans, source_plans, structure_plans, chunk_plans, quality_plans, retrieval_plans)
+FAMILIES = (text_plans, source_plans, structure_plans, chunk_plans, quality_plans, retrieval_plans, ranking_plans)
 
 
 def queries():
@@ -29,4 +30,4 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return ranking_plans.flagship(Tables(spark, sf_dir))

@@ -56,3 +56,23 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: Colum
     a = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*on, "_salt"], how).drop("_salt")
+
+
+def weighted_join(
+    left: DataFrame, right: DataFrame, on: list[str], salt_by: Column, how: str, weight: str, least: int = 2000, most_hot: int = 1000, salts: int = 32
+) -> DataFrame:
+    """``salted_join`` where ``right`` knows how many rows of ``left`` each of its keys has.
+
+    Only keys with more than ``least`` rows, and more than one in ``most_hot``
+    of all, are salted.  There are fewer than ``most_hot`` of these, whatever
+    the input, so they are broadcast to ``left``; no other row of ``right`` is
+    repeated.  ``weight`` is not part of the result.
+    """
+    right = cut_lineage(right)
+    total = right.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    hot = F.col(weight) > max(least, total // most_hot)
+    marked = left.join(F.broadcast(right.filter(hot).select(*on).withColumn("_hot", F.lit(1))), on, "left")
+    a = marked.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    each = F.sequence(F.lit(0), F.lit(salts - 1))
+    b = right.withColumn("_salt", F.explode(F.when(hot, each).otherwise(F.array(F.lit(0))))).drop(weight)
+    return a.join(b, [*on, "_salt"], how).drop("_salt")

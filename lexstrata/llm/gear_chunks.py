@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import salted_join
+from lexstrata.llm.common import weighted_join
 
 #: Bytes of a chunk: least, most, and the cut mask (one place in 32 behind the least).
 LEAST, MOST, MASK = 32, 256, np.uint32(31)
@@ -93,7 +93,7 @@ def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     owner.append(i)
                     pos.append(start)
                     size.append(end - start)
-                    digest.append(hashlib.blake2b(data[start:end], digest_size=16).digest())
+                    digest.append(hashlib.blake2b(data[start:end], digest_size=12).digest())
                     start = end
                 if len(owner) >= 50_000:
                     yield flush()
@@ -117,9 +117,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         chunks.groupBy("digest")
         .agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "pos")).alias("_first"))
         .filter("_n > 1")
-        .select("digest", "_first")
     )
-    copies = salted_join(chunks, firsts, ["digest"], F.struct("doc_id", "pos"), "inner")
+    copies = weighted_join(chunks, firsts, ["digest"], F.struct("doc_id", "pos"), "inner", "_n")
     later = copies.filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("_first"))).select("doc_id", "pos", "size")
     ordered = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "size"))).alias("_c"))
     # Neighbouring chunks join to runs, from the left.

@@ -53,7 +53,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.count("*").alias("_contents"))
         .filter("_contents > 1")
     )
-    named = pieces.join(doubtful, "_digest", "left").withColumn(
+    named = salted_join(pieces, doubtful, ["_digest"], F.struct("doc_id", "_pos"), "left", salts).withColumn(
         "_ident", F.when(F.col("_contents").isNull(), F.col("_digest")).otherwise(F.concat("_digest", F.encode("_chunk", "UTF-8")))
     )
     recipes = named.groupBy("doc_id", "_bytes", "_print").agg(

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import cut_lineage, salted_join
+from lexstrata.llm.common import cut_lineage, weighted_join
 from lexstrata.llm.gear_chunks import cut_spans, keyed_by_text, unkeyed
 from lexstrata.llm.suffix_array import common_prefixes, two_stage_order, words_at
 
@@ -236,12 +236,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("repeat must be a multiple of 8 and longer than gram")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = anchor_rows(docs, "doc_id", "text", repeat, gram)
-    often = found.groupBy("hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("hash")
-    shared = cut_lineage(salted_join(found, often, ["hash"], F.col("ctx"), "left_semi"))
+    often = found.groupBy("hash").agg(F.count("*").alias("_n")).filter("_n > 1")
+    shared = cut_lineage(weighted_join(found, often, ["hash"], F.struct("doc_id", "lo"), "left_semi", "_n"))
     contexts = shared.groupBy("hash", "ctx").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     contexts = cut_lineage(contexts)
     kinds = contexts.groupBy("hash").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    several = salted_join(contexts, kinds, ["hash"], F.col("ctx"), "inner")
+    several = weighted_join(contexts, kinds.withColumn("_n", F.col("kinds")), ["hash"], F.col("ctx"), "inner", "_n")
     shards = max(1, contexts.count() // SHARD_CONTEXTS)
     hot = F.col("kinds") > SHARD_CONTEXTS
     parts = _sliced(docs, several, repeat).select(
@@ -258,7 +258,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = contexts.filter("n > 1").select("hash", "ctx", F.lit(0).cast("long").alias("first"), (F.col("hi") - F.col("lo")).alias("last"))
     starts = inside.unionByName(across).unionByName(copies)
     named = starts.groupBy("hash", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("_s"))
-    placed = salted_join(shared, named, ["hash", "ctx"], F.struct("doc_id", "lo"), "inner")
+    named = named.join(contexts.select("hash", "ctx", "n"), ["hash", "ctx"])
+    placed = weighted_join(shared, named, ["hash", "ctx"], F.struct("doc_id", "lo"), "inner", "n")
     ranges = placed.select("doc_id", F.explode(F.transform("_s", lambda x: F.struct((x["first"] + F.col("lo")).alias("begin"), (x["last"] + F.col("lo") + repeat).alias("end")))).alias("r"))
     ordered = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_set("r")).alias("_r"))
     kind = ordered.schema["doc_id"].dataType.simpleString()

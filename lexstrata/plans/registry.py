@@ -6,10 +6,36 @@ A family module exposes ``QUERIES`` (name -> callable) and ``ORACLES``
 
 from __future__ import annotations
 
+from lexstrata.plans import (
+    chunk_plans,
+    conversation_plans,
+    dashboard_plans,
+    evaluation_plans,
+    quality_plans,
+    ranking_plans,
+    retrieval_plans,
+    selection_plans,
+    source_plans,
+    streaming_plans,
+    structure_plans,
+    text_plans,
+)
 from lexstrata.plans.base import Tables
-from lexstrata.plans import chunk_plans, quality_plans, ranking_plans, retrieval_plans, source_plans, structure_plans, text_plans
 
-FAMILIES = (text_plans, source_plans, structure_plans, chunk_plans, quality_plans, retrieval_plans, ranking_plans)
+FAMILIES = (
+    text_plans,
+    source_plans,
+    structure_plans,
+    chunk_plans,
+    quality_plans,
+    retrieval_plans,
+    ranking_plans,
+    evaluation_plans,
+    dashboard_plans,
+    conversation_plans,
+    selection_plans,
+    streaming_plans,
+)
 
 
 def queries():

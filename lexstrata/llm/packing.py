@@ -10,6 +10,7 @@ task holds the tokens, and the deficits carry across windows and partitions.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from fractions import Fraction
 
@@ -33,8 +34,19 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordIds(dict):
-    """Ids of words, as packed bytes.  The tokenizer drops white space, and no token spans it."""
+    """Ids of words, as packed bytes.  The tokenizer drops white space, and no token spans it.
+
+    A word of Latin letters is one pre-token, so it goes to the merge table
+    directly; any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
@@ -42,15 +54,19 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.tokenizer.encode_special_tokens = True
+        self.merge, self.characters = self.tokenizer.model.tokenize, byte_characters()
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
             self[""] = b""
-        if word.isascii() and (low := word.lower()) != word:
+        latin = word.isascii() or (max(word) < "\u0250" and "\u0130" not in word and unicodedata.is_normalized("NFC", word))
+        if latin and (low := word.lower()) != word:
             ids = self[low]
-        elif len(word) > 1 and word[-1] in ",." and word[-2].isalpha():  # a mark behind a letter is a token of its own
+        elif latin and word.isalpha():
+            ids = np.array([x.id for x in self.merge(word.encode().decode("latin-1").translate(self.characters))], self.kind).tobytes()
+        elif latin and len(word) > 1 and word[-1] in ",." and word[-2].isalpha():  # a mark behind a letter is a token of its own
             ids = self[word[:-1]] + self[word[-1]]
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()

@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 
 from lexstrata.functions.text import without_citations
 
-CONV = Window.partitionBy("conv_id")
+
+def _conv():
+    return Window.partitionBy("conv_id")
 
 
 def last_messages(messages: DataFrame, n: int) -> DataFrame:
     """The last ``n`` messages of each conversation with their place, oldest first."""
-    back = F.row_number().over(CONV.orderBy(F.desc("turn")))
+    back = F.row_number().over(_conv().orderBy(F.desc("turn")))
     kept = messages.withColumn("_b", back).filter(F.col("_b") <= n)
-    return kept.withColumn("place", F.row_number().over(CONV.orderBy("turn"))).drop("_b")
+    return kept.withColumn("place", F.row_number().over(_conv().orderBy("turn"))).drop("_b")
 
 
 def prompt_history(messages: DataFrame, turns: int = 8) -> DataFrame:
     """The last 2 x ``turns`` user and assistant messages with text, from the first user message on, answers without citations."""
     said = messages.filter(F.col("role").isin("user", "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    recent = last_messages(said, 2 * turns).withColumn("_first", F.min(F.when(F.col("role") == "user", F.col("place"))).over(CONV))
+    recent = last_messages(said, 2 * turns).withColumn("_first", F.min(F.when(F.col("role") == "user", F.col("place"))).over(_conv()))
     return recent.filter(F.col("place") >= F.col("_first")).select(
         "conv_id", "turn", "role", F.when(F.col("role") == "assistant", without_citations(F.col("text"))).otherwise(F.col("text")).alias("text")
     )
@@ -28,13 +30,13 @@ def prompt_history(messages: DataFrame, turns: int = 8) -> DataFrame:
 
 def question_answers(messages: DataFrame, n: int = 3) -> DataFrame:
     """The last ``n`` pairs of each conversation: a user message and the newest answer before the next user message."""
-    asked = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(CONV.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    asked = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(_conv().orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
     rows = messages.filter(F.col("role").isin("user", "assistant")).withColumn("asked", asked).filter(F.col("asked").isNotNull())
     pairs = rows.groupBy("conv_id", "asked").agg(
         F.max(F.when(F.col("role") == "user", F.col("text"))).alias("question"),
         F.max_by("text", F.when((F.col("role") == "assistant") & (F.trim("text") != ""), F.col("turn"))).alias("answer"),
     )
-    back = F.row_number().over(CONV.orderBy(F.desc("asked")))
+    back = F.row_number().over(_conv().orderBy(F.desc("asked")))
     return pairs.filter(F.col("answer").isNotNull()).withColumn("_b", back).filter(F.col("_b") <= n).drop("_b")
 
 
@@ -51,8 +53,8 @@ def summary_due(messages: DataFrame, summaries: DataFrame, start_at: int = 9, wi
     Those whose last summary covers that turn already are left out.
     """
     users = messages.filter("role = 'user'")
-    back = F.row_number().over(CONV.orderBy(F.desc("turn")))
-    total = F.count("*").over(CONV)
+    back = F.row_number().over(_conv().orderBy(F.desc("turn")))
+    total = F.count("*").over(_conv())
     recent = users.withColumns({"_b": back, "_n": total}).filter((F.col("_n") >= start_at) & (F.col("_b") <= window))
     cut = recent.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("_t"))
     due = cut.select("conv_id", F.element_at("_t", (F.floor((F.size("_t") - 1) / 2) + 1).cast("int")).alias("cut_turn"))
@@ -78,10 +80,10 @@ def trim_candidates(messages: DataFrame, evictable: Column, keep_cycles: int = 2
 
     A cycle begins with each user message; the last ``keep_cycles`` stay.
     """
-    so_far = CONV.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _conv().orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     rows = messages.withColumn("cycle", F.sum((F.col("role") == "user").cast("int")).over(so_far))
-    old = evictable & (F.max("cycle").over(CONV) - F.col("cycle") >= keep_cycles)
-    rows = rows.withColumn("_old", old).withColumns({"context_chars": F.sum(F.length("text")).over(CONV), "reclaimable": F.sum(F.when(F.col("_old"), F.length("text")).otherwise(0)).over(CONV)})
+    old = evictable & (F.max("cycle").over(_conv()) - F.col("cycle") >= keep_cycles)
+    rows = rows.withColumn("_old", old).withColumns({"context_chars": F.sum(F.length("text")).over(_conv()), "reclaimable": F.sum(F.when(F.col("_old"), F.length("text")).otherwise(0)).over(_conv())})
     return rows.filter(F.col("_old") & (F.col("reclaimable") >= least_share * F.col("context_chars"))).select("conv_id", "turn", "cycle", "context_chars", "reclaimable")
 
 
@@ -90,8 +92,8 @@ def compaction_cut(messages: DataFrame, keep_share: float = 0.2, least_material:
 
     Only where what stands before it makes up ``least_material`` of all.
     """
-    after = F.coalesce(F.sum(F.length("text")).over(CONV.orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    rows = messages.withColumns({"_after": after, "_total": F.sum(F.length("text")).over(CONV)})
+    after = F.coalesce(F.sum(F.length("text")).over(_conv().orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    rows = messages.withColumns({"_after": after, "_total": F.sum(F.length("text")).over(_conv())})
     keep = (F.col("role") == "user") & (F.col("_after") <= F.col("_total") * keep_share)
     cut = rows.groupBy("conv_id", "_total").agg(F.min(F.when(keep, F.col("turn"))).alias("cut_turn"), F.max(F.when(keep, F.col("_after"))).alias("_kept"))
     return cut.filter(F.col("cut_turn").isNotNull() & (F.col("_total") - F.col("_kept") >= F.col("_total") * least_material)).select("conv_id", "cut_turn", (F.col("_total") - F.col("_kept")).alias("material"))
@@ -154,7 +156,7 @@ def pending_extraction(messages: DataFrame, runs: DataFrame, most: int = 40) ->
     """User messages behind the watermark of settled extraction runs, the first ``most`` of each conversation."""
     mark = runs.filter(F.col("status").isin("DONE", "DROPPED")).groupBy("conv_id").agg(F.max("to_turn").alias("_mark"))
     rows = messages.filter("role = 'user'").join(mark, "conv_id", "left").filter(F.col("_mark").isNull() | (F.col("turn") > F.col("_mark")))
-    return rows.withColumn("place", F.row_number().over(CONV.orderBy("turn"))).filter(F.col("place") <= most).select("conv_id", "turn", "place")
+    return rows.withColumn("place", F.row_number().over(_conv().orderBy("turn"))).filter(F.col("place") <= most).select("conv_id", "turn", "place")
 
 
 def with_summary(history: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -112,8 +112,8 @@ def first_enumeration_gaps(items: DataFrame, group: list[str], order: str, marke
     before = F.lag(marker).over(Window.partitionBy(*group).orderBy(order))
     rows = items.withColumn("_before", F.coalesce(before, F.lit(0)))
     gaps = rows.filter((F.col(marker) != 1) & (F.col(marker) != F.col("_before") + 1))
-    return gaps.groupBy(*group).agg(F.min_by(F.struct(F.col(order), F.col(marker), (F.col("_before") + 1).alias("expected")), order).alias("g")).select(
-        *group, F.col("g")[order].alias(order), F.col("g")[marker].alias(marker), F.col("g")["expected"].alias("expected")
+    return gaps.groupBy(*group).agg(F.min_by(F.struct(F.col(order), F.col(marker), (F.col("_before") + 1).alias("expected")), order).alias("_gap")).select(
+        *group, F.col("_gap")[order].alias(order), F.col("_gap")[marker].alias(marker), F.col("_gap")["expected"].alias("expected")
     )
 
 

@@ -22,11 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import cut_lineage, salted_join, written
+from lexstrata.llm.common import cut_lineage, salted_join, weighted_join, written
 from lexstrata.llm.components import connected_components
 
 #: Coordinates of a point, sets of a block, and points of an R-tree leaf.
-GROUPS, BLOCK, LEAF = 32, 512, 24
+GROUPS, BLOCK, LEAF = 128, 512, 24
 #: So many of the most frequent n-grams at most come last in the order; any choice gives the same links.
 LAST = 1 << 16
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -60,8 +60,14 @@ def set_name(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=12).digest()
 
 
-def point(grams: np.ndarray) -> np.ndarray:
-    return np.bincount((grams >> np.uint64(11)) % np.uint64(GROUPS), minlength=GROUPS).astype("<u4")
+def point(grams: np.ndarray) -> bytes:
+    """The counts of the groups, two bytes each where they fit, else four."""
+    counts = np.bincount((grams >> np.uint64(11)) % np.uint64(GROUPS), minlength=GROUPS)
+    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+
+
+def counts_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u2" if len(packed) == 2 * GROUPS else "<u4").astype(np.int64)
 
 
 def leading(grams: np.ndarray, share: tuple[int, int], last: np.ndarray) -> np.ndarray:
@@ -77,7 +83,8 @@ def leading(grams: np.ndarray, share: tuple[int, int], last: np.ndarray) -> np.n
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, sid, vec`` of each row; ``sid`` is null for a text without words."""
+    """``doc_id, print, n, sid, vec`` of each row; ``sid`` is null for a text without words."""
+    docs = docs.withColumn("print", F.xxhash64("text"))
 
     def found(batches):
         import pyarrow as pa
@@ -88,12 +95,13 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
                 grams = gram_set(x.as_py(), words)
                 n.append(len(grams))
                 sid.append(set_name(grams) if len(grams) else None)
-                vec.append(point(grams).tobytes())
+                vec.append(point(grams))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(vec, pa.binary())], names=["doc_id", "n", "sid", "vec"]
+                [batch.column("doc_id"), batch.column("print"), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(vec, pa.binary())],
+                names=["doc_id", "print", "n", "sid", "vec"],
             )
 
-    return docs.mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, sid binary, vec binary")
+    return docs.mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long, n long, sid binary, vec binary")
 
 
 def _keys(docs: DataFrame, words: int, share: tuple[int, int], last: dict[int, int]) -> DataFrame:
@@ -274,30 +282,56 @@ def forest(points: np.ndarray, sizes: np.ndarray, share: tuple[int, int]) -> lis
     return out
 
 
-def _candidate_pairs(members: DataFrame, share: tuple[int, int], everything: bool) -> DataFrame:
-    """``a, b``: pairs from blocks ``gid, sid, n, vec, label``; a forest, or all between labels."""
+def _candidate_pairs(members: DataFrame, share: tuple[int, int], mode: str) -> DataFrame:
+    """``a, b, near`` from blocks ``gid, sid, n, vec, label``: surviving pairs and the similarity that their points allow.
+
+    ``forest``: pairs that connect what survives in a block; ``best``: the
+    nearest pair of each two labels of a block; ``all``: all pairs between
+    labels.
+    """
 
     def found(batches):
         import pyarrow as pa
 
         def pairs(rows):
             sids, sizes, vecs, labels = zip(*sorted(rows), strict=True)
-            points = np.frombuffer(b"".join(vecs), "<u4").reshape(-1, GROUPS).astype(np.int64)
+            points = np.array([counts_of(v) for v in vecs])
             sizes = np.array(sizes, np.int64)
-            if everything:
+
+            def near(i, j):
+                shared = int(np.minimum(points[i], points[j]).sum())
+                return shared / int(sizes[i] + sizes[j] - shared)
+
+            if mode == "forest":
+                chosen = ((i, j, near(i, j)) for i, j in forest(points, sizes, share))
+            else:
                 names = {x: i for i, x in enumerate(dict.fromkeys(labels))}
                 kinds = np.array([names[x] for x in labels])
+                chosen, best = [], {}
                 for rows_a, rows_b, fit in RTree(points, sizes).survivors(share, kinds):
-                    for i, j in zip(*np.nonzero(fit), strict=True):
-                        a, b = sids[rows_a[i]], sids[rows_b[j]]
-                        yield (a, b) if a < b else (b, a)
-            else:
-                for i, j in forest(points, sizes, share):
-                    yield (sids[i], sids[j]) if i < j else (sids[j], sids[i])
+                    at = np.nonzero(fit)
+                    i, j = rows_a[at[0]], rows_b[at[1]]
+                    if not len(i):
+                        continue
+                    shared = np.minimum(points[i], points[j]).sum(axis=1)
+                    score = shared / (sizes[i] + sizes[j] - shared)
+                    if mode == "all":
+                        chosen += zip(i.tolist(), j.tolist(), score.tolist(), strict=True)
+                        continue
+                    low, high = np.minimum(kinds[i], kinds[j]), np.maximum(kinds[i], kinds[j])
+                    order = np.lexsort((-score, high, low))
+                    head = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
+                    for k in order[head].tolist():
+                        name = (int(low[k]), int(high[k]))
+                        if name not in best or best[name][2] < score[k]:
+                            best[name] = (int(i[k]), int(j[k]), float(score[k]))
+                chosen = chosen or best.values()
+            for i, j, score in chosen:
+                yield (*sorted((sids[i], sids[j])), score)
 
         def send(rows):
-            a, b = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            a, b, score = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(score, pa.float64())], names=["a", "b", "near"])
 
         gid, rows, out = None, [], []
         for batch in batches:
@@ -316,13 +350,13 @@ def _candidate_pairs(members: DataFrame, share: tuple[int, int], everything: boo
             yield send(out)
 
     dealt = members.select("gid", "sid", "n", "vec", "label").repartition("gid").sortWithinPartitions("gid")
-    return dealt.mapInArrow(found, "a binary, b binary").distinct()
+    return dealt.mapInArrow(found, "a binary, b binary, near double").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
     """The pairs whose sets are similar; ``a`` may be in very many pairs and is then dealt over tasks."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_parts"))
-    asks = salted_join(pairs, counts, ["a"], F.col("b"), "inner").withColumn("part", F.pmod(F.xxhash64("b"), F.col("_parts")))
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_parts"), F.count("*").alias("_n"))
+    asks = weighted_join(pairs, counts, ["a"], F.col("b"), "inner", "_n").withColumn("part", F.pmod(F.xxhash64("b"), F.col("_parts")))
     own = asks.select("a", "part").distinct().join(texts.withColumnRenamed("sid", "a"), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), "text")
     other = asks.select("a", "part", "b").join(texts.withColumnRenamed("sid", "b"), "b").select("a", "part", "b", "text")
 
@@ -359,59 +393,71 @@ def near_duplicates(
     Two documents link when ``den * intersection >= num * union`` of their
     sets of distinct word n-grams, ``share = (num, den)``; a component is
     what links reach, named by its smallest id.  A null, empty or blank text
-    has no n-grams and links with nothing, not even its like.  Rows that
-    repeat an id count as one document.  A row without an id gets the
-    component of its set, null if it is alone.  Other columns are ignored.
+    has no n-grams and links with nothing, not even its like.  Each row of
+    a repeated id gets the component of its own set; two sets with the same
+    smallest id count as linked.  A row without an id gets the component of
+    its set, null if it is alone.  Other columns are ignored.
     """
+    return _components(docs, id_col, text_col, words, share).drop("print")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, share: tuple[int, int]) -> DataFrame:
+    """``near_duplicates`` with ``print``, the hash of the row's text."""
     num, den = share
     if not 0 < num <= den:
         raise ValueError("share must lie in (0, 1]")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prints = written(_prints(docs, words), "jaccard-prints")
-    classes = prints.filter("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"))
-    classes = cut_lineage(classes)
+    classes = prints.filter("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.count("*").alias("rows"))
+    classes = written(classes, "jaccard-classes")
 
     known = docs.filter("doc_id is not null")
     counts = _keys(known, words, share, {}).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK)
     last = {r["key"] % (1 << 64): -(-2 * r["c"] // BLOCK) for r in counts.orderBy(F.desc("c"), "key").limit(LAST).collect()}
     blocks = written(_blocks(_keys(known, words, share, last)), "jaccard-blocks")
 
-    inside = cut_lineage(blocks.select("gid", F.explode("members").alias("sid")).distinct())
-    sized = inside.join(classes, "sid")
-    pairs = _candidate_pairs(sized.withColumn("label", F.lit(0).cast("long")), share, False)
+    inside = written(blocks.select("gid", F.explode("members").alias("sid")).distinct(), "jaccard-members")
+    sized = classes.select("sid", "n", "vec")
+    pairs = _candidate_pairs(inside.join(sized, "sid").withColumn("label", F.lit(0).cast("long")), share, "forest")
     # The blocks of one n-gram meet in the first set of all.
     heads = blocks.filter("hot").select("key", F.element_at("members", 1).alias("b"))
     hubs = heads.groupBy("key").agg(F.min("b").alias("a"))
-    joined = salted_join(heads, hubs, ["key"], F.col("b"), "inner").filter("a < b").select("a", "b")
+    joined = salted_join(heads, hubs, ["key"], F.col("b"), "inner").filter("a < b").select("a", "b", F.lit(0.0).alias("near"))
     pairs = cut_lineage(pairs.unionByName(joined).distinct())
-
-    wanted = inside.select("sid").distinct().join(classes, "sid").select("sid", "rep")
+    # A set outside of this forest has no surviving pair in its blocks, but may have one across the blocks of an n-gram.
+    named = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(blocks.filter("hot").select(F.explode("members").alias("sid")))
+    wanted = named.distinct().join(classes, "sid").select("sid", "rep")
     texts = written(docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("sid", "text"), "jaccard-texts")
-    links = cut_lineage(_verified(pairs, texts, words, share))
     names = classes.select("sid", "rep")
 
     def as_ids(found: DataFrame) -> DataFrame:
         a, b = names.select(F.col("sid").alias("a"), F.col("rep").alias("u")), names.select(F.col("sid").alias("b"), F.col("rep").alias("v"))
         return salted_join(found, a, ["a"], F.col("b"), "inner").join(b, "b").select("u", "v")
 
-    parts = cut_lineage(connected_components(as_ids(links), "u", "v"))
-    labelled = cut_lineage(
-        sized.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "sid", "n", "vec", F.coalesce("component", "rep").alias("label"))
-    )
-    mixed = labelled.groupBy("gid").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x <> _y").select("gid")
-    rest = _candidate_pairs(labelled.join(mixed, "gid", "left_semi"), share, True)
-    rest = rest.unionByName(_across_blocks(blocks, labelled, hubs, share)).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut_lineage(_verified(cut_lineage(rest), texts, words, share))
-    final = connected_components(as_ids(links.unionByName(more)), "u", "v")
-
-    named = classes.select("sid", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("_c"))
-    rows = prints.select("doc_id", "n", "sid")
-    with_set = salted_join(rows.filter("sid is not null"), named, ["sid"], F.col("doc_id"), "left")
+    # Each set is first checked with its nearest and its first partner.  Later rounds see to all that still lies between components.
+    picked = pairs.groupBy("b").agg(F.max_by("a", "near").alias("x"), F.min("a").alias("y"))
+    tested = cut_lineage(picked.select(F.explode(F.array("x", "y")).alias("a"), "b").distinct())
+    links = cut_lineage(_verified(tested, texts, words, share))
+    for mode in ("best", "all"):
+        parts = connected_components(as_ids(links), "u", "v")
+        label = names.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("label"))
+        labelled = written(inside.join(label, "sid"), "jaccard-labels")
+        mixed = labelled.groupBy("gid").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x <> _y").select("gid")
+        rest = _candidate_pairs(labelled.join(mixed, "gid", "left_semi").join(sized, "sid"), share, mode)
+        rest = rest.unionByName(_across_blocks(blocks, labelled, hubs, sized, share, mode)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        rest = cut_lineage(rest)
+        links = cut_lineage(links.unionByName(_verified(rest, texts, words, share)))
+        tested = tested.unionByName(rest)
+    final = connected_components(as_ids(links), "u", "v")
+
+    named = classes.select("sid", "rep", "rows").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "rows", F.coalesce("component", "rep").alias("_c"))
+    rows = prints.select("doc_id", "print", "n", "sid")
+    with_set = weighted_join(rows.filter("sid is not null"), named, ["sid"], F.col("doc_id"), "left", "rows")
     alone = rows.filter("sid is null").withColumn("_c", F.col("doc_id"))
-    return with_set.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("_c").alias("component_id"))
+    return with_set.unionByName(alone).select("doc_id", "print", F.col("n").alias("n_shingles"), F.col("_c").alias("component_id"))
 
 
-def _across_blocks(blocks: DataFrame, labelled: DataFrame, hubs: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _across_blocks(blocks: DataFrame, labelled: DataFrame, hubs: DataFrame, sized: DataFrame, share: tuple[int, int], mode: str) -> DataFrame:
     """Surviving pairs between the blocks of one n-gram.
 
     Most sets of such an n-gram are in the component of its first set by now.
@@ -421,20 +467,21 @@ def _across_blocks(blocks: DataFrame, labelled: DataFrame, hubs: DataFrame, shar
     rows = hot.join(labelled, "gid")
     first = hubs.join(rows, (hubs["key"] == rows["key"]) & (hubs["a"] == rows["sid"])).select(hubs["key"], F.col("label").alias("_hub")).distinct()
     marked = cut_lineage(salted_join(rows, first, ["key"], F.col("sid"), "inner"))
-    open_rows = marked.filter("label <> _hub").select("key", "sid", "n", "vec", "label").distinct()
+    open_rows = marked.filter("label <> _hub").select("key", "sid", "label").distinct()
     sizes = open_rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts"))
     open_rows = salted_join(open_rows, sizes, ["key"], F.col("sid"), "inner").withColumn("_part", F.pmod(F.xxhash64("sid"), F.col("_parts")).cast("int"))
     every = salted_join(marked, sizes, ["key"], F.col("sid"), "inner").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     name = lambda: F.concat("gid", F.col("_part").cast("string").cast("binary"))
     gids = marked.select("key", "gid").distinct()
-    queries = open_rows.join(gids, "key").select(name().alias("gid"), "sid", "n", "vec", "label")
-    return _candidate_pairs(every.select(name().alias("gid"), "sid", "n", "vec", "label").unionByName(queries).distinct(), share, True)
+    queries = open_rows.join(gids, "key").select(name().alias("gid"), "sid", "label")
+    meet = every.select(name().alias("gid"), "sid", "label").unionByName(queries).distinct()
+    return _candidate_pairs(meet.join(sized, "sid"), share, mode)
 
 
 def keep_one_of_each_group(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (80, 100)
 ) -> DataFrame:
     """The rows of ``docs`` whose id names their component, and those without an id, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, words, share)
-    lost = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+    found = _components(docs, id_col, text_col, words, share)
+    lost = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_lost"), F.col("print").alias("_print")).distinct()
+    return docs.join(lost, (docs[id_col] == lost["_lost"]) & (F.xxhash64(docs[text_col]) == lost["_print"]), "left_anti")

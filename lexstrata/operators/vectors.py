@@ -78,7 +78,7 @@ def fit_cells(points: DataFrame, cells: int = 16, rounds: int = 8, sample: int =
     return centres
 
 
-def cell_top_k(queries: DataFrame, points: DataFrame, k: int, cells: int = 16, probes: int = 8) -> DataFrame:
+def cell_top_k(queries: DataFrame, points: DataFrame, k: int, cells: int = 16, probes: int = 13) -> DataFrame:
     """Approximate top-k: every point lies in one cell, and a query looks into its ``probes`` nearest cells."""
     centres = fit_cells(points, cells)
 

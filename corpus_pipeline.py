@@ -23,6 +23,9 @@ from lexstrata.llm.language import keep_identified  # noqa: E402
 from lexstrata.llm.packing import pack, with_checksums  # noqa: E402
 from lexstrata.llm.suffix_dedup import replace_texts  # noqa: E402
 
+#: Passages of over 50 words that stand elsewhere too leave the texts.
+PASSAGE_WORDS = 51
+
 
 def language_id(spark, docs, sf_dir):
     """Rows whose text has no letter, or is like no language, go."""
@@ -40,8 +43,8 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def substring_dedup(spark, docs, sf_dir):
-    """Strings of 400 bytes that start anywhere else too leave the texts; every row stays."""
-    return replace_texts(docs)
+    """Runs of 51 words, and strings of 400 bytes, that start anywhere else too leave the texts; every row stays."""
+    return replace_texts(docs, words=PASSAGE_WORDS)
 
 
 def packing(spark, docs, sf_dir):

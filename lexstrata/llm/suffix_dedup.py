@@ -9,6 +9,9 @@ Contexts under one hash that differ are sorted in shards by a two-stage
 suffix sort, and neighbours in that order with a common prefix of L bytes
 are repeated strings.  A hash with very many contexts is dealt over several
 shards, which then compare the strings that each of them has.
+
+Counted in words, a text is the row of the 8-byte hashes of its words, and all
+of this holds for runs of words in place of runs of bytes.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ from lexstrata.llm.gear_chunks import cut_spans, keyed_by_text, unkeyed
 from lexstrata.llm.suffix_array import common_prefixes, two_stage_order, words_at
 
 REPEAT_BYTES, GRAM = 400, 101
+#: Words of a gram, where repeats are counted in words; 8 bytes name a word.
+GRAM_WORDS, WORD = 13, 8
 #: Window starts that are looked at together, and contexts of a shard.
 BLOCK, SHARD_CONTEXTS = 1 << 19, 1500
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(99).integers(0, 1 << 64, 256, dtype=np.uint64)
+_GAPS = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -43,11 +49,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the ``gram`` bytes from each place."""
+    """A 64-bit hash of the ``gram`` bytes, or words, from each place."""
     n = len(data)
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[:n], out=sums[1:])
+    np.cumsum((_TABLE[data] if data.dtype == np.uint8 else data) * up[:n], out=sums[1:])
     h = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -71,6 +77,32 @@ def anchors(data: np.ndarray, repeat: int, gram: int):
         yield at, h, least, zip(first.tolist(), last.tolist(), strict=True)
 
 
+class _Names(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 16:
+            self.clear()
+        self[word] = name = int.from_bytes(hashlib.blake2b(word, digest_size=WORD).digest(), "little")
+        return name
+
+
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words of UTF-8 bytes; words are runs without ASCII white space."""
+    gap = np.concatenate([[True], _GAPS[np.frombuffer(data, np.uint8)], [True]]).astype(np.int8)
+    edge = np.diff(gap)
+    return np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+
+
+def _units(text: str | None, unit: int, names: _Names) -> bytes:
+    """The bytes of a text, or the hashes of its words."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    if unit == 1:
+        return data
+    words = data.split()
+    return np.fromiter(map(names.__getitem__, words), "<u8", len(words)).tobytes()
+
+
 def _places(h: np.ndarray, least: np.ndarray, runs, reach: int):
     """Split each run of one least hash by the leftmost place that has it."""
     for f, l in runs:
@@ -88,7 +120,7 @@ def _places(h: np.ndarray, least: np.ndarray, runs, reach: int):
                 break
 
 
-def anchor_rows(docs: DataFrame, id_col: str, text_col: str, repeat: int, gram: int) -> DataFrame:
+def anchor_rows(docs: DataFrame, id_col: str, text_col: str, repeat: int, gram: int, unit: int = 1) -> DataFrame:
     """``doc_id, hash, lo, hi, ctx``: starts ``lo..hi`` of one anchor, and a digest of the bytes they see."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     reach = repeat - gram + 1
@@ -96,19 +128,20 @@ def anchor_rows(docs: DataFrame, id_col: str, text_col: str, repeat: int, gram:
     def found(batches):
         import pyarrow as pa
 
+        names = _Names()
         for batch in batches:
             owner, hashes, lo, hi, ctx = [], [], [], [], []
             for i, x in enumerate(batch.column("text")):
-                data = (x.as_py() or "").encode("utf-8", "surrogatepass")
-                if len(data) < repeat:
+                data = _units(x.as_py(), unit, names)
+                if len(data) < repeat * unit:
                     continue
-                for at, h, least, runs in anchors(np.frombuffer(data, np.uint8), repeat, gram):
+                for at, h, least, runs in anchors(np.frombuffer(data, np.uint8 if unit == 1 else "<u8"), repeat, gram):
                     for value, a, b in _places(h, least, runs, reach):
                         owner.append(i)
                         hashes.append(value - (1 << 63))
                         lo.append(at + a)
                         hi.append(at + b)
-                        ctx.append(hashlib.blake2b(data[at + a : at + b + repeat], digest_size=16).digest())
+                        ctx.append(hashlib.blake2b(data[(at + a) * unit : (at + b + repeat) * unit], digest_size=16).digest())
                 if len(owner) >= 50_000:
                     yield _batch(pa, batch, owner, hashes, lo, hi, ctx)
                     owner, hashes, lo, hi, ctx = [], [], [], [], []
@@ -124,7 +157,7 @@ def _batch(pa, batch, owner, hashes, lo, hi, ctx):
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "lo", "hi", "ctx"])
 
 
-def _sliced(docs: DataFrame, wanted: DataFrame, repeat: int) -> DataFrame:
+def _sliced(docs: DataFrame, wanted: DataFrame, repeat: int, unit: int) -> DataFrame:
     """The bytes of one occurrence of each wanted context: ``hash, ctx, kinds, bytes``."""
     per_doc = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("hash", "ctx", "kinds", "lo", "hi")).alias("_w"))
     joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_doc"])).select("text", "_w")
@@ -132,12 +165,13 @@ def _sliced(docs: DataFrame, wanted: DataFrame, repeat: int) -> DataFrame:
     def sliced(batches):
         import pyarrow as pa
 
+        names = _Names()
         for batch in batches:
             for r in range(batch.num_rows):
-                data = (batch.column("text")[r].as_py() or "").encode("utf-8", "surrogatepass")
+                data = _units(batch.column("text")[r].as_py(), unit, names)
                 w = batch.column("_w")[r].as_py()
-                cut = [data[x["lo"] : x["hi"] + repeat] for x in w]
-                if any(len(c) != x["hi"] - x["lo"] + repeat for c, x in zip(cut, w, strict=True)):
+                cut = [data[x["lo"] * unit : (x["hi"] + repeat) * unit] for x in w]
+                if any(len(c) != (x["hi"] - x["lo"] + repeat) * unit for c, x in zip(cut, w, strict=True)):
                     raise ValueError("the documents changed while they were read")
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -174,7 +208,19 @@ def repeated_starts(contexts: list[bytes], repeat: int) -> tuple[np.ndarray, np.
     return begin, order, np.cumsum(prefix < repeat)
 
 
-def _sorted_shards(parts: DataFrame, repeat: int) -> DataFrame:
+def repeated_windows(contexts: list[bytes], repeat: int, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``repeated_starts`` for units of several bytes, by digests of the strings; places count units."""
+    sizes = np.array([len(c) // unit for c in contexts])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    starts = np.concatenate([np.arange(b, b + n - repeat + 1) for b, n in zip(begin, sizes, strict=True)])
+    digests = b"".join(hashlib.blake2b(c[x : x + repeat * unit], digest_size=16).digest() for c in contexts for x in range(0, len(c) - repeat * unit + 1, unit))
+    names = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    names = names[order]
+    return begin, starts[order], np.cumsum(np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)]))
+
+
+def _sorted_shards(parts: DataFrame, repeat: int, unit: int) -> DataFrame:
     """For each context the starts that repeat in its shard, and for split hashes its other strings.
 
     ``kind`` 0: a repeated start of a context; 1: a string that stands once in
@@ -186,7 +232,7 @@ def _sorted_shards(parts: DataFrame, repeat: int) -> DataFrame:
 
         def shard(rows):
             hashes, names, kinds, texts = zip(*rows, strict=True)
-            begin, order, classes = repeated_starts(list(texts), repeat)
+            begin, order, classes = repeated_starts(list(texts), repeat) if unit == 1 else repeated_windows(list(texts), repeat, unit)
             if not len(order):
                 return
             edges = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
@@ -204,7 +250,7 @@ def _sorted_shards(parts: DataFrame, repeat: int) -> DataFrame:
             if kinds[0] > SHARD_CONTEXTS:
                 for at, n in zip(edges.tolist(), sizes.tolist(), strict=True):
                     a, x = int(context[at]), int(offset[at])
-                    digest = hashlib.blake2b(texts[a][x : x + repeat], digest_size=16).digest()
+                    digest = hashlib.blake2b(texts[a][x * unit : (x + repeat) * unit], digest_size=16).digest()
                     out.append((hashes[a], names[a], 1 if n == 1 else 2, x, x, digest))
             for at in range(0, len(out), 20_000):
                 h, m, k, x, y, d = zip(*out[at : at + 20_000], strict=True)
@@ -230,12 +276,15 @@ def _sorted_shards(parts: DataFrame, repeat: int) -> DataFrame:
     )
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT_BYTES, gram: int = GRAM) -> DataFrame:
-    """``doc_id, spans``: maximal byte ranges covered by ``repeat``-byte strings that start elsewhere too."""
-    if repeat % 8 or not 0 < gram < repeat:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT_BYTES, gram: int = GRAM, unit: int = 1) -> DataFrame:
+    """``doc_id, spans``: maximal byte ranges covered by ``repeat``-byte strings that start elsewhere too.
+
+    With a ``unit`` of 8 all lengths and places count words.
+    """
+    if (unit == 1 and repeat % 8) or not 0 < gram < repeat:
         raise ValueError("repeat must be a multiple of 8 and longer than gram")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = anchor_rows(docs, "doc_id", "text", repeat, gram)
+    found = anchor_rows(docs, "doc_id", "text", repeat, gram, unit)
     often = found.groupBy("hash").agg(F.count("*").alias("_n")).filter("_n > 1")
     shared = cut_lineage(weighted_join(found, often, ["hash"], F.struct("doc_id", "lo"), "left_semi", "_n"))
     contexts = shared.groupBy("hash", "ctx").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
@@ -244,12 +293,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = weighted_join(contexts, kinds.withColumn("_n", F.col("kinds")), ["hash"], F.col("ctx"), "inner", "_n")
     shards = max(1, contexts.count() // SHARD_CONTEXTS)
     hot = F.col("kinds") > SHARD_CONTEXTS
-    parts = _sliced(docs, several, repeat).select(
+    parts = _sliced(docs, several, repeat, unit).select(
         "*",
         F.when(hot, F.col("hash")).otherwise(F.pmod(F.xxhash64("hash"), F.lit(shards))).alias("part"),
         F.when(hot, F.pmod(F.xxhash64("ctx"), F.ceil(F.col("kinds") / SHARD_CONTEXTS))).otherwise(-1).alias("sub"),
     )
-    results = cut_lineage(_sorted_shards(parts, repeat))
+    results = cut_lineage(_sorted_shards(parts, repeat, unit))
     # Between the shards of one hash: strings that another shard has too.
     strings = results.filter("kind > 0")
     met = strings.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").select("digest")
@@ -297,19 +346,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def replace_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT_BYTES, count_col: str | None = "n_chars"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT_BYTES, count_col: str | None = "n_chars", words: int | None = None
 ) -> DataFrame:
     """``docs`` with the long repeated strings out of their texts, all rows and columns kept.
 
+    With ``words``, runs of so many whole words that start elsewhere too go
+    as well, however short they are and whatever white space parts them.
     A character goes if all its bytes are repeated.  ``count_col``, where it
     is a column, gets the length of a text that changed.  Null texts stay
     null.
     """
     keyed = keyed_by_text(docs, id_col, text_col)
     spans = repeated_spans(keyed, repeat=repeat)
-    spans = spans.select(F.col("doc_id")["id"].alias("_lexstrata_id"), F.col("doc_id")["print"].alias("_lexstrata_print"), F.col("spans").alias("_lexstrata_spans"))
+    runs = spans.limit(0) if words is None else repeated_spans(keyed, repeat=words, gram=min(GRAM_WORDS, words - 1), unit=WORD)
+    none = F.lit(None).cast(spans.schema["spans"].dataType)
+    both = spans.select("doc_id", "spans", none.alias("runs")).unionByName(runs.select("doc_id", none.alias("spans"), F.col("spans").alias("runs")))
+    spans = both.groupBy("doc_id").agg(F.first("spans", True).alias("spans"), F.first("runs", True).alias("runs"))
+    named = (F.col("doc_id")["id"].alias("_lexstrata_id"), F.col("doc_id")["print"].alias("_lexstrata_print"))
+    spans = spans.select(*named, F.col("spans").alias("_lexstrata_spans"), F.col("runs").alias("_lexstrata_runs"))
     fits = docs[id_col].eqNullSafe(spans["_lexstrata_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == spans["_lexstrata_print"])
-    joined = docs.join(spans, fits, "left").select(*(docs[c] for c in docs.columns), "_lexstrata_spans")
+    joined = docs.join(spans, fits, "left").select(*(docs[c] for c in docs.columns), "_lexstrata_spans", "_lexstrata_runs")
     counts = count_col in docs.columns if count_col else False
     schema = docs.schema
 
@@ -318,12 +374,19 @@ def replace_texts(
 
         for batch in batches:
             texts, sizes = batch.column(text_col).to_pylist(), batch.column(count_col).to_pylist() if counts else None
-            for r, found in enumerate(batch.column("_lexstrata_spans")):
-                if not found.is_valid:
+            for r, found in enumerate(zip(batch.column("_lexstrata_spans"), batch.column("_lexstrata_runs"), strict=True)):
+                found, runs = (x.as_py() or [] for x in found)
+                if not found and not runs:
                     continue
                 data, kept, begin = texts[r].encode("utf-8", "surrogatepass"), [], 0
-                for x in found.as_py():
-                    a, b = x["begin"], x["end"]
+                ranges = [(x["begin"], x["end"]) for x in found]
+                if runs:
+                    first, behind = word_places(data)
+                    ranges += [(int(first[x["begin"]]), int(behind[x["end"] - 1])) for x in runs]
+                for a, b in sorted(ranges):
+                    a = max(a, begin)  # ranges of bytes and of words may overlap
+                    if a >= b:
+                        continue
                     while a < b and data[a] & 0xC0 == 0x80:
                         a += 1
                     while b > a and b < len(data) and data[b] & 0xC0 == 0x80:

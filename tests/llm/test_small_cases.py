@@ -370,3 +370,27 @@ def test_pipeline_stages(spark, texts, tmp_path):
     assert sorted(i for i, _ in left) == sorted(i for i, _, c in brute_components(unique, 5, 80, 100) if c == i)
     assert counts[3] == counts[2]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == counts[4]
+
+
+@pytest.mark.parametrize("limit", [1500, 1])
+def test_passages_of_51_words(spark, limit, monkeypatch):
+    """The pipeline's stage takes out shared passages of over 50 words, however short or wrapped; 50 words stay."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", limit)
+    r = random.Random(11)
+    fresh = iter(range(10**9))
+    prose = lambda n: " ".join(f"{next(fresh):x}é" for _ in range(n))
+    passage = " ".join(r.choice("abcdefghij") + r.choice("klmnopé") for _ in range(51))
+    assert len(passage.encode()) < 240
+    edges = [(prose(60), prose(70)) for _ in range(4)]
+    rows = [(i, f"{a}\n{passage}\n{b}") for i, (a, b) in enumerate(edges)]
+    a, b, c, short, long = prose(30), prose(80), prose(30), prose(50), "x" + "".join(r.choice("0123456789") for _ in range(450))
+    rows += [(10, a + " " + passage.replace(" ", "\n ") + " " + b), (11, c + " " + short), (12, short), (13, f"{a[:9]} {long}"), (14, long + " end"), (15, None), (16, "")]
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.substring_dedup(spark, make(spark, rows), None).collect()}
+    assert len(got) == len(rows)
+    for i, (x, y) in enumerate(edges):
+        assert got[i] == f"{x}\n\n{y}"
+    assert got[10] == a + "  " + b
+    assert got[11] == c + " " + short and got[12] == short
+    assert got[13] == a[:9] + " " and got[14] == " end" and got[15] is None and got[16] == ""

@@ -17,7 +17,7 @@ if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
 from lexstrata.llm.common import shared_dir  # noqa: E402
-from lexstrata.llm.exact_dedup import drop_exact_duplicates  # noqa: E402
+from lexstrata.llm.exact_dedup import drop_exact_duplicates, drop_repeated_rows  # noqa: E402
 from lexstrata.llm.jaccard_join import keep_one_of_each_group  # noqa: E402
 from lexstrata.llm.language import keep_identified  # noqa: E402
 from lexstrata.llm.packing import pack, with_checksums  # noqa: E402
@@ -38,8 +38,12 @@ def exact_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Of each group linked by five-word shingles at a similarity of 0.8 the smallest doc_id stays."""
-    return keep_one_of_each_group(docs, words=5, share=(80, 100))
+    """Of each group linked by five-word shingles at a similarity of 0.8 the smallest doc_id stays, with one row of a text.
+
+    Rows that repeat a doc_id with its text have one decision in the exact
+    stage; here all but one of them go.
+    """
+    return keep_one_of_each_group(drop_repeated_rows(docs), words=5, share=(80, 100))
 
 
 def substring_dedup(spark, docs, sf_dir):

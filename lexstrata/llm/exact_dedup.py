@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import salted_join, written
+from lexstrata.llm.common import cut_lineage, salted_join, weighted_join, written
 
 #: A chunk has 256 characters at least, ends behind white space that follows
 #: one of these letters, and has 2048 characters at most.
@@ -86,3 +86,21 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lost = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_lost"), F.col("text_sha256").alias("_sha")).distinct()
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
     return docs.join(lost, docs[id_col].eqNullSafe(lost["_lost"]) & (sha == lost["_sha"]), "left_anti")
+
+
+def drop_repeated_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of the rows that repeat an id with its text.
+
+    Null ids are equal here, and null texts are empty.  Where the other
+    columns differ, the row whose JSON is least stays.  Texts move only if
+    there is such a row at all.
+    """
+    key = F.concat_ws("|", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.col(id_col).cast("string"))
+    rows = docs.withColumn("_lexstrata_key", key)
+    repeated = cut_lineage(rows.groupBy("_lexstrata_key").agg(F.count("*").alias("_lexstrata_n")).filter("_lexstrata_n > 1"))
+    if repeated.isEmpty():
+        return docs
+    single, several = (weighted_join(rows, repeated, ["_lexstrata_key"], F.spark_partition_id(), how, "_lexstrata_n") for how in ("left_anti", "left_semi"))
+    least = F.to_json(F.struct(*(c for c in docs.columns if c != text_col)))
+    one = several.groupBy("_lexstrata_key").agg(F.min_by(F.struct(*docs.columns), least).alias("_lexstrata_row"))
+    return single.select(*docs.columns).unionByName(one.select("_lexstrata_row.*"))

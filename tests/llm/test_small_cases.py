@@ -394,3 +394,25 @@ def test_passages_of_51_words(spark, limit, monkeypatch):
     assert got[10] == a + "  " + b
     assert got[11] == c + " " + short and got[12] == short
     assert got[13] == a[:9] + " " and got[14] == " end" and got[15] is None and got[16] == ""
+
+
+def test_repeated_rows_stand_once(spark, tmp_path):
+    """Rows that repeat an id with its text, null ids and nulls among them, leave one row with its whole text."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghi") for _ in range(r.randint(2, 8))) for _ in range(n))
+    twice, once, no_id = prose(120), prose(130), prose(90)
+    rows = [(1, twice), (1, twice), (1, twice), (2, once), (1, once[:200]), (None, no_id), (None, no_id)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    path = str(tmp_path / "documents.parquet")
+    docs.write.parquet(path)
+    now = spark.read.parquet(path)
+    for at, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"out{at}"))
+        now = spark.read.parquet(str(tmp_path / f"out{at}"))
+    left = now.collect()
+    assert sorted((-1 if x["doc_id"] is None else x["doc_id"], x["text"]) for x in left) == sorted([(1, twice), (2, once), (1, once[:200]), (-1, no_id)])
+    assert {x["source"] for x in left} == {"s0", "s3", "s4", "s5"}
+    single = docs.filter("doc_id = 2")
+    assert exact_dedup.drop_repeated_rows(single).collect() == single.collect()

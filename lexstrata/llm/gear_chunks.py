@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import weighted_join
+from lexstrata.llm.common import cut_lineage, weighted_join
 
 #: Bytes of a chunk: least, most, and the cut mask (one place in 32 behind the least).
 LEAST, MOST, MASK = 32, 256, np.uint32(31)
@@ -23,6 +23,8 @@ LEAST, MOST, MASK = 32, 256, np.uint32(31)
 RUN_BYTES = 160
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 _BLOCK = 1 << 20
+#: Bytes on each side of a run that are compared first.
+REACH = 256
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -136,6 +138,111 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return ordered.select("doc_id", F.filter(runs, lambda r: r["end"] - r["begin"] >= run_bytes).alias("spans")).filter(F.size("spans") > 0)
 
 
+def _equal_bytes(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    unlike = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n) if n else np.zeros(0, bool)
+    return int(unlike.argmax()) if unlike.any() else n
+
+
+def _around(docs: DataFrame, asks: DataFrame, reach: int) -> DataFrame:
+    """``asks`` (``doc_id, begin, end, fdoc, fbegin``) with up to ``reach`` bytes before and behind each place."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    per_doc = asks.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("begin", "end", "fdoc", "fbegin")).alias("_w"))
+    joined = docs.join(per_doc, docs["doc_id"] == per_doc["_doc"]).select("doc_id", "text", "_w")
+
+    def sliced(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                data = batch.column("text")[r].as_py().encode("utf-8", "surrogatepass")
+                asked = batch.column("_w").slice(r, 1).flatten()
+                places = list(zip(asked.field("begin").to_pylist(), asked.field("end").to_pylist(), strict=True))
+                before, behind = [data[max(0, a - reach) : a] for a, _ in places], [data[b : b + reach] for _, b in places]
+                owner = batch.column("doc_id").take(pa.array([r] * len(places), pa.int64()))
+                columns = [owner, *(asked.field(x) for x in ("begin", "end", "fdoc", "fbegin")), pa.array(before, pa.binary()), pa.array(behind, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "begin", "end", "fdoc", "fbegin", "before", "behind"])
+
+    return joined.mapInArrow(sliced, f"doc_id {kind}, begin long, end long, fdoc {kind}, fbegin long, before binary, behind binary")
+
+
+def _extended(docs: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
+    """``runs`` with ``left, right``, the equal bytes around a run and its first place, and ``open``: they go on behind ``reach``."""
+    kind = docs.schema["doc_id"].dataType
+    first = runs.select(F.col("fdoc").alias("doc_id"), F.col("fbegin").alias("begin"), (F.col("fbegin") + F.col("end") - F.col("begin")).alias("end"))
+    counts = first.groupBy("doc_id", "begin", "end").agg(F.count("*").alias("_n"))
+    asks = runs.unionByName(counts.select("doc_id", "begin", "end", F.lit(None).cast(kind).alias("fdoc"), F.lit(None).cast("long").alias("fbegin")))
+    found = cut_lineage(_around(docs, asks, reach))
+    own = found.filter("fbegin is not null").withColumn("fend", F.col("fbegin") + F.col("end") - F.col("begin"))
+    places = found.filter("fbegin is null").groupBy("doc_id", "begin", "end").agg(F.first("before").alias("fbefore"), F.first("behind").alias("fbehind"))
+    places = places.join(counts, ["doc_id", "begin", "end"]).select(F.col("doc_id").alias("fdoc"), F.col("begin").alias("fbegin"), F.col("end").alias("fend"), "fbefore", "fbehind", "_n")
+    both = weighted_join(own, places, ["fdoc", "fbegin", "fend"], F.struct("doc_id", "begin"), "inner", "_n")
+
+    def compared(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            left, right, more = [], [], []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("before", "behind", "fbefore", "fbehind")), strict=True):
+                m, n = _equal_bytes(a[::-1], x[::-1]), _equal_bytes(b, y)
+                more.append(m == reach or n == reach)
+                while m and a[-m] & 0xC0 == 0x80:  # no cut within a character
+                    m -= 1
+                while 0 < n < len(b) and b[n] & 0xC0 == 0x80:
+                    n -= 1
+                left.append(m)
+                right.append(n)
+            columns = [*(batch.column(c) for c in ("doc_id", "begin", "end", "fdoc", "fbegin")), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(more, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "begin", "end", "fdoc", "fbegin", "left", "right", "open"])
+
+    name = kind.simpleString()
+    return both.mapInArrow(compared, f"doc_id {name}, begin long, end long, fdoc {name}, fbegin long, left long, right long, open boolean")
+
+
+def repeated_passages(docs: DataFrame, run_bytes: int = RUN_BYTES, reach: int = REACH) -> DataFrame:
+    """``repeated_runs`` with each run extended to all bytes that equal those around its first place.
+
+    ``docs`` are those of ``keyed_by_text``.  The length rule meets the
+    extended ranges, joined where they touch; no range ends within a
+    character.
+    """
+    chunks = chunk_rows(docs)
+    firsts = chunks.groupBy("digest").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "pos")).alias("_first")).filter("_n > 1")
+    copies = weighted_join(chunks, firsts, ["digest"], F.struct("doc_id", "pos"), "inner", "_n")
+    later = copies.filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("_first")))
+    place = F.struct(F.col("pos").alias("begin"), (F.col("pos") + F.col("size")).alias("end"), F.col("_first")["doc_id"].alias("fdoc"), F.col("_first")["pos"].alias("fbegin"))
+    ordered = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(place)).alias("_c"))
+
+    def joined(column, follows, merge):
+        none = F.slice(F.col(column), 1, 0)
+        last = lambda out: F.element_at(out, -1)
+        return F.aggregate(
+            column,
+            none,
+            lambda out, c: F.when((F.size(out) > 0) & follows(last(out), c), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(merge(last(out), c)))).otherwise(F.concat(out, F.array(c))),
+        )
+
+    # Neighbouring chunks whose first places are neighbours too are one run.
+    runs = joined(
+        "_c",
+        lambda a, c: (a["end"] == c["begin"]) & a["fdoc"].eqNullSafe(c["fdoc"]) & (a["fbegin"] + a["end"] - a["begin"] == c["fbegin"]),
+        lambda a, c: F.struct(a["begin"].alias("begin"), c["end"].alias("end"), a["fdoc"].alias("fdoc"), a["fbegin"].alias("fbegin")),
+    )
+    left = cut_lineage(ordered.select("doc_id", F.explode(runs).alias("_r")).select("doc_id", "_r.*"))
+    found = None
+    while True:
+        seen = cut_lineage(_extended(docs, left, reach))
+        ready = seen.filter("not open").select("doc_id", (F.col("begin") - F.col("left")).alias("begin"), (F.col("end") + F.col("right")).alias("end"))
+        found = ready if found is None else found.unionByName(ready)
+        left = seen.filter("open").select("doc_id", "begin", "end", "fdoc", "fbegin")
+        if left.isEmpty():
+            break
+        reach *= 16
+    ranges = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("_e"))
+    spans = joined("_e", lambda a, c: c["begin"] <= a["end"], lambda a, c: F.struct(a["begin"].alias("begin"), F.greatest(a["end"], c["end"]).alias("end")))
+    return ranges.select("doc_id", F.filter(spans, lambda r: r["end"] - r["begin"] >= run_bytes).alias("spans")).filter(F.size("spans") > 0)
+
+
 def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept``: each text's bytes without its spans.
 
@@ -174,12 +281,15 @@ def unkeyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id")["id"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES, extend: bool = False) -> DataFrame:
     """Each text without the runs of chunks that stand at an earlier place.
 
+    With ``extend`` a run has all equal bytes around it and its first place,
+    not its whole chunks only.
+
     Returns one row for each input row: ``doc_id, n_bytes, n_removed, n_spans,
     kept`` (bytes).  Null text counts as empty; other columns are ignored; of
     rows that repeat an id and a text the copies lose theirs by position only.
     """
     docs = keyed_by_text(docs, id_col, text_col)
-    return unkeyed(cut_spans(docs, repeated_runs(docs, run_bytes=run_bytes)))
+    return unkeyed(cut_spans(docs, repeated_passages(docs, run_bytes) if extend else repeated_runs(docs, run_bytes=run_bytes)))

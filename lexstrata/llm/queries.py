@@ -58,7 +58,7 @@ def op8_language_id(spark, sf_dir):
 
 
 def op9_gear_chunks(spark, sf_dir):
-    return _digests(substring_dedup(_table(spark, sf_dir, "documents")))
+    return _digests(substring_dedup(_table(spark, sf_dir, "documents"), extend=True))
 
 
 def op10_token_counts(spark, sf_dir):

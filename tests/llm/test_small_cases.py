@@ -416,3 +416,40 @@ def test_repeated_rows_stand_once(spark, tmp_path):
     assert {x["source"] for x in left} == {"s0", "s3", "s4", "s5"}
     single = docs.filter("doc_id = 2")
     assert exact_dedup.drop_repeated_rows(single).collect() == single.collect()
+
+
+@pytest.mark.parametrize("reach", [256, 2])
+def test_gear_passages_are_whole(spark, reach, monkeypatch):
+    """A later passage goes to its ends, where it holds a shared chunk, although whole chunks do not cover it; the first stays."""
+    monkeypatch.setattr(gear_chunks.repeated_passages, "__defaults__", (gear_chunks.RUN_BYTES, reach))
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghijklmnopé漢") for _ in range(r.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, passages = [], []
+    for i in range(40):
+        passages.append(f"§{prose(51)}§")
+        rows += [(i, prose(20) + "à" + passages[i] + "b" + prose(20)), (100 + i, prose(25) + "á" + passages[i] + "c" + prose(15))]
+    rows += [(200, None), (201, ""), (202, passages[0] * 12), (203, passages[0] * 12)]
+    docs = make(spark, rows)
+    found = {x["doc_id"]: x for x in gear_chunks.substring_dedup(docs, extend=True).collect()}
+    part = {x["doc_id"]: x["n_removed"] for x in gear_chunks.substring_dedup(docs).collect()}
+    texts = dict(rows)
+
+    def chunks(text):
+        data, start = text.encode(), 0
+        for end in gear_chunks.cuts(np.frombuffer(data, np.uint8)):
+            yield data[start:end]
+            start = end
+
+    shared = 0
+    for i, passage in enumerate(passages):
+        assert bytes(found[i]["kept"]).decode() == texts[i]
+        kept = bytes(found[100 + i]["kept"]).decode()
+        if set(chunks(texts[i])) & set(chunks(texts[100 + i])):
+            shared += 1
+            assert kept == texts[100 + i].replace(passage, "")
+            assert part[100 + i] < found[100 + i]["n_removed"]
+        else:
+            assert kept == texts[100 + i]
+    assert shared >= 30
+    assert bytes(found[203]["kept"]) == b"" and found[200]["n_bytes"] == found[201]["n_bytes"] == 0

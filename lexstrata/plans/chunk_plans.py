@@ -20,7 +20,7 @@ def _markdown(t):
     lines = F.split("text", "\n")
     at = lambda i: F.coalesce(F.try_element_at(lines, F.lit(i)), F.lit("end"))
     items = F.array_join(F.transform(F.split(at(1), " "), lambda w: F.concat(F.lit("- "), w)), "\n")
-    rows = F.array_join(F.transform(F.slice(F.split(at(2), " "), 1, 80), lambda w: F.concat(F.lit("| "), w, F.lit(" | "), F.length(w), F.lit(" |"))), "\n")
+    rows = F.array_join(F.transform(F.split(at(2), " "), lambda w: F.concat(F.lit("| "), w, F.lit(" | "), F.length(w), F.lit(" |"))), "\n")
     body = F.concat_ws(
         "\n\n", F.concat(F.lit("# "), "source"), at(1), F.lit("## List"), items, F.lit("## Table"), F.concat(F.lit("| word | size |\n| --- | --- |\n"), rows),
         F.concat(F.lit("```text\n"), at(3), F.lit("\n```")), F.concat(F.lit("![figure](http://host/"), "doc_id", F.lit(".png)")), "text",

@@ -130,3 +130,12 @@ def test_replacement_and_routing(spark, tmp_path):
     routes = spark.createDataFrame([("md", "*", "a"), ("md", "legal", "b"), ("csv", "*", "x"), ("csv", "*", "y")], "kind string, profile string, parser string")
     files = spark.createDataFrame([(1, "md", "legal"), (2, "md", "other"), (3, "csv", "q"), (4, "bin", "q")], "id long, kind string, profile string")
     assert [r["parser"] for r in tables.routed(files, routes).orderBy("id").collect()] == ["b", "a", "conflict", "unroutable"]
+
+
+def test_tables_have_a_row_for_each_word(spark):
+    from lexstrata.plans import chunk_plans
+
+    words = [f"w{i}" for i in range(130)]
+    docs = spark.createDataFrame([(1, "one\n" + " ".join(words) + "\nthree", "s")], "doc_id long, text string, source string")
+    body = chunk_plans._markdown(lambda name: docs).first()["text"]
+    assert [f"| {w} | {len(w)} |" for w in words] == [x for x in body.split("\n") if x.startswith("| w") and x[3].isdigit()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import cut_lineage, salted_join
+from lexstrata.llm.common import cut_lineage
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
 
     Each round hangs the larger neighbours of every node, and then the node
     itself, on the smallest node in sight; rounds grow with the logarithm of
-    the longest path.  Nodes with very many neighbours are salted.
+    the longest path.  Joins are plain, so that Spark itself splits the
+    partition of a node with very many neighbours.
     """
     pairs = cut_lineage(
         links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
@@ -21,10 +22,10 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = salted_join(both, least, ["u"], F.col("v"), "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, low, ["u"], F.col("v"), "inner")
+        small = large.join(low, "u")
         new = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = cut_lineage(new.filter("u <> v").distinct())
         # Done when every node hangs on a node that hangs on none.

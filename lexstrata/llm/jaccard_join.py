@@ -8,10 +8,13 @@ the pairs that survive are verified on the sets themselves.
 
 Points meet in blocks.  Similar sets share an n-gram among the first few of
 each in any common order, so a block holds the sets with one such n-gram.
-N-grams found in very many sets come last in the order.  Within a block
-first a forest of the surviving pairs is verified; pairs inside a component
-need no check then, and all surviving pairs between components are verified
-in a second round, so that no link between components is lost.
+N-grams found in very many sets come last in the order.  A set whose size and
+place of the n-gram leave no partner in the block is left out of it.  Within
+a block first a forest of the surviving pairs is verified; pairs inside a
+component need no check then, and all surviving pairs between components are
+verified in later rounds, so that no link between components is lost.
+
+N-grams travel in arrays by part of their hash, not in rows.
 """
 
 from __future__ import annotations
@@ -24,35 +27,15 @@ from pyspark.sql import functions as F
 
 from lexstrata.llm.common import cut_lineage, salted_join, weighted_join, written
 from lexstrata.llm.components import connected_components
+from lexstrata.llm.grams import gram_sets
 
 #: Coordinates of a point, sets of a block, and points of an R-tree leaf.
 GROUPS, BLOCK, LEAF = 128, 512, 24
-#: So many of the most frequent n-grams at most come last in the order; any choice gives the same links.
-LAST = 1 << 16
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-def gram_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text.
-
-    A-Z are lowered and words are runs without ASCII white space.  A text
-    with fewer words has its whole sequence as its one n-gram; a text without
-    words has none.
-    """
-    import xxhash
-
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    if len(found) < words:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(found))], np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    n = len(h) - words + 1
-    mixed = np.zeros(n, np.uint64)
-    for k in range(words):
-        mixed = (mixed ^ h[k : k + n]) * _MULTIPLIERS[k % len(_MULTIPLIERS)]
-        mixed ^= mixed >> np.uint64(31)
-    return np.unique(mixed)
+#: An n-gram found in more than ``BLOCK`` sets, and in more than one in ``SHARE`` of all leading places, is dealt into
+#: parts.  There are fewer than ``SHARE`` of these, whatever the input, and no other is more than one in ``SHARE`` of the rows.
+SHARE = 1 << 20
+#: Leading n-grams that a task gathers before it deals them out, and that a part holds.
+GATHERED, PART = 400_000, 200_000
 
 
 def set_name(grams: np.ndarray) -> bytes:
@@ -70,20 +53,24 @@ def counts_of(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, "<u2" if len(packed) == 2 * GROUPS else "<u4").astype(np.int64)
 
 
+def leading_size(n: int, share: tuple[int, int]) -> int:
+    """So many first n-grams of a set of ``n`` must be looked at; none if only the same set is similar."""
+    num, den = share
+    return 0 if n * den // num <= n else n - -(-num * n // den) + 1
+
+
 def leading(grams: np.ndarray, share: tuple[int, int], last: np.ndarray) -> np.ndarray:
     """The first n-grams of a set, one of which any other similar set has among its own first."""
-    n, (num, den) = len(grams), share
-    if n * den // num <= n:  # only the same set is similar
-        return grams[:0]
-    size = n - -(-num * n // den) + 1
-    if len(last):
+    size = leading_size(len(grams), share)
+    if size and len(last):
         late = last[np.minimum(np.searchsorted(last, grams), len(last) - 1)] == grams
-        grams = np.concatenate([grams[~late], grams[late]])
+        if late.any():
+            grams = np.concatenate([grams[~late], grams[late]])
     return grams[:size]
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, print, n, sid, vec`` of each row; ``sid`` is null for a text without words."""
+    """``doc_id, print, n, sid, name, vec`` of each row; ``sid`` and ``name``, its first 8 bytes, are null for a text without words."""
     docs = docs.withColumn("print", F.xxhash64("text"))
 
     def found(batches):
@@ -91,126 +78,184 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             n, sid, vec = [], [], []
-            for x in batch.column("text"):
-                grams = gram_set(x.as_py(), words)
+            for grams in gram_sets(batch.column("text"), words):
                 n.append(len(grams))
                 sid.append(set_name(grams) if len(grams) else None)
-                vec.append(point(grams))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("print"), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(vec, pa.binary())],
-                names=["doc_id", "print", "n", "sid", "vec"],
-            )
+                vec.append(point(grams) if len(grams) else None)
+            name = [None if s is None else int.from_bytes(s[:8], "little", signed=True) for s in sid]
+            columns = [batch.column("doc_id"), batch.column("print"), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(name, pa.int64()), pa.array(vec, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "print", "n", "sid", "name", "vec"])
+
+    return docs.mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long, n long, sid binary, name long, vec binary")
+
+
+def _dealt(part: np.ndarray, *columns: np.ndarray):
+    """Batches with one row for each part: ``part`` and an array of each column."""
+    import pyarrow as pa
+
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    offsets = pa.array(np.append(edges, len(part)), pa.int32())
+    arrays = [pa.ListArray.from_arrays(offsets, pa.array(c[order], pa.int64())) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int32()), *arrays], names=["part", *(f"c{i}" for i in range(len(columns)))])
 
-    return docs.mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long, n long, sid binary, vec binary")
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(32))
 
-def _keys(docs: DataFrame, words: int, share: tuple[int, int], last: dict[int, int]) -> DataFrame:
-    """``key, sub, sid``: the leading n-grams of each row.
 
-    ``last`` has the n-grams that come last, with the number of parts that
-    their block is dealt into; ``sub`` is the part, -1 for all others.
+def _counts(docs: DataFrame, words: int, share: tuple[int, int], last: np.ndarray, parts: int, changed: bool) -> DataFrame:
+    """``key, c``: the leading n-grams found in more than ``BLOCK`` sets; equal sets that one task gathers count once.
+
+    With ``changed`` only sets whose leading n-grams ``last`` has changed are counted.
     """
-    late = np.array(sorted(last), np.uint64)
-    parts = np.array([last[k] for k in sorted(last)], np.int64)
 
-    def found(batches):
-        import pyarrow as pa
+    def gathered(batches):
+        keys, seen, held = [], set(), 0
 
-        def batch_of(keys, subs, sids, sizes):
-            names = pa.array(sids, pa.binary()).take(pa.array(np.repeat(np.arange(len(sids)), sizes)))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(subs)), names], names=["key", "sub", "sid"])
+        def send():
+            found, counts = np.unique(np.concatenate(keys), return_counts=True)
+            return _dealt((_mix(found) % np.uint64(parts)).astype(np.int32), found.view(np.int64), counts)
 
         for batch in batches:
-            keys, subs, sids, sizes, held = [], [], [], [], 0
-            for x in batch.column("text"):
-                grams = gram_set(x.as_py(), words)
-                first = leading(grams, share, late)
-                if not len(first):
+            for grams in gram_sets(batch.column("text"), words):
+                size = leading_size(len(grams), share)
+                if not size:
+                    continue
+                first = leading(grams, share, last)
+                if changed and first[-1] == grams[size - 1]:
+                    continue
+                name = hash(grams.tobytes())
+                if name in seen:
                     continue
-                name = set_name(grams)
-                sub = np.full(len(first), -1, np.int32)
-                if len(late):
-                    at = np.minimum(np.searchsorted(late, first), len(late) - 1)
-                    hot = late[at] == first
-                    sub[hot] = int.from_bytes(name[:6], "little") % parts[at[hot]]
+                seen.add(name)
                 keys.append(first)
-                subs.append(sub)
-                sids.append(name)
-                sizes.append(len(first))
-                held += len(first)
-                if held >= 100_000:
-                    yield batch_of(keys, subs, sids, sizes)
-                    keys, subs, sids, sizes, held = [], [], [], [], 0
-            if keys:
-                yield batch_of(keys, subs, sids, sizes)
+                held += size
+                if held >= GATHERED:
+                    yield send()
+                    keys, seen, held = [], set(), 0
+        if keys:
+            yield send()
+
+    def summed(batches):
+        import pyarrow as pa
+
+        found = [(b.column("c0").flatten().to_numpy(), b.column("c1").flatten().to_numpy()) for b in batches if b.num_rows]
+        if not found:
+            return
+        keys, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        total = np.add.reduceat(counts, edges)
+        often = total > BLOCK
+        yield pa.RecordBatch.from_arrays([pa.array(keys[edges][often]), pa.array(total[often], pa.int64())], names=["key", "c"])
 
-    return docs.select("text").mapInArrow(found, "key long, sub int, sid binary")
+    dealt = docs.select("text").mapInArrow(gathered, "part int, c0 array<long>, c1 array<long>")
+    return dealt.repartition(parts, "part").mapInArrow(summed, "key long, c long")
 
 
-def _blocks(keys: DataFrame) -> DataFrame:
-    """``key, hot, gid, members``: the sets with one leading n-gram, in blocks of at most ``BLOCK``.
+def _blocks(docs: DataFrame, words: int, share: tuple[int, int], last: np.ndarray, dealt: dict[int, int], parts: int) -> DataFrame:
+    """``key, hot, gid, members``: names of the sets with one leading n-gram, in blocks of at most ``BLOCK``.
 
-    Blocks with the same members are one in each task.  ``hot`` marks the
-    blocks of an n-gram that has or may have several.
+    Blocks with the same members have the same ``gid``.  ``hot`` marks the
+    blocks of an n-gram that has or may have several; other blocks hold only
+    sets that size and place leave a partner.
     """
+    num, den = share
+    split = np.array(sorted(dealt), np.uint64)
+    split_to = np.array([dealt[k] for k in sorted(dealt)], np.int64)
+
+    def gathered(batches):
+        keys, names, places, seen, held = [], [], [], set(), 0
+
+        def send():
+            key, size = np.concatenate(keys), np.array([len(k) for k in keys])
+            name, place = np.repeat(np.array(names, np.int64), size), np.concatenate(places)
+            sub = np.full(len(key), -1, np.int64)
+            if len(split):
+                at = np.minimum(np.searchsorted(split, key), len(split) - 1)
+                hot = split[at] == key
+                sub[hot] = (name[hot].view(np.uint64) >> np.uint64(16)).astype(np.int64) % split_to[at[hot]]
+            part = (_mix(key + sub.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            return _dealt(part, key.view(np.int64), sub, name, place)
 
-    def found(batches):
-        import pyarrow as pa
+        for batch in batches:
+            for grams in gram_sets(batch.column("text"), words):
+                first = leading(grams, share, last)
+                if not len(first):
+                    continue
+                name = int.from_bytes(set_name(grams)[:8], "little", signed=True)
+                if name in seen:
+                    continue
+                seen.add(name)
+                keys.append(first)
+                names.append(name)
+                places.append((len(grams) << 32) + np.arange(len(first), dtype=np.int64))
+                held += len(first)
+                if held >= GATHERED:
+                    yield send()
+                    keys, names, places, seen, held = [], [], [], set(), 0
+        if keys:
+            yield send()
 
-        seen: set[bytes] = set()
+    def met(batches):
+        import pyarrow as pa
 
-        def groups(key, sub, sids):
-            members = sorted(set(sids))
-            hot = sub >= 0 or len(members) > BLOCK
-            if len(members) < 2 and not hot:
-                return
-            for at in range(0, len(members), BLOCK):
-                some = members[at : at + BLOCK]
-                gid = hashlib.blake2b(b"".join(some) + (b"%d" % key if hot else b""), digest_size=12).digest()
+        got = [[b.column(f"c{i}").flatten().to_numpy() for i in range(4)] for b in batches if b.num_rows]
+        if not got:
+            return
+        key, sub, name, place = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        order = np.lexsort((name, sub, key))
+        key, sub, name, place = key[order], sub[order], name[order], place[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])
+        once = new | np.concatenate([[True], name[1:] != name[:-1]])
+        key, sub, name, place = key[once], sub[once], name[once], place[once]
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])]))
+        sizes = np.diff(np.append(edges, len(key)))
+        n, left = place >> 32, (place >> 32) - (place & 0xFFFFFFFF)
+        hot = (sub[edges] >= 0) | (sizes > BLOCK)
+        room = np.repeat(np.where(hot, 0, sizes), sizes)  # of the block, 0 for a hot one
+        reach = np.repeat(edges, sizes) + room
+        kept = room == 0
+        live = np.flatnonzero(room > 1)
+        for d in range(1, BLOCK):
+            live = live[live + d < reach[live]]
+            if not len(live):
+                break
+            other = live + d
+            fit = (num + den) * np.minimum(left[live], left[other]) >= num * (n[live] + n[other])
+            kept[live[fit]] = True
+            kept[other[fit]] = True
+        rows, seen = [], set()
+        for at, size, many in zip(edges.tolist(), sizes.tolist(), hot.tolist(), strict=True):
+            if size < 2 and not many:
+                continue
+            some = name[at : at + size][kept[at : at + size]]
+            for a in range(0, len(some), BLOCK):
+                block = some[a : a + BLOCK]
+                if len(block) < 2 and not many:
+                    continue
+                gid = hashlib.blake2b(block.tobytes() + (key[at : at + 1].tobytes() if many else b""), digest_size=12).digest()
                 if gid not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
                     seen.add(gid)
-                    yield key, hot, gid, some
-
-        def send(rows):
-            k, h, g, m = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(k, pa.int64()), pa.array(h, pa.bool_()), pa.array(g, pa.binary()), pa.array(m, pa.list_(pa.binary()))], names=["key", "hot", "gid", "members"]
-            )
-
-        rows, held = [], 0
-        open_key, open_sub, open_sids = None, -1, []
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            key, sub, sid = batch.column("key").to_numpy(), batch.column("sub").to_numpy(), batch.column("sid")
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.append(cuts, n)
-            # Runs of one row that touch neither end of the batch are alone.
-            todo = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == n) | (sub[starts] >= 0))
-            for r in todo.tolist():
-                a, b = int(starts[r]), int(ends[r])
-                k, s = int(key[a]), int(sub[a])
-                if (k, s) != (open_key, open_sub):
-                    if open_key is not None:
-                        new = list(groups(open_key, open_sub, open_sids))
-                        rows += new
-                        held += sum(len(x[3]) for x in new)
-                    open_key, open_sub, open_sids = k, s, []
-                open_sids.extend(sid.slice(a, b - a).to_pylist())
-                if held > 50_000:
-                    yield send(rows)
-                    rows, held = [], 0
-        if open_key is not None:
-            rows += groups(open_key, open_sub, open_sids)
+                    rows.append((int(key[at]), many, gid, block))
+            if len(rows) > 2000:
+                yield send_blocks(pa, rows)
+                rows = []
         if rows:
-            yield send(rows)
+            yield send_blocks(pa, rows)
 
-    return keys.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(
-        found, "key long, hot boolean, gid binary, members array<binary>"
-    )
+    def send_blocks(pa, rows):
+        k, h, g, m = zip(*rows, strict=True)
+        members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in m])), pa.int32()), pa.array(np.concatenate(m)))
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(h, pa.bool_()), pa.array(g, pa.binary()), members], names=["key", "hot", "gid", "members"])
+
+    rows = docs.select("text").mapInArrow(gathered, "part int, c0 array<long>, c1 array<long>, c2 array<long>, c3 array<long>")
+    return rows.repartition(parts, "part").mapInArrow(met, "key long, hot boolean, gid binary, members array<long>")
 
 
 class RTree:
@@ -294,7 +339,7 @@ def _candidate_pairs(members: DataFrame, share: tuple[int, int], mode: str) -> D
         import pyarrow as pa
 
         def pairs(rows):
-            sids, sizes, vecs, labels = zip(*sorted(rows), strict=True)
+            sids, sizes, vecs, labels = zip(*sorted({r[0]: r for r in rows}.values()), strict=True)  # a repeated row has its set twice
             points = np.array([counts_of(v) for v in vecs])
             sizes = np.array(sizes, np.int64)
 
@@ -356,9 +401,9 @@ def _candidate_pairs(members: DataFrame, share: tuple[int, int], mode: str) -> D
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
     """The pairs whose sets are similar; ``a`` may be in very many pairs and is then dealt over tasks."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_parts"), F.count("*").alias("_n"))
-    asks = weighted_join(pairs, counts, ["a"], F.col("b"), "inner", "_n").withColumn("part", F.pmod(F.xxhash64("b"), F.col("_parts")))
-    own = asks.select("a", "part").distinct().join(texts.withColumnRenamed("sid", "a"), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), "text")
-    other = asks.select("a", "part", "b").join(texts.withColumnRenamed("sid", "b"), "b").select("a", "part", "b", "text")
+    asks = cut_lineage(weighted_join(pairs, counts, ["a"], F.col("b"), "inner", "_n").withColumn("part", F.pmod(F.xxhash64("b"), F.col("_parts"))))
+    own = asks.select("a", "part", F.col("a").alias("sid"), F.lit(None).cast("binary").alias("b")).distinct()
+    rows = own.unionByName(asks.select("a", "part", F.col("b").alias("sid"), "b")).join(texts, "sid").select("a", "part", "b", "text")
 
     def found(batches):
         import pyarrow as pa
@@ -367,22 +412,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int,
         key, base = None, np.empty(0, np.uint64)
         for batch in batches:
             out = []
-            for r, (a, part, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")), strict=True)):
-                grams = gram_set(batch.column("text")[r].as_py(), words)
+            for a, part, b, grams in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")), gram_sets(batch.column("text"), words), strict=True):
                 if set_name(grams) != (a if b is None else b):
                     continue  # another text of a repeated id
                 if b is None:
                     key, base = (a, part), grams
                 elif key == (a, part):
-                    both = len(np.intersect1d(base, grams, assume_unique=True))
+                    both = int((base[np.minimum(np.searchsorted(base, grams), len(base) - 1)] == grams).sum())
                     if den * both >= num * (len(base) + len(grams) - both):
                         out.append((a, b))
             if out:
                 x, y = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
 
-    rows = own.unionByName(other).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(found, "a binary, b binary")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(found, "a binary, b binary")
 
 
 def near_duplicates(
@@ -401,6 +444,11 @@ def near_duplicates(
     return _components(docs, id_col, text_col, words, share).drop("print")
 
 
+def _often(counts: DataFrame, total: int) -> dict[int, int]:
+    """The counts of fewer than ``SHARE`` n-grams, see there."""
+    return {r["key"] % (1 << 64): r["c"] for r in counts.filter(F.col("c") > max(BLOCK, total // SHARE)).collect()}
+
+
 def _components(docs: DataFrame, id_col: str, text_col: str, words: int, share: tuple[int, int]) -> DataFrame:
     """``near_duplicates`` with ``print``, the hash of the row's text."""
     num, den = share
@@ -408,56 +456,71 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, share:
         raise ValueError("share must lie in (0, 1]")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prints = written(_prints(docs, words), "jaccard-prints")
-    classes = prints.filter("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.count("*").alias("rows"))
-    classes = written(classes, "jaccard-classes")
-
     known = docs.filter("doc_id is not null")
-    counts = _keys(known, words, share, {}).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK)
-    last = {r["key"] % (1 << 64): -(-2 * r["c"] // BLOCK) for r in counts.orderBy(F.desc("c"), "key").limit(LAST).collect()}
-    blocks = written(_blocks(_keys(known, words, share, last)), "jaccard-blocks")
+    classes = prints.filter("n > 0 and doc_id is not null").groupBy("sid", "name").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    classes = written(classes, "jaccard-classes")
 
-    inside = written(blocks.select("gid", F.explode("members").alias("sid")).distinct(), "jaccard-members")
-    sized = classes.select("sid", "n", "vec")
-    pairs = _candidate_pairs(inside.join(sized, "sid").withColumn("label", F.lit(0).cast("long")), share, "forest")
+    leads = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    total = prints.filter("n > 0 and doc_id is not null").agg(F.sum(leads).alias("n")).first()["n"] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(total) // PART)
+    hot = _often(_counts(known, words, share, np.empty(0, np.uint64), parts, False), total)
+    last = np.array(sorted(hot), np.uint64)
+    # Other n-grams lead where those have gone to the end.
+    hot = hot | (_often(_counts(known, words, share, last, parts, True), total) if len(last) else {})
+    blocks = written(_blocks(known, words, share, last, {k: -(-2 * c // BLOCK) for k, c in hot.items()}, parts), "jaccard-blocks")
+
+    members = blocks.groupBy("gid").agg(F.first("members").alias("m")).select("gid", F.explode("m").alias("name"))
+    # Sets in blocks, with their points; other sets are alone.
+    met = members.select("name").distinct()
+    named = classes.join(met, "name", "left_semi").select("sid", "rep")
+    sized = prints.select("doc_id", "sid", "name", "n", "vec").join(named.withColumnRenamed("rep", "doc_id"), ["sid", "doc_id"]).select("sid", "name", "n", "vec")
+    sized = written(sized, "jaccard-points")
+    inside = written(members.join(sized.select("name", "sid"), "name").select("gid", "sid").distinct(), "jaccard-members")
+    points = sized.select("sid", "n", "vec")
+    pairs = _candidate_pairs(inside.join(points, "sid").withColumn("label", F.lit(None).cast("binary")), share, "forest")
     # The blocks of one n-gram meet in the first set of all.
-    heads = blocks.filter("hot").select("key", F.element_at("members", 1).alias("b"))
+    ids = sized.select("name", "sid").distinct()
+    heads = blocks.filter("hot").select("key", F.element_at("members", 1).alias("name")).join(ids, "name").select("key", F.col("sid").alias("b"))
     hubs = heads.groupBy("key").agg(F.min("b").alias("a"))
-    joined = salted_join(heads, hubs, ["key"], F.col("b"), "inner").filter("a < b").select("a", "b", F.lit(0.0).alias("near"))
+    joined = heads.join(hubs, "key").filter("a < b").select("a", "b", F.lit(0.0).alias("near"))
     pairs = cut_lineage(pairs.unionByName(joined).distinct())
     # A set outside of this forest has no surviving pair in its blocks, but may have one across the blocks of an n-gram.
-    named = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(blocks.filter("hot").select(F.explode("members").alias("sid")))
-    wanted = named.distinct().join(classes, "sid").select("sid", "rep")
-    texts = written(docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("sid", "text"), "jaccard-texts")
-    names = classes.select("sid", "rep")
-
-    def as_ids(found: DataFrame) -> DataFrame:
-        a, b = names.select(F.col("sid").alias("a"), F.col("rep").alias("u")), names.select(F.col("sid").alias("b"), F.col("rep").alias("v"))
-        return salted_join(found, a, ["a"], F.col("b"), "inner").join(b, "b").select("u", "v")
+    across = blocks.filter("hot").select("gid").distinct().join(inside, "gid").select("sid")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(across).distinct().join(classes, "sid").select("sid", F.col("rep").alias("doc_id"))
+    texts = written(docs.join(wanted, "doc_id").select("sid", "text"), "jaccard-texts")
 
     # Each set is first checked with its nearest and its first partner.  Later rounds see to all that still lies between components.
     picked = pairs.groupBy("b").agg(F.max_by("a", "near").alias("x"), F.min("a").alias("y"))
     tested = cut_lineage(picked.select(F.explode(F.array("x", "y")).alias("a"), "b").distinct())
-    links = cut_lineage(_verified(tested, texts, words, share))
+    same = classes.groupBy("rep").agg(F.min("sid").alias("a"), F.count("*").alias("_k")).filter("_k > 1").join(classes, "rep").select("a", F.col("sid").alias("b"))
+    links = cut_lineage(_verified(tested, texts, words, share).unionByName(same))
+    parts_of = connected_components(links, "a", "b")
     for mode in ("best", "all"):
-        parts = connected_components(as_ids(links), "u", "v")
-        label = names.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("label"))
-        labelled = written(inside.join(label, "sid"), "jaccard-labels")
+        labelled = inside.join(parts_of.withColumnRenamed("node", "sid"), "sid", "left").select("gid", "sid", F.coalesce("component", "sid").alias("label"))
+        labelled = written(labelled, "jaccard-labels")
         mixed = labelled.groupBy("gid").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x <> _y").select("gid")
-        rest = _candidate_pairs(labelled.join(mixed, "gid", "left_semi").join(sized, "sid"), share, mode)
-        rest = rest.unionByName(_across_blocks(blocks, labelled, hubs, sized, share, mode)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        rest = _candidate_pairs(labelled.join(mixed, "gid", "left_semi").join(points, "sid"), share, mode)
+        rest = rest.unionByName(_across_blocks(blocks, labelled, hubs, points, share, mode)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         rest = cut_lineage(rest)
-        links = cut_lineage(links.unionByName(_verified(rest, texts, words, share)))
+        if rest.isEmpty():
+            continue
+        more = cut_lineage(_verified(rest, texts, words, share))
         tested = tested.unionByName(rest)
-    final = connected_components(as_ids(links), "u", "v")
-
-    named = classes.select("sid", "rep", "rows").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "rows", F.coalesce("component", "rep").alias("_c"))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts_of = connected_components(links, "a", "b")
+
+    linked = classes.select("sid", "rep", "rows").join(parts_of.withColumnRenamed("node", "sid"), "sid").select("sid", "rep", "rows", F.col("component").alias("_top"))
+    least = linked.groupBy("_top").agg(F.min("rep").alias("_c"), F.count("*").alias("_k"))
+    found = weighted_join(linked, least, ["_top"], F.col("sid"), "inner", "_k").select("sid", "_c")
+    named = classes.select("sid", "rep", "rows").join(found, "sid", "left").select("sid", "rows", F.coalesce("_c", "rep").alias("_c"))
     rows = prints.select("doc_id", "print", "n", "sid")
     with_set = weighted_join(rows.filter("sid is not null"), named, ["sid"], F.col("doc_id"), "left", "rows")
     alone = rows.filter("sid is null").withColumn("_c", F.col("doc_id"))
     return with_set.unionByName(alone).select("doc_id", "print", F.col("n").alias("n_shingles"), F.col("_c").alias("component_id"))
 
 
-def _across_blocks(blocks: DataFrame, labelled: DataFrame, hubs: DataFrame, sized: DataFrame, share: tuple[int, int], mode: str) -> DataFrame:
+def _across_blocks(blocks: DataFrame, labelled: DataFrame, hubs: DataFrame, points: DataFrame, share: tuple[int, int], mode: str) -> DataFrame:
     """Surviving pairs between the blocks of one n-gram.
 
     Most sets of such an n-gram are in the component of its first set by now.
@@ -473,9 +536,9 @@ def _across_blocks(blocks: DataFrame, labelled: DataFrame, hubs: DataFrame, size
     every = salted_join(marked, sizes, ["key"], F.col("sid"), "inner").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     name = lambda: F.concat("gid", F.col("_part").cast("string").cast("binary"))
     gids = marked.select("key", "gid").distinct()
-    queries = open_rows.join(gids, "key").select(name().alias("gid"), "sid", "label")
+    queries = salted_join(open_rows, gids, ["key"], F.col("sid"), "inner").select(name().alias("gid"), "sid", "label")
     meet = every.select(name().alias("gid"), "sid", "label").unionByName(queries).distinct()
-    return _candidate_pairs(meet.join(sized, "sid"), share, mode)
+    return _candidate_pairs(meet.join(points, "sid"), share, mode)
 
 
 def keep_one_of_each_group(

@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -15,12 +18,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where the session has no such setting (tests, a single machine) a
-    local folder is chosen.
+    Only on a single machine without such a setting a local folder is chosen;
+    a cluster without it is an error.
     """
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
         path = spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
     return path or os.path.join(tempfile.gettempdir(), "lexstrata-checkpoints")
 
 
@@ -44,6 +49,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_few_tasks(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df`` in about one task for each 50,000 of ``rows``, where that is fewer: every task of a shuffle leaves files, however little it has."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def packed(docs: DataFrame, column: str = "text") -> DataFrame:
+    """``docs`` with the UTF-8 bytes of a text column compressed, which takes less room in a shuffle; null counts as empty."""
+    schema = StructType([StructField(f.name, BinaryType()) if f.name == column else f for f in docs.schema.fields])
+
+    def squeezed(batches):
+        import pyarrow as pa
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            small = pa.array([squeeze((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([small if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return docs.mapInArrow(squeezed, schema)
+
+
+def unpacked(column) -> Iterator[bytes]:
+    """The bytes of each compressed text of an Arrow column."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    return (expand(x.as_py()) for x in column)
+
+
+def dealt_arrays(part: np.ndarray, *columns: np.ndarray):
+    """An Arrow batch with one row for each part: ``part`` and an array ``c0, c1, ...`` of each column."""
+    import pyarrow as pa
+
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    offsets = pa.array(np.append(edges, len(part)), pa.int32())
+    arrays = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int32()), *arrays], names=["part", *(f"c{i}" for i in range(len(columns)))])
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: Column, how: str, salts: int = 16) -> DataFrame:
     """Join a side with hot keys to a side with one row for each key.
 
@@ -59,19 +106,21 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: Colum
 
 
 def weighted_join(
-    left: DataFrame, right: DataFrame, on: list[str], salt_by: Column, how: str, weight: str, least: int = 2000, most_hot: int = 1000, salts: int = 32
+    left: DataFrame, right: DataFrame, on: list[str], salt_by: Column, how: str, weight: str, least: int = 2000, most_hot: int = 1000, salts: int = 32, weights: DataFrame | None = None
 ) -> DataFrame:
     """``salted_join`` where ``right`` knows how many rows of ``left`` each of its keys has.
 
     Only keys with more than ``least`` rows, and more than one in ``most_hot``
     of all, are salted.  There are fewer than ``most_hot`` of these, whatever
     the input, so they are broadcast to ``left``; no other row of ``right`` is
-    repeated.  ``weight`` is not part of the result.
+    repeated.  ``weight`` is not part of the result.  ``weights``, a table
+    with the keys and their weights, spares ``right`` from being written.
     """
-    right = cut_lineage(right)
-    total = right.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    if weights is None:
+        weights = right = cut_lineage(right)
+    total = weights.agg(F.sum(weight).alias("n")).first()["n"] or 0
     hot = F.col(weight) > max(least, total // most_hot)
-    marked = left.join(F.broadcast(right.filter(hot).select(*on).withColumn("_hot", F.lit(1))), on, "left")
+    marked = left.join(F.broadcast(weights.filter(hot).select(*on).withColumn("_hot", F.lit(1))), on, "left")
     a = marked.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
     each = F.sequence(F.lit(0), F.lit(salts - 1))
     b = right.withColumn("_salt", F.explode(F.when(hot, each).otherwise(F.array(F.lit(0))))).drop(weight)

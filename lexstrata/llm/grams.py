@@ -14,14 +14,16 @@ import numpy as np
 BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
-_TABLE[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
+#: A number for each byte; in ``LOWERED`` A-Z count as a-z.
+PLAIN = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
+LOWERED = PLAIN.copy()
+LOWERED[ord("A") : ord("Z") + 1] = PLAIN[ord("a") : ord("z") + 1]
 _GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0][0]) < n:
         size = max(n, BLOCK_BYTES + (BLOCK_BYTES >> 2))
         up, down = np.full(size, _BASE, np.uint64), np.full(size, _BACK, np.uint64)
@@ -30,21 +32,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0]
 
 
-def word_hashes(data: np.ndarray, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words ``data[first:behind]``; A-Z count as a-z."""
+def finished(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, behind: np.ndarray, table: np.ndarray = LOWERED) -> np.ndarray:
+    """64-bit hashes of the words ``data[first:behind]``."""
     out = np.empty(len(first), np.uint64)
     at = 0
     while at < len(first):
         to = max(at + 1, int(np.searchsorted(behind, first[at] + BLOCK_BYTES, side="right")))
         begin, end = int(first[at]), int(behind[to - 1])
-        up, down = _powers(end - begin + 1)
+        up, down = powers(end - begin + 1)
         sums = np.zeros(end - begin + 1, np.uint64)
-        np.cumsum(_TABLE[data[begin:end]] * up[: end - begin], out=sums[1:])
+        np.cumsum(table[data[begin:end]] * up[: end - begin], out=sums[1:])
         a, b = first[at:to] - begin, behind[at:to] - begin
-        h = (sums[b] - sums[a]) * down[a]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        out[at:to] = h ^ (h >> np.uint64(32))
+        out[at:to] = finished((sums[b] - sums[a]) * down[a])
         at = to
     return out
 
@@ -78,7 +83,7 @@ def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, np.flatnonzero(ends) + 1, np.searchsorted(first, offsets)
 
 
-def _texts(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def joined_texts(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bytes and offsets of a string column, some texts at a time; null counts as empty."""
     import pyarrow as pa
 
@@ -105,7 +110,7 @@ def gram_sets(column, words: int) -> Iterator[np.ndarray]:
     with fewer words has its whole sequence as its one n-gram; a text without
     words has none.
     """
-    for data, offsets in _texts(column):
+    for data, offsets in joined_texts(column):
         first, behind, bounds = word_edges(data, offsets)
         h = word_hashes(data, first, behind)
         grams = _mixed(h, words)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import cut_lineage, salted_join, weighted_join, written
+from lexstrata.llm.common import cut_lineage, dealt_arrays, in_few_tasks, packed, salted_join, unpacked, weighted_join, written
 from lexstrata.llm.components import connected_components
 from lexstrata.llm.grams import gram_sets
 
@@ -36,6 +36,8 @@ GROUPS, BLOCK, LEAF = 128, 512, 24
 SHARE = 1 << 20
 #: Leading n-grams that a task gathers before it deals them out, and that a part holds.
 GATHERED, PART = 400_000, 200_000
+#: Texts that are verified together.
+ROWS = 500
 
 
 def set_name(grams: np.ndarray) -> bytes:
@@ -89,18 +91,6 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long, n long, sid binary, name long, vec binary")
 
 
-def _dealt(part: np.ndarray, *columns: np.ndarray):
-    """Batches with one row for each part: ``part`` and an array of each column."""
-    import pyarrow as pa
-
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    offsets = pa.array(np.append(edges, len(part)), pa.int32())
-    arrays = [pa.ListArray.from_arrays(offsets, pa.array(c[order], pa.int64())) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int32()), *arrays], names=["part", *(f"c{i}" for i in range(len(columns)))])
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(32))
@@ -117,7 +107,7 @@ def _counts(docs: DataFrame, words: int, share: tuple[int, int], last: np.ndarra
 
         def send():
             found, counts = np.unique(np.concatenate(keys), return_counts=True)
-            return _dealt((_mix(found) % np.uint64(parts)).astype(np.int32), found.view(np.int64), counts)
+            return dealt_arrays((_mix(found) % np.uint64(parts)).astype(np.int32), found.view(np.int64), counts)
 
         for batch in batches:
             for grams in gram_sets(batch.column("text"), words):
@@ -180,7 +170,7 @@ def _blocks(docs: DataFrame, words: int, share: tuple[int, int], last: np.ndarra
                 hot = split[at] == key
                 sub[hot] = (name[hot].view(np.uint64) >> np.uint64(16)).astype(np.int64) % split_to[at[hot]]
             part = (_mix(key + sub.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-            return _dealt(part, key.view(np.int64), sub, name, place)
+            return dealt_arrays(part, key.view(np.int64), sub, name, place)
 
         for batch in batches:
             for grams in gram_sets(batch.column("text"), words):
@@ -399,7 +389,7 @@ def _candidate_pairs(members: DataFrame, share: tuple[int, int], mode: str) -> D
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs whose sets are similar; ``a`` may be in very many pairs and is then dealt over tasks."""
+    """The pairs whose sets are similar; ``texts`` are packed and ``a`` may be in very many pairs and is then dealt over tasks."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_parts"), F.count("*").alias("_n"))
     asks = cut_lineage(weighted_join(pairs, counts, ["a"], F.col("b"), "inner", "_n").withColumn("part", F.pmod(F.xxhash64("b"), F.col("_parts"))))
     own = asks.select("a", "part", F.col("a").alias("sid"), F.lit(None).cast("binary").alias("b")).distinct()
@@ -410,9 +400,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int,
 
         num, den = share
         key, base = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = []
-            for a, part, b, grams in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")), gram_sets(batch.column("text"), words), strict=True):
+            texts = pa.array([x.decode("utf-8", "surrogatepass") for x in unpacked(batch.column("text"))], pa.large_string())
+            for a, part, b, grams in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")), gram_sets(texts, words), strict=True):
                 if set_name(grams) != (a if b is None else b):
                     continue  # another text of a repeated id
                 if b is None:
@@ -476,32 +467,35 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, share:
     sized = prints.select("doc_id", "sid", "name", "n", "vec").join(named.withColumnRenamed("rep", "doc_id"), ["sid", "doc_id"]).select("sid", "name", "n", "vec")
     sized = written(sized, "jaccard-points")
     inside = written(members.join(sized.select("name", "sid"), "name").select("gid", "sid").distinct(), "jaccard-members")
+    rows_inside = inside.count()
+    few = lambda df: in_few_tasks(df, rows_inside)
+    inside, blocks = few(inside), few(blocks)
     points = sized.select("sid", "n", "vec")
     pairs = _candidate_pairs(inside.join(points, "sid").withColumn("label", F.lit(None).cast("binary")), share, "forest")
     # The blocks of one n-gram meet in the first set of all.
-    ids = sized.select("name", "sid").distinct()
-    heads = blocks.filter("hot").select("key", F.element_at("members", 1).alias("name")).join(ids, "name").select("key", F.col("sid").alias("b"))
-    hubs = heads.groupBy("key").agg(F.min("b").alias("a"))
-    joined = heads.join(hubs, "key").filter("a < b").select("a", "b", F.lit(0.0).alias("near"))
-    pairs = cut_lineage(pairs.unionByName(joined).distinct())
+    ids = few(sized.select("name", "sid").distinct())
+    heads = few(blocks.filter("hot").select("key", F.element_at("members", 1).alias("name")).join(ids, "name")).select("key", F.col("sid").alias("b"))
+    hubs = few(heads.groupBy("key").agg(F.min("b").alias("a")))
+    joined = few(heads.join(hubs, "key")).filter("a < b").select("a", "b", F.lit(0.0).alias("near"))
+    pairs = cut_lineage(few(pairs.unionByName(joined).distinct()))
     # A set outside of this forest has no surviving pair in its blocks, but may have one across the blocks of an n-gram.
-    across = blocks.filter("hot").select("gid").distinct().join(inside, "gid").select("sid")
+    across = few(few(blocks.filter("hot").select("gid").distinct()).join(inside, "gid")).select("sid")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(across).distinct().join(classes, "sid").select("sid", F.col("rep").alias("doc_id"))
-    texts = written(docs.join(wanted, "doc_id").select("sid", "text"), "jaccard-texts")
+    texts = written(packed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).join(wanted, "doc_id").select("sid", "text"), "jaccard-texts")
 
     # Each set is first checked with its nearest and its first partner.  Later rounds see to all that still lies between components.
-    picked = pairs.groupBy("b").agg(F.max_by("a", "near").alias("x"), F.min("a").alias("y"))
-    tested = cut_lineage(picked.select(F.explode(F.array("x", "y")).alias("a"), "b").distinct())
+    picked = few(pairs.groupBy("b").agg(F.max_by("a", "near").alias("x"), F.min("a").alias("y")))
+    tested = cut_lineage(picked.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"))
     same = classes.groupBy("rep").agg(F.min("sid").alias("a"), F.count("*").alias("_k")).filter("_k > 1").join(classes, "rep").select("a", F.col("sid").alias("b"))
     links = cut_lineage(_verified(tested, texts, words, share).unionByName(same))
     parts_of = connected_components(links, "a", "b")
     for mode in ("best", "all"):
-        labelled = inside.join(parts_of.withColumnRenamed("node", "sid"), "sid", "left").select("gid", "sid", F.coalesce("component", "sid").alias("label"))
+        labelled = few(inside.join(parts_of.withColumnRenamed("node", "sid"), "sid", "left")).select("gid", "sid", F.coalesce("component", "sid").alias("label"))
         labelled = written(labelled, "jaccard-labels")
-        mixed = labelled.groupBy("gid").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x <> _y").select("gid")
-        rest = _candidate_pairs(labelled.join(mixed, "gid", "left_semi").join(points, "sid"), share, mode)
-        rest = rest.unionByName(_across_blocks(blocks, labelled, hubs, points, share, mode)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        rest = cut_lineage(rest)
+        mixed = few(labelled.groupBy("gid").agg(F.min("label").alias("_x"), F.max("label").alias("_y"))).filter("_x <> _y").select("gid")
+        rest = _candidate_pairs(few(few(labelled.join(mixed, "gid", "left_semi")).join(points, "sid")), share, mode)
+        rest = few(rest).unionByName(few(_across_blocks(blocks, labelled, hubs, points, share, mode, few))).select("a", "b").distinct()
+        rest = cut_lineage(few(few(rest).join(tested, ["a", "b"], "left_anti")))
         if rest.isEmpty():
             continue
         more = cut_lineage(_verified(rest, texts, words, share))
@@ -520,22 +514,22 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, share:
     return with_set.unionByName(alone).select("doc_id", "print", F.col("n").alias("n_shingles"), F.col("_c").alias("component_id"))
 
 
-def _across_blocks(blocks: DataFrame, labelled: DataFrame, hubs: DataFrame, points: DataFrame, share: tuple[int, int], mode: str) -> DataFrame:
+def _across_blocks(blocks: DataFrame, labelled: DataFrame, hubs: DataFrame, points: DataFrame, share: tuple[int, int], mode: str, few) -> DataFrame:
     """Surviving pairs between the blocks of one n-gram.
 
     Most sets of such an n-gram are in the component of its first set by now.
     The others, in blocks of their own, meet every block.
     """
-    hot = blocks.filter("hot").select("key", "gid").distinct()
-    rows = hot.join(labelled, "gid")
-    first = hubs.join(rows, (hubs["key"] == rows["key"]) & (hubs["a"] == rows["sid"])).select(hubs["key"], F.col("label").alias("_hub")).distinct()
-    marked = cut_lineage(salted_join(rows, first, ["key"], F.col("sid"), "inner"))
-    open_rows = marked.filter("label <> _hub").select("key", "sid", "label").distinct()
-    sizes = open_rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts"))
-    open_rows = salted_join(open_rows, sizes, ["key"], F.col("sid"), "inner").withColumn("_part", F.pmod(F.xxhash64("sid"), F.col("_parts")).cast("int"))
-    every = salted_join(marked, sizes, ["key"], F.col("sid"), "inner").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    hot = few(blocks.filter("hot").select("key", "gid").distinct())
+    rows = few(hot.join(labelled, "gid"))
+    first = few(hubs.join(rows, (hubs["key"] == rows["key"]) & (hubs["a"] == rows["sid"]))).select(hubs["key"], F.col("label").alias("_hub"))
+    marked = cut_lineage(few(salted_join(rows, first.distinct(), ["key"], F.col("sid"), "inner")))
+    open_rows = few(marked.filter("label <> _hub").select("key", "sid", "label").distinct())
+    sizes = few(open_rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts")))
+    open_rows = few(salted_join(open_rows, sizes, ["key"], F.col("sid"), "inner")).withColumn("_part", F.pmod(F.xxhash64("sid"), F.col("_parts")).cast("int"))
+    every = few(salted_join(marked, sizes, ["key"], F.col("sid"), "inner")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     name = lambda: F.concat("gid", F.col("_part").cast("string").cast("binary"))
-    gids = marked.select("key", "gid").distinct()
+    gids = few(marked.select("key", "gid").distinct())
     queries = salted_join(open_rows, gids, ["key"], F.col("sid"), "inner").select(name().alias("gid"), "sid", "label")
     meet = every.select(name().alias("gid"), "sid", "label").unionByName(queries).distinct()
     return _candidate_pairs(meet.join(points, "sid"), share, mode)

@@ -3,8 +3,9 @@
 A gear hash rolls over the bytes of a text and cuts where its low bits are
 zero, so the cuts follow the content and an insertion moves none behind the
 next cut.  Chunks are deduplicated by digest: the first place of a digest, by
-document and position, keeps its chunk, and runs of later copies are taken
-out where they are long enough.
+document and position, keeps its chunk.  Runs of later copies take all bytes
+around them that equal those around their first place, and go where they are
+long enough.
 """
 
 from __future__ import annotations
@@ -15,16 +16,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import cut_lineage, weighted_join
+from lexstrata.llm.common import cut_lineage, dealt_arrays, packed, unpacked, weighted_join, written
 
 #: Bytes of a chunk: least, most, and the cut mask (one place in 32 behind the least).
 LEAST, MOST, MASK = 32, 256, np.uint32(31)
-#: Shorter runs of repeated chunks stay: phrases repeat by chance.
-RUN_BYTES = 160
+#: Shorter passages stay: phrases repeat by chance.
+MIN_WORDS, MIN_BYTES = 51, 400
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 _BLOCK = 1 << 20
-#: Bytes on each side of a run that are compared first.
-REACH = 256
+#: The halves of a digest.
+NAME = np.dtype([("low", "<i8"), ("high", "<i4")])
+#: Bytes on each side of a run that are compared: a neighbour that is not shared ends within them.
+REACH = MOST
+#: Digests that a task gathers before it deals them out, and texts that are cut together.
+GATHERED, ROWS = 400_000, 500
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -74,6 +79,10 @@ def cuts(data: np.ndarray) -> list[int]:
     return out
 
 
+def _digest(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=12).digest()
+
+
 def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, pos, size, digest``: the chunks of every whole text, by byte position; null text has none."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -95,7 +104,7 @@ def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     owner.append(i)
                     pos.append(start)
                     size.append(end - start)
-                    digest.append(hashlib.blake2b(data[start:end], digest_size=12).digest())
+                    digest.append(_digest(data[start:end]))
                     start = end
                 if len(owner) >= 50_000:
                     yield flush()
@@ -107,140 +116,139 @@ def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(chunked, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pos long, size int, digest binary")
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
-    """``doc_id, spans``: byte ranges of each document that repeat an earlier place.
+def _summed(low: np.ndarray, high: np.ndarray, counts: np.ndarray):
+    """Each name once, with the sum of its counts."""
+    order = np.lexsort((high, low))
+    low, high, counts = low[order], high[order], counts[order]
+    edges = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    return low[edges], high[edges], np.add.reduceat(counts, edges)
 
-    A range is a run of neighbouring chunks whose digests stand at an earlier
-    (document, position), with ``run_bytes`` bytes at least; documents
-    without one have no row.
-    """
-    chunks = chunk_rows(docs, id_col, text_col)
-    firsts = (
-        chunks.groupBy("digest")
-        .agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "pos")).alias("_first"))
-        .filter("_n > 1")
-    )
-    copies = weighted_join(chunks, firsts, ["digest"], F.struct("doc_id", "pos"), "inner", "_n")
-    later = copies.filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("_first"))).select("doc_id", "pos", "size")
-    ordered = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "size"))).alias("_c"))
-    # Neighbouring chunks join to runs, from the left.
-    runs = F.aggregate(
-        "_c",
-        F.array().cast("array<struct<begin:bigint,end:bigint>>"),
-        lambda out, c: F.when(
-            (F.size(out) > 0) & (F.element_at(out, -1)["end"] == c["pos"]),
-            F.concat(
-                F.slice(out, 1, F.size(out) - 1),
-                F.array(F.struct(F.element_at(out, -1)["begin"].alias("begin"), (c["pos"] + c["size"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(out, F.array(F.struct(c["pos"].alias("begin"), (c["pos"] + c["size"]).alias("end"))))),
-    )
-    return ordered.select("doc_id", F.filter(runs, lambda r: r["end"] - r["begin"] >= run_bytes).alias("spans")).filter(F.size("spans") > 0)
 
+def _repeated_digests(docs: DataFrame, parts: int) -> DataFrame:
+    """``digest, n`` of the chunks that stand more than once; digests travel in arrays by part, with their counts."""
 
-def _equal_bytes(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    unlike = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n) if n else np.zeros(0, bool)
-    return int(unlike.argmax()) if unlike.any() else n
+    def send(found):
+        low, high, counts = _summed(*(np.ascontiguousarray(np.frombuffer(b"".join(found), NAME)[x]) for x in ("low", "high")), np.ones(len(found), np.int64))
+        return dealt_arrays((low.view(np.uint64) % np.uint64(parts)).astype(np.int32), low, high, counts)
 
+    def gathered(batches):
+        found: list[bytes] = []
+        for batch in batches:
+            for x in batch.column("text"):
+                data = (x.as_py() or "").encode("utf-8", "surrogatepass")
+                start = 0
+                for end in cuts(np.frombuffer(data, np.uint8)):
+                    found.append(_digest(data[start:end]))
+                    start = end
+                if len(found) >= GATHERED:
+                    yield send(found)
+                    found = []
+        if found:
+            yield send(found)
 
-def _around(docs: DataFrame, asks: DataFrame, reach: int) -> DataFrame:
-    """``asks`` (``doc_id, begin, end, fdoc, fbegin``) with up to ``reach`` bytes before and behind each place."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    per_doc = asks.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("begin", "end", "fdoc", "fbegin")).alias("_w"))
-    joined = docs.join(per_doc, docs["doc_id"] == per_doc["_doc"]).select("doc_id", "text", "_w")
+    def summed(batches):
+        import pyarrow as pa
 
-    def sliced(batches):
+        got = [[b.column(f"c{i}").flatten().to_numpy() for i in range(3)] for b in batches if b.num_rows]
+        if not got:
+            return
+        low, high, counts = _summed(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        many = counts > 1
+        names = np.empty(many.sum(), NAME)
+        names["low"], names["high"] = low[many], high[many]
+        data = names.tobytes()
+        digests = pa.array([data[i : i + 12] for i in range(0, len(data), 12)], pa.binary())
+        yield pa.RecordBatch.from_arrays([digests, pa.array(counts[many])], names=["digest", "n"])
+
+    dealt = docs.select("text").mapInArrow(gathered, "part int, c0 array<long>, c1 array<int>, c2 array<long>")
+    return dealt.repartition(parts, "part").mapInArrow(summed, "digest binary, n long")
+
+
+def _runs(later: DataFrame) -> DataFrame:
+    """``doc_id, begin, end, fdoc, fbegin``: neighbouring chunks whose first places are neighbours too, joined."""
+    kind = later.schema["doc_id"].dataType.simpleString()
+    place = F.struct(F.col("pos").alias("begin"), "size", F.col("_first")["doc_id"].alias("fdoc"), F.col("_first")["pos"].alias("fbegin"))
+    ordered = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(place)).alias("_c"))
+
+    def joined(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for r in range(batch.num_rows):
-                data = batch.column("text")[r].as_py().encode("utf-8", "surrogatepass")
-                asked = batch.column("_w").slice(r, 1).flatten()
-                places = list(zip(asked.field("begin").to_pylist(), asked.field("end").to_pylist(), strict=True))
-                before, behind = [data[max(0, a - reach) : a] for a, _ in places], [data[b : b + reach] for _, b in places]
-                owner = batch.column("doc_id").take(pa.array([r] * len(places), pa.int64()))
-                columns = [owner, *(asked.field(x) for x in ("begin", "end", "fdoc", "fbegin")), pa.array(before, pa.binary()), pa.array(behind, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "begin", "end", "fdoc", "fbegin", "before", "behind"])
-
-    return joined.mapInArrow(sliced, f"doc_id {kind}, begin long, end long, fdoc {kind}, fbegin long, before binary, behind binary")
-
-
-def _extended(docs: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
-    """``runs`` with ``left, right``, the equal bytes around a run and its first place, and ``open``: they go on behind ``reach``."""
-    kind = docs.schema["doc_id"].dataType
-    first = runs.select(F.col("fdoc").alias("doc_id"), F.col("fbegin").alias("begin"), (F.col("fbegin") + F.col("end") - F.col("begin")).alias("end"))
-    counts = first.groupBy("doc_id", "begin", "end").agg(F.count("*").alias("_n"))
-    asks = runs.unionByName(counts.select("doc_id", "begin", "end", F.lit(None).cast(kind).alias("fdoc"), F.lit(None).cast("long").alias("fbegin")))
-    found = cut_lineage(_around(docs, asks, reach))
-    own = found.filter("fbegin is not null").withColumn("fend", F.col("fbegin") + F.col("end") - F.col("begin"))
-    places = found.filter("fbegin is null").groupBy("doc_id", "begin", "end").agg(F.first("before").alias("fbefore"), F.first("behind").alias("fbehind"))
-    places = places.join(counts, ["doc_id", "begin", "end"]).select(F.col("doc_id").alias("fdoc"), F.col("begin").alias("fbegin"), F.col("end").alias("fend"), "fbefore", "fbehind", "_n")
-    both = weighted_join(own, places, ["fdoc", "fbegin", "fend"], F.struct("doc_id", "begin"), "inner", "_n")
-
-    def compared(batches):
+            lists = batch.column("_c")
+            flat = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            begin, size, fbegin = (flat.field(x).to_numpy() for x in ("begin", "size", "fbegin"))
+            fdoc = flat.field("fdoc").to_pylist()
+            other = np.array([a != b for a, b in zip(fdoc, fdoc[1:], strict=False)], bool)
+            end = begin + size
+            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (begin[1:] != end[:-1]) | (fbegin[1:] != fbegin[:-1] + size[:-1]) | other])
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(new)) - 1
+            columns = [batch.column("doc_id").take(pa.array(owner[head])), pa.array(begin[head]), pa.array(end[tail]), flat.field("fdoc").take(pa.array(head)), pa.array(fbegin[head])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "begin", "end", "fdoc", "fbegin"])
+
+    return ordered.mapInArrow(joined, f"doc_id {kind}, begin long, end long, fdoc {kind}, fbegin long")
+
+
+def equal_bytes(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
+
+def _edges(small: DataFrame, asks: DataFrame) -> DataFrame:
+    """``asks``, ``fdoc, fbegin, fend, _n``, with ``before, behind``: the bytes around each first place, up to ``REACH`` on a side."""
+    kind = small.schema["doc_id"].dataType.simpleString()
+    per_doc = asks.groupBy(F.col("fdoc").alias("doc_id")).agg(F.collect_list(F.struct("fbegin", "fend", "_n")).alias("_w"))
+
+    def sliced(batches):
         import pyarrow as pa
 
+        last = None
         for batch in batches:
-            left, right, more = [], [], []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("before", "behind", "fbefore", "fbehind")), strict=True):
-                m, n = _equal_bytes(a[::-1], x[::-1]), _equal_bytes(b, y)
-                more.append(m == reach or n == reach)
-                while m and a[-m] & 0xC0 == 0x80:  # no cut within a character
-                    m -= 1
-                while 0 < n < len(b) and b[n] & 0xC0 == 0x80:
-                    n -= 1
-                left.append(m)
-                right.append(n)
-            columns = [*(batch.column(c) for c in ("doc_id", "begin", "end", "fdoc", "fbegin")), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(more, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "begin", "end", "fdoc", "fbegin", "left", "right", "open"])
-
-    name = kind.simpleString()
-    return both.mapInArrow(compared, f"doc_id {name}, begin long, end long, fdoc {name}, fbegin long, left long, right long, open boolean")
-
-
-def repeated_passages(docs: DataFrame, run_bytes: int = RUN_BYTES, reach: int = REACH) -> DataFrame:
-    """``repeated_runs`` with each run extended to all bytes that equal those around its first place.
-
-    ``docs`` are those of ``keyed_by_text``.  The length rule meets the
-    extended ranges, joined where they touch; no range ends within a
-    character.
+            owner, columns = [], [[] for _ in range(5)]
+            for r, (key, data) in enumerate(zip(batch.column("doc_id").to_pylist(), unpacked(batch.column("text")), strict=True)):
+                if key == last:
+                    continue  # rows that repeat an id and its text come one behind another
+                last = key
+                for x in batch.column("_w")[r].as_py():
+                    a, b = x["fbegin"], x["fend"]
+                    owner.append(r)
+                    for column, value in zip(columns, (a, b, x["_n"], data[max(0, a - REACH) : a], data[b : b + REACH]), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            arrays = [batch.column("doc_id").take(pa.array(owner, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["fdoc", "fbegin", "fend", "_n", "before", "behind"])
+
+    joined = small.join(per_doc, "doc_id").select("doc_id", "text", "_w")
+    return joined.mapInArrow(sliced, f"fdoc {kind}, fbegin long, fend long, _n long, before binary, behind binary")
+
+
+def whole_passages(data: bytes, runs: list[tuple[int, int, bytes, bytes]], min_words: int, min_bytes: int) -> list[tuple[int, int]]:
+    """Ranges of ``data`` to take out: runs with all bytes that equal those around their first place, joined where they touch.
+
+    A run is ``begin, end, before, behind``; the last two are the bytes around
+    its first place.  A range counts if it touches ``min_words`` words or has
+    ``min_bytes`` bytes; none ends within a character.
     """
-    chunks = chunk_rows(docs)
-    firsts = chunks.groupBy("digest").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "pos")).alias("_first")).filter("_n > 1")
-    copies = weighted_join(chunks, firsts, ["digest"], F.struct("doc_id", "pos"), "inner", "_n")
-    later = copies.filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("_first")))
-    place = F.struct(F.col("pos").alias("begin"), (F.col("pos") + F.col("size")).alias("end"), F.col("_first")["doc_id"].alias("fdoc"), F.col("_first")["pos"].alias("fbegin"))
-    ordered = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(place)).alias("_c"))
-
-    def joined(column, follows, merge):
-        none = F.slice(F.col(column), 1, 0)
-        last = lambda out: F.element_at(out, -1)
-        return F.aggregate(
-            column,
-            none,
-            lambda out, c: F.when((F.size(out) > 0) & follows(last(out), c), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(merge(last(out), c)))).otherwise(F.concat(out, F.array(c))),
-        )
-
-    # Neighbouring chunks whose first places are neighbours too are one run.
-    runs = joined(
-        "_c",
-        lambda a, c: (a["end"] == c["begin"]) & a["fdoc"].eqNullSafe(c["fdoc"]) & (a["fbegin"] + a["end"] - a["begin"] == c["fbegin"]),
-        lambda a, c: F.struct(a["begin"].alias("begin"), c["end"].alias("end"), a["fdoc"].alias("fdoc"), a["fbegin"].alias("fbegin")),
-    )
-    left = cut_lineage(ordered.select("doc_id", F.explode(runs).alias("_r")).select("doc_id", "_r.*"))
-    found = None
-    while True:
-        seen = cut_lineage(_extended(docs, left, reach))
-        ready = seen.filter("not open").select("doc_id", (F.col("begin") - F.col("left")).alias("begin"), (F.col("end") + F.col("right")).alias("end"))
-        found = ready if found is None else found.unionByName(ready)
-        left = seen.filter("open").select("doc_id", "begin", "end", "fdoc", "fbegin")
-        if left.isEmpty():
-            break
-        reach *= 16
-    ranges = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("_e"))
-    spans = joined("_e", lambda a, c: c["begin"] <= a["end"], lambda a, c: F.struct(a["begin"].alias("begin"), F.greatest(a["end"], c["end"]).alias("end")))
-    return ranges.select("doc_id", F.filter(spans, lambda r: r["end"] - r["begin"] >= run_bytes).alias("spans")).filter(F.size("spans") > 0)
+    ranges = []
+    for begin, end, before, behind in runs:
+        a = begin - equal_bytes(data[max(0, begin - len(before)) : begin][::-1], before[::-1])
+        b = end + equal_bytes(data[end : end + len(behind)], behind)
+        while a < begin and data[a] & 0xC0 == 0x80:
+            a += 1
+        while end < b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        ranges.append((a, b))
+    out: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out if b - a >= min_bytes or len(data[a:b].split()) >= min_words]
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,15 +289,45 @@ def unkeyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id")["id"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES, extend: bool = False) -> DataFrame:
-    """Each text without the runs of chunks that stand at an earlier place.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """Each text without the passages that stand at an earlier place.
 
-    With ``extend`` a run has all equal bytes around it and its first place,
-    not its whole chunks only.
+    A passage is a run of shared chunks with all bytes, up to ``REACH`` on
+    each side, that equal those around its first place; it goes if it touches
+    ``min_words`` words or has ``min_bytes`` bytes.
 
     Returns one row for each input row: ``doc_id, n_bytes, n_removed, n_spans,
     kept`` (bytes).  Null text counts as empty; other columns are ignored; of
     rows that repeat an id and a text the copies lose theirs by position only.
     """
     docs = keyed_by_text(docs, id_col, text_col)
-    return unkeyed(cut_spans(docs, repeated_passages(docs, run_bytes) if extend else repeated_runs(docs, run_bytes=run_bytes)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    parts = 4 * max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    often = _repeated_digests(docs, parts)
+    shared = written(weighted_join(chunk_rows(docs), often, ["digest"], F.struct("doc_id", "pos"), "left_semi", "n"), "gear-shared")
+    firsts = shared.groupBy("digest").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "pos")).alias("_first"))
+    copies = weighted_join(shared, firsts, ["digest"], F.struct("doc_id", "pos"), "inner", "_n")
+    runs = written(_runs(copies.filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("_first")))), "gear-runs")
+    runs = runs.withColumn("fend", F.col("fbegin") + F.col("end") - F.col("begin"))
+    asks = cut_lineage(runs.groupBy("fdoc", "fbegin", "fend").agg(F.count("*").alias("_n")))
+    # The texts are shuffled once, for the bytes around first places and for the cuts.
+    small = packed(docs)
+    both = weighted_join(runs, _edges(small, asks), ["fdoc", "fbegin", "fend"], F.struct("doc_id", "begin"), "inner", "_n", weights=asks)
+    per_doc = both.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "before", "behind")).alias("_r"))
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            sizes, removed, spans, kept = [], [], [], []
+            for data, runs in zip(unpacked(batch.column("text")), batch.column("_r"), strict=True):
+                gone = whole_passages(data, [(x["begin"], x["end"], x["before"], x["behind"]) for x in runs.as_py() or ()], min_words, min_bytes)
+                sizes.append(len(data))
+                removed.append(sum(b - a for a, b in gone))
+                spans.append(len(gone))
+                kept.append(b"".join(data[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(data)], strict=True)))
+            columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    joined = small.join(per_doc, "doc_id", "left").select("doc_id", "text", "_r")
+    return unkeyed(joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))

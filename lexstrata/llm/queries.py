@@ -26,11 +26,11 @@ def op1_ball_tree_top5(spark, sf_dir):
 
 
 def _digests(cut):
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
 def op2_suffix_dedup(spark, sf_dir):
-    return _digests(remove_repeats(_table(spark, sf_dir, "documents")))
+    return _digests(remove_repeats(_table(spark, sf_dir, "documents"), words=51))
 
 
 def op3_ngram_jaccard(spark, sf_dir):
@@ -38,7 +38,7 @@ def op3_ngram_jaccard(spark, sf_dir):
 
 
 def op4_mixture_packing(spark, sf_dir):
-    return with_checksums(pack(_table(spark, sf_dir, "documents")))
+    return with_checksums(pack(_table(spark, sf_dir, "documents"), power=0.7))
 
 
 def op5_exact_dedup(spark, sf_dir):
@@ -58,7 +58,7 @@ def op8_language_id(spark, sf_dir):
 
 
 def op9_gear_chunks(spark, sf_dir):
-    return _digests(substring_dedup(_table(spark, sf_dir, "documents"), extend=True))
+    return _digests(substring_dedup(_table(spark, sf_dir, "documents")))
 
 
 def op10_token_counts(spark, sf_dir):
@@ -115,10 +115,21 @@ ORACLE_SQL = {
         c AS (
             SELECT f.doc_id, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept,
                    max(b) AS tail, sum(b - a) AS removed, count(*) AS spans
-            FROM f JOIN s USING (doc_id) GROUP BY f.doc_id)
+            FROM f JOIN s USING (doc_id) GROUP BY f.doc_id),
+        ww AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        wh AS (
+            SELECT doc_id, unnest(range(1, len(w) - 49)) AS pos,
+                   unnest(list_transform(range(1, len(w) - 49), lambda i: hash(array_to_string(w[i:i + 50], ' ')))) AS a
+            FROM ww WHERE len(w) > 50),
+        wr AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY a) AS c FROM wh) WHERE c > 1),
+        we AS (SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 51, true) AS head FROM wr),
+        wg AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM we),
+        wv AS (SELECT doc_id, max(pos) + 51 - min(pos) AS m FROM wg GROUP BY doc_id, k),
+        wc AS (SELECT doc_id, sum(m) AS passage FROM wv GROUP BY doc_id)
         SELECT s.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
-               sha256(unhex(coalesce(kept || substr(x, 2 * tail + 1), x))) AS kept_sha256
-        FROM s LEFT JOIN c USING (doc_id)""",
+               sha256(unhex(coalesce(kept || substr(x, 2 * tail + 1), x))) AS kept_sha256,
+               CAST(coalesce(passage, 0) AS BIGINT) AS n_passage_words
+        FROM s LEFT JOIN c USING (doc_id) LEFT JOIN wc USING (doc_id)""",
     "op3_ngram_jaccard": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(

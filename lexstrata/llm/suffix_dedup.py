@@ -7,11 +7,16 @@ anchors whose hash stands once are done.  The bytes around the other anchors
 are the contexts; equal contexts of an anchor are one context with a count.
 Contexts under one hash that differ are sorted in shards by a two-stage
 suffix sort, and neighbours in that order with a common prefix of L bytes
-are repeated strings.  A hash with very many contexts is dealt over several
-shards, which then compare the strings that each of them has.
+are repeated strings.
+
+The contexts of a hash that has very many are first cut into pieces of
+neighbouring starts.  All strings of a piece hold the same part of the text,
+so only pieces that agree on it can share a string: pieces meet by its
+digest, equal pieces are one with a count, and the others are sorted.
 
 Counted in words, a text is the row of the 8-byte hashes of its words, and all
-of this holds for runs of words in place of runs of bytes.
+of this holds for runs of words in place of runs of bytes.  Both kinds of
+repeats go through the same stages together.
 """
 
 from __future__ import annotations
@@ -22,172 +27,156 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import cut_lineage, weighted_join
-from lexstrata.llm.gear_chunks import cut_spans, keyed_by_text, unkeyed
+from lexstrata.llm.common import packed, unpacked, weighted_join, written
+from lexstrata.llm.gear_chunks import keyed_by_text, unkeyed
+from lexstrata.llm.grams import PLAIN, finished, joined_texts, powers, word_edges, word_hashes
 from lexstrata.llm.suffix_array import common_prefixes, two_stage_order, words_at
 
 REPEAT_BYTES, GRAM = 400, 101
 #: Words of a gram, where repeats are counted in words; 8 bytes name a word.
-GRAM_WORDS, WORD = 13, 8
-#: Window starts that are looked at together, and contexts of a shard.
-BLOCK, SHARD_CONTEXTS = 1 << 19, 1500
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_TABLE = np.random.default_rng(99).integers(0, 1 << 64, 256, dtype=np.uint64)
-_GAPS = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, int(n).bit_length())
-    if size not in _POWERS:
-        up, down = np.full(size, _BASE), np.full(size, _BACK)
-        up[0] = down[0] = 1
-        _POWERS.clear()
-        _POWERS[size] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _POWERS[size]
-
-
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the ``gram`` bytes, or words, from each place."""
+GRAM_WORDS, WORD = 8, 8
+#: Window starts that are looked at together, contexts of a shard, pieces of a context, texts that are cut together.
+BLOCK, SHARD_CONTEXTS, PIECES, ROWS = 1 << 19, 1500, 8, 500
+_PLACE = np.uint64((1 << 20) - 1)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of the ``gram`` bytes, or words, from each place, and the running sums behind it."""
     n = len(data)
-    up, down = _powers(n + 1)
+    up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_TABLE[data] if data.dtype == np.uint8 else data) * up[:n], out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    np.cumsum((PLAIN[data] if data.dtype == np.uint8 else data) * up[:n], out=sums[1:])
+    return finished((sums[gram:] - sums[:-gram]) * down[: n - gram + 1]), sums
 
 
-def anchors(data: np.ndarray, repeat: int, gram: int):
-    """For each block of a text: its offset, its gram hashes, the least hash of each ``repeat``-byte string and the runs of one least hash."""
-    reach = repeat - gram + 1
-    n = len(data)
+def anchors(data: np.ndarray, offsets: np.ndarray, repeat: int, gram: int):
+    """The anchors of the texts in ``data``, parted by ``offsets``, some at a time.
+
+    Arrays ``first, last, hash, ctx``: the starts from first to last have one
+    anchor with this hash, and see the bytes or words that ``ctx`` names.  The
+    leftmost of equal grams is the anchor.
+    """
+    reach, n = repeat - gram + 1, len(data)
+    behind = np.repeat(offsets[1:], np.diff(offsets))
     for at in range(0, n - repeat + 1, BLOCK):
         part = data[at : at + BLOCK + repeat - 1]
-        h = gram_hashes(part, gram)
+        h, sums = gram_hashes(part, gram)
         m = len(h)
-        folded = np.concatenate([h, np.full(-m % reach, np.uint64(2**64 - 1))]).reshape(-1, reach)
+        ranked = (h & ~_PLACE) | np.arange(m, dtype=np.uint64)
+        folded = np.concatenate([ranked, np.full(-m % reach, np.uint64(2**64 - 1))]).reshape(-1, reach)
         ahead = np.minimum.accumulate(folded, axis=1).ravel()
         back = np.minimum.accumulate(folded[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(back[: m - reach + 1], ahead[reach - 1 : m])
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        last = np.append(first[1:], len(least)) - 1
-        yield at, h, least, zip(first.tolist(), last.tolist(), strict=True)
-
-
-class _Names(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 16:
-            self.clear()
-        self[word] = name = int.from_bytes(hashlib.blake2b(word, digest_size=WORD).digest(), "little")
-        return name
-
-
-def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends of the words of UTF-8 bytes; words are runs without ASCII white space."""
-    gap = np.concatenate([[True], _GAPS[np.frombuffer(data, np.uint8)], [True]]).astype(np.int8)
-    edge = np.diff(gap)
-    return np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+        starts = np.flatnonzero(behind[at : at + len(least)] - np.arange(at, at + len(least)) >= repeat)
+        if not len(starts):
+            continue
+        spot = least[starts]
+        head = np.concatenate([[True], (spot[1:] != spot[:-1]) | (starts[1:] != starts[:-1] + 1)])
+        first = starts[head]
+        last = starts[np.append(np.flatnonzero(head)[1:], len(starts)) - 1]
+        _, down = powers(len(sums))
+        seen = (sums[last + repeat] - sums[first]) * down[first] + (last - first).astype(np.uint64)
+        yield at + first, at + last, h[(spot[head] & _PLACE).astype(np.int64)].view(np.int64), finished(seen).view(np.int64)
 
 
-def _units(text: str | None, unit: int, names: _Names) -> bytes:
-    """The bytes of a text, or the hashes of its words."""
-    data = (text or "").encode("utf-8", "surrogatepass")
+def _units(data: np.ndarray, offsets: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of texts, or the hashes of their words, with the offsets of the texts."""
     if unit == 1:
-        return data
-    words = data.split()
-    return np.fromiter(map(names.__getitem__, words), "<u8", len(words)).tobytes()
+        return data, offsets
+    first, behind, bounds = word_edges(data, offsets)
+    return word_hashes(data, first, behind, PLAIN), bounds
 
 
-def _places(h: np.ndarray, least: np.ndarray, runs, reach: int):
-    """Split each run of one least hash by the leftmost place that has it."""
-    for f, l in runs:
-        spots = np.flatnonzero(h[f : l + reach] == least[f]) + f
-        if len(spots) == 1:
-            yield int(least[f]), f, l
-            continue
-        s = f
-        for p in spots.tolist():
-            e = min(l, p)  # strings that begin behind p no longer hold it
-            if e >= s:
-                yield int(least[f]), s, e
-                s = e + 1
-            if s > l:
-                break
-
-
-def anchor_rows(docs: DataFrame, id_col: str, text_col: str, repeat: int, gram: int, unit: int = 1) -> DataFrame:
-    """``doc_id, hash, lo, hi, ctx``: starts ``lo..hi`` of one anchor, and a digest of the bytes they see."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    reach = repeat - gram + 1
+def anchor_rows(docs: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
+    """``doc_id, unit, hash, lo, hi, ctx``: starts ``lo..hi`` of one anchor, for each ``(repeat, gram, unit)`` of ``kinds``."""
 
     def found(batches):
         import pyarrow as pa
 
-        names = _Names()
         for batch in batches:
-            owner, hashes, lo, hi, ctx = [], [], [], [], []
-            for i, x in enumerate(batch.column("text")):
-                data = _units(x.as_py(), unit, names)
-                if len(data) < repeat * unit:
-                    continue
-                for at, h, least, runs in anchors(np.frombuffer(data, np.uint8 if unit == 1 else "<u8"), repeat, gram):
-                    for value, a, b in _places(h, least, runs, reach):
-                        owner.append(i)
-                        hashes.append(value - (1 << 63))
-                        lo.append(at + a)
-                        hi.append(at + b)
-                        ctx.append(hashlib.blake2b(data[(at + a) * unit : (at + b + repeat) * unit], digest_size=16).digest())
-                if len(owner) >= 50_000:
-                    yield _batch(pa, batch, owner, hashes, lo, hi, ctx)
-                    owner, hashes, lo, hi, ctx = [], [], [], [], []
-            if owner:
-                yield _batch(pa, batch, owner, hashes, lo, hi, ctx)
+            base = 0
+            for data, offsets in joined_texts(batch.column("text")):
+                for repeat, gram, unit in kinds:
+                    units, bounds = _units(data, offsets, unit)
+                    for first, last, hashes, ctx in anchors(units, bounds, repeat, gram):
+                        owner = np.searchsorted(bounds, first, side="right") - 1
+                        columns = [batch.column("doc_id").take(pa.array(base + owner)), pa.array(np.full(len(first), unit, np.int32))]
+                        columns += [pa.array(x) for x in (hashes, first - bounds[owner], last - bounds[owner], ctx)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "unit", "hash", "lo", "hi", "ctx"])
+                base += len(offsets) - 1
+
+    return docs.mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, unit int, hash long, lo long, hi long, ctx long")
+
+
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _pieces(data: bytes, value: int, repeat: int, gram: int, unit: int):
+    """The pieces of a context with the anchor ``value``: ``group, first start, sub, bytes``."""
+    h, _ = gram_hashes(np.frombuffer(data, np.uint8 if unit == 1 else "<u8"), gram)
+    reach, starts = repeat - gram + 1, len(data) // unit - repeat + 1
+    spot = int((h.view(np.int64)[: starts - 1 + reach] == value).argmax())
+    wide = -(-reach // PIECES)
+    for k in range(PIECES):
+        near, far = spot - k * wide, spot - (k + 1) * wide + 1  # the starts of this piece, in any context
+        a, b = max(far, 0), min(near, starts - 1)
+        if a <= b:
+            held = data[near * unit : (far + repeat) * unit]  # what all its strings hold
+            some = data[a * unit : (b + repeat) * unit]
+            yield _digest(held + b"%d %d %d" % (value, k, unit)), a, _digest(some + b"%d" % (a - far)), some
+
+
+def _sliced(small: DataFrame, wanted: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
+    """The wanted contexts as pieces ``unit, hash, ctx, hot, group, start, sub, bytes``.
+
+    A context of a hash with at most ``SHARD_CONTEXTS`` is one piece, its
+    group is the hash.  ``small`` has packed texts.
+    """
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "hash", "ctx", "hot", "lo", "hi")).alias("_w"))
+    joined = small.join(per_doc, "doc_id").select("doc_id", "text", "_w")
+    of = {unit: (repeat, gram) for repeat, gram, unit in kinds}
+    names = ["unit", "hash", "ctx", "hot", "group", "start", "sub", "bytes"]
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(found, f"doc_id {kind}, hash long, lo long, hi long, ctx binary")
+    def sliced(batches):
+        import pyarrow as pa
 
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
-def _batch(pa, batch, owner, hashes, lo, hi, ctx):
-    columns = [batch.column("doc_id").take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (hashes, lo, hi)), pa.array(ctx, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "lo", "hi", "ctx"])
+        def send(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
+        last, rows, held = None, [], 0
+        for batch in batches:
+            for key, text, wants in zip(batch.column("doc_id").to_pylist(), unpacked(batch.column("text")), batch.column("_w"), strict=True):
+                if key == last:
+                    continue  # rows that repeat an id and its text come one behind another
+                last, views = key, {1: text}
+                for x in wants.as_py():
+                    unit, value = x["unit"], x["hash"]
+                    if unit not in views:
+                        whole = np.frombuffer(text, np.uint8)
+                        views[unit] = _units(whole, np.array([0, len(whole)]), unit)[0].tobytes()
+                    repeat, gram = of[unit]
+                    cut = views[unit][x["lo"] * unit : (x["hi"] + repeat) * unit]
+                    if len(cut) != (x["hi"] - x["lo"] + repeat) * unit:
+                        raise ValueError("the documents changed while they were read")
+                    if x["hot"]:
+                        rows += [(unit, value, x["ctx"], True, *p) for p in _pieces(cut, value, repeat, gram, unit)]
+                    else:
+                        rows.append((unit, value, x["ctx"], False, value, 0, x["ctx"], cut))
+                    held += len(cut)
+                    if held > 1 << 22:
+                        yield send(rows)
+                        rows, held = [], 0
+        if rows:
+            yield send(rows)
 
-def _sliced(docs: DataFrame, wanted: DataFrame, repeat: int, unit: int) -> DataFrame:
-    """The bytes of one occurrence of each wanted context: ``hash, ctx, kinds, bytes``."""
-    per_doc = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("hash", "ctx", "kinds", "lo", "hi")).alias("_w"))
-    joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_doc"])).select("text", "_w")
+    return joined.mapInArrow(sliced, "unit int, hash long, ctx long, hot boolean, group long, start long, sub long, bytes binary")
 
-    def sliced(batches):
-        import pyarrow as pa
 
-        names = _Names()
-        for batch in batches:
-            for r in range(batch.num_rows):
-                data = _units(batch.column("text")[r].as_py(), unit, names)
-                w = batch.column("_w")[r].as_py()
-                cut = [data[x["lo"] * unit : (x["hi"] + repeat) * unit] for x in w]
-                if any(len(c) != (x["hi"] - x["lo"] + repeat) * unit for c, x in zip(cut, w, strict=True)):
-                    raise ValueError("the documents changed while they were read")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x["hash"] for x in w], pa.int64()),
-                        pa.array([x["ctx"] for x in w], pa.binary()),
-                        pa.array([x["kinds"] for x in w], pa.int64()),
-                        pa.array(cut, pa.binary()),
-                    ],
-                    names=["hash", "ctx", "kinds", "bytes"],
-                )
-
-    return joined.mapInArrow(sliced, "hash long, ctx binary, kinds long, bytes binary")
-
-
-def repeated_starts(contexts: list[bytes], repeat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix-sort the ``repeat``-byte strings of some contexts.
+def repeated_starts(contexts: list[bytes], repeat: int, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix-sort the ``repeat``-byte strings from every ``step``-th byte of some contexts.
 
     Returns the first place of each context in the joined text, the sorted
     starts, and for each the number of its class of equal strings.
@@ -198,119 +187,122 @@ def repeated_starts(contexts: list[bytes], repeat: int) -> tuple[np.ndarray, np.
     symbols = data.astype(np.int16) + 1
     symbols[begin + sizes - 1] = 0
     words = words_at(data)
-    counts = sizes - repeat  # starts of each context
-    wanted = np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    counts = (sizes - repeat - 1) // step + 1  # starts of each context
+    wanted = np.repeat(begin, counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * step
     same = np.arange(len(data)).astype(np.uint64) | np.uint64(1 << 63)
-    whole = gram_hashes(data, repeat) if len(data) >= repeat else np.empty(0, np.uint64)
+    whole = gram_hashes(data, repeat)[0] if len(data) >= repeat else np.empty(0, np.uint64)
     same[wanted] = whole[wanted] >> np.uint64(1)
     order = two_stage_order(symbols, wanted, words, repeat, same)
     prefix = common_prefixes(order, words, repeat)
     return begin, order, np.cumsum(prefix < repeat)
 
 
-def repeated_windows(contexts: list[bytes], repeat: int, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``repeated_starts`` for units of several bytes, by digests of the strings; places count units."""
-    sizes = np.array([len(c) // unit for c in contexts])
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    starts = np.concatenate([np.arange(b, b + n - repeat + 1) for b, n in zip(begin, sizes, strict=True)])
-    digests = b"".join(hashlib.blake2b(c[x : x + repeat * unit], digest_size=16).digest() for c in contexts for x in range(0, len(c) - repeat * unit + 1, unit))
-    names = np.frombuffer(digests, "<u8").reshape(-1, 2)
-    order = np.lexsort((names[:, 1], names[:, 0]))
-    names = names[order]
-    return begin, starts[order], np.cumsum(np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)]))
-
-
-def _sorted_shards(parts: DataFrame, repeat: int, unit: int) -> DataFrame:
-    """For each context the starts that repeat in its shard, and for split hashes its other strings.
-
-    ``kind`` 0: a repeated start of a context; 1: a string that stands once in
-    the shard, by digest; 2: a digest that stands more often.
-    """
+def _sorted_shards(parts: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
+    """``group, sub, first, last``: the starts of each piece that repeat in its shard ``part``."""
+    of = {unit: repeat for repeat, _, unit in kinds}
 
     def found(batches):
         import pyarrow as pa
 
-        def shard(rows):
-            hashes, names, kinds, texts = zip(*rows, strict=True)
-            begin, order, classes = repeated_starts(list(texts), repeat) if unit == 1 else repeated_windows(list(texts), repeat, unit)
+        def shard(rows, unit):
+            groups, subs, texts = zip(*rows, strict=True)
+            begin, order, classes = repeated_starts(list(texts), of[unit] * unit, unit)
             if not len(order):
                 return
             edges = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
             sizes = np.diff(np.append(edges, len(classes)))
-            often = np.repeat(sizes > 1, sizes)
+            pick = np.flatnonzero(np.repeat(sizes > 1, sizes))
+            if not len(pick):
+                return
             context = np.searchsorted(begin, order, side="right") - 1
-            offset = order - begin[context]
-            pick = np.flatnonzero(often)
+            offset = (order - begin[context]) // unit
             pick = pick[np.lexsort((offset[pick], context[pick]))]
-            # Starts of a context that follow one another are one range.
+            # Starts of a piece that follow one another are one range.
             c, o = context[pick], offset[pick]
-            head = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (o[1:] != o[:-1] + 1)])) if len(pick) else np.empty(0, np.int64)
-            tail = np.append(head[1:], len(pick)) - 1 if len(pick) else head
-            out = [(hashes[a], names[a], 0, int(x), int(y), b"") for a, x, y in zip(c[head].tolist(), o[head], o[tail], strict=True)]
-            if kinds[0] > SHARD_CONTEXTS:
-                for at, n in zip(edges.tolist(), sizes.tolist(), strict=True):
-                    a, x = int(context[at]), int(offset[at])
-                    digest = hashlib.blake2b(texts[a][x * unit : (x + repeat) * unit], digest_size=16).digest()
-                    out.append((hashes[a], names[a], 1 if n == 1 else 2, x, x, digest))
-            for at in range(0, len(out), 20_000):
-                h, m, k, x, y, d = zip(*out[at : at + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h, pa.int64()), pa.array(m, pa.binary()), pa.array(k, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(d, pa.binary())],
-                    names=["hash", "ctx", "kind", "first", "last", "digest"],
-                )
+            head = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (o[1:] != o[:-1] + 1)]))
+            tail = np.append(head[1:], len(pick)) - 1
+            owner = c[head]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(groups, np.int64)[owner]), pa.array(np.array(subs, np.int64)[owner]), pa.array(o[head]), pa.array(o[tail])], names=["group", "sub", "first", "last"]
+            )
 
         key, rows = None, []
         for batch in batches:
-            for k, s, *row in zip(*(batch.column(n).to_pylist() for n in ("part", "sub", "hash", "ctx", "kinds", "bytes")), strict=True):
-                if key is not None and key != (k, s):
-                    yield from shard(rows)
+            for p, u, *row in zip(*(batch.column(n).to_pylist() for n in ("part", "unit", "group", "sub", "bytes")), strict=True):
+                if key is not None and key != (p, u):
+                    yield from shard(rows, key[1])
                     rows = []
-                key = (k, s)
+                key = (p, u)
                 rows.append(row)
         if rows:
-            yield from shard(rows)
+            yield from shard(rows, key[1])
+
+    dealt = parts.repartition("part").sortWithinPartitions("part", "unit")
+    return dealt.select("part", "unit", "group", "sub", "bytes").mapInArrow(found, "group long, sub long, first long, last long")
 
-    dealt = parts.repartition("part", "sub").sortWithinPartitions("part", "sub")
-    return dealt.select("part", "sub", "hash", "ctx", "kinds", "bytes").mapInArrow(
-        found, "hash long, ctx binary, kind int, first long, last long, digest binary"
-    )
 
+def _string_digests(pieces: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
+    """``group, sub, first, low, high``: 128 bits of each string of the pieces."""
+    of = {unit: repeat for repeat, _, unit in kinds}
+
+    def found(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for group, sub, unit, data in zip(*(batch.column(n).to_pylist() for n in ("group", "sub", "unit", "bytes")), strict=True):
+                size = of[unit] * unit
+                names = np.frombuffer(b"".join(hashlib.blake2b(data[x : x + size], digest_size=16).digest() for x in range(0, len(data) - size + 1, unit)), "<i8").reshape(-1, 2)
+                n = len(names)
+                columns = [np.full(n, group, np.int64), np.full(n, sub, np.int64), np.arange(n), names[:, 0].copy(), names[:, 1].copy()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["group", "sub", "first", "low", "high"])
+
+    return pieces.select("group", "sub", "unit", "bytes").mapInArrow(found, "group long, sub long, first long, low long, high long")
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT_BYTES, gram: int = GRAM, unit: int = 1) -> DataFrame:
-    """``doc_id, spans``: maximal byte ranges covered by ``repeat``-byte strings that start elsewhere too.
 
-    With a ``unit`` of 8 all lengths and places count words.
+def repeated_spans(docs: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
+    """``doc_id, unit, spans``: maximal ranges covered by strings that start elsewhere too.
+
+    ``docs`` has ``doc_id, text`` without nulls.  ``kinds`` has ``(repeat,
+    gram, unit)``: strings of so many bytes, or words with a unit of 8; the
+    ranges count these.
     """
-    if (unit == 1 and repeat % 8) or not 0 < gram < repeat:
-        raise ValueError("repeat must be a multiple of 8 and longer than gram")
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = anchor_rows(docs, "doc_id", "text", repeat, gram, unit)
-    often = found.groupBy("hash").agg(F.count("*").alias("_n")).filter("_n > 1")
-    shared = cut_lineage(weighted_join(found, often, ["hash"], F.struct("doc_id", "lo"), "left_semi", "_n"))
-    contexts = shared.groupBy("hash", "ctx").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    contexts = cut_lineage(contexts)
-    kinds = contexts.groupBy("hash").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    several = weighted_join(contexts, kinds.withColumn("_n", F.col("kinds")), ["hash"], F.col("ctx"), "inner", "_n")
+    if any((repeat * unit) % 8 or not 0 < gram < repeat for repeat, gram, unit in kinds):
+        raise ValueError("repeat must be a multiple of 8 bytes and longer than gram")
+    found = written(anchor_rows(docs, kinds), "suffix-anchors")
+    often = found.groupBy("hash", "unit").agg(F.count("*").alias("_n")).filter("_n > 1")
+    shared = written(weighted_join(found, often, ["hash", "unit"], F.struct("doc_id", "lo"), "left_semi", "_n"), "suffix-shared")
+    place = F.min(F.struct("doc_id", "lo", "hi")).alias("at")
+    contexts = written(shared.groupBy("hash", "unit", "ctx").agg(F.count("*").alias("n"), place).select("hash", "unit", "ctx", "n", "at.*"), "suffix-contexts")
+    several = contexts.groupBy("hash", "unit").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    wanted = weighted_join(contexts, several.withColumn("_n", F.col("kinds")), ["hash", "unit"], F.col("ctx"), "inner", "_n")
+    wanted = wanted.withColumn("hot", F.col("kinds") > SHARD_CONTEXTS)
+    pieces = written(_sliced(packed(docs), wanted, kinds), "suffix-pieces")
+
+    # Pieces of one group and the same bytes are one; groups of several pieces are sorted.
+    subs = pieces.groupBy("group", "sub").agg(F.count("*").alias("c"))
+    groups = subs.groupBy("group").agg(F.count("*").alias("k")).filter("k > 1")
+    single = pieces.filter("not hot").unionByName(pieces.filter("hot").dropDuplicates(["group", "sub"]))
+    sorts = weighted_join(single, groups.withColumn("_n", F.col("k")), ["group"], F.col("sub"), "inner", "_n")
     shards = max(1, contexts.count() // SHARD_CONTEXTS)
-    hot = F.col("kinds") > SHARD_CONTEXTS
-    parts = _sliced(docs, several, repeat, unit).select(
-        "*",
-        F.when(hot, F.col("hash")).otherwise(F.pmod(F.xxhash64("hash"), F.lit(shards))).alias("part"),
-        F.when(hot, F.pmod(F.xxhash64("ctx"), F.ceil(F.col("kinds") / SHARD_CONTEXTS))).otherwise(-1).alias("sub"),
-    )
-    results = cut_lineage(_sorted_shards(parts, repeat, unit))
-    # Between the shards of one hash: strings that another shard has too.
-    strings = results.filter("kind > 0")
-    met = strings.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").select("digest")
-    across = strings.filter("kind = 1").join(met, "digest", "left_semi").select("hash", "ctx", "first", "last")
-    inside = results.filter("kind = 0").select("hash", "ctx", "first", "last")
-    copies = contexts.filter("n > 1").select("hash", "ctx", F.lit(0).cast("long").alias("first"), (F.col("hi") - F.col("lo")).alias("last"))
-    starts = inside.unionByName(across).unionByName(copies)
-    named = starts.groupBy("hash", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("_s"))
-    named = named.join(contexts.select("hash", "ctx", "n"), ["hash", "ctx"])
-    placed = weighted_join(shared, named, ["hash", "ctx"], F.struct("doc_id", "lo"), "inner", "n")
-    ranges = placed.select("doc_id", F.explode(F.transform("_s", lambda x: F.struct((x["first"] + F.col("lo")).alias("begin"), (x["last"] + F.col("lo") + repeat).alias("end")))).alias("r"))
-    ordered = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_set("r")).alias("_r"))
+    parts = sorts.filter(F.col("k") <= SHARD_CONTEXTS).withColumn("part", F.pmod(F.xxhash64("group"), F.lit(shards)))
+    inside = _sorted_shards(parts, kinds)
+    # Where even pieces that agree on all but their edges are very many, each string meets its like.
+    strings = _string_digests(sorts.filter(F.col("k") > SHARD_CONTEXTS), kinds)
+    met = strings.groupBy("low", "high").agg(F.count("*").alias("_n")).filter("_n > 1")
+    across = weighted_join(strings, met, ["low", "high"], F.struct("group", "sub"), "left_semi", "_n").select("group", "sub", "first", F.col("first").alias("last"))
+    size = lambda: F.octet_length("bytes") / F.col("unit")
+    repeat = F.coalesce(*(F.when(F.col("unit") == unit, F.lit(repeat)) for repeat, _, unit in kinds))
+    equal = weighted_join(pieces.filter("hot").select("group", "sub", "unit", "bytes"), subs.filter("c > 1"), ["group", "sub"], F.col("group"), "inner", "c")
+    equal = equal.dropDuplicates(["group", "sub"]).select("group", "sub", F.lit(0).cast("long").alias("first"), (size() - repeat).cast("long").alias("last"))
+    starts = inside.unionByName(across).unionByName(equal).groupBy("group", "sub").agg(F.collect_list(F.struct("first", "last")).alias("_s"))
+    placed = pieces.select("hash", "unit", "ctx", "group", "sub", "start").join(starts, ["group", "sub"])
+    moved = F.transform("_s", lambda x: F.struct((x["first"] + F.col("start")).alias("first"), (x["last"] + F.col("start")).alias("last")))
+    copies = contexts.filter("n > 1").select("hash", "unit", "ctx", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("hi") - F.col("lo")).alias("last"))).alias("_s"))
+    named = placed.select("hash", "unit", "ctx", moved.alias("_s")).unionByName(copies).groupBy("hash", "unit", "ctx").agg(F.flatten(F.collect_list("_s")).alias("_s"))
+    named = named.join(contexts.select("hash", "unit", "ctx", "n"), ["hash", "unit", "ctx"])
+    ranges = weighted_join(shared, named, ["hash", "unit", "ctx"], F.struct("doc_id", "lo"), "inner", "n")
+    ranges = ranges.select("doc_id", "unit", F.explode(F.transform("_s", lambda x: F.struct((x["first"] + F.col("lo")).alias("begin"), (x["last"] + F.col("lo") + repeat).alias("end")))).alias("r"))
+    ordered = ranges.groupBy("doc_id", "unit").agg(F.array_sort(F.collect_set("r")).alias("_r"))
     kind = ordered.schema["doc_id"].dataType.simpleString()
 
     def merged(batches):
@@ -327,12 +319,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         out.append(dict(x))
                 spans.append(out)
             kinds = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kinds)], names=["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("unit"), pa.array(spans, kinds)], names=["doc_id", "unit", "spans"])
+
+    return ordered.mapInArrow(merged, f"doc_id {kind}, unit int, spans array<struct<begin:bigint,end:bigint>>")
+
 
-    return ordered.mapInArrow(merged, f"doc_id {kind}, spans array<struct<begin:bigint,end:bigint>>")
+def _kinds(repeat: int, words: int | None) -> list[tuple[int, int, int]]:
+    return [(repeat, min(GRAM, repeat - 1), 1)] + ([] if words is None else [(words, min(GRAM_WORDS, words - 1), WORD)])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT_BYTES) -> DataFrame:
+def _per_doc(found: DataFrame) -> DataFrame:
+    """``doc_id, spans, runs``: the ranges of bytes and of words."""
+    of = lambda unit: F.first(F.when(F.col("unit") == unit, F.col("spans")), True)
+    return found.groupBy("doc_id").agg(of(1).alias("spans"), of(WORD).alias("runs"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT_BYTES, words: int | None = None) -> DataFrame:
     """Each text without the bytes of long strings that start anywhere else too.
 
     Returns one row for each input row: ``doc_id, n_bytes, n_removed, n_spans,
@@ -340,9 +342,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the input.  Null text counts as empty; texts shorter than ``repeat`` stay
     whole; matches never cross documents.  Rows that repeat an id and its
     text repeat each other and lose the same ranges.
+
+    With ``words`` there is ``n_passage_words`` too: the words in runs of so
+    many that start elsewhere too, which stay in the text.
     """
     docs = keyed_by_text(docs, id_col, text_col)
-    return unkeyed(cut_spans(docs, repeated_spans(docs, repeat=repeat)))
+    found = _per_doc(repeated_spans(docs, _kinds(repeat, words)))
+    joined = packed(docs).join(found, "doc_id", "left").select("doc_id", "text", "spans", "runs")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *(["n_passage_words"] if words is not None else [])]
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            sizes, removed, count, kept, passages = [], [], [], [], []
+            for data, spans, runs in zip(unpacked(batch.column("text")), batch.column("spans"), batch.column("runs"), strict=True):
+                gone = [(x["begin"], x["end"]) for x in spans.as_py() or ()]
+                sizes.append(len(data))
+                removed.append(sum(b - a for a, b in gone))
+                count.append(len(gone))
+                kept.append(b"".join(data[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(data)], strict=True)))
+                passages.append(sum(x["end"] - x["begin"] for x in runs.as_py() or ()))
+            numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, count)]
+            columns = [batch.column("doc_id"), *numbers, pa.array(kept, pa.binary()), pa.array(passages, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return unkeyed(joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary" + (", n_passage_words long" if words is not None else "")))
 
 
 def replace_texts(
@@ -357,11 +383,7 @@ def replace_texts(
     null.
     """
     keyed = keyed_by_text(docs, id_col, text_col)
-    spans = repeated_spans(keyed, repeat=repeat)
-    runs = spans.limit(0) if words is None else repeated_spans(keyed, repeat=words, gram=min(GRAM_WORDS, words - 1), unit=WORD)
-    none = F.lit(None).cast(spans.schema["spans"].dataType)
-    both = spans.select("doc_id", "spans", none.alias("runs")).unionByName(runs.select("doc_id", none.alias("spans"), F.col("spans").alias("runs")))
-    spans = both.groupBy("doc_id").agg(F.first("spans", True).alias("spans"), F.first("runs", True).alias("runs"))
+    spans = _per_doc(repeated_spans(keyed, _kinds(repeat, words)))
     named = (F.col("doc_id")["id"].alias("_lexstrata_id"), F.col("doc_id")["print"].alias("_lexstrata_print"))
     spans = spans.select(*named, F.col("spans").alias("_lexstrata_spans"), F.col("runs").alias("_lexstrata_runs"))
     fits = docs[id_col].eqNullSafe(spans["_lexstrata_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == spans["_lexstrata_print"])
@@ -372,7 +394,7 @@ def replace_texts(
     def cut(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts, sizes = batch.column(text_col).to_pylist(), batch.column(count_col).to_pylist() if counts else None
             for r, found in enumerate(zip(batch.column("_lexstrata_spans"), batch.column("_lexstrata_runs"), strict=True)):
                 found, runs = (x.as_py() or [] for x in found)
@@ -381,7 +403,7 @@ def replace_texts(
                 data, kept, begin = texts[r].encode("utf-8", "surrogatepass"), [], 0
                 ranges = [(x["begin"], x["end"]) for x in found]
                 if runs:
-                    first, behind = word_places(data)
+                    first, behind, _ = word_edges(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
                     ranges += [(int(first[x["begin"]]), int(behind[x["end"] - 1])) for x in runs]
                 for a, b in sorted(ranges):
                     a = max(a, begin)  # ranges of bytes and of words may overlap

@@ -5,8 +5,8 @@ a ball tree.  A ball with centre c and radius r holds no vector whose inner
 product with q exceeds q.c + r|q|, so a search takes the balls by that bound
 and leaves out all that can't reach the k-th score found so far.  That score
 is shared: every query first searches the shard of its own pivot, then goes
-to the other shards with the score it has, and shards that a task searches
-one after another pass on what they raised it to.
+to the shards of those cells that can reach the score it has, and shards that
+a task searches one after another pass on what they raised it to.
 """
 
 from __future__ import annotations
@@ -122,32 +122,69 @@ class Top:
                 self.floor[q], self.floor_id[q] = s[best[-1]], v[best[-1]]
 
 
-def _pivots(points: DataFrame) -> np.ndarray:
-    """Far-apart rows of a bounded sample, chosen greedily."""
+def _pivots(points: DataFrame) -> dict[int, np.ndarray]:
+    """For each length of a bounded sample far-apart rows of it, chosen greedily."""
     sample = points.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
-    if not sample:
-        return np.zeros((1, 1))
-    rows = np.array([r["v"] for r in sample], np.float64)
-    chosen, far = [0], ((rows - rows[0]) ** 2).sum(axis=1)
-    while len(chosen) < PIVOTS and far.max() > 0:
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, ((rows - rows[chosen[-1]]) ** 2).sum(axis=1))
-    return rows[chosen]
+    out = {}
+    for width in {len(r["v"]) for r in sample}:
+        rows = np.array([r["v"] for r in sample if len(r["v"]) == width], np.float64)
+        chosen, far = [0], ((rows - rows[0]) ** 2).sum(axis=1)
+        while len(chosen) < PIVOTS and far.max() > 0:
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, ((rows - rows[chosen[-1]]) ** 2).sum(axis=1))
+        out[width] = rows[chosen]
+    return out
 
 
-def _with_cell(points: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _pivots_of(pivots: dict[int, np.ndarray], width: int) -> np.ndarray:
+    """A length that the sample does not hold has one cell around the origin."""
+    return pivots.get(width, np.zeros((1, width)))
+
+
+def _with_cell(points: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``vec_id, v, cell, far``: the cell of the nearest pivot of the same length, and the distance to it."""
+
     def nearest(batches):
         import pyarrow as pa
 
-        half = (pivots**2).sum(axis=1) / 2
         for batch in batches:
-            if batch.num_rows:
-                cell = (_matrix(batch.column("v")) @ pivots.T - half).argmax(axis=1)
+            widths = batch.column("v").value_lengths().to_numpy()
+            for width in np.unique(widths).tolist():
+                mine = batch.take(pa.array(np.flatnonzero(widths == width)))
+                v, own = _matrix(mine.column("v")), _pivots_of(pivots, width)
+                at = (v @ own.T - (own**2).sum(axis=1) / 2).argmax(axis=1)
+                far = np.sqrt(((v - own[at]) ** 2).sum(axis=1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32))], names=["vec_id", "v", "cell"]
+                    [mine.column("vec_id"), mine.column("v"), pa.array(at + width * PIVOTS), pa.array(far)], names=["vec_id", "v", "cell", "far"]
                 )
 
-    return points.mapInArrow(nearest, "vec_id long, v array<double>, cell int")
+    return points.mapInArrow(nearest, "vec_id long, v array<double>, cell long, far double")
+
+
+def _with_reachable(queries: DataFrame, pivots: dict[int, np.ndarray], cells: dict[int, tuple[float, int]]) -> DataFrame:
+    """``queries`` with ``cells``, those of the same length that can hold a vector as good as the score they have.
+
+    ``cells`` has the radius around the pivot and the smallest id of each.
+    """
+
+    def reached(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            widths = batch.column("v").value_lengths().to_numpy()
+            for width in np.unique(widths).tolist():
+                mine = batch.take(pa.array(np.flatnonzero(widths == width)))
+                own = np.array([c for c in cells if c // PIVOTS == width], np.int64)
+                v, floor, floor_id = _matrix(mine.column("v")), mine.column("floor").to_numpy(), mine.column("floor_id").to_numpy()
+                if not len(own):
+                    continue
+                centre, (radius, low) = _pivots_of(pivots, width)[own % PIVOTS], np.array([cells[c] for c in own.tolist()]).T
+                bound = v @ centre.T + np.sqrt((v**2).sum(axis=1))[:, None] * (radius * (1 + 1e-9) + 1e-6) * (1 + 1e-9) + 1e-3
+                fit = (bound > floor[:, None]) | ((bound + 1 > floor[:, None]) & (low <= floor_id[:, None]))
+                lists = pa.array([own[f].tolist() for f in fit], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*mine.columns, lists], names=[*mine.schema.names, "cells"])
+
+    return queries.mapInArrow(reached, "vec_id long, v array<double>, floor double, floor_id long, cells array<long>")
 
 
 def _shards(points: DataFrame) -> DataFrame:
@@ -157,7 +194,7 @@ def _shards(points: DataFrame) -> DataFrame:
     near ``SHARD_ROWS`` rows, so copies of one vector never meet in one task.
     """
     sizes = points.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / SHARD_ROWS)).cast("int").alias("parts"))
-    dealt = points.join(F.broadcast(sizes), "cell")  # one row for each of the PIVOTS cells
+    dealt = points.join(sizes, "cell")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
 
     def packed(batches):
@@ -166,7 +203,7 @@ def _shards(points: DataFrame) -> DataFrame:
         def row(key, ids, rows):
             ids, rows = np.concatenate(ids), np.concatenate(rows)
             return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([rows.astype("<f8").tobytes()])],
+                [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([rows.astype("<f8").tobytes()])],
                 names=["cell", "part", "ids", "rows"],
             )
 
@@ -175,7 +212,7 @@ def _shards(points: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             cells, parts = batch.column("cell").to_numpy(), batch.column("part").to_numpy()
-            v, n = _matrix(batch.column("v")), batch.column("vec_id").to_numpy()
+            v, n = batch.column("v"), batch.column("vec_id").to_numpy()
             cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(parts) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(cells)], strict=True):
                 if key is not None and key != (cells[a], parts[a]):
@@ -183,12 +220,12 @@ def _shards(points: DataFrame) -> DataFrame:
                     ids, rows = [], []
                 key = (int(cells[a]), int(parts[a]))
                 ids.append(n[a:b])
-                rows.append(v[a:b])
+                rows.append(_matrix(v.slice(a, b - a)))
         if key is not None:
             yield row(key, ids, rows)
 
     return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(
-        packed, "cell int, part int, ids binary, rows binary"
+        packed, "cell long, part int, ids binary, rows binary"
     )
 
 
@@ -203,7 +240,7 @@ def _blocks(queries: DataFrame, key: str) -> DataFrame:
         def row(k):
             own, v, floor, floor_id = (np.concatenate(x) for x in held.pop(k))
             return pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), *(pa.array([x.astype(t).tobytes()]) for x, t in ((own, "<i8"), (v, "<f8"), (floor, "<f8"), (floor_id, "<i8")))],
+                [pa.array([k], pa.int64()), *(pa.array([x.astype(t).tobytes()]) for x, t in ((own, "<i8"), (v, "<f8"), (floor, "<f8"), (floor_id, "<i8")))],
                 names=["cell", "own", "v", "floor", "floor_id"],
             )
 
@@ -211,19 +248,18 @@ def _blocks(queries: DataFrame, key: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             cells = batch.column(key).to_numpy()
-            cols = [batch.column("vec_id").to_numpy(), _matrix(batch.column("v")), batch.column("floor").to_numpy(), batch.column("floor_id").to_numpy()]
             for k in np.unique(cells).tolist():
-                mine = np.flatnonzero(cells == k)
-                for at in range(0, len(mine), QUERY_BLOCK):
-                    some = mine[at : at + QUERY_BLOCK]
+                mine = batch.take(pa.array(np.flatnonzero(cells == k)))
+                cols = [mine.column("vec_id").to_numpy(), _matrix(mine.column("v")), mine.column("floor").to_numpy(), mine.column("floor_id").to_numpy()]
+                for at in range(0, len(cols[0]), QUERY_BLOCK):
                     for lists, x in zip(held.setdefault(k, ([], [], [], [])), cols, strict=True):
-                        lists.append(x[some])
+                        lists.append(x[at : at + QUERY_BLOCK])
                     if sum(map(len, held[k][0])) >= QUERY_BLOCK:
                         yield row(k)
         for k in list(held):
             yield row(k)
 
-    return queries.mapInArrow(packed, "cell int, own binary, v binary, floor binary, floor_id binary")
+    return queries.mapInArrow(packed, "cell long, own binary, v binary, floor binary, floor_id binary")
 
 
 def _search(pairs: DataFrame, k: int) -> DataFrame:
@@ -268,14 +304,16 @@ def top_k_inner_product(points: DataFrame, queries: DataFrame, k: int = 5) -> Da
     Both sides are ``vec_id, v`` with whole-number components, as made by
     ``integer_vectors``.  A query never finds its own id; ties go to the
     smaller ``vec_id``; with fewer candidates all are returned; vectors of
-    another length are no candidates.  Rows that repeat an id count as one
+    another length than the query's are no candidates.  Rows that repeat an id count as one
     candidate.  Scores must fit a long.  Empty sides give an empty result.
     """
     points = cut_lineage(points.dropDuplicates(["vec_id"]))
     pivots = _pivots(points)
-    width = pivots.shape[1]
-    shards = cut_lineage(_shards(_with_cell(points.filter(F.size("v") == width), pivots)))
-    asked = _with_cell(queries.dropDuplicates(["vec_id"]).filter(F.size("v") == width), pivots)
+    placed = _with_cell(points, pivots)
+    shards = cut_lineage(_shards(placed))
+    # PIVOTS cells for each length of vectors.
+    cells = {r["cell"]: (r["radius"], r["low"]) for r in placed.groupBy("cell").agg(F.max("far").alias("radius"), F.min("vec_id").alias("low")).collect()}
+    asked = _with_cell(queries.dropDuplicates(["vec_id"]), pivots)
     asked = cut_lineage(asked.withColumns({"floor": F.lit(float("-inf")), "floor_id": F.lit(-1).cast("long")}))
 
     ranked = lambda hits: hits.groupBy("query_id").agg(
@@ -289,13 +327,16 @@ def top_k_inner_product(points: DataFrame, queries: DataFrame, k: int = 5) -> Da
         F.element_at("best", -1)["v"].alias("seed_id"),
     )
     raised = asked.join(seeded, "vec_id", "left").select(
-        "vec_id", "v", F.lit(0).alias("cell"), F.coalesce("seed", "floor").alias("floor"), F.coalesce("seed_id", "floor_id").alias("floor_id")
+        "vec_id", "v", F.coalesce("seed", "floor").alias("floor"), F.coalesce("seed_id", "floor_id").alias("floor_id")
     )
-    # Then every block of queries meets every shard: a block is repeated for each group of shards, not for each row.
+    # Then a query meets the shards of the cells that its score leaves; a block is repeated for each group of shards, not for each row.
     groups = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = _blocks(raised, "cell").withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     grouped = shards.withColumn("_group", F.pmod(F.xxhash64("cell", "part"), F.lit(groups)).cast("int"))
-    hits = _search(blocks.drop("cell").join(grouped, "_group").sortWithinPartitions("cell", "part"), k)
+    asks = _with_reachable(raised, pivots, cells).withColumn("cell", F.explode("cells")).drop("cells").repartition("cell", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
+    # At most PIVOTS times ``groups`` rows for each length of vectors.
+    where = grouped.select("cell", "_group").distinct()
+    blocks = _blocks(asks, "cell").join(where, "cell")
+    hits = _search(blocks.join(grouped, ["cell", "_group"]).sortWithinPartitions("cell", "part"), k)
     best = ranked(hits)
     return best.select("query_id", F.posexplode("best").alias("_at", "_hit")).select(
         "query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_hit")["v"].alias("vec_id"), (-F.col("_hit")["s"]).alias("score")

@@ -53,8 +53,8 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
-        self.tokenizer.encode_special_tokens = True
         self.merge, self.characters = self.tokenizer.model.tokenize, byte_characters()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
@@ -74,6 +74,8 @@ class WordIds(dict):
         return ids
 
     def text(self, text: str) -> bytes:
+        if any(s in text for s in self.special):  # a special token's string may stand within a word
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -139,7 +141,8 @@ class Schedule:
         self.place = {q: i for i, q in enumerate(self.queues)}
         self.total = sum(totals.values())
         left = [totals[q] for q in self.queues]
-        weight = [Fraction(targets.get(q, 0.0)).limit_denominator(10**6) if targets else Fraction(n) for q, n in zip(self.queues, left, strict=True)]
+        exact = lambda x: Fraction(x).limit_denominator(10**6) if isinstance(x, float) else Fraction(x)
+        weight = [exact(targets.get(q, 0)) if targets else Fraction(n) for q, n in zip(self.queues, left, strict=True)]
         if any(w < 0 for w in weight):
             raise ValueError("a target is negative")
         #: For each phase: tokens before it, its tokens, tokens of each queue before it, running sums of its queues.
@@ -184,6 +187,16 @@ class Schedule:
             w, done, below = w + 1, upto, above
 
 
+def smoothed(totals: dict[str, int], power: float) -> dict[str, Fraction]:
+    """Targets that grow about as the ``power`` of a queue's tokens, so that small queues last as long as large ones.
+
+    Queues whose tokens have the same binary logarithm, rounded down, keep
+    their own proportions and end together, so there are at most some sixty
+    phases, however many queues there are.
+    """
+    return {q: Fraction(n) * Fraction(round(2.0 ** (40 + (power - 1) * (n.bit_length() - 1))), 1 << 40) for q, n in totals.items()}
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -193,6 +206,7 @@ def pack(
     window: int = WINDOW,
     end_id: int = END_ID,
     targets: dict[str, float] | None = None,
+    power: float | None = None,
 ) -> DataFrame:
     """Pieces of documents in windows of ``window`` tokens.
 
@@ -201,7 +215,10 @@ def pack(
     queue``.  A document is its ids and ``end_id``; null text is empty and
     has that id alone.  A null source is the queue with the empty name.  All
     windows but the last are full, so less than one window of padding is
-    needed in all.  Repeated rows are packed as often as they stand there.
+    needed in all.  Windows hold the queues in the proportions ``targets``, or
+    ``smoothed`` by ``power``, until a queue ends; without either in those of
+    the corpus.  The strings of special tokens in a text are those tokens, as
+    the tokenizer has them by itself.  Repeated rows are packed as often as they stand there.
     """
     path = tokenizer_path or default_tokenizer_path()
     kind = id_width(path)
@@ -217,7 +234,7 @@ def pack(
     order = Window.partitionBy("lane").orderBy("block", "queue")
     offsets = cut_lineage(blocks.withColumn("lane", queue).withColumn("base", F.sum("n").over(order) - F.col("n")))
     totals = {r["lane"]: int(r["n"]) for r in offsets.groupBy("lane").agg(F.sum("n").alias("n")).collect()}  # MOST_QUEUES rows at most
-    schedule = Schedule(totals, targets)
+    schedule = Schedule(totals, targets if targets or power is None else smoothed(totals, power))
     small = offsets.select("queue", "block", "lane", "base")
     if small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)

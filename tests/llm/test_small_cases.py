@@ -145,14 +145,15 @@ def test_components(spark):
     assert got == {n: find(n) for n in root}
 
 
-def test_packing(spark, texts):
+@pytest.mark.parametrize("power", [None, 0.7])
+def test_packing(spark, texts, power):
+    texts = [*texts, (700, "a <|endoftext|> b"), (701, "x<|startoftext|>y<|ENDOFTEXT|> <|endoftext|"), (702, "<|endoftext|><|startoftext|>")]
     docs = make(spark, texts)
     path = packing.default_tokenizer_path()
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    pieces = packing.with_checksums(packing.pack(docs, window=256)).collect()
+    pieces = packing.with_checksums(packing.pack(docs, window=256, power=power)).collect()
     by_window, by_doc = {}, {}
     for p in pieces:
         by_window.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
@@ -184,6 +185,19 @@ def test_mixture_follows_targets():
     assert [schedule.had(j, 160_000) for j in range(3)] == [100_000, 50_000, 10_000]
 
 
+def test_smoothed_mixture():
+    """Small queues get more than their part of the corpus, windows stay full, and nothing is left over."""
+    totals = {"a": 700_001, "b": 90_000, "c": 4_321, "d": 1}
+    schedule = packing.Schedule(totals, packing.smoothed(totals, 0.7))
+    assert len(schedule.phases) <= 4
+    first = [schedule.had(j, 4096) for j in range(4)]
+    assert sum(first) == 4096 and first[1] / 4096 > 1.3 * 90_000 / sum(totals.values()) and first[2] / 4096 > 2 * 4_321 / sum(totals.values())
+    weights = packing.smoothed(totals, 0.7)
+    live = sum(weights.values())
+    assert all(abs(x - 4096 * weights[q] / live) <= 2 for x, q in zip(first[:3], "abc", strict=True))
+    assert [schedule.had(j, sum(totals.values())) for j in range(4)] == list(totals.values())
+
+
 def test_byte_bpe_equals_the_library(spark, texts):
     import public_tokenizers
     import tiktoken
@@ -261,32 +275,58 @@ def test_gear_chunks(spark, texts):
         assert not ends or (ends[-1] == len(data) and all(0 < b - a <= gear_chunks.MOST for a, b in zip([0, *ends], ends, strict=False)))
         for a, b in zip([0, *ends], ends, strict=False):
             data[a:b].tobytes().decode()
+    assert_gear(spark, texts)
+    late = [r for r in gear_chunks.substring_dedup(make(spark, texts)).collect() if r["doc_id"] in (81, 82, 83, 84)]
+    assert all(r["n_removed"] > 200 for r in late)
+
+
+def assert_gear(spark, texts):
+    """Row by row: chunks and their first places in the order of id, print and place, runs, equal bytes around them."""
     found = gear_chunks.substring_dedup(make(spark, texts)).collect()
     assert len(found) == len(texts)
-    # The same rule, row by row, in the order of id, print and place.
-    first = {}
+    first, data = {}, {}
     docs = make(spark, texts).select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("p")).collect()
-    order = sorted(docs, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["p"]))
-    for r in order:
-        data, start = (r["text"] or "").encode(), 0
-        for end in gear_chunks.cuts(np.frombuffer(data, np.uint8)):
-            first.setdefault(data[start:end], (r["doc_id"], r["p"], start))
+    places = {}
+    for r in sorted(docs, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["p"])):
+        key = (r["doc_id"], r["p"])
+        data[key], start, places[key] = (r["text"] or "").encode(), 0, []
+        for end in gear_chunks.cuts(np.frombuffer(data[key], np.uint8)):
+            first.setdefault(data[key][start:end], (key, start))
+            places[key].append((start, end))
             start = end
     want = []
     for r in docs:
-        data, start, runs = (r["text"] or "").encode(), 0, []
-        for end in gear_chunks.cuts(np.frombuffer(data, np.uint8)):
-            if first[data[start:end]] != (r["doc_id"], r["p"], start):
-                if runs and runs[-1][1] == start:
-                    runs[-1][1] = end
-                else:
-                    runs.append([start, end])
-            start = end
-        runs = [x for x in runs if x[1] - x[0] >= gear_chunks.RUN_BYTES]
-        want.append((len(data), sum(b - a for a, b in runs), len(runs)))
-    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in found) == sorted(want)
-    late = [r for r in found if r["doc_id"] in (81, 82, 83, 84)]
-    assert all(r["n_removed"] > 200 for r in late)
+        key = (r["doc_id"], r["p"])
+        d, runs = data[key], []
+        for start, end in places[key]:
+            f, at = first[d[start:end]]
+            if (f, at) == (key, start):
+                continue
+            if runs and runs[-1][1] == start and runs[-1][2] == f and runs[-1][3] + start - runs[-1][0] == at:
+                runs[-1][1] = end
+            else:
+                runs.append([start, end, f, at])
+        gone = np.zeros(len(d) + 1, bool)
+        joints = set()
+        for begin, end, f, at in runs:
+            o, a, b, far = data[f], begin, end, at + end - begin
+            while a > 0 and begin - a < gear_chunks.REACH and at - (begin - a) > 0 and d[a - 1] == o[at - (begin - a) - 1]:
+                a -= 1
+            while b < len(d) and b - end < gear_chunks.REACH and far + b - end < len(o) and d[b] == o[far + b - end]:
+                b += 1
+            while a < begin and d[a] & 0xC0 == 0x80:
+                a += 1
+            while end < b < len(d) and d[b] & 0xC0 == 0x80:
+                b -= 1
+            gone[a:b] = True
+            joints.add((a, b))
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)))
+        spans = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= gear_chunks.MIN_BYTES or len(d[a:b].split()) >= gear_chunks.MIN_WORDS]
+        kept = bytes(d)
+        for a, b in reversed(spans):
+            kept = kept[:a] + kept[b:]
+        want.append((-1 if r["doc_id"] is None else r["doc_id"], len(d), sum(b - a for a, b in spans), len(spans), kept))
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found) == sorted(want)
 
 
 def test_ball_tree(spark, monkeypatch):
@@ -306,6 +346,15 @@ def test_ball_tree(spark, monkeypatch):
         assert sorted(got.pop(q)) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert not got
     assert balltree.top_k_inner_product(points.limit(0), points.limit(0)).count() == 0
+    mixed = [(i, [float(x) for x in r.normal(size=3 if i % 3 else 2 if i % 2 else 7)]) for i in range(300)]
+    other = balltree.integer_vectors(spark.createDataFrame([(*x, 1, 2.0, "c") for x in mixed], "vec_id long, embedding array<float>, cell int, far double, part string"))
+    ints = {x["vec_id"]: np.array(x["v"], np.int64) for x in other.collect()}
+    got = {}
+    for x in balltree.top_k_inner_product(other, other.filter("vec_id % 10 = 0")).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    for q in range(0, 300, 10):
+        best = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     few = points.filter("vec_id in (0, 1, 2)")
     assert balltree.top_k_inner_product(few, few.filter("vec_id = 0")).count() == 2
 
@@ -418,10 +467,8 @@ def test_repeated_rows_stand_once(spark, tmp_path):
     assert exact_dedup.drop_repeated_rows(single).collect() == single.collect()
 
 
-@pytest.mark.parametrize("reach", [256, 2])
-def test_gear_passages_are_whole(spark, reach, monkeypatch):
-    """A later passage goes to its ends, where it holds a shared chunk, although whole chunks do not cover it; the first stays."""
-    monkeypatch.setattr(gear_chunks.repeated_passages, "__defaults__", (gear_chunks.RUN_BYTES, reach))
+def test_gear_passages_are_whole(spark):
+    """A later passage of over 50 words goes to its ends, although whole chunks do not cover it; the first stays."""
     r = random.Random(13)
     word = lambda: "".join(r.choice("abcdefghijklmnopé漢") for _ in range(r.randint(3, 8)))
     prose = lambda n: " ".join(word() for _ in range(n))
@@ -429,27 +476,14 @@ def test_gear_passages_are_whole(spark, reach, monkeypatch):
     for i in range(40):
         passages.append(f"§{prose(51)}§")
         rows += [(i, prose(20) + "à" + passages[i] + "b" + prose(20)), (100 + i, prose(25) + "á" + passages[i] + "c" + prose(15))]
-    rows += [(200, None), (201, ""), (202, passages[0] * 12), (203, passages[0] * 12)]
-    docs = make(spark, rows)
-    found = {x["doc_id"]: x for x in gear_chunks.substring_dedup(docs, extend=True).collect()}
-    part = {x["doc_id"]: x["n_removed"] for x in gear_chunks.substring_dedup(docs).collect()}
+    short = [prose(40) for _ in range(10)]
+    rows += [(300 + i, f"{prose(20)} x{x}y {prose(20)}") for i, x in enumerate(short)] + [(400 + i, f"{prose(20)} z{x}w {prose(20)}") for i, x in enumerate(short)]
+    rows += [(200, None), (201, ""), (202, passages[0] * 12), (203, passages[0] * 12), (204, "é" * 40_000), (205, prose(8000)), (205, prose(5)), (206, "b" + "ab " * 9000)]
+    found = {x["doc_id"]: x for x in gear_chunks.substring_dedup(make(spark, rows)).collect()}
     texts = dict(rows)
-
-    def chunks(text):
-        data, start = text.encode(), 0
-        for end in gear_chunks.cuts(np.frombuffer(data, np.uint8)):
-            yield data[start:end]
-            start = end
-
-    shared = 0
     for i, passage in enumerate(passages):
         assert bytes(found[i]["kept"]).decode() == texts[i]
-        kept = bytes(found[100 + i]["kept"]).decode()
-        if set(chunks(texts[i])) & set(chunks(texts[100 + i])):
-            shared += 1
-            assert kept == texts[100 + i].replace(passage, "")
-            assert part[100 + i] < found[100 + i]["n_removed"]
-        else:
-            assert kept == texts[100 + i]
-    assert shared >= 30
+        assert bytes(found[100 + i]["kept"]).decode() == texts[100 + i].replace(passage, "")
+    assert all(found[i]["n_removed"] == 0 for i in range(300, 310)) and all(found[i]["n_removed"] == 0 for i in range(400, 410))
     assert bytes(found[203]["kept"]) == b"" and found[200]["n_bytes"] == found[201]["n_bytes"] == 0
+    assert_gear(spark, rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -46,6 +47,16 @@ def token_estimate(text: Column) -> Column:
     return F.when(F.length(solid) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), total)).cast("long")
 
 
+_CJK_CHARACTERS = re.compile(f"[{CJK.encode().decode('unicode_escape')}]")
+
+
+def token_count(text: str) -> int:
+    """``token_estimate`` of one text."""
+    solid = "".join(text.split())
+    ascii_n, cjk_n = sum(c < "\x80" for c in solid), len(_CJK_CHARACTERS.findall(solid))
+    return max(1, -(-ascii_n // 4) + cjk_n + -(-(len(solid) - ascii_n - cjk_n) // 2)) if solid else 0
+
+
 def sentences(text: Column, stops: str = CJK_STOPS) -> Column:
     """Sentences, each with its stop, without empty ones."""
     return F.filter(F.transform(F.split(text, f"(?<=[{stops}])"), lambda x: F.trim(x)), lambda s: s != "")
@@ -66,9 +77,24 @@ def mapped_terms(text: Column, rules: list[tuple[str, str, int]]) -> Column:
 
 
 def split_questions(text: Column) -> Column:
-    """The parts of a compound question, each with a question mark."""
-    parts = F.filter(F.transform(F.split(text, "[?？。;；\\n]+"), lambda x: F.trim(x)), lambda p: p != "")
-    return F.transform(parts, lambda p: F.concat(p, F.lit("?")))
+    """The parts of a compound question, each with a question mark.
+
+    Where several subjects are asked about "分别" (each), every subject gets
+    the whole question; else the parts are what stops and line feeds part.
+    A text of stops alone stays as it is.
+    """
+    whole = F.regexp_replace(F.trim(text), "[？?]$", "")
+    each = "^(.+?)[，,](.+?)(应?)(?:分别|各自)(.+)$"
+    same = "^(.+?)[，,]\\s*(应?)分别(.+)$"
+    part = lambda pattern, n: F.trim(F.regexp_extract(whole, pattern, n))
+    full = lambda parts: F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    subjects = full(F.split(part(each, 2), "和|与|及|、"))
+    one = F.transform(subjects, lambda x: F.concat(part(each, 1), F.lit("，"), x, part(each, 3), part(each, 4), F.lit("？")))
+    clauses = full(F.split(F.regexp_replace(part(same, 1), "^.*?同时存在", ""), "且|和|与|及|、"))
+    two = F.transform(clauses, lambda x: F.concat(x, part(same, 2), part(same, 3), F.lit("？")))
+    parts = full(F.split(text, "[?？。;；\\n]+"))
+    plain = F.when(F.size(parts) > 0, F.transform(parts, lambda p: F.concat(p, F.lit("？")))).otherwise(F.array(text))
+    return F.when(text.isNull(), None).when(whole.rlike(each) & (F.size(subjects) > 1), one).when(whole.rlike(same) & (F.size(clauses) > 1), two).otherwise(plain)
 
 
 def without_citations(text: Column) -> Column:
@@ -76,9 +102,17 @@ def without_citations(text: Column) -> Column:
 
 
 def json_payload(text: Column) -> Column:
-    """The outermost object of an answer that may be fenced; null without one."""
+    """The outermost object or list of an answer that may be fenced; null without one."""
     bare = F.regexp_replace(text, r"(?m)^\s*```[a-zA-Z]*\s*$", "")
-    return F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
+    found = lambda pattern: F.nullif(F.regexp_extract(bare, pattern, 1), F.lit(""))
+    return F.coalesce(found(r"(?s)([{\[].*[}\]])"), found(r"(?s)([{\[].*)"))
+
+
+def json_list(text: Column) -> Column:
+    """The strings of an answer that is a list; empty for anything else."""
+    payload = json_payload(text)
+    listed = F.when(payload.startswith("["), F.from_json(payload, "array<string>"))
+    return F.coalesce(listed, F.array().cast("array<string>"))
 
 
 def rendered(template: str, values: dict[str, Column]) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexstrata.functions.splitting import bounded_pieces, cut_pieces
-from lexstrata.functions.text import words
+from lexstrata.functions.text import token_count, words
+from lexstrata.sources.parsers import markdown_blocks
 
 
 @dataclass(frozen=True)
@@ -73,11 +74,27 @@ def table_groups(headers: list[str], rows: list[list[str]], budget: Budget) -> l
 
 
 def html_table_groups(html: str, budget: Budget) -> list[str]:
-    """Pieces of an HTML table by rows, each with the first row again."""
-    rows = [re.sub(r'\s+colspan="?1"?', "", r) for r in re.findall(r"(?is)<tr\b.*?</tr>", html)]
-    if not rows:
+    """Pieces of an HTML table by rows, each with its opening tag and the first row again.
+
+    Spans of one cell go.  A table within the tolerance and the row limit
+    stays whole, and so does one of fewer than two rows.
+    """
+    html = re.sub(r"""(?i)\s+(?:colspan|rowspan)\s*=\s*(["']?)1\1(?=[\s/>])""", "", html)
+    rows = re.findall(r"(?is)<tr\b[^>]*>.*?</tr>", html)
+    if len(rows) < 2:
         return [html]
-    return ["<table>" + rows[0] + "".join(g) + "</table>" for g in greedy(rows[1:], max(1, budget.max_chars - len(rows[0])), "")] or ["<table>" + rows[0] + "</table>"]
+    opening = html[: html.index(">") + 1]
+    whole = len(rows) - 1 <= budget.rows_per_chunk and len(html) <= budget.tolerance
+    room = (budget.tolerance if whole else budget.max_chars) - len(opening) - len("</table>") - len(rows[0])
+    groups: list[list[str]] = [[]]
+    size = 0
+    for row in rows[1:]:
+        if groups[-1] and (len(groups[-1]) >= budget.rows_per_chunk or size + len(row) > room):
+            groups.append([])
+            size = 0
+        groups[-1].append(row)
+        size += len(row)
+    return [f"{opening}{rows[0]}{''.join(g)}</table>" for g in groups]
 
 
 def code_groups(code: str, language: str | None, budget: Budget) -> list[str]:
@@ -114,56 +131,130 @@ def outline_after(outline: list[tuple[int, str]], level: int, title: str) -> lis
     return [x for x in outline if x[0] < level] + [(level, title)]
 
 
-def pack_blocks(blocks: list[dict], budget: Budget) -> list[dict]:
-    """Chunks of one document.
+@dataclass(frozen=True)
+class Draft:
+    """A part of a document before packing; ``piece`` tells that its block was cut."""
+
+    kind: str
+    outline: tuple[str, ...]
+    content: str
+    embed: str
+    heading: bool = False
+    piece: bool = False
+
+
+JOINT = "\n\n"
+
 
-    A heading opens a section.  Pieces join while they fit; a piece that
-    ends in a colon goes with what it leads in; a short last piece of a
-    section joins the one before; the outline of a chunk is what the outlines
-    of its pieces have in common.
+def _size(parts: list[Draft]) -> int:
+    return sum(len(d.content) for d in parts) + len(JOINT) * max(0, len(parts) - 1)
+
+
+def _merged(parts: list[Draft]) -> Draft:
+    """Parts as one, under the outline that all of them have in common."""
+    if len(parts) == 1:
+        return parts[0]
+    shared = parts[0].outline
+    for d in parts:
+        n = next((i for i, (a, b) in enumerate(zip(shared, d.outline, strict=False)) if a != b), min(len(shared), len(d.outline)))
+        shared = shared[:n]
+    kind = next((d.kind for d in parts if d.kind != "heading"), "heading")
+    return Draft(kind, shared, JOINT.join(d.content for d in parts), JOINT.join(d.embed for d in parts), any(d.heading for d in parts))
+
+
+def packed_drafts(drafts: list[Draft], budget: Budget) -> list[Draft]:
+    """Drafts joined to chunks.
+
+    A heading begins a section.  A section within the tolerance is not cut:
+    it joins what is held while both fit the budget, or the tolerance where
+    less than a quarter of the budget is held.  In a longer section drafts
+    join while they fit; a piece of a cut block, or a draft as long as the
+    budget, is a chunk of its own with the drafts right before it that lead
+    in to it.  What is left over goes on to the next section.  A chunk of
+    less than a quarter of the budget joins the one before it, within the
+    tolerance.
     """
-    pieces, outline = [], []
-    for block in blocks:
-        if block["kind"] == "heading":
-            outline = outline_after(outline, int(block["level"]), block["text"])
-        for content, embed in block_pieces(block, budget):
-            if content.strip():
-                pieces.append((block["kind"], [x for _, x in outline], content, embed))
-    chunks: list[dict] = []
-    for kind, path, content, embed in pieces:
-        last = chunks[-1] if chunks else None
-        if last is not None:
-            small = len(content) < budget.max_chars // 4 and kind not in ("heading",)
-            leads = last["content"].rstrip().endswith((":", "：")) or last["kind"] == "heading"
-            room = budget.tolerance if leads and last["size"] == 1 else budget.max_chars + (budget.max_chars // 4 if small else 0)
-            fresh = kind == "heading" and last["size"] > 1 and len(last["content"]) >= budget.max_chars // 4
-            if not fresh and len(last["content"]) + 2 + len(content) <= room:
-                shared = [a for a, b in zip(last["outline"], path, strict=False) if a == b] if not leads else path
-                last.update(content=last["content"] + "\n\n" + content, embed=last["embed"] + "\n\n" + embed, outline=shared, size=last["size"] + 1)
-                if last["kind"] == "heading":
-                    last["kind"] = kind
+    if len(drafts) < 2:
+        return list(drafts)
+    most, tolerance = budget.max_chars, budget.tolerance
+    least = max(1, most // 4)
+    out: list[Draft] = []
+    held: list[Draft] = []
+
+    def land(parts):
+        if not parts:
+            return
+        chunk = _merged(parts)
+        if out and len(chunk.content) < least and len(out[-1].content) + len(JOINT) + len(chunk.content) <= tolerance:
+            out[-1] = _merged([out[-1], chunk])
+        else:
+            out.append(chunk)
+
+    sections: list[list[Draft]] = []
+    for d in drafts:
+        if not sections or d.heading:
+            sections.append([])
+        sections[-1].append(d)
+    for section in sections:
+        whole = _size(section)
+        if whole <= tolerance:
+            if held and _size(held) + len(JOINT) + whole > (tolerance if _size(held) < least else most):
+                land(held)
+                held = []
+            held = held + section
+            if _size(held) > most:
+                land(held)
+                held = []
+            continue
+        for d in section:
+            if d.piece or len(d.content) >= most:
+                lead, size = [], 0
+                while held and size + len(JOINT) + len(held[-1].content) <= most:
+                    size += len(JOINT) + len(held[-1].content)
+                    lead.insert(0, held.pop())
+                if len(d.content) + size > tolerance:
+                    held, lead = held + lead, []
+                land(held)
+                out.append(_merged([*lead, d]))
+                held = []
                 continue
-        chunks.append({"kind": kind, "outline": path, "content": content, "embed": embed, "size": 1})
-    return chunks
+            if held and _size(held) + len(JOINT) + len(d.content) > most:
+                land(held)
+                held = []
+            held.append(d)
+    land(held)
+    return out
 
 
-def chunk_blocks(blocks: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """Chunks of every document of a block table, in ``CHUNK_SCHEMA``.
+def pack_blocks(blocks: list[dict], budget: Budget) -> list[Draft]:
+    """Chunks of one document's blocks; blank pieces go."""
+    drafts, outline = [], []
+    for block in blocks:
+        heading = block["kind"] == "heading"
+        if heading:
+            outline = outline_after(outline, int(block["level"]), block["text"])
+        pieces = block_pieces(block, budget)
+        path = tuple(x for _, x in outline)
+        drafts += [Draft(block["kind"], path, content, embed, heading, len(pieces) > 1) for content, embed in pieces if content.strip()]
+    return packed_drafts(drafts, budget)
 
-    Blocks of a document are ordered by ``block_index``; a document's own
-    blocks meet in one task, and only those.
-    """
 
-    def packed(frame):
+def chunk_documents(docs: DataFrame, budget: Budget = Budget(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks of every Markdown or plain text, in ``CHUNK_SCHEMA``: parsed and packed in one pass, without a shuffle."""
+    names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
+    empty = dict.fromkeys(("level", "text", "items", "ordered", "headers", "rows", "language"))
+
+    def packed(batches):
         import pandas as pd
 
-        rows = frame.sort_values("block_index").to_dict("records")
-        out = [
-            (int(rows[0]["doc_id"]), i, c["kind"], c["outline"], c["content"], with_outline(c["outline"], c["embed"])) for i, c in enumerate(pack_blocks(rows, budget))
-        ]
-        return pd.DataFrame(out, columns=["doc_id", "chunk_index", "kind", "outline", "content", "embedding_text"])
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                chunks = pack_blocks([empty | b for b in markdown_blocks(text or "")], budget)
+                out += [(doc, i, c.kind, list(c.outline), c.content, with_outline(list(c.outline), c.embed)) for i, c in enumerate(chunks)]
+            yield pd.DataFrame(out, columns=names)
 
-    return blocks.groupBy("doc_id").applyInPandas(packed, CHUNK_SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(packed, CHUNK_SCHEMA)
 
 
 def with_outline(outline: list[str], body: str) -> str:
@@ -207,42 +298,68 @@ def range_label(markers: Column) -> Column:
     return F.when(F.size(d) == 0, F.lit("")).when(F.size(d) == 1, d[0]).otherwise(F.concat(d[0], F.lit("~"), F.element_at(d, -1)))
 
 
-CLAUSE_CHUNKS = "doc_id long, clause_no string, part int, n_parts int, content string, chunk_id string"
+CLAUSE_CHUNKS = "doc_id long, clause_id long, clause_no string, part int, n_parts int, marks string, content string, chunk_id string"
+_SENTENCE = re.compile("(?<=[。！？!?；;])")
+
+
+def clause_units(children: list[tuple[str | None, str]], most_tokens: int) -> list[tuple[str | None, str]]:
+    """``marker, text`` of a clause's lines; a line over the limit is one unit for each sentence, with its marker."""
+    shown = lambda marker, text: f"{marker} {text.strip()}" if marker and marker.strip() else text.strip()
+    out = []
+    for marker, text in children:
+        parts = [x.strip() for x in _SENTENCE.split(text.strip()) if x.strip()] if token_count(shown(marker, text)) > most_tokens else []
+        out += [(marker, shown(marker, x)) for x in (parts if len(parts) > 1 else [text])]
+    return out
+
+
+def packed_units(units: list[tuple[str | None, str]], most_tokens: int) -> list[list[tuple[str | None, str]]]:
+    """Units joined up to the limit; one over the limit ends its group."""
+    groups: list[list] = [[]]
+    size = 0
+    for unit in units:
+        n = token_count(unit[1])
+        if groups[-1] and size + n > most_tokens:
+            groups.append([])
+            size = 0
+        groups[-1].append(unit)
+        size += n
+        if n > most_tokens:
+            groups.append([])
+            size = 0
+    return [g for g in groups if g]
 
 
 def clause_chunks(clauses: DataFrame, most_tokens: int = 450) -> DataFrame:
-    """Chunks of clauses ``doc_id, clause_no, title, body``: one for a short clause, else sentences packed to the limit."""
+    """Chunks of clauses as ``structure.clauses`` gives them, with ``title`` and ``standard_no`` of their documents.
 
-    def tokens(text: str) -> int:
-        solid = "".join(text.split())
-        ascii_n = sum(c < "\x80" for c in solid)
-        return max(1, -(-ascii_n // 4) + -(-(len(solid) - ascii_n) // 2)) if solid else 0
+    A clause within the limit is one chunk, a longer one is cut between its
+    lines, and a line over the limit between its sentences.  Every chunk
+    begins with the document and the path; ``marks`` names the items in it.
+    """
 
     def packed(batches):
         import pandas as pd
 
         for batch in batches:
             out = []
-            for doc, no, title, body in zip(batch["doc_id"], batch["clause_no"], batch["title"], batch["body"], strict=True):
-                parts = [body] if tokens(body) <= most_tokens else []
-                if not parts:
-                    size = 0
-                    for s in re.split(r"(?<=[。！？!?；;.])\s*", body):
-                        if not s:
-                            continue
-                        n = tokens(s)
-                        if parts and size + n <= most_tokens:
-                            parts[-1] += " " + s
-                            size += n
-                        else:
-                            parts.append(s)
-                            size = n
-                for i, part in enumerate(parts):
-                    name = hashlib.sha256(f"{doc}:{no}:{i}".encode()).hexdigest()[:20]
-                    out.append((doc, no, i, len(parts), f"{title}\n{no}\n{part}", name))
+            for r in batch.to_dict("records"):
+                children = [(x["marker"], x["body"]) for x in r["children"]]
+                if not r["text"].strip():
+                    continue
+                short = token_count(r["text"]) <= most_tokens
+                units = clause_units(children, 1 << 62 if short else most_tokens)
+                groups = [units] if short else packed_units(units, most_tokens)
+                title = f"《{r['title']}》" if r["title"] else ""
+                head = [x for x in (" ".join(filter(None, (title, r["standard_no"]))), r["path"]) if x]
+                for i, group in enumerate(groups):
+                    body = "\n".join(x for _, x in group)
+                    marks = list(dict.fromkeys(m for m, _ in group if m and m.strip())) if not short else []
+                    shown = body if (r["path"] or "").endswith(r["clause_no"]) else f"{r['clause_no']} {body}"
+                    name = hashlib.sha256(f"{r['doc_id']}:c:{r['clause_id']}:part:{i}".encode()).hexdigest()[:20]
+                    out.append((r["doc_id"], r["clause_id"], r["clause_no"], i, len(groups), "~".join(dict.fromkeys([*marks[:1], *marks[-1:]])) or None, "\n".join([*head, shown]), name))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CLAUSE_CHUNKS.split(", ")])
 
-    return clauses.select("doc_id", "clause_no", "title", "body").mapInPandas(packed, CLAUSE_CHUNKS)
+    return clauses.select("doc_id", "clause_id", "clause_no", "title", "standard_no", "path", "text", "children").mapInPandas(packed, CLAUSE_CHUNKS)
 
 
 def embedded(chunks: DataFrame, id_cols: list[str], text_col: str, model=None, dimensions: int = 64) -> DataFrame:

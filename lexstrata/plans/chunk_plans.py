@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexstrata.functions import text
 from lexstrata.operators import chunking
 from lexstrata.plans.base import Family
-from lexstrata.plans.structure_plans import regulation_lines
+from lexstrata.plans.structure_plans import chinese_lines
 from lexstrata.operators import structure
 from lexstrata.sources import parsers
 
@@ -30,7 +30,7 @@ def _markdown(t):
 
 @family.query("chk01_chunk_documents")
 def _(t):
-    return chunking.chunk_blocks(parsers.document_blocks(_markdown(t))).select("doc_id", "chunk_index", "kind", "outline", "content", "embedding_text")
+    return chunking.chunk_documents(_markdown(t))
 
 
 @family.query("chk02_paragraph_split")
@@ -75,7 +75,7 @@ def _(t):
 
 @family.query("chk05_html_table_groups")
 def _(t):
-    row = F.concat(F.lit('<tr><td colspan="1">'), "p_partkey", F.lit("</td><td>"), "p_name", F.lit("</td></tr>"))
+    row = F.concat(F.lit('<tr><td colspan="1" rowspan=\'1\'>'), "p_partkey", F.lit("</td><td>"), "p_name", F.lit("</td></tr>"))
     tables = t("part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
     html = tables.select("p_brand", F.concat(F.lit("<table><tr><th>key</th><th>name</th></tr>"), "rows", F.lit("</table>")).alias("html"))
     budget = chunking.Budget()
@@ -108,8 +108,7 @@ def _(t):
 
 @family.query("chk09_packed_outlines")
 def _(t):
-    chunks = chunking.chunk_blocks(parsers.document_blocks(_markdown(t)))
-    return chunks.groupBy("outline").agg(F.count("*").alias("chunks"), F.max(F.length("content")).alias("longest"))
+    return chunking.chunk_documents(_markdown(t)).groupBy("outline").agg(F.count("*").alias("chunks"), F.max(F.length("content")).alias("longest"))
 
 
 @family.query(
@@ -122,8 +121,11 @@ def _(t):
 
 @family.query("chk11_clause_chunks")
 def _(t):
-    clauses = structure.clauses(structure.classified(regulation_lines(t)))
-    return chunking.clause_chunks(clauses.select("doc_id", "clause_no", F.coalesce("path", F.lit("")).alias("title"), F.col("text").alias("body")), most_tokens=30)
+    """Clauses of Chinese lines, some of them far over the limit of 450 tokens."""
+    long = F.repeat(F.col("line"), (F.col("line_index") % 13 * F.col("line_index") % 11 + 1).cast("int"))
+    lines = chinese_lines(t).withColumn("line", F.when(F.col("line").endswith("。"), F.concat("line", F.repeat("line", (F.col("line_index") % 47).cast("int")))).otherwise(long))
+    clauses = structure.clauses(structure.classified(lines))
+    return chunking.clause_chunks(clauses.withColumns({"title": F.concat(F.lit("规范"), "doc_id"), "standard_no": F.when(F.col("doc_id") % 2 == 0, "GB 1-2020")}))
 
 
 @family.query(

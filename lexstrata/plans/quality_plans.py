@@ -128,12 +128,12 @@ def _(t):
 @family.query(
     "qlt09_enumeration_gaps",
     f"""WITH {LINES},
-    i AS (SELECT doc_id, line_index, CAST(number AS INTEGER) AS marker, coalesce(lag(CAST(number AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_index), 0) AS b FROM typed WHERE line_type = 'item'),
+    i AS (SELECT doc_id, line_index, CAST(number[2] AS INTEGER) AS marker, coalesce(lag(CAST(number[2] AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_index), 0) AS b FROM typed WHERE line_type = 'item'),
     g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS r FROM i WHERE marker <> 1 AND marker <> b + 1)
     SELECT doc_id, line_index, marker, b + 1 AS expected FROM g WHERE r = 1""",
 )
 def _(t):
-    items = _lines(t).filter("line_type = 'item'").select("doc_id", "line_index", F.col("number").cast("int").alias("marker"))
+    items = _lines(t).filter("line_type = 'item'").select("doc_id", "line_index", F.regexp_extract("number", r"\d+", 0).cast("int").alias("marker"))
     return quality.first_enumeration_gaps(items, ["doc_id"], "line_index", "marker")
 
 

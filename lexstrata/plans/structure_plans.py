@@ -21,22 +21,36 @@ LINES = """
             WHEN i % 23 = 7 THEN concat('Section ', i // 23, ' Scope')
             WHEN i % 69 = 22 THEN 'Commentary'
             WHEN i % 92 = 20 THEN 'Appendix A Tables'
-            WHEN i % 4 = 1 THEN concat(i // 23 + 1, '.', (i % 23) // 2, ' The part ', p, ' is kept.')
+            WHEN i % 4 = 1 THEN concat(i // 23 + 1, '.', (i % 23) // 2, ' The part ', p, ' 应当 be kept.')
             WHEN i % 4 = 2 THEN concat('(', i % 5 + 1, ') item ', p)
             ELSE concat('plain line ', p) END AS line FROM o),
     kinds AS (
         SELECT *, CASE WHEN line = 'Commentary' THEN 'role' WHEN line LIKE 'Appendix %' THEN 'appendix' WHEN line LIKE 'Chapter %' THEN 'chapter' WHEN line LIKE 'Section %' THEN 'section'
-                       WHEN regexp_matches(line, '^\\d+\\.\\d+ ') THEN 'clause' WHEN line LIKE '(%' THEN 'item' ELSE 'text' END AS line_type FROM lines),
+                       WHEN regexp_matches(line, '^\\d+\\.\\d+ ') THEN 'clause' WHEN line LIKE '(%' THEN 'item' ELSE 'text' END AS k FROM lines),
+    befores AS (
+        SELECT *, coalesce(last_value(CASE WHEN k = 'clause' THEN 1 WHEN k IN ('chapter', 'section', 'appendix', 'role') THEN 0 END IGNORE NULLS)
+            OVER (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM kinds),
+    named AS (SELECT *, CASE WHEN k = 'item' AND before = 0 THEN 'text' ELSE k END AS line_type FROM befores),
+    marked AS (
+        SELECT *, last_value(CASE k WHEN 'role' THEN 'COMMENTARY' WHEN 'appendix' THEN 'APPENDIX' END IGNORE NULLS) OVER w AS put,
+            max(CASE WHEN k IN ('role', 'appendix') THEN line_index END) OVER w AS put_at, max(CASE WHEN k IN ('chapter', 'section') THEN line_index END) OVER w AS lifted,
+            max(CASE WHEN k IN ('chapter', 'section', 'clause') THEN line_index END) OVER w AS begun
+        FROM named WINDOW w AS (PARTITION BY doc_id ORDER BY line_index)),
     typed AS (
-        SELECT *, CASE line_type WHEN 'role' THEN line WHEN 'appendix' THEN 'A' WHEN 'chapter' THEN string_split(line, ' ')[2] WHEN 'section' THEN string_split(line, ' ')[2]
-                  WHEN 'clause' THEN string_split(line, ' ')[1] WHEN 'item' THEN regexp_extract(line, '\\((\\d+)\\)', 1) END AS number,
+        SELECT *, CASE line_type WHEN 'role' THEN line WHEN 'appendix' THEN 'Appendix A' WHEN 'chapter' THEN 'Chapter ' || string_split(line, ' ')[2] WHEN 'section' THEN 'Section ' || string_split(line, ' ')[2]
+                  WHEN 'clause' THEN string_split(line, ' ')[1] WHEN 'item' THEN string_split(line, ' ')[1] END AS number,
                CASE line_type WHEN 'role' THEN '' WHEN 'appendix' THEN 'Tables' WHEN 'chapter' THEN 'General rules' WHEN 'section' THEN 'Scope' WHEN 'text' THEN line
-                  ELSE substr(line, instr(line, ' ') + 1) END AS body FROM kinds)"""
+                  ELSE substr(line, instr(line, ' ') + 1) END AS body,
+               line_type = 'clause' OR (before = 1 AND line_type IN ('item', 'text')) AS in_clause,
+               CASE WHEN put IS NULL THEN CASE WHEN begun IS NULL THEN 'FRONT_MATTER' ELSE 'NORMATIVE' END WHEN put = 'APPENDIX' AND lifted > put_at THEN 'NORMATIVE' ELSE put END AS region FROM marked)"""
 
 
-def regulation_lines(t):
+def _numbered(t):
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    rows = t("lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.row_number().over(order) - 1).cast("long").alias("line_index"), F.col("l_partkey").alias("p"))
+    return t("lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.row_number().over(order) - 1).cast("long").alias("line_index"), F.col("l_partkey").alias("p"))
+
+
+def regulation_lines(t):
     i = F.col("line_index")
     block = F.floor(i / 23)
     line = (
@@ -44,34 +58,93 @@ def regulation_lines(t):
         .when(i % 23 == 7, F.concat(F.lit("Section "), block, F.lit(" Scope")))
         .when(i % 69 == 22, "Commentary")
         .when(i % 92 == 20, "Appendix A Tables")
-        .when(i % 4 == 1, F.concat(block + 1, F.lit("."), F.floor((i % 23) / 2), F.lit(" The part "), "p", F.lit(" is kept.")))
+        .when(i % 4 == 1, F.concat(block + 1, F.lit("."), F.floor((i % 23) / 2), F.lit(" The part "), "p", F.lit(" 应当 be kept.")))
         .when(i % 4 == 2, F.concat(F.lit("("), i % 5 + 1, F.lit(") item "), "p"))
         .otherwise(F.concat(F.lit("plain line "), "p"))
     )
-    return rows.select("doc_id", "line_index", line.alias("line"))
+    return _numbered(t).select("doc_id", "line_index", line.alias("line"))
+
+
+#: One line of each form that a Chinese regulation has, by its place in a cycle: line, line_type, number, body; ``{p}`` is the part.
+FORMS = [
+    ("第二章 总则", "chapter", "第二章", "总则"),
+    ("封面文字 {p}", "text", None, "封面文字 {p}"),
+    ("第一节 范围", "section", "第一节", "范围"),
+    ("第十二条 零件{p}应当登记。", "article", "第十二条", "零件{p}应当登记。"),
+    ("（一）第{p}项", "item", "（一）", "第{p}项"),
+    ("二、第{p}项", "item", "二、", "第{p}项"),
+    ("3）数字项{p}", "item", "3）", "数字项{p}"),
+    ("续行 {p}", "text", None, "续行 {p}"),
+    ("1.2.3", "text", None, "1.2.3"),
+    ("A.1.{p} 附表零件不得遗失。", "clause", "A.1.{p}", "附表零件不得遗失。"),
+    ("12 应当记录{p}", "item", "12", "应当记录{p}"),
+    ("3.1.2.{p} 细则。", "subclause", "3.1.2.{p}", "细则。"),
+    ("5.1 基本规定", "section", "5.1", "基本规定"),
+    ("（二）散项{p}", "text", None, "（二）散项{p}"),
+    ("7 试验应 记录", "text", None, "7 试验应 记录"),
+    ("6检查要求", "chapter", "6", "检查要求"),
+    ("5.1.1～5.1.{p} 一般说明。", "clause", "5.1.1~5.1.{p}", "一般说明。"),
+    ("5.1.4~5.1.5", "text", None, "5.1.4~5.1.5"),
+    ("8 附加要求", "chapter", "8", "附加要求"),
+    ("附录B 表格", "appendix", "附录B", "表格"),
+    ("B.0.1 记录{p}必须保存。", "clause", "B.0.1", "记录{p}必须保存。"),
+    ("条文说明", "role", "条文说明", ""),
+    ("5.1.1 说明{p}。", "clause", "5.1.1", "说明{p}。"),
+    ("本规范用词说明", "role", "本规范用词说明", ""),
+]
+
+
+def _form_sql(at: int) -> str:
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("{p}", "' || p || '") + "'"
+    return f"CASE i % {len(FORMS)} " + " ".join(f"WHEN {n} THEN {quoted(f[at])}" for n, f in enumerate(FORMS)) + " END"
+
+
+def chinese_lines(t):
+    i = F.col("line_index") % len(FORMS)
+    line = F.coalesce(*(F.when(i == n, F.replace(F.lit(f[0]), F.lit("{p}"), F.col("p").cast("string"))) for n, f in enumerate(FORMS)))
+    return _numbered(t).select("doc_id", "line_index", line.alias("line"))
 
 
 @family.query(
     "str01_metadata",
-    """SELECT o_orderkey, 'Rules of ' || o_orderpriority AS title, 'GB ' || (1000 + o_orderkey % 9000) AS standard_no, '2010' AS standard_year, DATE '2011-05-06' AS published, o_orderkey % 5 = 0 AS conflict FROM orders""",
+    """
+    SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '规则' || o_orderpriority WHEN 1 THEN '安全规范' ELSE 'GB 99' END AS title,
+        CASE o_orderkey % 3 WHEN 0 THEN 'GB/T ' || (1000 + o_orderkey % 9000) || '-2010' WHEN 1 THEN 'JGJ 59-2011' ELSE 'GB 99' END AS standard_no,
+        CASE o_orderkey % 3 WHEN 0 THEN 'ENGINEERING_STANDARD' WHEN 1 THEN 'LAW_REGULATION' END AS doc_type, CASE WHEN o_orderkey % 3 = 0 THEN '建设部' END AS authority,
+        CASE WHEN o_orderkey % 3 = 0 THEN DATE '2010-08-01' END AS published, CASE WHEN o_orderkey % 3 = 0 THEN DATE '2010-12-01' END AS effective, o_orderkey % 3 = 2 AS conflict
+    FROM orders""",
 )
 def _(t):
     number = (F.col("o_orderkey") % 9000 + 1000).cast("string")
-    body = F.concat(F.lit("《Rules of "), "o_orderpriority", F.lit("》\nGB/T "), number, F.lit("-2010\nPublished 2011-05-06\n1.1 Scope"))
-    other = F.when(F.col("o_orderkey") % 5 == 0, F.lit("99")).otherwise(number)
-    docs = t("orders").select("o_orderkey", body.alias("text"), F.concat(F.lit("GB "), other, F.lit(".pdf")).alias("file_name"))
-    return structure.document_metadata(docs).select("o_orderkey", "title", "standard_no", "standard_year", "published", "conflict")
+    kind = F.col("o_orderkey") % 3
+    standard = F.concat(F.lit("《规则"), "o_orderpriority", F.lit("[附条文说明]》\nGB／T "), number, F.lit("—2010\n批准部门：建设部\n2010年13月40日\n2010年8月1日发布 自2010年12月1日起施行\n1.0.1 范围"))
+    law, other = F.lit("第一条 为了安全"), F.lit("GB 98\n其他文字")
+    text = F.when(kind == 0, standard).when(kind == 1, law).otherwise(other)
+    name = F.when(kind == 0, F.concat(F.lit("《规则"), "o_orderpriority", F.lit("》.pdf"))).when(kind == 1, "安全规范JGJ592011.txt").otherwise("《GB 99》.PDF")
+    columns = ("title", "standard_no", "doc_type", "authority", "published", "effective", "conflict")
+    return structure.document_metadata(t("orders").select("o_orderkey", text.alias("text"), name.alias("file_name"))).select("o_orderkey", *columns)
 
 
 @family.query(
     "str02_section_filter",
-    f"""WITH {LINES},
-    m AS (SELECT *, last_value(CASE line_type WHEN 'role' THEN line WHEN 'appendix' THEN 'Appendix' WHEN 'chapter' THEN 'Body' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_index) AS s FROM typed)
-    SELECT doc_id, line_index, coalesce(s, 'Front') AS section, s IS NOT NULL AND s <> 'Commentary' AS kept FROM m""",
+    """
+    WITH o AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i FROM lineitem),
+    s AS (SELECT doc_id, i AS line_index, CASE
+        WHEN doc_id % 5 = 0 THEN 'BODY'
+        WHEN i < 3 THEN 'PREFACE' WHEN i < 7 THEN 'CHINESE_TOC' WHEN i < 200 THEN 'BODY' WHEN i < 250 THEN 'REFERENCED_STANDARDS' ELSE 'APPENDIX' END AS section FROM o)
+    SELECT doc_id, line_index, section, section = 'BODY' AND NOT (doc_id % 5 = 0 AND line_index % 7 = 3) AS kept FROM s""",
 )
 def _(t):
-    lines = structure.classified(regulation_lines(t))
-    return structure.section_filter(lines, drop=("Commentary",)).select("doc_id", "line_index", "section", "kept")
+    """Every fifth document has no body start, and keeps all but its contents entries."""
+    rows, i, p = _numbered(t), F.col("line_index"), F.col("p").cast("string")
+    plain = F.when(i % 7 == 3, F.concat(F.lit("总则 ........ "), p)).otherwise(F.concat(F.lit("正文 "), p))
+    line = (
+        F.when(F.col("doc_id") % 5 == 0, plain)
+        .when(i == 0, "前 言").when(i == 3, "目　次").when((i > 3) & (i < 7), F.concat(F.lit("附录A 表格 ...... "), p)).when(i == 7, "第一章 总则")
+        .when(i == 200, "引用标准名录").when(i == 250, "附录A 表格").when(i < 3, F.concat(F.lit("说明 "), p)).otherwise(plain)
+    )
+    lines = rows.select("doc_id", "line_index", line.alias("line"), i.isin(0, 3, 7, 200, 250).alias("is_heading"))
+    return structure.section_filter(lines).select("doc_id", "line_index", "section", "kept")
 
 
 @family.query("str03_toc_lines", "SELECT o_orderkey, o_orderkey % 3 = 0 AS is_toc, o_orderkey % 3 = 0 AS is_toc_block FROM orders")
@@ -82,32 +155,42 @@ def _(t):
     return lines.select("o_orderkey", structure.toc_line(F.col("line")).alias("is_toc"), structure.toc_block(F.concat_ws("\n", "line", F.lit("note"), "line")).alias("is_toc_block"))
 
 
-@family.query("str04_line_types", f"WITH {LINES} SELECT doc_id, line_index, line_type, number, body FROM typed")
+@family.query("str04_line_types", f"WITH {LINES} SELECT doc_id, line_index, line_type, number, body, in_clause, region FROM typed")
+def _(t):
+    return structure.classified(regulation_lines(t)).select("doc_id", "line_index", "line_type", "number", "body", "in_clause", "region")
+
+
+@family.query(
+    "str04_chinese_lines",
+    f"""
+    WITH o AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i, l_partkey AS p FROM lineitem)
+    SELECT doc_id, i AS line_index, {_form_sql(1)} AS line_type, {_form_sql(2)} AS number, {_form_sql(3)} AS body FROM o""",
+)
 def _(t):
-    return structure.classified(regulation_lines(t)).select("doc_id", "line_index", "line_type", "number", "body")
+    return structure.classified(chinese_lines(t)).select("doc_id", "line_index", "line_type", "number", "body")
 
 
 CLAUSES = f"""WITH {LINES},
-    f AS (SELECT *, sum(CASE WHEN line_type = 'clause' THEN 1 ELSE 0 END) OVER w AS k,
-            last_value(CASE WHEN line_type = 'clause' THEN 1 WHEN line_type IN ('chapter', 'section', 'appendix', 'role') THEN 0 END IGNORE NULLS) OVER w AS is_open,
-            last_value(CASE WHEN line_type = 'chapter' THEN number END IGNORE NULLS) OVER w AS chapter,
-            last_value(CASE WHEN line_type = 'section' THEN number WHEN line_type = 'chapter' THEN '' END IGNORE NULLS) OVER w AS section,
-            last_value(CASE WHEN line_type = 'appendix' THEN 'APPENDIX' WHEN line_type = 'role' THEN 'COMMENTARY' WHEN line_type IN ('chapter', 'section') THEN 'NORMATIVE' END IGNORE NULLS) OVER w AS role
+    f AS (SELECT *, sum(CASE WHEN line_type = 'clause' THEN 1 ELSE 0 END) OVER w AS c,
+            last_value(CASE WHEN line_type IN ('chapter', 'appendix') THEN number END IGNORE NULLS) OVER w AS chapter,
+            last_value(CASE WHEN line_type IN ('chapter', 'appendix') THEN concat_ws(' ', number, nullif(body, '')) END IGNORE NULLS) OVER w AS chapter_path,
+            last_value(CASE WHEN line_type = 'section' THEN number WHEN line_type IN ('chapter', 'appendix') THEN '' END IGNORE NULLS) OVER w AS section,
+            last_value(CASE WHEN line_type = 'section' THEN concat_ws(' ', number, nullif(body, '')) WHEN line_type IN ('chapter', 'appendix') THEN '' END IGNORE NULLS) OVER w AS section_path
           FROM typed WINDOW w AS (PARTITION BY doc_id ORDER BY line_index)),
-    c AS (SELECT doc_id, CAST(k AS BIGINT) AS clause_id, max(CASE WHEN line_type = 'clause' THEN number END) AS clause_no, any_value(chapter) AS chapter_no,
-            nullif(any_value(section), '') AS section_no, coalesce(any_value(role), 'FRONT_MATTER') AS role, count(*) AS n_lines, count(*) FILTER (line_type = 'item') AS n_items,
-            min(line_index) AS first_line, max(line_index) AS last_line, string_agg(body, chr(10) ORDER BY line_index) AS text
-          FROM f WHERE is_open = 1 GROUP BY doc_id, k)"""
+    c AS (SELECT doc_id, CAST(c AS BIGINT) AS clause_id, max(CASE WHEN line_type = 'clause' THEN number END) AS clause_no, 'clause' AS structure_type, any_value(chapter) AS chapter_no,
+            nullif(any_value(section), '') AS section_no, max(CASE WHEN line_type = 'clause' THEN region END) AS role, count(*) AS n_lines, count(*) FILTER (line_type = 'item') AS n_items,
+            min(line_index) AS first_line, max(line_index) AS last_line, string_agg(body, chr(10) ORDER BY line_index) AS text,
+            concat_ws(' / ', any_value(chapter_path), nullif(any_value(section_path), ''), max(CASE WHEN line_type = 'clause' THEN number END)) AS path
+          FROM f WHERE in_clause GROUP BY doc_id, f.c)"""
 
 
 @family.query(
     "str05_clauses",
     CLAUSES + """
-    SELECT doc_id, clause_id, clause_no, chapter_no, section_no, role, n_lines, n_items, first_line, last_line,
-           concat_ws(' > ', 'Chapter ' || chapter_no, 'Section ' || section_no, clause_no) AS path, text FROM c""",
+    SELECT doc_id, clause_id, clause_no, structure_type, chapter_no, section_no, role, n_lines, n_items, first_line, last_line, path, text FROM c""",
 )
 def _(t):
-    return structure.clauses(structure.classified(regulation_lines(t)))
+    return structure.clauses(structure.classified(regulation_lines(t))).drop("children")
 
 
 @family.query(

@@ -111,7 +111,7 @@ def _(t):
     r"""
     WITH p AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[?？。;；\n]+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS p
                FROM conversations WHERE role = 'user')
-    SELECT conv_id, turn, CAST(unnest(range(0, len(p))) AS INTEGER) AS part, unnest(p) || '?' AS question FROM p""",
+    SELECT conv_id, turn, CAST(unnest(range(0, len(p))) AS INTEGER) AS part, unnest(p) || '？' AS question FROM p""",
 )
 def _(t):
     users = t("conversations").filter("role = 'user'")

@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ def test_markdown_kinds():
 
 def test_chunks_keep_outline_and_budget(spark):
     body = "# A\n\nintro:\n\n" + "\n".join(f"- item {i}" for i in range(200)) + "\n\n## B\n\n" + "word " * 1500
-    blocks = parsers.document_blocks(spark.createDataFrame([(1, body), (2, ""), (3, None)], "doc_id long, text string"))
-    chunks = chunking.chunk_blocks(blocks).orderBy("chunk_index").collect()
+    docs = spark.createDataFrame([(1, body), (2, ""), (3, None)], "doc_id long, text string")
+    chunks = chunking.chunk_documents(docs).orderBy("chunk_index").collect()
     budget = chunking.Budget()
     assert {c["doc_id"] for c in chunks} == {1}
     assert all(c["content"].strip() and len(c["content"]) <= budget.tolerance for c in chunks)
@@ -48,16 +50,139 @@ def test_embedding_contract(spark):
 
 
 def test_clauses_open_and_close(spark):
-    lines = ["Chapter 1 Scope", "1.1 First", "(1) item", "plain", "Section 2 More", "lost", "1.2 Second", "Commentary", "1.3 Third"]
+    lines = ["Chapter 1 Scope", "1.1.1 First", "(1) item", "plain", "Section 2 More", "lost", "1.2.1 Second", "Commentary", "1.3.1 Third"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, line_index long, line string")
     found = structure.clauses(structure.classified(df))
     assert rows(found.select("clause_no", "chapter_no", "section_no", "role", "n_lines", "n_items"), "clause_no") == [
-        ("1.1", "1", None, "NORMATIVE", 3, 1),
-        ("1.2", "1", "2", "NORMATIVE", 1, 0),
-        ("1.3", "1", "2", "COMMENTARY", 1, 0),
+        ("1.1.1", "Chapter 1", None, "NORMATIVE", 3, 1),
+        ("1.2.1", "Chapter 1", "Section 2", "NORMATIVE", 1, 0),
+        ("1.3.1", "Chapter 1", "Section 2", "COMMENTARY", 1, 0),
     ]
 
 
+REGULATION = (
+    "第一章 总则", "第二章", "第三节 范围", "第十二条 应当登记。", "第四条", "1.1.1 应当登记。", "1.2 基本规定", "1.3 应当检查", "1.4", "3.2.1.4 细则。", "A.1.2 附表不得遗失。", "1.1.1～1.1.3 说明。", "1.1.4-1.1.5",
+    "5 检查", "120 检查", "7 应当检查", "8 一个很长的标题一个很长的标题一个很长的标题", "6检查要求", "6必须检查", "（一）项目", "二、项目", "3）数字项", "(4) 项目", "5. 项目", "附录", "附录A 表格", "附录 二 记录", "条文说明", "条文解释",
+    "本规范用词说明", "普通文字", "封面", "12项。", "", "第三条文字说明",
+)
+
+
+def walked(lines):
+    """Line by line with the state of one document: kind, number, whether a clause is open, region."""
+    cn, dec = "[一二三四五六七八九十百零〇两]+", r"(?:[A-Za-z]\.)?\d+(?:\.\d+){1,4}"
+    rule = lambda x: any(v in x for v in ("应当", "应 ", "必须", "不得", "宜 ")) or x.startswith(("应", "为在", "为加强", "为规范"))
+    title = lambda x, n: 0 < len(x) <= n and not re.search("[。！？；;:]$", x) and not rule(x)
+    opened, region, out = False, "FRONT_MATTER", []
+
+    def boundary(any_region=True):
+        return "NORMATIVE" if region == "FRONT_MATTER" or (any_region and region == "APPENDIX") else region
+
+    for line in lines:
+        kind, number, m = "text", None, None
+        if re.fullmatch("本(?:标准|规范|规程)用词说明", line):
+            kind, number, opened, region = "role", line, False, "SUPPLEMENTARY"
+        elif line in ("条文说明", "条文解释"):
+            kind, number, opened, region = "role", line, False, "COMMENTARY"
+        elif m := re.fullmatch(rf"(附录\s*(?:[A-Za-z]|{cn})?)\s*(.*)", line):
+            kind, number, opened, region = "appendix", m[1].strip(), False, "APPENDIX"
+        elif m := re.fullmatch(f"(第{cn}[章节])\\s*(.*)", line):
+            kind, number, opened, region = "chapter" if "章" in m[1] else "section", m[1], False, boundary()
+        elif m := re.fullmatch(f"(第{cn}条)\\s*(.*)", line):
+            kind, number, opened, region = "article", m[1], True, boundary(False)
+        elif (m := re.fullmatch(rf"({dec})\s*[、～~-]\s*({dec})\s*(.*)", line)) or (m := re.fullmatch(rf"({dec})()\s*(.*)", line)):
+            levels = m[1].count(".") + 1
+            if m[3]:
+                number = m[1] + ("~" + m[2] if m[2] else "")
+                if not m[2] and levels == 2 and title(m[3], 30):
+                    kind, opened, region = "section", False, boundary()
+                else:
+                    kind, opened, region = "subclause" if levels >= 4 and not m[2] else "clause", True, boundary(False)
+        elif m := re.fullmatch(r"(\d{1,3})\s+(.+)", line):
+            if title(m[2], 20) and (not opened or len(m[1]) <= 2):
+                kind, number, region, opened = "chapter", m[1], boundary(opened), False
+            elif opened:
+                kind, number = "item", m[1]
+        elif not opened and (m := re.fullmatch(r"(\d{1,2})([\u4e00-\u9fff]{1,20})", line)) and title(m[2], 20):
+            kind, number, region = "chapter", m[1], boundary(False)
+        elif opened and (m := re.fullmatch(rf"([（(]?(?:{cn}[)）、]|\d{{1,3}}[)）、.]))\s*(.*)", line)):
+            kind, number = "item", m[1]
+        out.append((kind, number, opened and kind not in ("chapter", "section", "appendix", "role"), region))
+    return out
+
+
+def test_regulation_lines_against_a_walk(spark):
+    r = random.Random(5)
+    docs = [[r.choice(REGULATION) for _ in range(120)] for _ in range(25)] + [list(REGULATION)]
+    df = spark.createDataFrame([(d, i, x) for d, lines in enumerate(docs) for i, x in enumerate(lines)], "doc_id long, line_index long, line string")
+    found = {}
+    for x in structure.classified(df).orderBy("doc_id", "line_index").collect():
+        found.setdefault(x["doc_id"], []).append((x["line_type"], x["number"], x["in_clause"], x["region"]))
+    for d, lines in enumerate(docs):
+        for got, want, line in zip(found[d], walked(lines), lines, strict=True):
+            assert got == want, line
+    opened = sum(k in ("article", "clause", "subclause") for lines in docs for k, *_ in walked(lines))
+    assert structure.clauses(structure.classified(df)).count() == opened
+
+
+def test_section_filter_keeps_an_uncertain_body(spark):
+    kept = lambda lines: [(x["section"], x["kept"]) for x in structure.section_filter(spark.createDataFrame([(1, i, t, h) for i, (t, h) in enumerate(lines)], "doc_id long, line_index long, line string, is_heading boolean")).orderBy("line_index").collect()]
+    body, gone = ("BODY", True), lambda s: (s, False)
+    assert kept([("2.1 某条", False), ("总则 ..... 3", False), ("文字", False)]) == [body, gone("BODY"), body]
+    assert kept([("前言", False), ("文字", False), ("第一章 总则", True)]) == [body] * 3
+    assert kept([("前言", True), ("文字", False), ("第一章 总则", True), ("总则 ..... 3", False)]) == [gone("PREFACE")] * 2 + [body] * 2
+    assert kept([("目 录", True), ("附录A 表 ..... 9", False), ("附录A 表", True), ("第一条 文字", False), ("附录A 表", True), ("前言", True), ("文字", False)]) == [gone("CHINESE_TOC")] * 3 + [body] + [gone("APPENDIX")] * 3
+    assert kept([("CONTENTS", True), ("x ..... 1", False), ("封面", True), ("文字", False)])[2:] == [gone("ENGLISH_TOC")] * 2
+    assert kept([("1 范围", True), ("引用标准名录", True), ("GB 1", False), ("本规范用词说明", True), ("词", False)]) == [body] + [gone("REFERENCED_STANDARDS")] * 2 + [gone("TERMINOLOGY_NOTE")] * 2
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [("GB50011-2010", "GB 50011-2010"), ("gb/t 12345", "GB/T 12345"), ("GBT50012010x", "GB/T 5001-2010"), ("JGJ／T 59—2011", "JGJ/T 59-2011"), ("CJJ T7", "CJJ/T 7"), ("CECS 111111", "CECS 111111"), ("GA 1", "GA 1"), ("none", None), (None, None)],
+)
+def test_standard_numbers(spark, raw, want):
+    assert spark.createDataFrame([(raw,)], "t string").select(structure.standard_number(F.col("t")).alias("x")).first()["x"] == want
+
+
+def test_packed_drafts():
+    draft = lambda n, path=(), **more: chunking.Draft(more.pop("kind", "paragraph"), tuple(path), "x" * n, "x" * n, **more)
+    sizes = lambda drafts, most=100: [len(d.content) for d in chunking.packed_drafts(drafts, chunking.Budget(most))]
+    assert sizes([]) == [] and sizes([draft(500)]) == [500]
+    head = lambda n=5, *path: draft(n, path, heading=True, kind="heading")
+    assert sizes([head(), draft(30), head(), draft(40)]) == [5 + 2 + 30 + 2 + 5 + 2 + 40]  # both sections fit
+    assert sizes([head(), draft(60), head(), draft(60)]) == [67, 67]
+    assert sizes([draft(10), head(), draft(150)]) == [10 + 2 + 5 + 2 + 150]  # little is held: up to the tolerance
+    assert sizes([head(), draft(60), head(), draft(10)]) == [67 + 2 + 17]
+    assert sizes([head(), draft(95), draft(10)]) == [5 + 2 + 95 + 2 + 10]  # a section within the tolerance is not cut
+    assert sizes([draft(80), draft(80), draft(80), draft(80)]) == [80] * 4
+    pieces = [draft(90, piece=True) for _ in range(4)]
+    assert sizes([draft(40), *pieces]) == [40 + 2 + 90, 90, 90, 90]  # the lead-in goes with the first piece
+    assert sizes([*pieces, draft(10)]) == [90, 90, 90, 90 + 2 + 10]  # a rest of little joins the one before
+    merged = chunking.packed_drafts([head(5, "A"), draft(30, "A"), head(5, "A", "B"), draft(30, "AB")], chunking.Budget(100))
+    assert [(d.kind, d.outline, d.heading) for d in merged] == [("paragraph", ("A",), True)]
+
+
+def test_html_tables():
+    budget = chunking.Budget(100, rows_per_chunk=2)
+    row = "<tr><td>1</td></tr>"
+    table = "<table class='c'><tr><th colspan=\"1\" ROWSPAN = '1' colspan=\"12\">h</th></tr>" + row * 5 + "</table>"
+    head = "<table class='c'><tr><th colspan=\"12\">h</th></tr>"
+    assert chunking.html_table_groups(table, budget) == [head + row * n + "</table>" for n in (2, 2, 1)]
+    assert chunking.html_table_groups(table, chunking.Budget(1000, 50)) == [head + row * 5 + "</table>"]
+    assert chunking.html_table_groups("<table><tr><td rowspan=1>x</td></tr></table>", budget) == ["<table><tr><td>x</td></tr></table>"]
+
+
+def test_clause_chunks(spark):
+    lines = ["第一章 总则", "第一条 " + "每句十个字应当登记。" * 60, "（一）版本1.2的说明。", "（二）" + "甲" * 500, "第二条 短。"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, line_index long, line string")
+    clauses = structure.clauses(structure.classified(df)).withColumns({"title": F.lit("规范"), "standard_no": F.lit(None).cast("string")})
+    found = chunking.clause_chunks(clauses).orderBy("clause_id", "part").collect()
+    assert [(x["clause_no"], x["part"], x["n_parts"], x["marks"]) for x in found] == [("第一条", 0, 3, None), ("第一条", 1, 3, "（一）"), ("第一条", 2, 3, "（二）"), ("第二条", 0, 1, None)]
+    assert all(x["content"].startswith("《规范》\n第一章 总则 / 第") for x in found)
+    assert "（一） 版本1.2的说明。" in found[1]["content"] and found[3]["content"].endswith("第二条\n短。")
+    body = "".join(x["content"].split("\n", 2)[2] for x in found[:3]).replace("\n", "")
+    assert body == "每句十个字应当登记。" * 60 + "（一） 版本1.2的说明。（二） " + "甲" * 500
+
+
 def test_gap_detectors(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (1, 5), (2, 3)], "g long, n long")
     assert rows(quality.sequence_gaps(df, ["g"], "n"), "g") == [(1, 5, 3)]

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +23,11 @@ def test_cleaning(spark):
 
 def test_sentences_and_questions(spark):
     assert one(spark, "一。二！three；", text.sentences) == ["一。", "二！", "three；"]
-    assert one(spark, "What is A? And B;\nC", text.split_questions) == ["What is A?", "And B?", "C?"]
+    assert one(spark, "What is A? And B;\nC", text.split_questions) == ["What is A？", "And B？", "C？"]
+    assert one(spark, "脚手架检查时，连墙件和立杆应分别怎样验收？", text.split_questions) == ["脚手架检查时，连墙件应怎样验收？", "脚手架检查时，立杆应怎样验收？"]
+    assert one(spark, "现场同时存在积水且临边无防护，应分别怎样处理", text.split_questions) == ["积水应怎样处理？", "临边无防护应怎样处理？"]
+    assert one(spark, "工地上，材料分别存放", text.split_questions) == ["工地上，材料分别存放？"]
+    assert one(spark, "？；", text.split_questions) == ["？；"] and one(spark, None, text.split_questions) is None
 
 
 def test_term_mapping_is_idempotent(spark):
@@ -34,6 +40,9 @@ def test_term_mapping_is_idempotent(spark):
 def test_json_payload_and_citations(spark):
     assert one(spark, 'Sure:\n```json\n{"a": {"b": 1}}\n```', text.json_payload) == '{"a": {"b": 1}}'
     assert one(spark, "none", text.json_payload) is None
+    assert one(spark, 'Here: ["a", "b]"] done', text.json_payload) == '["a", "b]"]'
+    assert one(spark, 'Here: ["a", "b]"] done', text.json_list) == ["a", "b]"]
+    assert one(spark, '{"a": ["b"]}', text.json_list) == one(spark, "no", text.json_list) == one(spark, None, text.json_list) == []
     assert one(spark, "Yes [1](#cite-1), no [12](#cite-12).", text.without_citations) == "Yes, no."
 
 
@@ -42,16 +51,52 @@ def test_words_mix_scripts(spark):
 
 
 def test_soft_breaks():
-    assert splitting.join_soft_breaks("见 https://a.b/c\nd/e.html\n消防\n安全\n- 项") == "见 https://a.b/cd/e.html\n消防安全\n- 项"
-
-
-@pytest.mark.parametrize("raw", ["", "short", "x" * 5000, "a b. " * 900, "line\n" * 700, "一二。" * 900])
-def test_pieces_cover_the_text(raw):
-    pieces = splitting.cut_pieces(raw, 1024, 128)
-    assert all(0 < len(p) <= 1024 for p in pieces)
-    at = 0
-    for p in pieces:
-        at = raw.find(p, max(0, at - 128 if at else 0))
-        assert at >= 0
-        at += len(p)
-    assert at == len(raw)
+    join = splitting.join_soft_breaks
+    assert join("消防\r\n安全\n- 项") == "消防安全\n- 项"
+    assert join("消防，\n安全") == "消防，\n安全" and join("消防\n\n安全") == "消防\n\n安全" and join("ＡＢ\n１") == "ＡＢ１"
+    assert join("见 https://a.b/c/\nd/e.html\nnext") == "见 https://a.b/c/d/e.html\nnext"
+    assert join("https://a.b/c\n/d?x=\n 1") == "https://a.b/c/d?x=1"
+    assert join("https://a.\nb c") == "https://a.b c" and join("https://a.\n1 c") == "https://a.\n1 c"
+    assert join("https://a/\n\nb") == "https://a/\n\nb" and join("https://a/\n 2. b") == "https://a/\n 2. b"
+    assert join("a/\nb") == "a/\nb" and join("") == ""
+
+
+def slow_pieces(text, most, overlap):
+    """The rule character by character."""
+    if not text.strip():
+        return []
+    text = splitting.join_soft_breaks(text)
+    if len(text) <= most:
+        return [text]
+    out, start, last = [], 0, -1
+    while True:
+        target = min(start + most, len(text))
+        end = target
+        near = [p for p in range(target - 1, target - min(overlap, target - start) - 2, -1) if p > start]
+        fits = (
+            lambda p: text[p] == "\n",
+            lambda p: text[p] in "。！？",
+            lambda p: text[p] in ".!?" and (p + 1 == len(text) or text[p + 1].isspace()),
+        )
+        for fit in fits:
+            hits = [p for p in near if fit(p)]
+            if hits:
+                end = hits[0] + 1
+                break
+        if end <= start or end <= last:
+            end = target
+        if text[start:end].strip():
+            out.append(text[start:end])
+        if end >= len(text):
+            return out
+        last = end
+        start = end - overlap if end - overlap > start else end
+
+
+@pytest.mark.parametrize("most, overlap", [(1024, 128), (40, 9), (10, 9), (7, 0), (1, 5)])
+def test_pieces_against_the_slow_rule(most, overlap):
+    r = random.Random(3)
+    fixed = ["", " \n ", "short", "x" * 5000, "a b. " * 900, "line\n" * 700, "一二。" * 900, " " * 3000 + "x", "see https://a.b/c. " * 200]
+    mixed = ["".join(r.choice("ab. \n。！?！；;https://火\r") for _ in range(r.randint(1, 400))) for _ in range(300)]
+    for raw in fixed + mixed:
+        assert splitting.cut_pieces(raw, most, overlap) == slow_pieces(raw, max(1, most), min(max(0, overlap), max(1, most) - 1))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexstrata.operators.vectors import dot
+from lexstrata.operators.vectors import dot, every_pair
 
 
 def intent_scores(queries: DataFrame, nodes: DataFrame, least: float = 0.35, most: int = 3) -> DataFrame:
-    """``query_id, node, score, rank``: cosine of query and node vectors; the tree of nodes is small and is repeated."""
-    pairs = queries.crossJoin(F.broadcast(nodes.select("node", F.col("v").alias("_nv"))))
+    """``query_id, node, score, rank``: cosine of query and node vectors."""
+    pairs = every_pair(queries, nodes.select("node", F.col("v").alias("_nv")))
     scored = pairs.select("query_id", "node", F.round(dot(F.col("v"), F.col("_nv")), 6).alias("score")).filter(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= most)
@@ -54,8 +54,8 @@ def capped_intents(intents: DataFrame, most: int = 3) -> DataFrame:
 
 
 def fitting_actions(questions: DataFrame, rules: DataFrame) -> DataFrame:
-    """(question, action) pairs whose verb pattern fits and whose negation does not; rules are few and repeated."""
-    pairs = questions.join(F.broadcast(rules), F.expr("text rlike pattern and not (length(negation) > 0 and text rlike negation)"))
+    """(question, action) pairs whose verb pattern fits and whose negation does not."""
+    pairs = every_pair(questions, rules).filter("text rlike pattern and not (length(negation) > 0 and text rlike negation)")
     return pairs.select(*[c for c in questions.columns if c != "text"], "action")
 
 

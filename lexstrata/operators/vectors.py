@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,32 +68,92 @@ def exact_top_k(queries: DataFrame, points: DataFrame, k: int, collection: str |
     return top_k(found, ["query_id", "collection"], k) if collection else top_k(found.drop("collection"), ["query_id"], k)
 
 
-def fit_cells(points: DataFrame, cells: int = 16, rounds: int = 8, sample: int = 4096) -> np.ndarray:
-    """Centres of an inverted-file index, by k-means on ``sample`` rows at most, chosen by a hash of their id."""
-    rows = points.select("v").orderBy(F.xxhash64("vec_id")).limit(sample).collect()
-    x = np.array([r["v"] for r in rows], np.float64)
-    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
-    for _ in range(rounds):
-        near = (x @ centres.T).argmax(axis=1)
-        centres = np.array([x[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    return centres
+def hashed_vectors(rows: DataFrame, id_col: str, terms: Column, dimensions: int = 256) -> DataFrame:
+    """``id_col, v``: ln(1 + count) of a text's words by the first two hex digits of their MD5, with length 1; a text without words has no row."""
+    some = rows.select(id_col, terms.alias("_terms"))
+
+    def hashed(batches):
+        import pyarrow as pa
+
+        places: dict[str, int] = {}
+        for batch in batches:
+            ids, out = [], []
+            for i, words in zip(batch.column(id_col).to_pylist(), batch.column("_terms").to_pylist(), strict=True):
+                if not words:
+                    continue
+                if len(places) > 200_000:
+                    places.clear()
+                for w in words:
+                    if w not in places:
+                        places[w] = int(hashlib.md5(w.encode()).hexdigest()[:2], 16) % dimensions
+                v = np.log1p(np.bincount([places[w] for w in words], minlength=dimensions))
+                ids.append(i)
+                out.append(v / np.sqrt((v * v).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(id_col).type), pa.array(out, pa.list_(pa.float64()))], names=[id_col, "v"])
+
+    return some.mapInArrow(hashed, f"{id_col} {some.schema[id_col].dataType.simpleString()}, v array<double>")
+
+
+def _nearest(points: DataFrame, centres: np.ndarray, n: int, id_col: str) -> DataFrame:
+    """``id_col, v, cell`` for the ``n`` nearest cells of each row."""
+
+    def near(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+                cells = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :n]
+                at = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).take(at), batch.column("v").take(at), pa.array(cells.ravel().astype(np.int32))], names=[id_col, "v", "cell"])
 
-def cell_top_k(queries: DataFrame, points: DataFrame, k: int, cells: int = 16, probes: int = 13) -> DataFrame:
-    """Approximate top-k: every point lies in one cell, and a query looks into its ``probes`` nearest cells."""
-    centres = fit_cells(points, cells)
+    return points.select(id_col, "v").mapInArrow(near, f"{id_col} {points.schema[id_col].dataType.simpleString()}, v array<double>, cell int")
 
-    def near(v: Column, n: int) -> Column:
-        scores = F.array(*[F.struct((-dot(v, F.array(*[F.lit(float(x)) for x in c]))).alias("s"), F.lit(i).alias("c")) for i, c in enumerate(centres)])
-        return F.transform(F.slice(F.array_sort(scores), 1, n), lambda x: x["c"])
 
-    q = queries.select("query_id", F.col("v").alias("qv"), F.explode(near(F.col("v"), probes)).alias("cell"))
-    p = points.select("vec_id", F.col("v").alias("pv"), near(F.col("v"), 1)[0].alias("cell"))
+def fit_cells(points: DataFrame, k: int = 10, recall: float = 0.95, rounds: int = 8, sample: int = 4096, most_cells: int = 1024) -> tuple[np.ndarray, int]:
+    """Centres of an inverted-file index by k-means, and how many cells a query must look into.
+
+    Both are fitted on ``sample`` rows at most, chosen by a hash of their id:
+    about as many cells as the square root of the number of rows, and the
+    fewest probes that find ``recall`` of the exact ``k`` best for rows of
+    the sample.
+    """
+    n = points.count()
+    x = np.array([r["v"] for r in points.select("v").orderBy(F.xxhash64("vec_id")).limit(sample).collect()], np.float64)
+    cells = max(1, min(int(n**0.5), most_cells, len(x) // 8))
+    centres = x[np.linspace(0, len(x) - 1, cells).astype(int)]
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(axis=1)
+        centres = np.array([x[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    asked = x[:: max(1, len(x) // 256)]
+    own = (x @ centres.T).argmax(axis=1)
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)  # of each cell, for each query
+    best = np.argsort(-(asked @ x.T), axis=1)[:, 1 : k + 1]
+    needed = np.sort(np.take_along_axis(place, own[best], axis=1).ravel()) + 1
+    return centres, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else 1
+
+
+def cell_top_k(queries: DataFrame, points: DataFrame, k: int, recall: float = 0.95) -> DataFrame:
+    """Approximate top-k: every point lies in one cell, and a query looks into the nearest cells, see ``fit_cells``."""
+    if points.isEmpty():
+        return top_k(queries.select("query_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0), ["query_id"], k)
+    centres, probes = fit_cells(points, k, recall)
+    q = _nearest(queries, centres, probes, "query_id").withColumnRenamed("v", "qv")
+    p = _nearest(points, centres, 1, "vec_id").withColumnRenamed("v", "pv")
     scored = q.join(p, "cell").select("query_id", "vec_id", F.round(dot(F.col("qv"), F.col("pv")), 6).alias("score"))
     return top_k(scored, ["query_id"], k)
 
 
+def every_pair(left: DataFrame, right: DataFrame, most: int = 10_000) -> DataFrame:
+    """Each row of ``left`` with each of ``right``, which is repeated where it has ``most`` rows at most, else met in blocks."""
+    if right.limit(most + 1).count() <= most:
+        return left.crossJoin(F.broadcast(right))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = right.withColumn("_g", F.pmod(F.xxhash64(*right.columns), F.lit(parts)).cast("int"))
+    return left.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(blocks, "_g").drop("_g")
+
+
 def scope_quota(budget: Column, ratio: Column, directed: Column, n_supplement: Column) -> Column:
     """Places for the supplement of a directed search: between 1 and budget - 1; 0 when global, empty or without ratio."""
     share = F.least(budget - 1, F.greatest(F.lit(1), F.floor(budget * ratio + 0.5).cast("int")))

@@ -169,12 +169,12 @@ def _(t):
     return conv.evicted(memories, 300)
 
 
-ATTEMPTS = "a AS (SELECT user_id AS conv_id, event_id % 6 AS to_turn, CASE event_type WHEN 'purchase' THEN 'DONE' WHEN 'click' THEN 'DROPPED' ELSE 'FAILED' END AS status FROM events WHERE event_id % 40 = 3)"
+ATTEMPTS = "a AS (SELECT user_id AS conv_id, event_id % 6 AS to_turn, CASE event_type WHEN 'purchase' THEN 'DONE' WHEN 'click' THEN 'DROPPED' ELSE 'FAILED' END AS status FROM events)"
 
 
 def attempts(t):
     status = F.when(F.col("event_type") == "purchase", "DONE").when(F.col("event_type") == "click", "DROPPED").otherwise("FAILED")
-    return t("events").filter("event_id % 40 = 3").select(F.col("user_id").alias("conv_id"), (F.col("event_id") % 6).alias("to_turn"), status.alias("status"))
+    return t("events").select(F.col("user_id").alias("conv_id"), (F.col("event_id") % 6).alias("to_turn"), status.alias("status"))
 
 
 PENDING = "k AS (SELECT conv_id, max(to_turn) AS mark FROM a WHERE status IN ('DONE', 'DROPPED') GROUP BY 1), p AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place FROM conversations LEFT JOIN k USING (conv_id) WHERE role = 'user' AND (mark IS NULL OR turn > mark))"

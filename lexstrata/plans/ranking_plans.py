@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexstrata.functions import text
+from lexstrata.functions.text import words
 from lexstrata.operators import keyword, ranking, vectors
 from lexstrata.plans.base import Family, Tables
 from lexstrata.plans.retrieval_plans import BM25, keyword_hits
+from lexstrata.plans.text_plans import ANCHORS
 
 family = Family()
 QUERIES, ORACLES = family.QUERIES, family.ORACLES
 
-#: Keyword hits of each benchmark item, and a second channel: documents by name order of their source.
-HITS = f"""WITH {BM25},
-    v AS (SELECT item_id AS query_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40),
-    hits AS (SELECT query_id, 'keyword' AS channel, doc_id AS key, rank, score FROM kw UNION ALL SELECT query_id, 'vector', doc_id, rank, CAST(1.0 / (1 + rank) AS DOUBLE) FROM v WHERE rank <= 20),
+#: Keyword hits of each benchmark item, and the documents with the nearest hashed word vectors.
+HITS = rf"""WITH {BM25},
+    hw AS (SELECT 'd' AS side, doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS x FROM documents
+        UNION ALL SELECT 'q', item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) FROM benchmark),
+    hd AS (SELECT side, id, substr(md5(x), 1, 2) AS d, ln(1 + count(*)) AS w FROM hw GROUP BY 1, 2, 3),
+    hn AS (SELECT side, id, sqrt(sum(w * w)) AS n FROM hd GROUP BY 1, 2),
+    hs AS (SELECT q.id AS query_id, p.id AS doc_id, sum(q.w * p.w) AS s FROM hd q JOIN hd p USING (d) WHERE q.side = 'q' AND p.side = 'd' GROUP BY 1, 2),
+    hc AS (SELECT query_id, doc_id, round(s / (a.n * b.n), 6) AS score FROM hs JOIN hn a ON a.side = 'q' AND a.id = query_id JOIN hn b ON b.side = 'd' AND b.id = doc_id),
+    v AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM hc),
+    hits AS (SELECT query_id, 'keyword' AS channel, doc_id AS key, rank, score FROM kw UNION ALL SELECT query_id, 'vector', doc_id, rank, score FROM v WHERE rank <= 20),
     dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY CASE channel WHEN 'vector' THEN 0 ELSE 1 END, rank) AS r FROM hits) WHERE r = 1),
     fz AS (SELECT query_id, key, CAST(sum(CASE channel WHEN 'keyword' THEN 1.0 ELSE 0.5 END / (20 + rank)) AS FLOAT) AS score, min(CASE channel WHEN 'vector' THEN rank ELSE 100 + rank END) AS f FROM hits GROUP BY 1, 2),
     fu AS (SELECT query_id, key, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f, key) AS INTEGER) AS place FROM fz) WHERE place <= 20)"""
@@ -28,11 +36,9 @@ OVERLAP = r"""
 
 def hits(t: Tables):
     kw = keyword_hits(t).select("query_id", F.lit("keyword").alias("channel"), F.col("doc_id").alias("key"), "rank", "score")
-    items = t("benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("slot"))
-    docs = t("documents").select("doc_id", "n_chars", (F.col("doc_id") % 40).alias("slot"))
-    listed = vectors.top_k(docs.join(items, "slot").select("query_id", "doc_id", "n_chars"), ["query_id"], 20, "n_chars", "doc_id")
-    other = listed.select("query_id", F.lit("vector").alias("channel"), F.col("doc_id").alias("key"), "rank", (1.0 / (1 + F.col("rank"))).alias("score"))
-    return kw.unionByName(other)
+    vector = lambda table, key, name: vectors.hashed_vectors(t(table).withColumnRenamed(key, name), name, words(F.col("text")))
+    near = vectors.exact_top_k(vector("benchmark", "item_id", "query_id"), vector("documents", "doc_id", "vec_id"), 20)
+    return kw.unionByName(near.select("query_id", F.lit("vector").alias("channel"), F.col("vec_id").alias("key"), "rank", "score"))
 
 
 def fused(t: Tables):
@@ -74,7 +80,9 @@ def _(t):
     "pst05_coverage_top_up",
     f"""{HITS}, {OVERLAP},
     s AS (SELECT query_id, key, rank FROM rr WHERE query_id % 2 = 0 OR rank <= 3),
-    c AS (SELECT query_id, key, max(key % 4) AS shared, min(rank) AS rank FROM hits WHERE key % 4 >= 2 GROUP BY 1, 2),
+    an AS (SELECT unnest(['the', 'tion', 'ing', 'und', 'que']) AS a),
+    sh AS (SELECT query_id, key, rank, count(*) FILTER (contains(b.text, a) AND contains(d.text, a)) AS shared FROM hits JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = key CROSS JOIN an GROUP BY query_id, channel, key, rank),
+    c AS (SELECT query_id, key, max(shared) AS shared, min(rank) AS rank FROM sh WHERE shared >= 2 GROUP BY 1, 2),
     x AS (SELECT c.*, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, rank, key) AS o FROM c ANTI JOIN s USING (query_id, key)),
     n AS (SELECT query_id, count(*) AS n FROM s GROUP BY 1),
     a AS (SELECT x.query_id, key, CAST(CASE WHEN n >= 5 THEN 5 ELSE n + o END AS INTEGER) AS rank, n >= 5 AS over FROM x JOIN n USING (query_id) WHERE o <= 5 - n OR (n >= 5 AND o = 1))
@@ -82,7 +90,10 @@ def _(t):
 )
 def _(t):
     selected = reranked(t).filter("query_id % 2 = 0 or rank <= 3").select("query_id", "key", "rank")
-    return ranking.coverage_top_up(selected, hits(t).withColumn("shared", F.col("key") % 4), "shared")
+    texts = t("documents").select(F.col("doc_id").alias("key"), "text")
+    questions = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    found = hits(t).select("query_id", "key", "rank").join(texts, "key").join(questions, "query_id")
+    return ranking.coverage_top_up(selected, found.withColumn("shared", text.anchor_count(ANCHORS, F.col("question"), F.col("text"))), "shared")
 
 
 @family.query("pst06_evidence_gate", f"{HITS}, {OVERLAP}, m AS (SELECT *, max(rerank_score) OVER (PARTITION BY query_id) AS best FROM rr) SELECT query_id, key, rank FROM m WHERE best >= 0.7")
@@ -129,14 +140,13 @@ def _(t):
 
 @family.query(
     "pst10_eligible_intents",
-    f"""{HITS}, r AS ({COLLECTIONS}), i AS (SELECT DISTINCT item_id AS query_id, source AS collection, 'intent ' || source AS intent, item_id % 2 = 0 AS directed FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40)
+    f"""{HITS}, r AS ({COLLECTIONS}), i AS (SELECT DISTINCT item_id AS query_id, source AS collection, 'intent ' || source AS intent, item_id % 2 = 0 AS directed FROM benchmark, (SELECT DISTINCT source FROM documents))
     SELECT query_id, intent, directed FROM i WHERE NOT directed OR (query_id, collection) IN (SELECT (query_id, collection) FROM r)""",
 )
 def _(t):
     rows = fused(t).join(t("documents").select(F.col("doc_id").alias("key"), F.col("source").alias("collection")), "key")
-    items = t("benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("slot"))
-    pairs = t("documents").select("source", (F.col("doc_id") % 40).alias("slot")).distinct().join(items, "slot")
-    intents = pairs.select("query_id", F.col("source").alias("collection"), F.concat(F.lit("intent "), "source").alias("intent"), (F.col("query_id") % 2 == 0).alias("directed")).distinct()
+    pairs = vectors.every_pair(t("benchmark").select(F.col("item_id").alias("query_id")), t("documents").select("source").distinct())
+    intents = pairs.select("query_id", F.col("source").alias("collection"), F.concat(F.lit("intent "), "source").alias("intent"), (F.col("query_id") % 2 == 0).alias("directed"))
     return ranking.eligible_intents(intents, rows).select("query_id", "intent", "directed")
 
 
@@ -179,14 +189,14 @@ def _(t):
 
 
 CONTEXT = f"""{HITS}, {OVERLAP} {SOURCES.format(where='true')},
-    g AS (SELECT rr.query_id, source, any_value(number) AS number, min(rank) AS first, string_agg(substr(text, 1, 40), chr(10) ORDER BY rr.key % 7, rank) AS t FROM rr JOIN so ON so.query_id = rr.query_id AND so.doc_id = source GROUP BY 1, 2)
+    g AS (SELECT rr.query_id, source, any_value(number) AS number, min(rank) AS first, string_agg(text, chr(10) ORDER BY rr.key % 7, rank) AS t FROM rr JOIN so ON so.query_id = rr.query_id AND so.doc_id = source GROUP BY 1, 2)
     SELECT query_id, string_agg(concat('[', number, '] ', t), chr(10) || chr(10) ORDER BY first) AS context FROM g GROUP BY query_id"""
 
 
 @family.query("pst15_context", CONTEXT)
 def _(t):
     rows = _by_source(t)
-    body = rows.select("query_id", "rank", "doc_id", (F.col("key") % 7).cast("int").alias("chunk_index"), F.substring("text", 1, 40).alias("text"))
+    body = rows.select("query_id", "rank", "doc_id", (F.col("key") % 7).cast("int").alias("chunk_index"), "text")
     return ranking.assembled_context(body, ranking.best_per_document(rows))
 
 
@@ -232,7 +242,7 @@ def _(t):
 
 
 def flagship(t: Tables):
-    """Questions to cited evidence: keyword search over whole documents, rerank, gate, best document, sources."""
+    """Questions to cited evidence: keyword and vector search over whole documents, rerank, gate, best document, sources."""
     rows = ranking.evidence_gate(reranked(t))
     shaped = rows.select("query_id", "rank", "key", F.col("key").alias("doc_id"), F.col("rerank_score").alias("score"), "text")
     best = ranking.best_per_document(shaped, needs_text=True)

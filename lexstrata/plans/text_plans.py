@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexstrata.functions import splitting, text
 from lexstrata.plans.base import Family
+from lexstrata.plans.retrieval_plans import BM25, keyword_hits
 
 family = Family()
 QUERIES, ORACLES = family.QUERIES, family.ORACLES
@@ -178,15 +179,16 @@ def _(t):
 
 @family.query(
     "txt19_anchor_terms",
-    """
-    WITH a AS (SELECT unnest(['the', 'tion', 'ing', 'und', 'que']) AS a)
+    f"""
+    WITH {BM25}, a AS (SELECT unnest(['the', 'tion', 'ing', 'und', 'que']) AS a)
     SELECT b.item_id, d.doc_id, CAST(count(*) FILTER (contains(b.text, a) AND contains(d.text, a)) AS BIGINT) AS shared
-    FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 CROSS JOIN a GROUP BY 1, 2""",
+    FROM kw JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) CROSS JOIN a GROUP BY 1, 2""",
 )
 def _(t):
-    b = t("benchmark").select("item_id", F.col("text").alias("question"), (F.col("item_id") % 40).alias("slot"))
-    d = t("documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("slot"))
-    return d.join(b, "slot").select("item_id", "doc_id", text.anchor_count(ANCHORS, F.col("question"), F.col("text")).alias("shared"))
+    """Anchors shared by each question and its keyword hits over all documents."""
+    b = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    pairs = keyword_hits(t).select("query_id", "doc_id").join(b, "query_id").join(t("documents").select("doc_id", "text"), "doc_id")
+    return pairs.select(F.col("query_id").alias("item_id"), "doc_id", text.anchor_count(ANCHORS, F.col("question"), F.col("text")).alias("shared"))
 
 
 @family.query(

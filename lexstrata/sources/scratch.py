@@ -10,7 +10,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``; a local one only on a single machine without it."""
     key = "spark.checkpoint.dir"
-    base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None) or os.path.join(tempfile.gettempdir(), "lexstrata-work")
+    base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{key} must name a folder that driver and executors share")
+    base = base or os.path.join(tempfile.gettempdir(), "lexstrata-work")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

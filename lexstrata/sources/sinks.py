@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def write_replaced(old_path: str, new: DataFrame, key: str = "doc_id", buckets:
         return
     kept = held.join(touched, "bucket", "left_semi").select(fresh.columns)
     out = replaced(kept, fresh, key)
-    staged = f"{old_path.rstrip('/')}-staged"
+    staged = f"{old_path.rstrip('/')}-staged-{uuid.uuid4().hex}"
     out.write.partitionBy("bucket").mode("overwrite").parquet(staged)
     spark.read.parquet(staged).select(fresh.columns).write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(old_path)
 

@@ -1,3 +1,4 @@
+import datetime
 import json
 import random
 import re
@@ -264,3 +265,76 @@ def test_tables_have_a_row_for_each_word(spark):
     docs = spark.createDataFrame([(1, "one\n" + " ".join(words) + "\nthree", "s")], "doc_id long, text string, source string")
     body = chunk_plans._markdown(lambda name: docs).first()["text"]
     assert [f"| {w} | {len(w)} |" for w in words] == [x for x in body.split("\n") if x.startswith("| w") and x[3].isdigit()]
+
+
+def test_state_survives_replays_and_restarts(spark, tmp_path):
+    """A batch that runs twice, and a query that starts again, end in the same state."""
+    empty = spark.createDataFrame([], "k long, x string")
+    batch = lambda rows: spark.createDataFrame(rows, "k long, x string")
+    put = lambda old, new: old.join(new.select("k").distinct(), "k", "left_anti").unionByName(new)
+    drop = lambda old, new: old.join(new.select("k").distinct(), "k", "left_anti")
+    state = feedback.VersionedState(spark, str(tmp_path / "s"), "k", empty, buckets=3)
+    assert rows(state.read(), "k") == []
+    state.apply(batch([(1, "a"), (2, "a"), (3, "a")]), 0, put)
+    state.apply(batch([(2, "b"), (4, "b")]), 1, put)
+    want = [(1, "a"), (2, "b"), (3, "a"), (4, "b")]
+    assert rows(state.read(), "k") == want
+    again = feedback.VersionedState(spark, str(tmp_path / "s"), "k", empty, buckets=3)  # a new process
+    again.apply(batch([(2, "b"), (4, "b")]), 1, put)
+    assert rows(again.read(), "k") == want and rows(again.read(before=1), "k") == [(1, "a"), (2, "a"), (3, "a")]
+    again.apply(batch([]), 2, put)
+    again.apply(batch([(k, "") for k in (1, 2, 3, 4)]), 3, drop)
+    assert rows(again.read(), "k") == []
+    full = feedback.VersionedState(spark, str(tmp_path / "i"), "k", batch([(1, "i"), (2, "i")]), buckets=64)
+    full.apply(batch([(2, "n")]), 0, put)
+    assert rows(full.read(), "k") == [(1, "i"), (2, "n")]
+
+
+def test_feedback_stream_restarts_from_its_checkpoint(spark, tmp_path):
+    kinds = "message_id long, user_id long, vote int, submitted timestamp, event_id long"
+    send = lambda rows: spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    at = lambda n: datetime.datetime(2024, 1, 1, 0, n)
+    schema = spark.createDataFrame([], kinds).schema
+
+    def run():
+        state = feedback.VersionedState(spark, str(tmp_path / "state"), "message_id", spark.createDataFrame([], kinds))
+        feedback.run_once(feedback.file_stream(spark, str(tmp_path / "in"), schema), lambda b, n: state.apply(b, n, feedback.merged_feedback), str(tmp_path / "ck"))
+        return rows(state.read().select("message_id", "vote"), "message_id")
+
+    send([(1, 1, 1, at(1), 1), (2, 1, -1, at(1), 2)])
+    assert run() == [(1, 1), (2, -1)]
+    send([(1, 1, None, at(5), 3), (3, 1, 1, at(2), 4)])
+    send([(1, 1, -1, at(4), 5)])  # older than the cancellation
+    assert run() == [(1, None), (2, -1), (3, 1)]
+    assert run() == [(1, None), (2, -1), (3, 1)]
+
+
+def test_keyword_hits_against_a_loop(spark):
+    import math
+
+    from lexstrata.operators import keyword
+
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(r.choice(vocabulary[: r.randint(2, 30)]) for _ in range(r.randint(0, 40))), r.choice(["w1 w2", "w3", None])) for i in range(80)] + [(100, None, None), (101, "w1", "w1 w1 w1")]
+    asked = [(q, " ".join(r.choice([*vocabulary, "none"]) for _ in range(r.randint(0, 6)))) for q in range(12)] + [(50, None)]
+    got = keyword.bm25_top_k(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5), {"a": "text", "b": "source"}, {"a": 1.0, "b": 2.0}, 7)
+    found = {}
+    for x in got.orderBy("query_id", "rank").collect():
+        found.setdefault(x["query_id"], []).append((x["doc_id"], x["score"]))
+    for q, t in asked:
+        best = {}
+        for f, boost in ((1, 1.0), (2, 2.0)):
+            terms = {d[0]: d[f].split() for d in docs if d[f] is not None}
+            mean = sum(map(len, terms.values())) / len(terms)
+            for d, ws in terms.items():
+                score = 0.0
+                for w in set((t or "").split()):
+                    n = sum(w in x for x in terms.values())
+                    if w in ws:
+                        score += math.log(1 + (len(terms) - n + 0.5) / (n + 0.5)) * ws.count(w) * 2.2 / (ws.count(w) + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+                if score:
+                    best[d] = max(best.get(d, 0), round(boost * score, 6))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:7]
+        assert [d for d, _ in found.get(q, [])] == [d for d, _ in want]
+        assert all(abs(a - b) < 2e-6 for (_, a), (_, b) in zip(found.get(q, []), want, strict=True))

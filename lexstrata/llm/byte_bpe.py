@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Pieces of so many bytes are merged directly; longer ones by halves.
 LEAF_BYTES = 24
+#: Longer windows keep their pairs in a heap.
+QUEUE_BYTES = 96
 #: Entries of each memo table before it starts anew.
 MEMO = 300_000
 _NONE = 1 << 60
@@ -77,6 +80,30 @@ class TreeBpe:
                 pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
         return [ranks[p] for p in parts]
 
+    def queued(self, data: bytes) -> list[int]:
+        """``merged`` for many bytes: the pairs wait in a heap, and parts are a linked list."""
+        ranks, n = self.ranks, len(data)
+        end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if end[i] < 0 or j >= n or ranks.get(data[i : end[j]]) != rank:
+                continue  # one of the two parts has changed
+            end[i], end[j], after[i] = end[j], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := ranks.get(data[i : end[after[i]]])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := ranks.get(data[h : end[i]])) is not None:
+                heapq.heappush(heap, (r, h))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[data[i : end[i]]])
+            i = after[i]
+        return out
+
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings, one after the other."""
         if not left or not right:
@@ -86,14 +113,16 @@ class TreeBpe:
             return left + right
         while True:
             i, j = max(0, len(left) - reach), min(len(right), reach)
-            window = self.reduced(b"".join([tokens[t] for t in left[i:] + right[:j]]), whole=i == 0 and j == len(right))
+            window = self.direct(b"".join([tokens[t] for t in left[i:] + right[:j]]))
             if (i == 0 or self.stable[left[i - 1], window[0]]) and (j == len(right) or self.stable[window[-1], right[j]]):
                 return left[:i] + window + right[j:]
             reach *= 2
 
-    def reduced(self, data: bytes, whole: bool = False) -> list[int]:
-        """``whole``: the window has reached both ends, so halving it would ask the same question again."""
-        if len(data) <= LEAF_BYTES or whole:
+    def direct(self, data: bytes) -> list[int]:
+        return self.merged(data) if len(data) <= QUEUE_BYTES else self.queued(data)
+
+    def reduced(self, data: bytes) -> list[int]:
+        if len(data) <= LEAF_BYTES:
             return self.merged(data)
         half = len(data) // 2
         return self.joined(self.reduced(data[:half]), self.reduced(data[half:]))

@@ -8,13 +8,15 @@ the message it answers, without the quotations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import cut_lineage
+from lexstrata.llm.common import cut_lineage, salted_join
 
 #: The marks before a quoted line: ``>``, ``>>``, ``> >`` and so on.
 MARKS = r"^[ \t]*(>[ \t>]*)"
+#: White space behind the end of a sentence.
+SENTENCE_GAP = r"(?<=[.!?。！？])\s+"
 
 
 def normalised(text: Column) -> Column:
@@ -52,27 +54,35 @@ def _marked(messages: DataFrame, conv_col: str, turn_col: str, text_col: str) ->
 
 
 def quoted_passages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """The units that can be looked up: each quoted line, and each level of a message as one whole.
+    """The units that can be looked up: each quoted line, each unbroken block of one level, and each level of a message as one whole.
 
     Returns ``conv_id, turn, level, hash, size``; units without any letter or
     digit left after normalising are passed over.
     """
-    lines = message_lines(_marked(messages, conv_col, turn_col, text_col), "conv_id", "turn", "text").filter("level > 0")
+    marked = _marked(messages, conv_col, turn_col, text_col).distinct()
+    lines = message_lines(marked.withColumn("turn", F.struct("turn", F.xxhash64("text").alias("print"))), "conv_id", "turn", "text").filter("level > 0")
+    in_level = Window.partitionBy("conv_id", "turn", "level").orderBy("line")
+    lines = lines.withColumn("block", F.col("line") - F.row_number().over(in_level))
     single = lines.select("conv_id", "turn", "level", normalised(F.col("body")).alias("_unit"))
-    whole = lines.groupBy("conv_id", "turn", "level").agg(F.array_sort(F.collect_list(F.struct("line", "body"))).alias("_all"))
-    whole = whole.select("conv_id", "turn", "level", normalised(F.array_join(F.transform("_all", lambda x: x["body"]), " ")).alias("_unit"))
+
+    def joined(*by):
+        whole = lines.groupBy("conv_id", "turn", "level", *by).agg(F.array_sort(F.collect_list(F.struct("line", "body"))).alias("_all"))
+        return whole.select("conv_id", "turn", "level", normalised(F.array_join(F.transform("_all", lambda x: x["body"]), " ")).alias("_unit"))
+
     return (
-        single.unionByName(whole)
+        single.unionByName(joined("block"))
+        .unionByName(joined())
         .filter(F.col("_unit").rlike(r"[\p{L}\p{N}]"))
-        .select("conv_id", "turn", "level", F.sha2("_unit", 256).alias("hash"), F.length("_unit").alias("size"))
+        .select("conv_id", F.col("turn")["turn"].alias("turn"), "level", F.sha2("_unit", 256).alias("hash"), F.length("_unit").alias("size"))
         .distinct()
     )
 
 
 def said_first(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """``conv_id, hash, said``: the first turn of a conversation that says a line or a whole own text."""
+    """``conv_id, hash, said``: the first turn of a conversation that says a line, a sentence, a paragraph or a whole own text."""
     m = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), own_text(F.col(text_col)).alias("_own"))
-    units = F.array_union(F.transform(F.split("_own", r"\n"), normalised), F.array(normalised(F.col("_own"))))
+    parts = [F.split("_own", r"\n"), F.split("_own", r"\n[ \t]*\n"), F.split("_own", SENTENCE_GAP), F.array("_own")]
+    units = F.array_distinct(F.transform(F.concat(*parts), normalised))
     rows = m.select("conv_id", "turn", F.explode(units).alias("_unit")).filter(F.col("_unit").rlike(r"[\p{L}\p{N}]"))
     return rows.groupBy("conv_id", F.sha2("_unit", 256).alias("hash")).agg(F.min("turn").alias("said"))
 
@@ -87,8 +97,9 @@ def quotation_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     asked = quoted_passages(messages, conv_col, turn_col, text_col)
     # Only conversations that quote at all are indexed.
     quoting = asked.select(F.col("conv_id").alias("_conv")).distinct()
-    own = messages.join(quoting, messages[conv_col] == quoting["_conv"], "left_semi")
-    hits = asked.join(said_first(own, conv_col, turn_col, text_col), ["conv_id", "hash"]).filter("said < turn")
+    named = messages.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("text"))
+    own = salted_join(named, quoting, ["_conv"], F.col("turn"), "left_semi")
+    hits = asked.join(said_first(own, "_conv", "turn", "text"), ["conv_id", "hash"]).filter("said < turn")
     votes = hits.groupBy("conv_id", "turn", "level", "said").agg(F.sum("size").alias("_size"))
     return votes.groupBy("conv_id", "turn", "level").agg(F.max_by("said", F.struct("_size", "said")).alias("quoted_turn"))
 

@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -386,6 +388,140 @@ def test_quotation_threads(spark):
     assert see((2, 1)) == (None, 1, 0, "")
 
 
+def slow_threads(rows):
+    """Row by row: quoted lines, blocks and levels against what earlier turns of the conversation said first."""
+    marks = re.compile(r"^[ \t]*(>[ \t>]*)")
+    split = lambda t: re.split(r"\r\n|\r|\n", t or "")
+    level = lambda x: (m := marks.match(x)) and m[1].count(">") or 0
+    clean = lambda t: re.sub(r"[ \t\n\x0b\f\r]+", " ", t.lower()).strip(" ")
+    useful = lambda u: any(c.isalnum() for c in u)
+    own = lambda t: "\n".join(x for x in split(t) if not level(x)).strip(" ")
+    said = {}
+    for conv, turn, _, t in sorted(rows, key=lambda r: (r[0], r[1])):
+        mine = own(t)
+        for u in {clean(x) for x in [*mine.split("\n"), *re.split(r"\n[ \t]*\n", mine), *re.split(r"(?<=[.!?。！？])\s+", mine), mine]}:
+            if useful(u):
+                said.setdefault((conv, u), turn)
+    up = {}
+    for conv, turn, _, t in rows:
+        lines = [(i, level(x), marks.sub("", x)) for i, x in enumerate(split(t))]
+        for depth in sorted({n for _, n, _ in lines} - {0}):
+            mine = [(i, b) for i, n, b in lines if n == depth]
+            blocks, last = [], None
+            for i, b in mine:
+                if last != i - 1:
+                    blocks.append([])
+                blocks[-1].append(b)
+                last = i
+            votes = {}
+            for u in {clean(b) for _, b in mine} | {clean(" ".join(b)) for b in blocks} | {clean(" ".join(b for _, b in mine))}:
+                if useful(u) and said.get((conv, u), turn) < turn:
+                    votes[said[conv, u]] = votes.get(said[conv, u], 0) + len(u)
+            if votes and (conv, turn) not in up:
+                up[conv, turn] = max(votes, key=lambda k: (votes[k], k))
+    out = []
+    for conv, turn, role, t in rows:
+        at, n = turn, 0
+        while (conv, at) in up:
+            at, n = up[conv, at], n + 1
+        depths = [level(x) for x in split(t)]
+        out.append((conv, turn, role, own(t), sum(d > 0 for d in depths), max(depths), up.get((conv, turn)), at, n))
+    return sorted(out, key=repr)
+
+
+def test_threads_against_a_loop(spark):
+    """Nested, wrapped and interleaved quotations, one long conversation, repeated rows, and many messages that quote one line."""
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(60)]
+    sentence = lambda: " ".join(r.choice(words) for _ in range(r.randint(2, 7))) + r.choice(".!? ")
+    rows = []
+    for conv, size in [(1, 300), (2, 25), (3, 1), (4, 40), (5, 12)]:
+        texts = []
+        for turn in range(size):
+            parts = []
+            for _ in range(r.randint(0, 3)):
+                if texts and r.random() < 0.8:
+                    old = r.choice(texts)
+                    kind = r.random()
+                    if kind < 0.4:
+                        parts += ["> " + x for x in old.split("\n")]
+                    elif kind < 0.7:  # one sentence, wrapped anew
+                        some = r.choice(re.split(r"(?<=[.!?])\s+", old)).split()
+                        parts += ["> " + " ".join(some[k : k + 3]).upper() for k in range(0, len(some), 3)]
+                    else:
+                        parts.append(">> " + r.choice(old.split("\n")))
+                if r.random() < 0.9:
+                    parts.append(" ".join(sentence() for _ in range(r.randint(1, 3))))
+                if r.random() < 0.3:
+                    parts += ["", sentence()]
+            if turn % 7 == 3 and texts:
+                parts = ["> " + texts[0].split("\n")[0], "again"]
+            texts.append("\n".join(parts))
+            rows.append((conv, turn, r.choice(["user", "assistant"]), texts[-1]))
+    rows += [(6, 0, "user", None), (6, 1, "user", ""), (6, 2, "user", "> ...\n>"), (7, 0, "user", "long " * 20_000 + "end."), (7, 1, "user", "> " + "long " * 20_000 + "end.\nyes")]
+    rows += [rows[10], rows[-1]]
+    got = quotes.reply_threads(spark.createDataFrame([(*x, "h", 1) for x in rows], "conv_id long, turn long, role string, text string, hash string, level int")).collect()
+    assert sorted(map(tuple, got), key=repr) == slow_threads(rows)
+    assert sum(x["reply_to"] is not None for x in got) > 150 and max(x["reply_depth"] for x in got) > 3
+
+
+def test_language_profiles_against_a_loop(spark):
+    """Bundles summed letter by letter, and cosines of each text with each prototype."""
+    r = random.Random(6)
+    parts = {"en": ["the", "ing", "Tion", "and"], "de": ["ung", "sch", "ß", "der"], "ru": ["ого", "ить", "ста"], "zh": ["漢", "字", "是"]}
+    rows = []
+    for i in range(80):
+        lang = r.choice(list(parts))
+        rows.append((i, r.choice([" ", "\n", ", 12 "]).join("".join(r.choice(parts[lang]) for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 25))), lang if i % 9 else None))
+    rows += [(200, "the " * 3000, "en"), (201, None, "en"), (202, "1 2", "de"), (203, "", None), (None, "und der schung", "de"), (5, rows[5][1], rows[5][2])]
+    letters = language.letter_vectors().astype(np.float64)
+
+    def bundle(text):
+        row = [1 + ord(c) % (language.LETTERS - 1) if c.isalpha() else 0 for c in (text or "").lower()]
+        row = [0] + [x for k, x in enumerate(row) if x or k == 0 or row[k - 1]] + [0]
+        out = np.zeros(letters.shape[1])
+        for a, b, c in zip(row, row[1:], row[2:], strict=False):
+            if b:
+                out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    sums = {}
+    for i, t, lang in rows:
+        if lang and not held(i) and any(c.isalpha() for c in t or ""):
+            sums[lang] = sums.get(lang, 0) + bundle(t)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    docs = spark.createDataFrame([(*x, "x", 1.5) for x in rows], "doc_id long, text string, lang string, lang_pred string, score double").repartition(3)
+    want = {}
+    for i, t, _ in rows:
+        v = unit(bundle(t))
+        cosines = {k: float(unit(p) @ v) for k, p in sums.items()} if any(c.isalpha() for c in t or "") else {}
+        want[i] = cosines
+    found = language.predict_languages(docs).collect()
+    assert len(found) == len(rows)
+    for x in found:
+        cosines = want[x["doc_id"]]
+        assert x["held_out"] == held(x["doc_id"])
+        assert (x["lang_pred"] in cosines and abs(cosines[x["lang_pred"]] - max(cosines.values())) < 1e-5) if cosines else x["lang_pred"] == "und"
+        assert abs(x["score"] - max(0.0, cosines[x["lang_pred"]] if cosines else 0.0)) < 1e-5
+
+
+def test_long_runs_are_encoded_soon():
+    import tiktoken
+
+    import public_tokenizers
+
+    path = byte_bpe.default_ranks_path()
+    own = byte_bpe.TreeBpe(path, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    for text in ("a" * 20_000, "ab" * 9_000, "é" * 5_000, " " * 8_000, "=" * 7_001 + "-" * 4_000, "漢字" * 3_000, "xyz" * 2_001):
+        began = time.process_time()
+        ids = np.frombuffer(own.encode(text), "<u4").tolist()
+        assert ids == library.encode_ordinary(text) and time.process_time() - began < 5
+        data = text[:400].encode()
+        assert own.queued(data) == own.merged(data)
+
+
 def test_empty_tables(spark):
     docs = make(spark, [(1, "x")]).limit(0)
     for run in (exact_dedup.exact_duplicates, suffix_dedup.remove_repeats, jaccard_join.near_duplicates, packing.pack, byte_bpe.round_trip, token_counts.token_counts, gear_chunks.substring_dedup):

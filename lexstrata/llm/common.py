@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -41,12 +42,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     Unlike ``cut_lineage`` the result can be read by column.  The folder
-    belongs to the caller's cluster storage and goes with its clean-up.
+    belongs to the caller's cluster storage and goes with its clean-up, or
+    sooner by ``forget``.  Shuffle files that led to the table are needed no
+    more, and the driver's garbage collection lets Spark delete them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexstrata_path = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table that ``written`` made and that no result still to be computed reads."""
+    jvm, context = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(table._lexstrata_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_few_tasks(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:

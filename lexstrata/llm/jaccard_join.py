@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import cut_lineage, dealt_arrays, in_few_tasks, packed, salted_join, unpacked, weighted_join, written
+from lexstrata.llm.common import cut_lineage, dealt_arrays, forget, in_few_tasks, packed, salted_join, unpacked, weighted_join, written
 from lexstrata.llm.components import connected_components
 from lexstrata.llm.grams import gram_sets
 
@@ -496,6 +496,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, share:
         rest = _candidate_pairs(few(few(labelled.join(mixed, "gid", "left_semi")).join(points, "sid")), share, mode)
         rest = few(rest).unionByName(few(_across_blocks(blocks, labelled, hubs, points, share, mode, few))).select("a", "b").distinct()
         rest = cut_lineage(few(few(rest).join(tested, ["a", "b"], "left_anti")))
+        forget(labelled)
         if rest.isEmpty():
             continue
         more = cut_lineage(_verified(rest, texts, words, share))

@@ -14,9 +14,10 @@ neighbouring starts.  All strings of a piece hold the same part of the text,
 so only pieces that agree on it can share a string: pieces meet by its
 digest, equal pieces are one with a count, and the others are sorted.
 
-Counted in words, a text is the row of the 8-byte hashes of its words, and all
-of this holds for runs of words in place of runs of bytes.  Both kinds of
-repeats go through the same stages together.
+Counted in words, a text is the row of the 8-byte hashes of its words, and the
+same anchors and contexts serve runs of words in place of runs of bytes; in a
+shard these are sorted by a hash of the run.  Both kinds of repeats go through
+the same stages together.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import packed, unpacked, weighted_join, written
+from lexstrata.llm.common import forget, packed, unpacked, weighted_join, written
 from lexstrata.llm.gear_chunks import keyed_by_text, unkeyed
 from lexstrata.llm.grams import PLAIN, finished, joined_texts, powers, word_edges, word_hashes
 from lexstrata.llm.suffix_array import common_prefixes, two_stage_order, words_at
@@ -175,8 +176,8 @@ def _sliced(small: DataFrame, wanted: DataFrame, kinds: list[tuple[int, int, int
     return joined.mapInArrow(sliced, "unit int, hash long, ctx long, hot boolean, group long, start long, sub long, bytes binary")
 
 
-def repeated_starts(contexts: list[bytes], repeat: int, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix-sort the ``repeat``-byte strings from every ``step``-th byte of some contexts.
+def repeated_starts(contexts: list[bytes], repeat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix-sort the ``repeat``-byte strings of some contexts.
 
     Returns the first place of each context in the joined text, the sorted
     starts, and for each the number of its class of equal strings.
@@ -187,8 +188,8 @@ def repeated_starts(contexts: list[bytes], repeat: int, step: int = 1) -> tuple[
     symbols = data.astype(np.int16) + 1
     symbols[begin + sizes - 1] = 0
     words = words_at(data)
-    counts = (sizes - repeat - 1) // step + 1  # starts of each context
-    wanted = np.repeat(begin, counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+    counts = sizes - repeat  # starts of each context
+    wanted = np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     same = np.arange(len(data)).astype(np.uint64) | np.uint64(1 << 63)
     whole = gram_hashes(data, repeat)[0] if len(data) >= repeat else np.empty(0, np.uint64)
     same[wanted] = whole[wanted] >> np.uint64(1)
@@ -197,6 +198,26 @@ def repeated_starts(contexts: list[bytes], repeat: int, step: int = 1) -> tuple[
     return begin, order, np.cumsum(prefix < repeat)
 
 
+def repeated_windows(contexts: list[bytes], repeat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``repeated_starts`` for runs of words, in the order of the hashes of the runs; neighbours are compared word by word."""
+    names = [np.frombuffer(c, "<u8") for c in contexts]
+    sizes = np.array([len(x) for x in names])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    data = np.concatenate(names)
+    counts = sizes - repeat + 1
+    starts = np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    whole = gram_hashes(data, repeat)[0][starts]
+    order = np.argsort(whole, kind="stable")
+    starts, whole = starts[order], whole[order]
+    new = np.concatenate([[True], whole[1:] != whole[:-1]])
+    near = np.flatnonzero(~new)
+    for k in range(repeat):
+        near = near[data[starts[near] + k] == data[starts[near - 1] + k]]
+    new[:] = True
+    new[near] = False
+    return begin, starts, np.cumsum(new)
+
+
 def _sorted_shards(parts: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
     """``group, sub, first, last``: the starts of each piece that repeat in its shard ``part``."""
     of = {unit: repeat for repeat, _, unit in kinds}
@@ -206,7 +227,7 @@ def _sorted_shards(parts: DataFrame, kinds: list[tuple[int, int, int]]) -> DataF
 
         def shard(rows, unit):
             groups, subs, texts = zip(*rows, strict=True)
-            begin, order, classes = repeated_starts(list(texts), of[unit] * unit, unit)
+            begin, order, classes = repeated_starts(list(texts), of[unit]) if unit == 1 else repeated_windows(list(texts), of[unit])
             if not len(order):
                 return
             edges = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
@@ -215,7 +236,7 @@ def _sorted_shards(parts: DataFrame, kinds: list[tuple[int, int, int]]) -> DataF
             if not len(pick):
                 return
             context = np.searchsorted(begin, order, side="right") - 1
-            offset = (order - begin[context]) // unit
+            offset = order - begin[context]
             pick = pick[np.lexsort((offset[pick], context[pick]))]
             # Starts of a piece that follow one another are one range.
             c, o = context[pick], offset[pick]
@@ -271,6 +292,7 @@ def repeated_spans(docs: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFr
     found = written(anchor_rows(docs, kinds), "suffix-anchors")
     often = found.groupBy("hash", "unit").agg(F.count("*").alias("_n")).filter("_n > 1")
     shared = written(weighted_join(found, often, ["hash", "unit"], F.struct("doc_id", "lo"), "left_semi", "_n"), "suffix-shared")
+    forget(found)
     place = F.min(F.struct("doc_id", "lo", "hi")).alias("at")
     contexts = written(shared.groupBy("hash", "unit", "ctx").agg(F.count("*").alias("n"), place).select("hash", "unit", "ctx", "n", "at.*"), "suffix-contexts")
     several = contexts.groupBy("hash", "unit").agg(F.count("*").alias("kinds")).filter("kinds > 1")
@@ -309,17 +331,18 @@ def repeated_spans(docs: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFr
         import pyarrow as pa
 
         for batch in batches:
-            spans = []
-            for r in batch.column("_r"):
-                out: list[dict] = []
-                for x in r.as_py():
-                    if out and x["begin"] <= out[-1]["end"]:
-                        out[-1]["end"] = max(out[-1]["end"], x["end"])
-                    else:
-                        out.append(dict(x))
-                spans.append(out)
-            kinds = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("unit"), pa.array(spans, kinds)], names=["doc_id", "unit", "spans"])
+            lists = batch.column("_r")
+            flat = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            begin, end = flat.field("begin").to_numpy(), flat.field("end").to_numpy()
+            far = int(end.max(initial=0)) + 1
+            so_far = np.maximum.accumulate(end + owner * far)
+            new = np.concatenate([[True], (begin + owner * far)[1:] > so_far[:-1]]) if len(begin) else np.empty(0, bool)
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(new)) - 1 if len(head) else head
+            found = pa.StructArray.from_arrays([pa.array(begin[head]), pa.array((so_far - owner * far)[tail])], names=["begin", "end"])
+            offsets = pa.array(np.searchsorted(owner[head], np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("unit"), pa.ListArray.from_arrays(offsets, found)], names=["doc_id", "unit", "spans"])
 
     return ordered.mapInArrow(merged, f"doc_id {kind}, unit int, spans array<struct<begin:bigint,end:bigint>>")
 

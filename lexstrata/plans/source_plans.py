@@ -128,10 +128,16 @@ def _(t):
 
 
 def _chunks(t):
-    return chunking.paragraph_chunks(t("documents"))
+    """The lines of every document as its chunks."""
+    return t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
 
 
-@family.query("snk01_replace_artefacts")
+CHUNKS = """
+    p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+    ch AS (SELECT doc_id, CAST(unnest(range(0, len(p))) AS INTEGER) AS chunk_index, unnest(p) AS content FROM p)"""
+
+
+@family.query("snk01_replace_artefacts", f"WITH {CHUNKS} SELECT doc_id, chunk_index, content FROM ch WHERE doc_id % 3 <> 0 OR chunk_index = 0")
 def _(t):
     old = _chunks(t)
     return sinks.replaced(old, old.filter("doc_id % 3 = 0 and chunk_index = 0"))
@@ -190,7 +196,13 @@ def _(t):
     return sinks.index_batches(flagged, int(t.spark.conf.get("spark.sql.shuffle.partitions"))).select("doc_id", "chunk_index", "content")
 
 
-@family.query("snk06_reindex")
+@family.query(
+    "snk06_reindex",
+    rf"""WITH {CHUNKS},
+    w AS (SELECT doc_id, chunk_index, unnest(regexp_extract_all(lower(concat(content, chr(10), 'chunk ', chunk_index)), '[\p{{L}}\p{{N}}]+')) AS term FROM ch),
+    n AS (SELECT term, doc_id, chunk_index, count(*) AS tf FROM w GROUP BY 1, 2, 3)
+    SELECT term, count(*) AS chunks, CAST(sum(tf) AS BIGINT) AS tf FROM n GROUP BY term""",
+)
 def _(t):
     chunks = _chunks(t)
     body = sinks.retrieval_text(F.col("content"), F.concat(F.lit("chunk "), F.col("chunk_index").cast("string")))

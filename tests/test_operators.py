@@ -338,3 +338,56 @@ def test_keyword_hits_against_a_loop(spark):
         want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:7]
         assert [d for d, _ in found.get(q, [])] == [d for d, _ in want]
         assert all(abs(a - b) < 2e-6 for (_, a), (_, b) in zip(found.get(q, []), want, strict=True))
+
+
+def test_numbered_blocks_against_a_loop(spark):
+    r = random.Random(9)
+    docs = [[(r.choice(["clause", "clause", "text", "section"]), f"{r.randint(1, 4)}.{r.randint(1, 3)}.{i}") for i in range(60)] for _ in range(6)]
+    df = spark.createDataFrame([(d, i, k, n) for d, lines in enumerate(docs) for i, (k, n) in enumerate(lines)], "doc_id long, line_index long, line_type string, number string")
+    got = {(x["doc_id"], x["line_index"]): (x["clause_no"], x["technical"]) for x in structure.numbered_blocks(df, look_ahead=5).collect()}
+    for d, lines in enumerate(docs):
+        chapter, count = 0, 0
+        for i, (k, n) in enumerate(lines):
+            head = int(n.split(".")[0]) if k == "clause" else None
+            ahead = [int(m.split(".")[0]) for j, m in lines[i + 1 : i + 6] if j == "clause"]
+            if head is not None and (head == chapter or (head == chapter + 1 and head in ahead)):
+                chapter = head
+                assert got[d, i] == (n, False)
+            else:
+                count += head is not None or count == 0
+                assert got[d, i] == (f"T{count}", True)
+
+
+def test_list_and_code_groups():
+    budget = chunking.Budget(50)
+    items = [f"item {i} " + "x" * (i % 17) for i in range(60)]
+    for ordered in (True, False):
+        pieces = chunking.list_groups(items, ordered, budget)
+        lines = [f"{i}. {x}" if ordered else f"- {x}" for i, x in enumerate(items, 1)]
+        assert "\n".join(pieces).split("\n") == lines and all(len(p) <= 50 for p in pieces)
+        at = 0
+        for piece, after in zip(pieces, [*pieces[1:], None], strict=True):  # the next line would not have fitted
+            at += piece.count("\n") + 1
+            assert after is None or len(piece) + 1 + len(lines[at]) > 50
+    code = "\n".join(f"line {i}" + "y" * (i % 9) for i in range(80))
+    pieces = chunking.code_groups(code, "py", budget)
+    assert all(p.startswith("```py\n") and p.endswith("\n```") for p in pieces)
+    assert "\n".join(p[6:-4] for p in pieces) == code and len(pieces) > 10
+    assert chunking.code_groups("a\nb", None, budget) == ["```\na\nb\n```"]
+
+
+def test_blocks_and_batches(spark):
+    texts = [(i, t) for i, t in enumerate(["# A\n\npara\n\n- x\n- y", None, "", "| a | b |\n| --- | --- |\n| 1 | 2 |", "```\ncode\n```\n\n![i](u)"])]
+    blocks = parsers.document_blocks(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    got = {}
+    for x in blocks.collect():
+        got.setdefault(x["doc_id"], []).append((x["block_index"], x["kind"]))
+    assert {d: [k for _, k in sorted(b)] for d, b in got.items()} == {d: [b["kind"] for b in parsers.markdown_blocks(t)] for d, t in texts if t}
+    chunks = [(d, i, d % 3 != 0, i % 4 != 1, d == 7) for d in range(12) for i in range(9)]
+    df = spark.createDataFrame(chunks, "doc_id long, chunk_index int, index_eligible boolean, enabled boolean, deleted boolean").repartition(5)
+    parts = sinks.index_batches(df, 4).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((x["doc_id"], x["chunk_index"]) for x in parts) == sorted((d, i) for d, i, a, b, c in chunks if a and b and not c)
+    where = {}
+    for x in parts:
+        where.setdefault(x["doc_id"], []).append((x["part"], x["chunk_index"]))
+    assert all(len({p for p, _ in w}) == 1 and [i for _, i in w] == sorted(i for _, i in w) for w in where.values())

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,12 @@ def test_json_payload_and_citations(spark):
     assert one(spark, "Yes [1](#cite-1), no [12](#cite-12).", text.without_citations) == "Yes, no."
 
 
+def test_nfkc_against_unicodedata(spark):
+    raw = ["ｆｕｌｌ　１２", "ﬁ ½ ①", "e\u0301", "\ufeffx", "", None, "㎏ ㍿ ｶﾞ"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, t string").select("i", text.nfkc("t").alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in got] == [None if x is None else unicodedata.normalize("NFKC", x).replace("\ufeff", "") for x in raw]
+
+
 def test_words_mix_scripts(spark):
     assert one(spark, "Rule 12 消防法 x", text.words) == ["rule", "12", "x", "消防", "防法"]
 

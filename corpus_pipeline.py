@@ -25,6 +25,8 @@ from lexstrata.llm.suffix_dedup import replace_texts  # noqa: E402
 
 #: Passages of over 50 words that stand elsewhere too leave the texts.
 PASSAGE_WORDS = 51
+#: A source's share of a window grows as this power of its tokens.
+MIXTURE_POWER = 0.7
 
 
 def language_id(spark, docs, sf_dir):
@@ -52,8 +54,8 @@ def substring_dedup(spark, docs, sf_dir):
 
 
 def packing(spark, docs, sf_dir):
-    """Windows of 4096 tokens, mixed by source."""
-    return with_checksums(pack(docs))
+    """Windows of 4096 tokens, with more of small sources than the corpus has as long as they last."""
+    return with_checksums(pack(docs, power=MIXTURE_POWER))
 
 
 STAGES = [
@@ -77,6 +79,3 @@ def run(spark, sf_dir):
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
-
-
-

@@ -623,3 +623,25 @@ def test_gear_passages_are_whole(spark):
     assert all(found[i]["n_removed"] == 0 for i in range(300, 310)) and all(found[i]["n_removed"] == 0 for i in range(400, 410))
     assert bytes(found[203]["kept"]) == b"" and found[200]["n_bytes"] == found[201]["n_bytes"] == 0
     assert_gear(spark, rows)
+
+
+def test_pipeline_of_an_empty_table_and_of_clashing_columns(spark, tmp_path):
+    """No rows go through all stages; columns named as the operators' own stay as they are until packing."""
+    import corpus_pipeline
+
+    r = random.Random(31)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghiklmnorstu") for _ in range(r.randint(2, 8))) for _ in range(n))
+    rows = [(i, prose(90), "en", None if i % 4 == 0 else f"s{i % 3}", None) for i in range(12)] + [(50, None, None, None, None), (51, "", None, "s1", 0)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["sid", "vec", "label", "digest", "hash", "lo", "hi", "unit", "spans", "runs", "block", "start", "n", "queue", "begin", "end", "_salt", "print", "kept", "group"]
+    wide = base.select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    for at, now in enumerate((base.limit(0), wide)):
+        kept = now.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{at}-{k}")
+            stage(spark, now, str(tmp_path)).write.parquet(path)
+            now = spark.read.parquet(path)
+            if k < 4:
+                assert now.columns == kept
+                assert now.count() == 12 * at and now.filter(" or ".join(f"`{c}` <> {i}" for i, c in enumerate(names)) if at else "true").count() == 0
+        assert now.select("doc_id").distinct().count() == 12 * at

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Spark's own setting to delete shuffle files at the end of an action.
+TIDY_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,12 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path or os.path.join(tempfile.gettempdir(), "lexstrata-checkpoints")
 
 
+@contextmanager
+def _shuffles_let_go(spark: SparkSession):
+    """What runs inside is kept in shared storage, so its shuffle files go as soon as it has ended."""
+    before = spark.conf.get(TIDY_KEY, "false")
+    spark.conf.set(TIDY_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY_KEY, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    with _shuffles_let_go(df.sparkSession):
+        return df.checkpoint()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,14 +57,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Unlike ``cut_lineage`` the result can be read by column.  The folder
     belongs to the caller's cluster storage and goes with its clean-up, or
-    sooner by ``forget``.  Shuffle files that led to the table are needed no
-    more, and the driver's garbage collection lets Spark delete them.
+    sooner by ``forget``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with _shuffles_let_go(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexstrata_path = path
     return out

@@ -8,6 +8,7 @@ from lexstrata.functions.text import words
 from lexstrata.operators import evaluation
 from lexstrata.plans.base import Family
 from lexstrata.plans.retrieval_plans import BM25, keyword_hits
+from lexstrata.sources.scratch import materialised
 
 family = Family()
 QUERIES, ORACLES = family.QUERIES, family.ORACLES
@@ -38,16 +39,20 @@ METRICS = """count(*) AS cases, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0.0
 
 
 def _grams(df, id_col, text_col="text"):
-    """Distinct word n-grams: the word list zipped with itself, each time one place on."""
+    """Distinct word n-grams."""
     w, n = F.col("_w"), F.size("_w")
-    joined = w
-    for k in range(1, GRAM):
-        joined = F.zip_with(joined, F.slice(w, F.lit(k + 1), F.greatest(n, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.slice(joined, F.lit(1), F.greatest(n - (GRAM - 1), F.lit(0)))
+    grams = F.when(n >= GRAM, F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(GRAM)), " ")))
     return df.select(id_col, words(F.col(text_col)).alias("_w")).select(id_col, F.explode(F.array_distinct(grams)).alias("g"))
 
 
 def gold(t):
+    """Written once for a query, which reads it several times."""
+    if not hasattr(t, "_gold"):
+        t._gold = materialised(_gold(t), "gold")
+    return t._gold
+
+
+def _gold(t):
     items = _grams(t("benchmark").withColumnRenamed("item_id", "case_id"), "case_id")
     docs = _grams(t("documents").withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
     if items.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS:  # then the documents' n-grams stay where they are
@@ -64,7 +69,9 @@ def cases(t):
 
 
 def ranks(t):
-    kw = keyword_hits(t).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"), "rank")
+    if not hasattr(t, "_hits"):
+        t._hits = materialised(keyword_hits(t), "hits")
+    kw = t._hits.select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"), "rank")
     cut = lambda name, k: kw.filter(F.col("rank") <= k).select("case_id", F.lit(name).alias("stage"), "chunk_id", "rank")
     return cut("RAW_RECALL", 20).unionByName(cut("Fusion", 10)).unionByName(cut("FINAL_EVIDENCE", 5))
 

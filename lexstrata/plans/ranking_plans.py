@@ -10,6 +10,7 @@ from lexstrata.operators import keyword, ranking, vectors
 from lexstrata.plans.base import Family, Tables
 from lexstrata.plans.retrieval_plans import BM25, keyword_hits
 from lexstrata.plans.text_plans import ANCHORS
+from lexstrata.sources.scratch import materialised
 
 family = Family()
 QUERIES, ORACLES = family.QUERIES, family.ORACLES
@@ -35,10 +36,17 @@ OVERLAP = r"""
 
 
 def hits(t: Tables):
+    """Written once for a query, which may read it several times."""
+    if not hasattr(t, "_hits"):
+        t._hits = _hits(t)
+    return t._hits
+
+
+def _hits(t: Tables):
     kw = keyword_hits(t).select("query_id", F.lit("keyword").alias("channel"), F.col("doc_id").alias("key"), "rank", "score")
     vector = lambda table, key, name: vectors.hashed_vectors(t(table).withColumnRenamed(key, name), name, words(F.col("text")))
     near = vectors.exact_top_k(vector("benchmark", "item_id", "query_id"), vector("documents", "doc_id", "vec_id"), 20)
-    return kw.unionByName(near.select("query_id", F.lit("vector").alias("channel"), F.col("vec_id").alias("key"), "rank", "score"))
+    return materialised(kw.unionByName(near.select("query_id", F.lit("vector").alias("channel"), F.col("vec_id").alias("key"), "rank", "score")), "hits")
 
 
 def fused(t: Tables):

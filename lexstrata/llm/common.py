@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +76,26 @@ def forget(table: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trimmed(work: Callable) -> Callable:
+    """An Arrow function whose worker gives the memory that it has freed back to the machine when a task ends.
+
+    Workers serve one task after another, and what the allocators keep would
+    add up over the stages of a job.
+    """
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def in_few_tasks(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
     """``df`` in about one task for each 50,000 of ``rows``, where that is fewer: every task of a shuffle leaves files, however little it has."""
     return df.coalesce(max(1, -(-rows // each)))
@@ -94,7 +115,7 @@ def packed(docs: DataFrame, column: str = "text") -> DataFrame:
             small = pa.array([squeeze((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in batch.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([small if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(squeezed, schema)
+    return docs.mapInArrow(trimmed(squeezed), schema)
 
 
 def unpacked(column) -> Iterator[bytes]:

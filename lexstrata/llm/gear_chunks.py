@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import cut_lineage, dealt_arrays, packed, unpacked, weighted_join, written
+from lexstrata.llm.common import cut_lineage, dealt_arrays, packed, trimmed, unpacked, weighted_join, written
 
 #: Bytes of a chunk: least, most, and the cut mask (one place in 32 behind the least).
 LEAST, MOST, MASK = 32, 256, np.uint32(31)
@@ -113,7 +113,7 @@ def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if owner:
                 yield flush()
 
-    return rows.mapInArrow(chunked, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pos long, size int, digest binary")
+    return rows.mapInArrow(trimmed(chunked), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pos long, size int, digest binary")
 
 
 def _summed(low: np.ndarray, high: np.ndarray, counts: np.ndarray):
@@ -160,8 +160,8 @@ def _repeated_digests(docs: DataFrame, parts: int) -> DataFrame:
         digests = pa.array([data[i : i + 12] for i in range(0, len(data), 12)], pa.binary())
         yield pa.RecordBatch.from_arrays([digests, pa.array(counts[many])], names=["digest", "n"])
 
-    dealt = docs.select("text").mapInArrow(gathered, "part int, c0 array<long>, c1 array<int>, c2 array<long>")
-    return dealt.repartition(parts, "part").mapInArrow(summed, "digest binary, n long")
+    dealt = docs.select("text").mapInArrow(trimmed(gathered), "part int, c0 array<long>, c1 array<int>, c2 array<long>")
+    return dealt.repartition(parts, "part").mapInArrow(trimmed(summed), "digest binary, n long")
 
 
 def _runs(later: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def _runs(later: DataFrame) -> DataFrame:
             columns = [batch.column("doc_id").take(pa.array(owner[head])), pa.array(begin[head]), pa.array(end[tail]), flat.field("fdoc").take(pa.array(head)), pa.array(fbegin[head])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "begin", "end", "fdoc", "fbegin"])
 
-    return ordered.mapInArrow(joined, f"doc_id {kind}, begin long, end long, fdoc {kind}, fbegin long")
+    return ordered.mapInArrow(trimmed(joined), f"doc_id {kind}, begin long, end long, fdoc {kind}, fbegin long")
 
 
 def equal_bytes(a: bytes, b: bytes) -> int:
@@ -223,7 +223,7 @@ def _edges(small: DataFrame, asks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["fdoc", "fbegin", "fend", "_n", "before", "behind"])
 
     joined = small.join(per_doc, "doc_id").select("doc_id", "text", "_w")
-    return joined.mapInArrow(sliced, f"fdoc {kind}, fbegin long, fend long, _n long, before binary, behind binary")
+    return joined.mapInArrow(trimmed(sliced), f"fdoc {kind}, fbegin long, fend long, _n long, before binary, behind binary")
 
 
 def whole_passages(data: bytes, runs: list[tuple[int, int, bytes, bytes]], min_words: int, min_bytes: int) -> list[tuple[int, int]]:
@@ -330,4 +330,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = small.join(per_doc, "doc_id", "left").select("doc_id", "text", "_r")
-    return unkeyed(joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))
+    return unkeyed(joined.mapInArrow(trimmed(cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))

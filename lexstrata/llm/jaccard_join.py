@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import cut_lineage, dealt_arrays, forget, in_few_tasks, packed, salted_join, unpacked, weighted_join, written
+from lexstrata.llm.common import cut_lineage, dealt_arrays, forget, in_few_tasks, packed, salted_join, trimmed, unpacked, weighted_join, written
 from lexstrata.llm.components import connected_components
 from lexstrata.llm.grams import gram_sets
 
@@ -88,7 +88,7 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
             columns = [batch.column("doc_id"), batch.column("print"), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(name, pa.int64()), pa.array(vec, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "print", "n", "sid", "name", "vec"])
 
-    return docs.mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long, n long, sid binary, name long, vec binary")
+    return docs.mapInArrow(trimmed(found), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long, n long, sid binary, name long, vec binary")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -143,8 +143,8 @@ def _counts(docs: DataFrame, words: int, share: tuple[int, int], last: np.ndarra
         often = total > BLOCK
         yield pa.RecordBatch.from_arrays([pa.array(keys[edges][often]), pa.array(total[often], pa.int64())], names=["key", "c"])
 
-    dealt = docs.select("text").mapInArrow(gathered, "part int, c0 array<long>, c1 array<long>")
-    return dealt.repartition(parts, "part").mapInArrow(summed, "key long, c long")
+    dealt = docs.select("text").mapInArrow(trimmed(gathered), "part int, c0 array<long>, c1 array<long>")
+    return dealt.repartition(parts, "part").mapInArrow(trimmed(summed), "key long, c long")
 
 
 def _blocks(docs: DataFrame, words: int, share: tuple[int, int], last: np.ndarray, dealt: dict[int, int], parts: int) -> DataFrame:
@@ -244,8 +244,8 @@ def _blocks(docs: DataFrame, words: int, share: tuple[int, int], last: np.ndarra
         members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in m])), pa.int32()), pa.array(np.concatenate(m)))
         return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(h, pa.bool_()), pa.array(g, pa.binary()), members], names=["key", "hot", "gid", "members"])
 
-    rows = docs.select("text").mapInArrow(gathered, "part int, c0 array<long>, c1 array<long>, c2 array<long>, c3 array<long>")
-    return rows.repartition(parts, "part").mapInArrow(met, "key long, hot boolean, gid binary, members array<long>")
+    rows = docs.select("text").mapInArrow(trimmed(gathered), "part int, c0 array<long>, c1 array<long>, c2 array<long>, c3 array<long>")
+    return rows.repartition(parts, "part").mapInArrow(trimmed(met), "key long, hot boolean, gid binary, members array<long>")
 
 
 class RTree:
@@ -385,7 +385,7 @@ def _candidate_pairs(members: DataFrame, share: tuple[int, int], mode: str) -> D
             yield send(out)
 
     dealt = members.select("gid", "sid", "n", "vec", "label").repartition("gid").sortWithinPartitions("gid")
-    return dealt.mapInArrow(found, "a binary, b binary, near double").distinct()
+    return dealt.mapInArrow(trimmed(found), "a binary, b binary, near double").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
@@ -416,7 +416,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int,
                 x, y = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
 
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(found, "a binary, b binary")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(trimmed(found), "a binary, b binary")
 
 
 def near_duplicates(

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexstrata.llm.common import trimmed
+
 #: Rows of the letter table: the word break, then letters by code point.
 LETTERS = 128
 DIMENSIONS = 1024
@@ -103,7 +105,7 @@ def fit_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
                 [pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(vector)], names=["lang", "axis", "x"]
             )
 
-    parts = rows.mapInArrow(bundled, "lang string, axis int, x double")
+    parts = rows.mapInArrow(trimmed(bundled), "lang string, axis int, x double")
     summed = parts.groupBy("lang", "axis").agg(F.sum("x").alias("x"))
     return summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("axis", "x"))).alias("_v")).select(
         "lang", F.transform("_v", lambda s: s["x"]).alias("vector")
@@ -163,7 +165,7 @@ def with_language(
                 [*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred_col, score_col]
             )
 
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(trimmed(scored), schema)
 
 
 def collect_prototypes(prototypes: DataFrame, most: int = 1000) -> dict[str, list[float]]:

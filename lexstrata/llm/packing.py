@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import cut_lineage, written
+from lexstrata.llm.common import cut_lineage, trimmed, written
 
 WINDOW, END_ID = 4096, 2
 #: Queues by name up to here; a corpus with more sources shares so many queues by hash.
 MOST_QUEUES = 4096
 #: Words whose ids a worker keeps, and rows of the offset table that are broadcast at most.
-MEMO, BROADCAST_ROWS = 500_000, 200_000
+MEMO, BROADCAST_ROWS = 150_000, 200_000
 
 
 def default_tokenizer_path() -> str:
@@ -124,7 +124,7 @@ def tokenised(docs: DataFrame, path: str, kind: str, id_col: str, text_col: str,
             )
 
     kind_of_id = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(encoded, f"doc_id {kind_of_id}, queue string, block int, start long, n long, ids binary")
+    return rows.mapInArrow(trimmed(encoded), f"doc_id {kind_of_id}, queue string, block int, start long, n long, ids binary")
 
 
 class Schedule:
@@ -274,8 +274,7 @@ def pack(
                 yield flush()
 
     kind_of_id = tokens.schema["doc_id"].dataType.simpleString()
-    return placed.mapInArrow(
-        cut, f"doc_id {kind_of_id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string"
+    return placed.mapInArrow(trimmed(cut), f"doc_id {kind_of_id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string"
     )
 
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import forget, packed, unpacked, weighted_join, written
+from lexstrata.llm.common import forget, packed, trimmed, unpacked, weighted_join, written
 from lexstrata.llm.gear_chunks import keyed_by_text, unkeyed
 from lexstrata.llm.grams import PLAIN, finished, joined_texts, powers, word_edges, word_hashes
 from lexstrata.llm.suffix_array import common_prefixes, two_stage_order, words_at
@@ -106,7 +106,7 @@ def anchor_rows(docs: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame
                         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "unit", "hash", "lo", "hi", "ctx"])
                 base += len(offsets) - 1
 
-    return docs.mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, unit int, hash long, lo long, hi long, ctx long")
+    return docs.mapInArrow(trimmed(found), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, unit int, hash long, lo long, hi long, ctx long")
 
 
 def _digest(data: bytes) -> int:
@@ -173,7 +173,7 @@ def _sliced(small: DataFrame, wanted: DataFrame, kinds: list[tuple[int, int, int
         if rows:
             yield send(rows)
 
-    return joined.mapInArrow(sliced, "unit int, hash long, ctx long, hot boolean, group long, start long, sub long, bytes binary")
+    return joined.mapInArrow(trimmed(sliced), "unit int, hash long, ctx long, hot boolean, group long, start long, sub long, bytes binary")
 
 
 def repeated_starts(contexts: list[bytes], repeat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,7 +259,7 @@ def _sorted_shards(parts: DataFrame, kinds: list[tuple[int, int, int]]) -> DataF
             yield from shard(rows, key[1])
 
     dealt = parts.repartition("part").sortWithinPartitions("part", "unit")
-    return dealt.select("part", "unit", "group", "sub", "bytes").mapInArrow(found, "group long, sub long, first long, last long")
+    return dealt.select("part", "unit", "group", "sub", "bytes").mapInArrow(trimmed(found), "group long, sub long, first long, last long")
 
 
 def _string_digests(pieces: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
@@ -277,7 +277,7 @@ def _string_digests(pieces: DataFrame, kinds: list[tuple[int, int, int]]) -> Dat
                 columns = [np.full(n, group, np.int64), np.full(n, sub, np.int64), np.arange(n), names[:, 0].copy(), names[:, 1].copy()]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["group", "sub", "first", "low", "high"])
 
-    return pieces.select("group", "sub", "unit", "bytes").mapInArrow(found, "group long, sub long, first long, low long, high long")
+    return pieces.select("group", "sub", "unit", "bytes").mapInArrow(trimmed(found), "group long, sub long, first long, low long, high long")
 
 
 def repeated_spans(docs: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
@@ -344,7 +344,7 @@ def repeated_spans(docs: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFr
             offsets = pa.array(np.searchsorted(owner[head], np.arange(batch.num_rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("unit"), pa.ListArray.from_arrays(offsets, found)], names=["doc_id", "unit", "spans"])
 
-    return ordered.mapInArrow(merged, f"doc_id {kind}, unit int, spans array<struct<begin:bigint,end:bigint>>")
+    return ordered.mapInArrow(trimmed(merged), f"doc_id {kind}, unit int, spans array<struct<begin:bigint,end:bigint>>")
 
 
 def _kinds(repeat: int, words: int | None) -> list[tuple[int, int, int]]:
@@ -391,7 +391,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return unkeyed(joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary" + (", n_passage_words long" if words is not None else "")))
+    return unkeyed(joined.mapInArrow(trimmed(cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary" + (", n_passage_words long" if words is not None else "")))
 
 
 def replace_texts(
@@ -448,4 +448,4 @@ def replace_texts(
                 columns.append(pa.array(texts, column.type) if name == text_col else pa.array(sizes, column.type) if counts and name == count_col else column)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(trimmed(cut), schema)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import words
+from lexstrata.operators.vectors import spread
 
 K1, B = 1.2, 0.75
 #: Words of the queries that meet the documents together.
@@ -75,6 +76,7 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, fields: dict[str, str], boos
     query and task are shuffled, whatever the documents that a frequent word
     stands in.
     """
+    docs = spread(docs.select(id_col, *dict.fromkeys(fields.values())))
     base = field_terms(docs, id_col, fields).filter("terms is not null and doc_id is not null")
     size = queries.agg(F.sum(F.size(words(F.col("text")))).alias("n")).first()["n"] or 0
     parts = int(size) // MOST_ASKED + 1

@@ -68,9 +68,15 @@ def exact_top_k(queries: DataFrame, points: DataFrame, k: int, collection: str |
     return top_k(found, ["query_id", "collection"], k) if collection else top_k(found.drop("collection"), ["query_id"], k)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that a few tasks would scan, dealt over all cores; a larger one as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def hashed_vectors(rows: DataFrame, id_col: str, terms: Column, dimensions: int = 256) -> DataFrame:
     """``id_col, v``: ln(1 + count) of a text's words by the first two hex digits of their MD5, with length 1; a text without words has no row."""
-    some = rows.select(id_col, terms.alias("_terms"))
+    some = spread(rows).select(id_col, terms.alias("_terms"))
 
     def hashed(batches):
         import pyarrow as pa

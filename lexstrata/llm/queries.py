@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from lexstrata.llm.balltree import integer_vectors, top_k_inner_product
 from lexstrata.llm.byte_bpe import round_trip
+from lexstrata.llm.common import written
 from lexstrata.llm.exact_dedup import exact_duplicates
 from lexstrata.llm.gear_chunks import substring_dedup
+from lexstrata.llm.infill import fill_in_middle
 from lexstrata.llm.jaccard_join import near_duplicates
 from lexstrata.llm.language import predict_languages
 from lexstrata.llm.packing import pack, with_checksums
 from lexstrata.llm.quotes import reply_threads
+from lexstrata.llm.repair import damage_and_repair
+from lexstrata.llm.sharding import shuffled_shards, text_digests
 from lexstrata.llm.suffix_dedup import remove_repeats
 from lexstrata.llm.token_counts import token_counts
 
@@ -65,6 +69,21 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_shuffled_shards(spark, sf_dir):
+    # Written once: the texts are read a single time, what follows moves their digests.
+    digests = written(text_digests(_table(spark, sf_dir, "documents")), "shard-digests")
+    out = shuffled_shards(digests, 24)
+    return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    return fill_in_middle(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -82,6 +101,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_gear_chunks": op9_gear_chunks,
     "op10_token_counts": op10_token_counts,
+    "op11_shuffled_shards": op11_shuffled_shards,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": pipeline,
 }
 

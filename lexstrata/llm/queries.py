@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexstrata.llm import oracles, sharding
 from lexstrata.llm.balltree import integer_vectors, top_k_inner_product
 from lexstrata.llm.byte_bpe import round_trip
 from lexstrata.llm.common import written
@@ -177,4 +178,7 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept,
                sha256(t) AS text_sha256
         FROM d""",
+    "op11_shuffled_shards": oracles.shuffled_shards(24, sharding.BUCKET_ROWS, sharding.BUCKET_BYTES),
+    "op12_conversation_repair": oracles.conversation_repair(),
+    "op13_fill_in_middle": oracles.fill_in_middle(),
 }

@@ -20,8 +20,8 @@ def _printed(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.xxhash64(F.lit(seed), nulls, *columns) for seed, name in enumerate(PRINT)})
 
 
-def together(df: DataFrame) -> DataFrame:
-    """One row for each set of equal rows, with its print and number of copies.
+def together(df: DataFrame) -> tuple[DataFrame, bool]:
+    """One row for each set of equal rows, with its print and number of copies; and whether any set has two rows.
 
     Prints are counted first, with a partial count in each task; only if a
     print occurs twice do rows move at all, hot prints over many tasks.
@@ -29,19 +29,19 @@ def together(df: DataFrame) -> DataFrame:
     rows = _printed(df)
     repeated = cut_lineage(rows.groupBy(*PRINT).agg(F.count("*").alias("_times")).filter("_times > 1"))
     if repeated.isEmpty():
-        return rows.withColumn(COPIES, F.lit(1).cast("long"))
+        return rows.withColumn(COPIES, F.lit(1).cast("long")), False
     single, several = (weighted_join(rows, repeated, PRINT, F.spark_partition_id(), how, "_times") for how in ("left_anti", "left_semi"))
     one = several.groupBy(*PRINT).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("_row"), F.count("*").alias(COPIES))
-    return single.select(*df.columns, *PRINT).withColumn(COPIES, F.lit(1).cast("long")).unionByName(one.select("_row.*", *PRINT, COPIES))
+    return single.select(*df.columns, *PRINT).withColumn(COPIES, F.lit(1).cast("long")).unionByName(one.select("_row.*", *PRINT, COPIES)), True
 
 
-def apart(df: DataFrame, number: str | None = None) -> DataFrame:
-    """``df`` with as many rows as ``together`` has counted for each of its rows, dealt in blocks; ``number`` names a column that counts them from 0."""
-    kept, number = number is not None, number or "_lexstrata_number"
+def apart(df: DataFrame, repeated: bool, number: str = "_lexstrata_number") -> DataFrame:
+    """``df`` with as many rows as ``together`` has counted, dealt in blocks; ``number`` names a column that counts them from 0."""
+    if not repeated:
+        return df.drop(COPIES).withColumn(number, F.lit(0).cast("long"))
     one = df.filter(F.col(COPIES) <= 1).withColumn(number, F.lit(0).cast("long"))
     more = df.filter(F.col(COPIES) > 1).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({COPIES} - 1) div {BLOCK}"))))
     more = more.repartition(*PRINT, "_block").withColumn(
         number, F.explode(F.sequence(F.col("_block") * BLOCK, F.least((F.col("_block") + 1) * BLOCK, F.col(COPIES)) - 1))
     )
-    out = one.unionByName(more.drop("_block")).drop(COPIES)
-    return out if kept else out.drop(number)
+    return one.unionByName(more.drop("_block")).drop(COPIES)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from lexstrata.llm.common import trimmed
+from lexstrata.llm.common import trimmed, written
 from lexstrata.llm.copies import COPIES, PRINT, apart, together
 from lexstrata.llm.pieces import batches_of, rows_of
 
@@ -192,9 +192,9 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are alike are worked on once and counted.  Other columns are ignored,
     whatever their names.  An empty table gives an empty result.
     """
-    rows = planned(docs, id_col, text_col, seed)
-    done = assembled(output_pieces(together(rows)), PRINT)
-    return apart(done).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+    rows, repeated = together(planned(docs, id_col, text_col, seed))
+    done = assembled(output_pieces(rows), PRINT)
+    return apart(written(done, "infill") if repeated else done, repeated).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
 
 
 def transformed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:

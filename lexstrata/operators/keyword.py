@@ -1,160 +1,30 @@
-"""Keyword retrieval: postings, BM25 and the best field of each document."""
+"""Keyword retrieval in one call, and how much of a query stands in a text."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import words
-from lexstrata.operators.vectors import spread
-
-K1, B = 1.2, 0.75
-#: Words of the queries that meet the documents together.
-MOST_ASKED = 200_000
-
-
-def field_terms(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
-    """``doc_id, field, terms``: the words of each field."""
-    parts = [docs.select(F.col(id_col).alias("doc_id"), F.lit(f).alias("field"), words(F.col(c)).alias("terms")) for f, c in fields.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _asked(queries: DataFrame, part: int, parts: int) -> list[tuple]:
-    """``query_id, terms`` of one block of queries."""
-    some = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("terms"))
-    if parts > 1:
-        some = some.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-    return [(r["query_id"], r["terms"]) for r in some.collect() if r["terms"]]
-
-
-class _Best:
-    """The ``k`` best documents of each query so far."""
-
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.ids, self.scores = [np.empty(0, np.int64)] * n, [np.empty(0)] * n
-
-    def offer(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        again = np.isin(self.ids[q], ids)  # another field of a document
-        for i, score in zip(self.ids[q][again].tolist(), self.scores[q][again].tolist(), strict=True):
-            at = ids == i
-            scores = np.where(at, np.maximum(scores, score), scores)
-        ids, scores = np.concatenate([self.ids[q][~again], ids]), np.concatenate([self.scores[q][~again], scores])
-        if len(ids) > self.k:
-            near = np.flatnonzero(scores >= np.partition(scores, -self.k)[-self.k])
-            near = near[np.lexsort((ids[near], -scores[near]))[: self.k]]
-            ids, scores = ids[near], scores[near]
-        self.ids[q], self.scores[q] = ids, scores
-
-
-def _document_counts(batches, vocabulary: dict[str, int]):
-    """For each Arrow batch of ``doc_id, field, terms``: ids, fields, lengths, and by row the counts of asked terms."""
-    for batch in batches:
-        lists = batch.column("terms")
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-        found = np.fromiter((vocabulary.get(x, -1) for x in lists.flatten().to_pylist()), np.int64)
-        owner = np.repeat(np.arange(len(sizes)), sizes)[found >= 0]
-        pairs, counts = np.unique(owner * len(vocabulary) + found[found >= 0], return_counts=True)
-        yield batch, sizes, pairs // max(1, len(vocabulary)), pairs % max(1, len(vocabulary)), counts
-
-
-def bm25_top_k(queries: DataFrame, docs: DataFrame, fields: dict[str, str], boosts: dict[str, float], k: int = 20, id_col: str = "doc_id") -> DataFrame:
-    """``query_id, doc_id, score, rank``: the ``k`` documents of each query with the best boosted field.
-
-    Queries are ``query_id, text`` and meet the documents in blocks of
-    ``MOST_ASKED`` words; documents have whole numbers as ids, each once.  A
-    field's score is the sum over the query's distinct words of ln(1 + (N - df
-    + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean
-    length)); a document without any of the words is no hit.
-
-    One pass counts in how many documents the words of a block stand; the
-    next scores documents batch by batch, and only the ``k`` best of each
-    query and task are shuffled, whatever the documents that a frequent word
-    stands in.
-    """
-    docs = spread(docs.select(id_col, *dict.fromkeys(fields.values())))
-    base = field_terms(docs, id_col, fields).filter("terms is not null and doc_id is not null")
-    size = queries.agg(F.sum(F.size(words(F.col("text")))).alias("n")).first()["n"] or 0
-    parts = int(size) // MOST_ASKED + 1
-    kind = queries.schema["query_id"].dataType.simpleString()
-    id_kind = base.schema["doc_id"].dataType.simpleString()
-    out = None
-    for part in range(parts):
-        hits = _block_top_k(base, _asked(queries, part, parts), fields, boosts, k, kind)
-        out = hits if out is None else out.unionByName(hits)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("doc_id", F.col("doc_id").cast(id_kind))
-
-
-def _block_top_k(base: DataFrame, asked: list[tuple], fields, boosts: dict[str, float], k: int, kind: str) -> DataFrame:
-    vocabulary = {x: i for i, x in enumerate(dict.fromkeys(x for _, terms in asked for x in terms))}
-    names = list(fields)
-
-    def counted(batches):
-        import pyarrow as pa
-
-        df, n, total = np.zeros((len(names), len(vocabulary)), np.int64), np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-        for batch, sizes, owner, term, _ in _document_counts(batches, vocabulary):
-            field = np.array([names.index(x) for x in batch.column("field").to_pylist()], np.int64)
-            np.add.at(df, (field[owner], term), 1)
-            np.add.at(n, field, 1)
-            np.add.at(total, field, sizes)
-        f, w = np.nonzero(df)
-        every = np.arange(len(names))
-        columns = [np.concatenate([f, every]), np.concatenate([w, np.full(len(names), -1)]), np.concatenate([df[f, w], n]), np.concatenate([np.zeros(len(f), np.int64), total])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["f", "w", "n", "total"])
-
-    # One row for each field and word of the block.
-    seen = base.mapInArrow(counted, "f long, w long, n long, total long").groupBy("f", "w").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
-    n, mean, idf = np.zeros(len(names)), np.ones(len(names)), np.zeros((len(names), len(vocabulary)))
-    for r in seen:
-        if r["w"] < 0 and r["n"]:
-            n[r["f"]], mean[r["f"]] = r["n"], r["total"] / r["n"]
-    for r in seen:
-        if r["w"] >= 0:
-            idf[r["f"], r["w"]] = np.log(1 + (n[r["f"]] - r["n"] + 0.5) / (r["n"] + 0.5))
-    boost = np.array([float(boosts.get(f, 1.0)) for f in names])
-    words_of = [np.array([vocabulary[x] for x in terms], np.int64) for _, terms in asked]
-    ids_of = [q for q, _ in asked]
-
-    def scored(batches):
-        import pyarrow as pa
-
-        best = _Best(len(asked), k)
-        for batch, sizes, owner, term, tf in _document_counts(batches, vocabulary):
-            if not len(owner):
-                continue
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            field = np.array([names.index(x) for x in batch.column("field").to_pylist()], np.int64)[owner]
-            weight = idf[field, term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / mean[field]))
-            order = np.argsort(term, kind="stable")
-            edges = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-            rows, weight = owner[order], weight[order]
-            boosted = boost[np.array([names.index(x) for x in batch.column("field").to_pylist()], np.int64)]
-            for q, terms in enumerate(words_of):
-                score = np.zeros(len(ids))
-                for w in terms.tolist():
-                    a, b = edges[w], edges[w + 1]
-                    score[rows[a:b]] += weight[a:b]  # a row has a word once
-                hit = np.flatnonzero(score)
-                if len(hit):
-                    value = np.round(score[hit] * boosted[hit], 6)
-                    # The best field of a document; its fields may come in several batches.
-                    if len(names) > 1:
-                        at = np.lexsort((-value, ids[hit]))
-                        first = np.concatenate([[True], ids[hit][at][1:] != ids[hit][at][:-1]])
-                        hit, value = hit[at][first], value[at][first]
-                    best.offer(q, ids[hit], value)
-        n_of = [len(x) for x in best.ids]
-        if sum(n_of):
-            at = np.repeat(np.arange(len(asked)), n_of)
-            yield pa.RecordBatch.from_arrays([pa.array([ids_of[i] for i in at]), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], names=["query_id", "doc_id", "score"])
-
-    return base.mapInArrow(scored, f"query_id {kind}, doc_id long, score double").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+from lexstrata.operators import keyword_index
+from lexstrata.sources.scratch import shared_folder
+
+
+def bm25_top_k(
+    queries: DataFrame,
+    docs: DataFrame,
+    fields: dict[str, str],
+    boosts: dict[str, float],
+    k: int = 20,
+    id_col: str = "doc_id",
+    exact: dict[str, str] | None = None,
+    collection_col: str | None = None,
+    collections: list[str] | None = None,
+) -> DataFrame:
+    """Index ``docs`` in a new shared folder and search it once, see ``keyword_index``; who searches again keeps the index."""
+    path = keyword_index.build(docs, shared_folder(docs.sparkSession, "keyword-index"), fields, exact, collection_col, id_col)
+    hits = keyword_index.search(docs.sparkSession, path, queries, boosts, k, collections)
+    return hits.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def term_overlap(query: str, text: str, prior: str | None = None):

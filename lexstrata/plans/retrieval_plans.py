@@ -79,6 +79,30 @@ def _(t):
     return keyword_hits(t)
 
 
+@family.query(
+    "ret05_collections_and_exact_fields",
+    r"""
+    WITH f AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+    st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM f),
+    tf AS (SELECT doc_id, lang, term, any_value(length) AS length, count(*) AS tf FROM (SELECT doc_id, lang, len(w) AS length, unnest(w) AS term FROM f) GROUP BY 1, 2, 3),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    qs AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT DISTINCT 1000000 + CAST(substr(source, 4) AS BIGINT), source FROM documents),
+    qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM qs),
+    sc AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS s
+           FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN st ON true WHERE lang IN ('en', 'fr') GROUP BY 1, 2),
+    ex AS (SELECT source, count(*) AS df FROM documents GROUP BY 1),
+    xs AS (SELECT query_id, doc_id, 4.0 * ln(1 + ((SELECT count(source) FROM documents) - df + 0.5) / (df + 0.5)) AS s
+           FROM qs JOIN documents d ON d.source = qs.text JOIN ex ON ex.source = d.source WHERE lang IN ('en', 'fr')),
+    bs AS (SELECT query_id, doc_id, round(max(s), 6) AS score FROM (SELECT * FROM sc UNION ALL SELECT * FROM xs) GROUP BY 1, 2)
+    SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bs) WHERE rank <= 20""",
+)
+def _(t):
+    """Sources as untokenised numbers, languages as collections; sources are asked for beside the items."""
+    sources = t("documents").select((1000000 + F.substring("source", 4, 20).cast("long")).alias("query_id"), F.col("source").alias("text")).distinct()
+    questions = t("benchmark").select(F.col("item_id").alias("query_id"), "text").unionByName(sources)
+    return keyword.bm25_top_k(questions, t("documents"), {"content": "text"}, {"content": 1.0, "number": 4.0}, exact={"number": "source"}, collection_col="lang", collections=["en", "fr"])
+
+
 @family.query(
     "ret06_tokens",
     r"WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2",

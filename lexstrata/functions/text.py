@@ -76,25 +76,40 @@ def mapped_terms(text: Column, rules: list[tuple[str, str, int]]) -> Column:
     return text
 
 
+#: Fixed values of compound questions: words for "each", what joins subjects, what joins conditions, the word before
+#: conditions, the modal that an "each" may follow, what ends a question.
+EACH_OF_SUBJECTS, EACH_OF_CONDITIONS = "分别|各自", "分别"
+SUBJECT_JOINTS, CONDITION_JOINTS = "和|与|及|、", "且|和|与|及|、"
+BOTH_PRESENT, SHOULD, QUESTION_ENDS = "同时存在", "应?", "[?？。;；\\n]+"
+
+
 def split_questions(text: Column) -> Column:
     """The parts of a compound question, each with a question mark.
 
-    Where several subjects are asked about "分别" (each), every subject gets
-    the whole question; else the parts are what stops and line feeds part.
-    A text of stops alone stays as it is.
+    A frame has a place that lists several things, and the word "each": every
+    thing is asked for by itself in the rest of the frame.  Without a frame
+    that lists two things at least, stops and line feeds part the text.  A
+    text of stops alone stays as it is.
     """
     whole = F.regexp_replace(F.trim(text), "[？?]$", "")
-    each = "^(.+?)[，,](.+?)(应?)(?:分别|各自)(.+)$"
-    same = "^(.+?)[，,]\\s*(应?)分别(.+)$"
-    part = lambda pattern, n: F.trim(F.regexp_extract(whole, pattern, n))
-    full = lambda parts: F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
-    subjects = full(F.split(part(each, 2), "和|与|及|、"))
-    one = F.transform(subjects, lambda x: F.concat(part(each, 1), F.lit("，"), x, part(each, 3), part(each, 4), F.lit("？")))
-    clauses = full(F.split(F.regexp_replace(part(same, 1), "^.*?同时存在", ""), "且|和|与|及|、"))
-    two = F.transform(clauses, lambda x: F.concat(x, part(same, 2), part(same, 3), F.lit("？")))
-    parts = full(F.split(text, "[?？。;；\\n]+"))
+    listed = lambda x, joints: F.filter(F.transform(F.split(x, joints), lambda p: F.trim(p)), lambda p: p != "")
+
+    def framed(pattern: str, place: int, joints: str, lead: str = "") -> tuple[Column, Column]:
+        """Whether the frame fits and lists two things; the questions. ``place`` is the listing group, the others stand around it."""
+        group = lambda n: F.trim(F.regexp_extract(whole, pattern, n))
+        things = listed(F.regexp_replace(group(place), lead, "") if lead else group(place), joints)
+        before = [x for n in range(1, place) for x in (group(n), F.lit("，"))]
+        behind = [group(place + 1), group(place + 2), F.lit("？")]
+        return whole.rlike(pattern) & (F.size(things) > 1), F.transform(things, lambda x: F.concat(*before, x, *behind))
+
+    subjects = framed(f"^(.+?)[，,](.+?)({SHOULD})(?:{EACH_OF_SUBJECTS})(.+)$", 2, SUBJECT_JOINTS)
+    conditions = framed(f"^(.+?)[，,]\\s*({SHOULD})(?:{EACH_OF_CONDITIONS})(.+)$", 1, CONDITION_JOINTS, f"^.*?{BOTH_PRESENT}")
+    parts = listed(text, QUESTION_ENDS)
     plain = F.when(F.size(parts) > 0, F.transform(parts, lambda p: F.concat(p, F.lit("？")))).otherwise(F.array(text))
-    return F.when(text.isNull(), None).when(whole.rlike(each) & (F.size(subjects) > 1), one).when(whole.rlike(same) & (F.size(clauses) > 1), two).otherwise(plain)
+    out = F.when(text.isNull(), None)
+    for fits, questions in (subjects, conditions):
+        out = out.when(fits, questions)
+    return out.otherwise(plain)
 
 
 def without_citations(text: Column) -> Column:

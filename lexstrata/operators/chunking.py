@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, pairwise
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexstrata.functions.splitting import bounded_pieces, cut_pieces
+from lexstrata.functions.splitting import cut_pieces
 from lexstrata.functions.text import token_count, words
 from lexstrata.sources.parsers import markdown_blocks
 
@@ -31,23 +36,32 @@ class Budget:
 CHUNK_SCHEMA = "doc_id long, chunk_index int, kind string, outline array<string>, content string, embedding_text string"
 
 
-def paragraph_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, chunk_index, content``: bounded pieces of whole texts; null and empty texts have none."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(bounded_pieces(F.col(text_col))).alias("chunk_index", "content"))
+def paragraph_chunks(docs: DataFrame, budget: Budget = Budget(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, chunk_index, content``: each text as one paragraph, see ``paragraph_groups``; null and empty texts have none."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.fillna("").map(lambda x: paragraph_groups(x, budget))
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(pieces(F.col(text_col))).alias("chunk_index", "content"))
+
+
+def runs(sizes: list[int], most: int, joint: int = 0, parts: int | None = None) -> list[tuple[int, int]]:
+    """The longest runs of neighbours, from the left, whose sizes with a joint between them stay within ``most``; a larger one is alone."""
+    before = [0, *accumulate(n + joint for n in sizes)]
+    out, at = [], 0
+    while at < len(sizes):
+        end = bisect_right(before, before[at] + most + joint, at + 1) - 1
+        end = max(at + 1, end if parts is None else min(end, at + parts))
+        out.append((at, end))
+        at = end
+    return out
 
 
 def greedy(parts: list[str], most: int, joint: str = "\n") -> list[list[str]]:
     """Groups of neighbours whose joined length stays within ``most``; a longer part stands alone."""
-    groups: list[list[str]] = []
-    size = 0
-    for part in parts:
-        if groups and size + len(joint) + len(part) <= most:
-            groups[-1].append(part)
-            size += len(joint) + len(part)
-        else:
-            groups.append([part])
-            size = len(part)
-    return groups
+    return [parts[a:b] for a, b in runs([len(p) for p in parts], most, len(joint))]
 
 
 def list_groups(items: list[str], ordered: bool, budget: Budget) -> list[str]:
@@ -60,17 +74,10 @@ def table_groups(headers: list[str], rows: list[list[str]], budget: Budget) -> l
     """(Markdown piece with its header, key-value text) for groups of rows under both limits."""
     cell = lambda c: (c or "").replace("|", "\\|").replace("\n", "<br>")
     head = "| " + " | ".join(map(cell, headers)) + " |\n|" + " --- |" * len(headers)
-    out, group, size = [], [], 0
     texts = ["; ".join(f"{h}: {' '.join(v.split())}" for h, v in zip(headers, r, strict=False) if v and v.strip()) for r in rows]
-    for row, text in zip(rows, texts, strict=True):
-        if group and (len(group) >= budget.rows_per_chunk or size + len(text) > budget.max_chars):
-            out.append(group)
-            group, size = [], 0
-        group.append((row, text))
-        size += len(text) + 1
-    if group:
-        out.append(group)
-    return [("\n".join([head, *("| " + " | ".join(map(cell, r)) + " |" for r, _ in g)]), "\n".join(x for _, x in g)) for g in out]
+    shown = ["| " + " | ".join(map(cell, r)) + " |" for r in rows]
+    groups = runs([len(x) for x in texts], budget.max_chars, 1, budget.rows_per_chunk)
+    return [("\n".join([head, *shown[a:b]]), "\n".join(texts[a:b])) for a, b in groups]
 
 
 def html_table_groups(html: str, budget: Budget) -> list[str]:
@@ -86,15 +93,9 @@ def html_table_groups(html: str, budget: Budget) -> list[str]:
     opening = html[: html.index(">") + 1]
     whole = len(rows) - 1 <= budget.rows_per_chunk and len(html) <= budget.tolerance
     room = (budget.tolerance if whole else budget.max_chars) - len(opening) - len("</table>") - len(rows[0])
-    groups: list[list[str]] = [[]]
-    size = 0
-    for row in rows[1:]:
-        if groups[-1] and (len(groups[-1]) >= budget.rows_per_chunk or size + len(row) > room):
-            groups.append([])
-            size = 0
-        groups[-1].append(row)
-        size += len(row)
-    return [f"{opening}{rows[0]}{''.join(g)}</table>" for g in groups]
+    body = rows[1:]
+    groups = runs([len(x) for x in body], room, 0, budget.rows_per_chunk)
+    return [f"{opening}{rows[0]}{''.join(body[a:b])}</table>" for a, b in groups]
 
 
 def code_groups(code: str, language: str | None, budget: Budget) -> list[str]:
@@ -106,7 +107,9 @@ def code_groups(code: str, language: str | None, budget: Budget) -> list[str]:
 
 
 def paragraph_groups(text: str, budget: Budget) -> list[str]:
-    return [text] if len(text) <= budget.tolerance else cut_pieces(text, budget.max_chars, budget.overlap)
+    """A text that the tolerance does not cut, else its pieces under the budget; a blank one has none."""
+    whole = cut_pieces(text, budget.tolerance, budget.overlap)
+    return whole if len(whole) < 2 else cut_pieces(text, budget.max_chars, budget.overlap)
 
 
 def block_pieces(block: dict, budget: Budget) -> list[tuple[str, str]]:
@@ -146,10 +149,6 @@ class Draft:
 JOINT = "\n\n"
 
 
-def _size(parts: list[Draft]) -> int:
-    return sum(len(d.content) for d in parts) + len(JOINT) * max(0, len(parts) - 1)
-
-
 def _merged(parts: list[Draft]) -> Draft:
     """Parts as one, under the outline that all of them have in common."""
     if len(parts) == 1:
@@ -162,68 +161,57 @@ def _merged(parts: list[Draft]) -> Draft:
     return Draft(kind, shared, JOINT.join(d.content for d in parts), JOINT.join(d.embed for d in parts), any(d.heading for d in parts))
 
 
-def packed_drafts(drafts: list[Draft], budget: Budget) -> list[Draft]:
-    """Drafts joined to chunks.
-
-    A heading begins a section.  A section within the tolerance is not cut:
-    it joins what is held while both fit the budget, or the tolerance where
-    less than a quarter of the budget is held.  In a longer section drafts
-    join while they fit; a piece of a cut block, or a draft as long as the
-    budget, is a chunk of its own with the drafts right before it that lead
-    in to it.  What is left over goes on to the next section.  A chunk of
-    less than a quarter of the budget joins the one before it, within the
-    tolerance.
+def chunk_edges(sizes: list[int], heads: list[bool], alone: list[bool], budget: Budget) -> list[int]:
+    """Where chunks begin in a row of drafts, and its end.
+
+    Every chunk is a run of drafts, so all lengths are differences of one
+    running sum.  ``heads`` begin sections.  A section that fits the
+    tolerance stays in one chunk: it joins what stands open before it if both
+    fit the budget (the tolerance, where less than a quarter of the budget is
+    open), and closes what is longer than the budget.  In a longer section
+    drafts join up to the budget, and one that is ``alone`` makes a chunk
+    with as many open drafts before it as the budget takes, if these and it
+    fit the tolerance.  What is closed with less than a quarter of the budget
+    joins the chunk before it, within the tolerance.
     """
-    if len(drafts) < 2:
-        return list(drafts)
-    most, tolerance = budget.max_chars, budget.tolerance
-    least = max(1, most // 4)
-    out: list[Draft] = []
-    held: list[Draft] = []
-
-    def land(parts):
-        if not parts:
-            return
-        chunk = _merged(parts)
-        if out and len(chunk.content) < least and len(out[-1].content) + len(JOINT) + len(chunk.content) <= tolerance:
-            out[-1] = _merged([out[-1], chunk])
-        else:
-            out.append(chunk)
-
-    sections: list[list[Draft]] = []
-    for d in drafts:
-        if not sections or d.heading:
-            sections.append([])
-        sections[-1].append(d)
-    for section in sections:
-        whole = _size(section)
-        if whole <= tolerance:
-            if held and _size(held) + len(JOINT) + whole > (tolerance if _size(held) < least else most):
-                land(held)
-                held = []
-            held = held + section
-            if _size(held) > most:
-                land(held)
-                held = []
+    most, tolerance, least, joint = budget.max_chars, budget.tolerance, max(1, budget.max_chars // 4), len(JOINT)
+    sums = [0, *accumulate(n + joint for n in sizes)]
+    edges = [0]
+
+    def length(a: int, b: int) -> int:
+        return sums[b] - sums[a] - joint
+
+    def close(end: int) -> None:
+        if end > edges[-1]:
+            small = len(edges) > 1 and length(edges[-1], end) < least and length(edges[-2], end) <= tolerance
+            edges[-1:] = [end] if small else [edges[-1], end]
+
+    bounds = [*(i for i in range(len(sizes)) if i == 0 or heads[i]), len(sizes)]
+    for a, b in pairwise(bounds):
+        if length(a, b) <= tolerance:
+            begin = edges[-1]
+            if begin < a and length(begin, b) > (tolerance if length(begin, a) < least else most):
+                close(a)
+            if length(edges[-1], b) > most:
+                close(b)
             continue
-        for d in section:
-            if d.piece or len(d.content) >= most:
-                lead, size = [], 0
-                while held and size + len(JOINT) + len(held[-1].content) <= most:
-                    size += len(JOINT) + len(held[-1].content)
-                    lead.insert(0, held.pop())
-                if len(d.content) + size > tolerance:
-                    held, lead = held + lead, []
-                land(held)
-                out.append(_merged([*lead, d]))
-                held = []
-                continue
-            if held and _size(held) + len(JOINT) + len(d.content) > most:
-                land(held)
-                held = []
-            held.append(d)
-    land(held)
-    return out
+        for i in range(a, b):
+            begin = edges[-1]
+            if alone[i]:
+                lead = bisect_left(sums, sums[i] - most, begin, i)
+                close(lead if length(lead, i + 1) <= tolerance else i)
+                edges.append(i + 1)
+            elif begin < i and length(begin, i + 1) > most:
+                close(i)
+    close(len(sizes))
+    return edges
+
+
+def packed_drafts(drafts: list[Draft], budget: Budget) -> list[Draft]:
+    """Drafts joined to chunks, see ``chunk_edges``; a piece of a cut block, or a draft as long as the budget, is alone."""
+    alone = [d.piece or len(d.content) >= budget.max_chars for d in drafts]
+    edges = chunk_edges([len(d.content) for d in drafts], [d.heading for d in drafts], alone, budget)
+    return [_merged(drafts[a:b]) for a, b in pairwise(edges)]
 
 
 def pack_blocks(blocks: list[dict], budget: Budget) -> list[Draft]:
@@ -304,29 +292,21 @@ _SENTENCE = re.compile("(?<=[。！？!?；;])")
 
 def clause_units(children: list[tuple[str | None, str]], most_tokens: int) -> list[tuple[str | None, str]]:
     """``marker, text`` of a clause's lines; a line over the limit is one unit for each sentence, with its marker."""
-    shown = lambda marker, text: f"{marker} {text.strip()}" if marker and marker.strip() else text.strip()
-    out = []
-    for marker, text in children:
-        parts = [x.strip() for x in _SENTENCE.split(text.strip()) if x.strip()] if token_count(shown(marker, text)) > most_tokens else []
-        out += [(marker, shown(marker, x)) for x in (parts if len(parts) > 1 else [text])]
-    return out
+
+    def shown(marker, text):
+        return f"{marker} {text.strip()}" if (marker or "").strip() else text.strip()
+
+    def pieces(marker, text):
+        if token_count(shown(marker, text)) <= most_tokens:
+            return [text]
+        return [x for x in map(str.strip, _SENTENCE.split(text)) if x] or [text]
+
+    return [(marker, shown(marker, x)) for marker, text in children for x in pieces(marker, text)]
 
 
 def packed_units(units: list[tuple[str | None, str]], most_tokens: int) -> list[list[tuple[str | None, str]]]:
-    """Units joined up to the limit; one over the limit ends its group."""
-    groups: list[list] = [[]]
-    size = 0
-    for unit in units:
-        n = token_count(unit[1])
-        if groups[-1] and size + n > most_tokens:
-            groups.append([])
-            size = 0
-        groups[-1].append(unit)
-        size += n
-        if n > most_tokens:
-            groups.append([])
-            size = 0
-    return [g for g in groups if g]
+    """Units joined up to the limit; one over the limit is a group of its own."""
+    return [units[a:b] for a, b in runs([token_count(text) for _, text in units], most_tokens)]
 
 
 def clause_chunks(clauses: DataFrame, most_tokens: int = 450) -> DataFrame:

@@ -107,3 +107,17 @@ def test_pieces_against_the_slow_rule(most, overlap):
     mixed = ["".join(r.choice("ab. \n。！?！；;https://火\r") for _ in range(r.randint(1, 400))) for _ in range(300)]
     for raw in fixed + mixed:
         assert splitting.cut_pieces(raw, most, overlap) == slow_pieces(raw, max(1, most), min(max(0, overlap), max(1, most) - 1))
+
+
+@pytest.mark.parametrize("n", [1024, 1025, 3072, 3073])
+def test_paragraphs_keep_what_the_tolerance_takes(n):
+    from lexstrata.operators import chunking
+
+    budget = chunking.Budget()
+    text = "x" * (n - 20) + " https://a.b/c/\nd.ef"
+    joined = text.replace("\n", "")
+    assert len(text) == n
+    want = [joined] if n - 1 <= budget.tolerance else splitting.cut_pieces(joined, 1024, 128)
+    assert chunking.paragraph_groups(text, budget) == want
+    assert chunking.paragraph_groups(" \n", budget) == []
+    assert len(chunking.paragraph_groups("y" * 3073, budget)) == 4

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import words
-from lexstrata.operators import keyword, scope, vectors
+from lexstrata.operators import keyword, projections, scope, vectors
 from lexstrata.plans.base import Family
 
 family = Family()
@@ -46,6 +46,11 @@ def _(t):
     return vectors.cell_top_k(asked(t), unit(t).select("vec_id", "v"), 10)
 
 
+@family.query("ret03_projection_tables")
+def _(t):
+    return projections.projected_top_k(asked(t), unit(t).select("vec_id", "v"), 10)
+
+
 @family.query(
     "ret04_per_collection",
     PAIRS + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM p),

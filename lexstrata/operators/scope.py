@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexstrata.operators.closure import root_paths
 from lexstrata.operators.vectors import dot, every_pair
 
 
@@ -59,46 +60,56 @@ def fitting_actions(questions: DataFrame, rules: DataFrame) -> DataFrame:
     return pairs.select(*[c for c in questions.columns if c != "text"], "action")
 
 
-def tree_paths(nodes: DataFrame, most_depth: int = 16) -> DataFrame:
-    """``id, path array, depth, leaf`` of a forest ``id, parent, name``; a cycle ends where it meets itself."""
-    found = nodes.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(id, path, ids, depth) AS (
-            SELECT id, array(name), array(id), 0 FROM {{nodes}} WHERE parent IS NULL
-            UNION ALL
-            SELECT n.id, concat(w.path, array(n.name)), concat(w.ids, array(n.id)), w.depth + 1
-            FROM walk w JOIN {{nodes}} n ON n.parent = w.id
-            WHERE w.depth < {int(most_depth)} AND NOT array_contains(w.ids, n.id)
-        ) SELECT id, path, ids, depth FROM walk""",
-        nodes=nodes,
-    )
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """``id, path array, ids array, depth, leaf`` of a forest ``id, parent, name`` of any depth.
+
+    Nodes that no root has below it (on a cycle, or under a missing parent)
+    have no path and are left out.
+    """
     inner = nodes.filter("parent is not null").select(F.col("parent").alias("id")).distinct().withColumn("_inner", F.lit(True))
-    return found.join(inner, "id", "left").select("id", "path", "ids", "depth", F.col("_inner").isNull().alias("leaf"))
+    found = root_paths(nodes).join(inner, "id", "left")
+    return found.select("id", "path", "ids", (F.size("ids") - 1).alias("depth"), F.col("_inner").isNull().alias("leaf"))
 
 
 def closure_offenders(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """Enabled descendants outside of a chosen set, by chosen node: ``target, offenders``; none means the set may go."""
-    paths = tree_paths(nodes)
-    inside = paths.select(F.col("id").alias("below"), F.explode("ids").alias("id")).filter("below <> id")
-    under = inside.join(chosen.select("id"), "id").withColumnRenamed("id", "target")
-    live = nodes.filter("enabled").select(F.col("id").alias("below"))
-    outside = under.join(live, "below", "left_semi").join(chosen.select(F.col("id").alias("below")), "below", "left_anti")
-    return outside.groupBy("target").agg(F.array_sort(F.collect_list("below")).alias("offenders"))
+    live = nodes.filter("enabled").select("id").join(chosen.select("id"), "id", "left_anti")
+    above = root_paths(nodes).join(live, "id").select(F.col("id").alias("below"), F.explode("ids").alias("id")).filter("below <> id")
+    return above.join(chosen.select("id"), "id").groupBy(F.col("id").alias("target")).agg(F.array_sort(F.collect_list("below")).alias("offenders"))
+
+
+def plain_name(name: Column) -> Column:
+    """A name without case and outer or inner white space, by which names are compared."""
+    return F.regexp_replace(F.lower(name), r"\s+", "")
 
 
-def ambiguous(ranked: DataFrame, paths: DataFrame, most: int = 6) -> DataFrame:
-    """Intents that may be mistaken for a query's best one: another node whose last name is the same.
+def ambiguous(ranked: DataFrame, paths: DataFrame, most: int = 6, questions: DataFrame | None = None) -> DataFrame:
+    """Intents that may be mistaken for a query's best one.
 
-    ``ranked`` are ``query_id, id, score``; the best of each node counts once.
+    Another node is one if its last name is the same, or, with ``questions``
+    (``query_id, question``), if behind the nodes that both paths have in
+    common a name stands in both of them and in the question.  ``ranked`` are
+    ``query_id, id, score``; the best of each node counts once; empty names
+    are not compared.
     """
-    per = ranked.groupBy("query_id", "id").agg(F.max("score").alias("score")).join(paths.select("id", F.element_at("path", -1).alias("leaf_name"), F.array_join("path", " > ").alias("full_path")), "id")
+    per = ranked.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    per = per.join(paths.select("id", "ids", F.transform("path", plain_name).alias("names"), F.array_join("path", " > ").alias("full_path")), "id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    top = per.withColumn("_r", F.row_number().over(order))
-    first = top.filter("_r = 1").select("query_id", F.col("leaf_name").alias("_leaf"))
-    same = top.join(first, "query_id").filter(F.col("leaf_name") == F.col("_leaf"))
-    options = same.withColumn("option", F.row_number().over(order)).filter(F.col("option") <= most)
+    first = per.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("query_id", F.col("id").alias("_id"), F.col("ids").alias("_ids"), F.col("names").alias("_names"))
+    asked = first if questions is None else first.join(questions.select("query_id", plain_name(F.col("question")).alias("_question")), "query_id", "left")
+    both = per.join(asked, "query_id")
+    leaf = F.element_at("names", -1)
+    same = (leaf != "") & (leaf == F.element_at("_names", -1))
+    if questions is not None:
+        pairs = F.arrays_zip(F.col("ids").alias("a"), F.col("_ids").alias("b"))
+        parted = F.array_position(F.transform(pairs, lambda p: ~p["a"].eqNullSafe(p["b"])), True)  # the first place where the paths part
+        behind = lambda names: F.slice(names, parted.cast("int"), F.size(names))
+        shared = F.array_intersect(behind("names"), behind("_names"))
+        named = F.exists(shared, lambda x: (x != "") & F.contains(F.coalesce(F.col("_question"), F.lit("")), x))
+        same = same | F.when(parted > 0, named).otherwise(F.lit(False))
+    options = both.filter((F.col("id") == F.col("_id")) | same).withColumn("option", F.row_number().over(order))
     many = options.groupBy("query_id").agg(F.count("*").alias("_n")).filter("_n > 1")
-    return options.join(many, "query_id", "left_semi").select("query_id", "option", "id", "full_path", "score")
+    return options.filter(F.col("option") <= most).join(many, "query_id", "left_semi").select("query_id", "option", "id", "full_path", "score")
 
 
 def external_results(items: DataFrame, group: str, order: str, parts: list[Column], most: int = 10) -> DataFrame:

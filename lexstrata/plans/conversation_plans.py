@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexstrata.operators import closure
 from lexstrata.operators import conversations as conv
 from lexstrata.plans.base import Family
 
@@ -138,6 +140,19 @@ def _(t):
     return conv.superseded_memory(facts).select("user_id", "fact", "version", "superseded_by", "latest", "valid")
 
 
+@family.query(
+    "cnv12_pointer_ends",
+    """WITH p AS (SELECT event_id, max(event_id) OVER (PARTITION BY user_id, event_type) AS latest, count(*) OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) - 1 AS steps FROM events)
+    SELECT event_id, latest, CAST(steps AS BIGINT) AS steps FROM p""",
+)
+def _(t):
+    """What stands in place of each version, by following the pointers that the versions have."""
+    order = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    pointers = t("events").select("event_id", F.lead("event_id").over(order).alias("superseded_by"))
+    return closure.chain_ends(pointers, "event_id", "superseded_by").select(F.col("id").alias("event_id"), F.col("end").alias("latest"), "steps")
+
+
+
 @family.query(
     "cnv13_valid_merges",
     """

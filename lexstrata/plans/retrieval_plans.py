@@ -252,6 +252,31 @@ def _(t):
     return scope.ambiguous(ranked, scope.tree_paths(tree(t)))
 
 
+@family.query(
+    "ret17_ambiguous_by_question",
+    f"""WITH RECURSIVE {TREE},
+    k AS (SELECT c_custkey AS query_id, 's' || s_suppkey AS id, max(l_extendedprice) AS score FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
+    q AS (SELECT c_custkey AS query_id, replace(lower('which of them in ' || n_name || ' is it'), ' ', '') AS question FROM customer JOIN nation ON n_nationkey = c_nationkey),
+    p AS (SELECT query_id, k.id, score, path, array_to_string(path, ' > ') AS full_path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k.id) AS r FROM k JOIN (SELECT id, [path[1], path[2] || ' site', path[2], path[3]] AS path FROM w WHERE id LIKE 's%') w ON w.id = k.id),
+    o AS (SELECT p.*, CAST(row_number() OVER (PARTITION BY p.query_id ORDER BY p.score DESC, p.id) AS INTEGER) AS option FROM p JOIN p f ON f.query_id = p.query_id AND f.r = 1 JOIN q ON q.query_id = p.query_id
+          WHERE p.id = f.id OR p.path[4] = f.path[4] OR (p.path[3] = f.path[3] AND (contains(question, replace(lower(p.path[3]), ' ', '')) OR contains(question, replace(lower(p.path[2]), ' ', ''))))),
+    m AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM o)
+    SELECT query_id, option, id, full_path, score FROM m WHERE n > 1 AND option <= 6""",
+)
+def _(t):
+    """Each supplier below a site and a nation of its own, so that paths part above nodes with the same names."""
+    names = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = F.col("s_suppkey").cast("string")
+    level = lambda i, up, name: names.select(i.alias("id"), up.alias("parent"), name.alias("name"))
+    nodes = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
+    nodes = nodes.unionByName(level(F.concat(F.lit("x"), s), F.concat(F.lit("r"), "r_regionkey"), F.concat("n_name", F.lit(" site"))))
+    nodes = nodes.unionByName(level(F.concat(F.lit("n"), s), F.concat(F.lit("x"), s), F.col("n_name"))).unionByName(level(F.concat(F.lit("s"), s), F.concat(F.lit("n"), s), F.concat(F.lit("supplier "), F.col("s_suppkey") % 10)))
+    bought = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("s"), "l_suppkey").alias("id"), F.col("l_extendedprice").alias("score"))
+    question = F.concat(F.lit("Which of them in "), "n_name", F.lit(" is it"))
+    questions = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("query_id"), question.alias("question"))
+    return scope.ambiguous(bought, scope.tree_paths(nodes), questions=questions)
+
+
 @family.query(
     "ret18_subtree_closure",
     f"""WITH RECURSIVE {TREE},

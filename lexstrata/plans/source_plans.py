@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
 from lexstrata.operators import chunking
 from lexstrata.plans.base import Family
-from lexstrata.sources import parsers, sinks, tables
+from lexstrata.sources import parsers, sinks, snapshots, tables
+from lexstrata.sources.scratch import shared_folder
 
 family = Family()
 QUERIES, ORACLES = family.QUERIES, family.ORACLES
@@ -132,6 +132,12 @@ def _chunks(t):
     return t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
 
 
+def _store(t, tables: dict) -> snapshots.Snapshots:
+    """An empty store for tables like the given frames, each with its key."""
+    specs = {name: snapshots.TableSpec(df.schema, key, 8) for name, (df, key) in tables.items()}
+    return snapshots.Snapshots(t.spark, shared_folder(t.spark, "store"), specs)
+
+
 CHUNKS = """
     p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
     ch AS (SELECT doc_id, CAST(unnest(range(0, len(p))) AS INTEGER) AS chunk_index, unnest(p) AS content FROM p)"""
@@ -139,8 +145,12 @@ CHUNKS = """
 
 @family.query("snk01_replace_artefacts", f"WITH {CHUNKS} SELECT doc_id, chunk_index, content FROM ch WHERE doc_id % 3 <> 0 OR chunk_index = 0")
 def _(t):
+    """Written and read again: a first snapshot of all chunks, then one in which every third document has its first chunk only."""
     old = _chunks(t)
-    return sinks.replaced(old, old.filter("doc_id % 3 = 0 and chunk_index = 0"))
+    store = _store(t, {"chunks": (old, "doc_id")})
+    store.commit({"chunks": snapshots.replacement(old, "doc_id")})
+    store.commit({"chunks": snapshots.replacement(old.filter("doc_id % 3 = 0 and chunk_index = 0"), "doc_id")})
+    return store.read("chunks")
 
 
 @family.query(
@@ -150,7 +160,13 @@ def _(t):
 def _(t):
     old = t("embeddings").withColumn("version", F.lit(1))
     new = old.filter("vec_id % 3 = 0").withColumns({"label": F.col("label") + 100, "version": F.lit(2)})
-    return sinks.upserted(old, new.unionByName(old.filter("vec_id % 7 = 0")), "vec_id", "version").select("vec_id", "label", "version")
+    fresh = new.unionByName(old.filter("vec_id % 7 = 0"))
+    columns = ["vec_id", "label", "version"]
+    store = _store(t, {"vectors": (old.select(columns), "vec_id")})
+    store.commit({"vectors": snapshots.replacement(old.select(columns), "vec_id")})
+    held = store.read("vectors").join(fresh.select("vec_id").distinct(), "vec_id", "left_semi").select(columns)
+    store.commit({"vectors": snapshots.replacement(sinks.upserted(held, fresh.select(columns), "vec_id", "version"), "vec_id")})
+    return store.read("vectors")
 
 
 @family.query(
@@ -170,9 +186,13 @@ def _(t):
     UNION ALL SELECT 'keyword', label, count(*) FROM embeddings WHERE vec_id % 5 <> 0 AND label <> 3 GROUP BY label""",
 )
 def _(t):
+    """Both indexes lose the rows in one commit."""
     chunks = t("embeddings").select("vec_id", "label")
-    gone = chunks.filter("vec_id % 5 = 0 or label = 3")
-    sides = [sinks.without_deleted(chunks.withColumn("side", F.lit(s)), gone, "vec_id") for s in ("vector", "keyword")]
+    gone = chunks.filter("vec_id % 5 = 0 or label = 3").select("vec_id")
+    store = _store(t, {side: (chunks, "vec_id") for side in ("vector", "keyword")})
+    store.commit({side: snapshots.replacement(chunks, "vec_id") for side in ("vector", "keyword")})
+    store.commit({side: snapshots.deletion(gone) for side in ("vector", "keyword")})
+    sides = [store.read(side).withColumn("side", F.lit(side)) for side in ("vector", "keyword")]
     return sides[0].unionByName(sides[1]).groupBy("side", "label").agg(F.count("*").alias("n"))
 
 

@@ -16,23 +16,23 @@ def replaced(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def write_replaced(old_path: str, new: DataFrame, key: str = "doc_id", buckets: int = 64) -> None:
-    """Replace documents in a table that is partitioned by a bucket of the key; only touched buckets are rewritten."""
+    """Replace documents in one plain table that is partitioned by a bucket of the key; only touched buckets are rewritten.
+
+    Readers of the folder may see some buckets old and some new meanwhile;
+    ``snapshots.Snapshots`` commits at once, over several tables too.
+    """
     spark = new.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
-    fresh = new.select("*", bucket)
-    touched = fresh.select("bucket").distinct()
-    try:
-        held = spark.read.parquet(old_path)
-    except Exception as error:  # the first write
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        fresh.write.partitionBy("bucket").mode("overwrite").parquet(old_path)
+    fresh = new.select("*", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"))
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old_path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        fresh.write.partitionBy("bucket").parquet(old_path)
         return
-    kept = held.join(touched, "bucket", "left_semi").select(fresh.columns)
-    out = replaced(kept, fresh, key)
+    kept = spark.read.parquet(old_path).join(fresh.select("bucket").distinct(), "bucket", "left_semi").select(fresh.columns)
     staged = f"{old_path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-    out.write.partitionBy("bucket").mode("overwrite").parquet(staged)
+    replaced(kept, fresh, key).write.partitionBy("bucket").parquet(staged)
     spark.read.parquet(staged).select(fresh.columns).write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(old_path)
+    files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged), True)
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:

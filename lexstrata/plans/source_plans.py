@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexstrata.operators import chunking
 from lexstrata.plans.base import Family
-from lexstrata.sources import parsers, sinks, snapshots, tables
+from lexstrata.sources import files, parsers, sinks, snapshots, tables
 from lexstrata.sources.scratch import shared_folder
 
 family = Family()
@@ -36,6 +37,42 @@ def _(t):
     return rows.select("doc_id", "row_index", F.col("cells")["name"].alias("name"), F.col("cells")["note"].alias("note"))
 
 
+@family.query(
+    "src02_files_to_blocks",
+    """
+    WITH c AS (SELECT 'csv' AS kind, l_suppkey AS doc_id, 'table' AS blocks, CAST(count(*) AS INTEGER) AS n_rows, 'order,part "no",' || l_suppkey AS head, CAST(NULL AS VARCHAR) AS error FROM lineitem GROUP BY l_suppkey),
+    m AS (SELECT 'md', p_partkey, 'heading,list,table', 1, p_name, NULL FROM part),
+    h AS (SELECT 'html', CAST(n_nationkey AS BIGINT), 'heading,paragraph,table', 1, n_name, NULL FROM nation),
+    x AS (SELECT 'bin', CAST(r_regionkey AS BIGINT), '', 0, NULL, 'unroutable' FROM region)
+    SELECT * FROM c UNION ALL SELECT * FROM m UNION ALL SELECT * FROM h UNION ALL SELECT * FROM x""",
+)
+def _(t):
+    """A folder with a CSV file for each supplier, whose headers differ, Markdown for parts, pages for nations, and files of a kind that has no parser."""
+    say = lambda *parts: F.concat(*(F.lit(x) if not isinstance(x, Column) else x.cast("string") for x in parts)).alias("value")
+    line = F.struct("l_orderkey", "l_linenumber", say(F.col("l_orderkey"), ",", F.col("l_partkey"), ',"a, ""b"""').alias("x"))
+    records = t("lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(line)).alias("r"))
+    content = say('order,"part ""no""",', F.col("l_suppkey"), "\r\n\r\n", F.array_join(F.transform("r", lambda r: r["x"]), "\r\n"))
+    made = {
+        "csv": records.select(F.col("l_suppkey").alias("doc_id"), content),
+        "md": t("part").select(F.col("p_partkey").alias("doc_id"), say("# ", F.col("p_name"), "\n\n- ", F.col("p_brand"), "\n- ", F.col("p_type"), "\n\n| size | price |\n| --- | --- |\n| ", F.col("p_size"), " | ", F.col("p_retailprice"), " |")),
+        "html": t("nation").select(F.col("n_nationkey").alias("doc_id"), say("<h1>", F.col("n_name"), "</h1><p>region ", F.col("n_regionkey"), "</p><table><tr><th>key</th></tr><tr><td>", F.col("n_nationkey"), "</td></tr></table>")),
+        "bin": t("region").select(F.col("r_regionkey").alias("doc_id"), say("?")),
+    }
+    folder = shared_folder(t.spark, "files")
+    for kind, df in made.items():
+        df.repartition("doc_id").write.partitionBy("doc_id").text(f"{folder}/kind={kind}")
+    found = files.scanned(t.spark, folder).withColumn("kind", F.regexp_extract("path", "kind=([a-z]+)", 1))
+    blocks = files.file_blocks(found).withColumn("at", F.struct("block_index", "kind"))
+    first = F.coalesce("text", F.array_join("headers", ","))
+    per = blocks.groupBy(F.regexp_extract("path", "kind=([a-z]+)", 1).alias("kind"), F.regexp_extract("path", "doc_id=(\\d+)", 1).cast("long").alias("doc_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda a: a["kind"]), ",").alias("blocks"),
+        F.coalesce(F.sum(F.size("rows")), F.lit(0)).cast("int").alias("n_rows"),
+        F.min_by(first, "block_index").alias("head"),
+        F.max("error").alias("error"),
+    )
+    return per
+
+
 @family.query("src03_markdown_blocks")
 def _(t):
     return parsers.document_blocks(t("documents"))

@@ -1,13 +1,18 @@
-"""Evaluation of the keyword chain against gold chunks found by shared word 8-grams."""
+"""Evaluation of each stage of the ranking chain against gold chunks found by shared word 8-grams."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import words
-from lexstrata.operators import evaluation
+from lexstrata.operators import evaluation, ranking
+from lexstrata.plans import ranking_plans as chain
 from lexstrata.plans.base import Family
-from lexstrata.plans.retrieval_plans import BM25, keyword_hits
+from lexstrata.plans.ranking_plans import HITS, OVERLAP, covered_sql
+from lexstrata.plans.retrieval_plans import keyword_hits
 from lexstrata.sources.scratch import materialised
 
 family = Family()
@@ -16,21 +21,27 @@ QUERIES, ORACLES = family.QUERIES, family.ORACLES
 GRAM = 8
 #: Items with so many n-grams at most are repeated to the documents, others are shuffled.
 MOST_GRAMS = 500_000
-STAGES = [(1, "RAW_RECALL"), (2, "Fusion"), (3, "FINAL_EVIDENCE")]
+STAGES = [(1, "RAW_RECALL"), (2, "Fusion"), (3, "Rerank"), (4, "LexicalCoverage"), (5, "EvidenceGate"), (6, "FINAL_EVIDENCE")]
+#: The best score that a question needs to keep its evidence.
+GATE = 0.7
 
 #: A document is gold for an item if they share a word 8-gram; its grade is the share of the item's 8-grams, from 1 to 3.
+#: Gold of one source is one group of evidence, so an item whose gold comes from several sources is a compound one.
 GOLD = r"""
     iw AS (SELECT item_id AS case_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
     dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
     ig AS (SELECT DISTINCT case_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM iw),
     dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM dw),
     gn AS (SELECT case_id, count(*) AS n FROM ig GROUP BY 1),
-    gold AS (SELECT case_id, doc_id AS chunk_id, CAST(1 + floor(2.0 * count(*) / any_value(n)) AS INTEGER) AS relevance, doc_id % 2 AS group_id FROM ig JOIN dg USING (g) JOIN gn USING (case_id) GROUP BY 1, 2),
-    cs AS (SELECT item_id AS case_id, item_id IN (SELECT case_id FROM gold) AS answerable, CASE WHEN item_id NOT IN (SELECT case_id FROM gold) THEN 'UNANSWERABLE' WHEN item_id % 3 = 0 THEN 'NUMERIC' ELSE 'SINGLE_CLAUSE' END AS bucket FROM benchmark)"""
-RANKS = f"""WITH {BM25}, {GOLD},
-    rk AS (SELECT query_id AS case_id, 'RAW_RECALL' AS stage, doc_id AS chunk_id, rank FROM kw UNION ALL SELECT query_id, 'Fusion', doc_id, rank FROM kw WHERE rank <= 10
-           UNION ALL SELECT query_id, 'FINAL_EVIDENCE', doc_id, rank FROM kw WHERE rank <= 5),
-    sg AS (SELECT * FROM (VALUES (1, 'RAW_RECALL'), (2, 'Fusion'), (3, 'FINAL_EVIDENCE')) AS s(place, stage)),
+    gold AS (SELECT case_id, doc_id AS chunk_id, CAST(1 + floor(2.0 * count(*) / any_value(n)) AS INTEGER) AS relevance, any_value(source) AS group_id FROM ig JOIN dg USING (g) JOIN gn USING (case_id) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY 1, 2),
+    cs AS (SELECT item_id AS case_id, item_id IN (SELECT case_id FROM gold) AS answerable, CASE WHEN item_id NOT IN (SELECT case_id FROM gold) THEN 'UNANSWERABLE' WHEN item_id IN (SELECT case_id FROM gold GROUP BY 1 HAVING count(DISTINCT group_id) > 1) THEN 'COMPOUND' WHEN regexp_matches(text, '[0-9]') THEN 'NUMERIC' ELSE 'SINGLE_CLAUSE' END AS bucket FROM benchmark)"""
+RANKS = f"""{HITS}, {OVERLAP}, {covered_sql('true')}, {GOLD},
+    gq AS (SELECT query_id FROM rr GROUP BY 1 HAVING max(rerank_score) >= {GATE}),
+    fe AS (SELECT query_id, key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, key) AS INTEGER) AS rank FROM rr WHERE query_id IN (SELECT query_id FROM gq) AND trim(text, ' ') <> ''),
+    rw AS (SELECT query_id, key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY min(rank), key) AS INTEGER) AS rank FROM hits GROUP BY 1, 2),
+    rk AS (SELECT query_id AS case_id, 'RAW_RECALL' AS stage, key AS chunk_id, rank FROM rw UNION ALL SELECT query_id, 'Fusion', key, place FROM fu UNION ALL SELECT query_id, 'Rerank', key, rank FROM rr
+           UNION ALL SELECT query_id, 'LexicalCoverage', key, rank FROM lc UNION ALL SELECT query_id, 'EvidenceGate', key, rank FROM lc WHERE query_id IN (SELECT query_id FROM gq) UNION ALL SELECT query_id, 'FINAL_EVIDENCE', key, rank FROM fe),
+    sg AS (SELECT * FROM (VALUES (1, 'RAW_RECALL'), (2, 'Fusion'), (3, 'Rerank'), (4, 'LexicalCoverage'), (5, 'EvidenceGate'), (6, 'FINAL_EVIDENCE')) AS s(place, stage)),
     hb AS (SELECT case_id, stage, min(rank) AS best, count(*) FILTER (rank <= 5) AS in5 FROM rk JOIN gold USING (case_id, chunk_id) GROUP BY 1, 2),
     ng AS (SELECT case_id, count(*) AS n_gold FROM gold GROUP BY 1),
     al AS (SELECT * FROM cs JOIN sg ON true JOIN ng USING (case_id) LEFT JOIN hb USING (case_id, stage) WHERE answerable)"""
@@ -59,21 +70,41 @@ def _gold(t):
         items = F.broadcast(items)
     n = items.groupBy("case_id").agg(F.count("*").alias("n"))
     shared = items.join(docs, "g").groupBy("case_id", "chunk_id").agg(F.count("*").alias("k"))
-    return shared.join(n, "case_id").select("case_id", "chunk_id", (1 + F.floor(2.0 * F.col("k") / F.col("n"))).cast("int").alias("relevance"), (F.col("chunk_id") % 2).alias("group_id"))
+    graded = shared.join(n, "case_id").select("case_id", "chunk_id", (1 + F.floor(2.0 * F.col("k") / F.col("n"))).cast("int").alias("relevance"))
+    return graded.join(t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("group_id")), "chunk_id")
 
 
 def cases(t):
-    answered = gold(t).select("case_id").distinct().withColumn("answerable", F.lit(True))
-    rows = t("benchmark").select(F.col("item_id").alias("case_id")).join(answered, "case_id", "left").na.fill(False, ["answerable"])
-    return rows.withColumn("bucket", F.when(~F.col("answerable"), "UNANSWERABLE").when(F.col("case_id") % 3 == 0, "NUMERIC").otherwise("SINGLE_CLAUSE"))
+    groups = gold(t).groupBy("case_id").agg(F.count_distinct("group_id").alias("n"))
+    rows = t("benchmark").select(F.col("item_id").alias("case_id"), "text").join(groups, "case_id", "left")
+    bucket = F.when(F.col("n").isNull(), "UNANSWERABLE").when(F.col("n") > 1, "COMPOUND").when(F.col("text").rlike("[0-9]"), "NUMERIC").otherwise("SINGLE_CLAUSE")
+    return rows.select("case_id", F.col("n").isNotNull().alias("answerable"), bucket.alias("bucket"))
 
 
 def ranks(t):
-    if not hasattr(t, "_hits"):
-        t._hits = materialised(keyword_hits(t), "hits")
-    kw = t._hits.select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"), "rank")
-    cut = lambda name, k: kw.filter(F.col("rank") <= k).select("case_id", F.lit(name).alias("stage"), "chunk_id", "rank")
-    return cut("RAW_RECALL", 20).unionByName(cut("Fusion", 10)).unionByName(cut("FINAL_EVIDENCE", 5))
+    """``case_id, stage, chunk_id, rank`` of every stage of the chain; written once for a query, which reads it several times."""
+    if not hasattr(t, "_ranks"):
+        t._ranks = materialised(_ranks(t), "stage-ranks")
+    return t._ranks
+
+
+def _ranks(t):
+    order = Window.partitionBy("query_id").orderBy("_o", "key")
+    raw = chain.hits(t).groupBy("query_id", "key").agg(F.min("rank").alias("_o")).withColumn("rank", F.row_number().over(order))
+    fused, best = materialised(chain.fused(t), "fused"), materialised(chain.reranked(t), "reranked")
+    topped = chain.covered(t, best.select("query_id", "key", "rank"))
+    passed = ranking.evidence_gate(best, least=GATE)
+    final = passed.select("query_id", "rank", "key", F.col("key").alias("doc_id"), F.col("rerank_score").alias("score"), "text")
+    lists = {
+        "RAW_RECALL": raw,
+        "Fusion": fused.withColumnRenamed("place", "rank"),
+        "Rerank": best,
+        "LexicalCoverage": topped,
+        "EvidenceGate": topped.join(passed.select("query_id").distinct(), "query_id", "left_semi"),
+        "FINAL_EVIDENCE": ranking.best_per_document(final, needs_text=True).drop("rank").withColumnRenamed("number", "rank"),
+    }
+    one = lambda stage, df: df.select(F.col("query_id").alias("case_id"), F.lit(stage).alias("stage"), F.col("key").alias("chunk_id"), "rank")
+    return reduce(DataFrame.unionByName, [one(stage, df) for stage, df in lists.items()])
 
 
 def stages(t):

@@ -84,26 +84,32 @@ def _(t):
     return reranked(t).select("query_id", "key", "rerank_score", "rank")
 
 
-@family.query(
-    "pst05_coverage_top_up",
-    f"""{HITS}, {OVERLAP},
-    s AS (SELECT query_id, key, rank FROM rr WHERE query_id % 2 = 0 OR rank <= 3),
-    an AS (SELECT unnest(['the', 'tion', 'ing', 'und', 'que']) AS a),
-    sh AS (SELECT query_id, key, rank, count(*) FILTER (contains(b.text, a) AND contains(d.text, a)) AS shared FROM hits JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = key CROSS JOIN an GROUP BY query_id, channel, key, rank),
-    c AS (SELECT query_id, key, max(shared) AS shared, min(rank) AS rank FROM sh WHERE shared >= 2 GROUP BY 1, 2),
-    x AS (SELECT c.*, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, rank, key) AS o FROM c ANTI JOIN s USING (query_id, key)),
-    n AS (SELECT query_id, count(*) AS n FROM s GROUP BY 1),
-    a AS (SELECT x.query_id, key, CAST(CASE WHEN n >= 5 THEN 5 ELSE n + o END AS INTEGER) AS rank, n >= 5 AS over FROM x JOIN n USING (query_id) WHERE o <= 5 - n OR (n >= 5 AND o = 1))
-    SELECT query_id, key, rank FROM s WHERE rank < 5 OR query_id NOT IN (SELECT query_id FROM a WHERE over) UNION ALL SELECT query_id, key, rank FROM a""",
-)
-def _(t):
-    selected = reranked(t).filter("query_id % 2 = 0 or rank <= 3").select("query_id", "key", "rank")
+def covered_sql(selected: str) -> str:
+    """``lc``: ``rr`` rows that ``selected`` keeps, topped up to five by lexical coverage."""
+    return f"""
+    ls AS (SELECT query_id, key, rank FROM rr WHERE {selected}),
+    lw AS (SELECT unnest(['the', 'tion', 'ing', 'und', 'que']) AS a),
+    lh AS (SELECT query_id, key, rank, count(*) FILTER (contains(b.text, a) AND contains(d.text, a)) AS shared FROM hits JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = key CROSS JOIN lw GROUP BY query_id, channel, key, rank),
+    lg AS (SELECT query_id, key, max(shared) AS shared, min(rank) AS rank FROM lh WHERE shared >= 2 GROUP BY 1, 2),
+    lx AS (SELECT lg.*, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, rank, key) AS o FROM lg ANTI JOIN ls USING (query_id, key)),
+    ln AS (SELECT query_id, count(*) AS n FROM ls GROUP BY 1),
+    la AS (SELECT lx.query_id, key, CAST(CASE WHEN n >= 5 THEN 5 ELSE n + o END AS INTEGER) AS rank, n >= 5 AS over FROM lx JOIN ln USING (query_id) WHERE o <= 5 - n OR (n >= 5 AND o = 1)),
+    lc AS (SELECT query_id, key, rank FROM ls WHERE rank < 5 OR query_id NOT IN (SELECT query_id FROM la WHERE over) UNION ALL SELECT query_id, key, rank FROM la)"""
+
+
+def covered(t: Tables, selected):
+    """Rows ``query_id, key, rank`` topped up by lexical coverage."""
     texts = t("documents").select(F.col("doc_id").alias("key"), "text")
     questions = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     found = hits(t).select("query_id", "key", "rank").join(texts, "key").join(questions, "query_id")
     return ranking.coverage_top_up(selected, found.withColumn("shared", text.anchor_count(ANCHORS, F.col("question"), F.col("text"))), "shared")
 
 
+@family.query("pst05_coverage_top_up", f"{HITS}, {OVERLAP}, {covered_sql('query_id % 2 = 0 OR rank <= 3')} SELECT query_id, key, rank FROM lc")
+def _(t):
+    return covered(t, reranked(t).filter("query_id % 2 = 0 or rank <= 3").select("query_id", "key", "rank"))
+
+
 @family.query("pst06_evidence_gate", f"{HITS}, {OVERLAP}, m AS (SELECT *, max(rerank_score) OVER (PARTITION BY query_id) AS best FROM rr) SELECT query_id, key, rank FROM m WHERE best >= 0.7")
 def _(t):
     return ranking.evidence_gate(reranked(t), least=0.7).select("query_id", "key", "rank")

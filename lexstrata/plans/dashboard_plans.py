@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexstrata.operators import dashboards
+from lexstrata.operators import dashboards, rollups
 from lexstrata.plans.base import Family
 from lexstrata.plans.retrieval_plans import TREE, tree
 from lexstrata.operators import scope
@@ -147,3 +147,24 @@ def _(t):
 @family.query("agg15_latency", "SELECT event_type, round(avg(value), 4) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def _(t):
     return dashboards.latency(t("events"), "value", ["event_type"])
+
+
+@family.query(
+    "agg15_rolling_sketches",
+    """
+    WITH w AS (SELECT date_trunc('day', ts) + i * INTERVAL 1 DAY AS window_end, days, event_type, user_id FROM events, (VALUES (1), (7)) AS s(days), (SELECT unnest(range(1, 8)) AS i) WHERE i <= days)
+    SELECT window_end, CAST(days AS INTEGER) AS days, event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_close, true AS p95_close FROM w GROUP BY 1, 2, 3""",
+)
+def _(t):
+    """Sketches of 24 hours and 7 days beside exact counts: users within three standard errors, the estimated p95 within 3 % of its rank."""
+    by = ["event_type"]
+    events = t("events").select("ts", "user_id", "event_type", "value")
+    guessed = rollups.estimates(rollups.rolled(rollups.hourly(events, by), by, [1, 7]), {"p95": 0.95}).withColumnRenamed("users", "guess").drop("n")
+    each = events.withColumn("days", F.explode(F.array(F.lit(1), F.lit(7)))).withColumn("_day", F.explode(F.sequence(F.lit(1), F.col("days"))))
+    each = each.withColumn("window_end", F.date_trunc("day", "ts") + F.make_dt_interval(F.col("_day")))
+    keys = ["window_end", "days", *by]
+    below = (F.count_if(F.col("value") < F.col("p95")) / F.count("value"), F.count_if(F.col("value") <= F.col("p95")) / F.count("value"))
+    exact = each.join(guessed, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.max("guess").alias("guess"), below[0].alias("lo"), below[1].alias("hi"))
+    error = 3 * 1.04 / 2 ** (rollups.USER_BITS / 2)
+    close = F.abs(F.col("guess") - F.col("users")) <= F.greatest(F.lit(1.0), error * F.col("users"))
+    return exact.select(*keys, "n", "users", close.alias("users_close"), ((F.col("lo") <= 0.98) & (F.col("hi") >= 0.92)).alias("p95_close"))

@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import itertools
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexstrata.llm import infill, repair, sharding
 
+FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, shard int, bucket int, record string, form string, at int, _copies int"
 TURNS = "conv_id long, turn long, role string, text string, part int, cost string, rows int"
 
@@ -269,3 +271,19 @@ def test_marks_that_lie_across_pieces():
             for part, s in r.feed("", True):
                 out[part] += s
             assert out == {"P": text, "S": "<<S", "M": "x<"} and not parts
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tables are not here")
+@pytest.mark.parametrize("name", ["op11_shuffled_shards", "op12_conversation_repair", "op13_fill_in_middle"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from lexstrata.llm import queries
+
+    base = duckdb.connect()
+    for table in ("documents", "conversations"):
+        base.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    found = queries.QUERIES[name](spark, FOLDER)
+    want = base.sql(queries.ORACLE_SQL[name])
+    assert sorted(found.columns) == sorted(want.columns)
+    assert sorted(map(repr, map(tuple, found.select(want.columns).collect()))) == sorted(map(repr, want.fetchall()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate, pairwise
 
@@ -342,6 +342,46 @@ def clause_chunks(clauses: DataFrame, most_tokens: int = 450) -> DataFrame:
     return clauses.select("doc_id", "clause_id", "clause_no", "title", "standard_no", "path", "text", "children").mapInPandas(packed, CLAUSE_CHUNKS)
 
 
+def enriched(chunks: DataFrame, text_col: str, tasks: dict[str, Callable[[list[str]], list]], retries: int = 2) -> DataFrame:
+    """``chunks`` with a string column for each of ``tasks`` and ``enrich_error``: the hook for models.
+
+    A task maps a list of texts to as many answers, on Arrow batches.  What
+    raises, or answers with another count, is tried again ``retries`` times
+    and then text by text; a text that still fails has a null answer and the
+    error, and the others keep theirs.  Null texts are empty.
+    """
+    names = list(tasks)
+    schema = T.StructType([*chunks.schema.fields, *(T.StructField(n, T.StringType()) for n in names), T.StructField("enrich_error", T.StringType())])
+
+    def asked(model, texts):
+        answers = list(model(texts))
+        if len(answers) != len(texts):
+            raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
+        return [None if x is None else str(x) for x in answers]
+
+    def answered(model, texts):
+        for _ in range(retries + 1):
+            try:
+                return [(x, None) for x in asked(model, texts)]
+            except Exception as error:  # whatever a model raises
+                last = f"{type(error).__name__}: {error}"[:300]
+        if len(texts) == 1:
+            return [(None, last)]
+        return [answered(model, [x])[0] for x in texts]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [x or "" for x in batch.column(text_col).to_pylist()]
+            results = [answered(tasks[n], texts) if texts else [] for n in names]
+            errors = [next((f"{n}: {r[i][1]}" for n, r in zip(names, results, strict=True) if r[i][1]), None) for i in range(len(texts))]
+            columns = [pa.array([x for x, _ in r], pa.string()) for r in results]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(errors, pa.string())], names=[*batch.schema.names, *names, "enrich_error"])
+
+    return chunks.mapInArrow(run, schema)
+
+
 def embedded(chunks: DataFrame, id_cols: list[str], text_col: str, model=None, dimensions: int = 64) -> DataFrame:
     """``id_cols, embedding``: a pluggable model on Arrow batches, checked for count and dimension.
 

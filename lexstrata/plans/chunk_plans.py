@@ -162,3 +162,15 @@ def _(t):
     own = F.create_map(F.lit("pipeline"), F.lit("old"), F.lit("lang"), F.col("lang"))
     meta = chunking.with_metadata(own, {"pipeline": F.lit("ingest"), "source": F.col("source")}, ["pipeline", "source"])
     return t("documents").select("doc_id", meta.alias("m")).select("doc_id", *(F.col("m")[k].alias(k) for k in ("pipeline", "source", "lang")))
+
+
+@family.query(
+    "chk14_enrichment_hook",
+    """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), c AS (SELECT doc_id, CAST(unnest(range(0, len(p))) AS INTEGER) AS chunk_index, unnest(p) AS content FROM p)
+    SELECT doc_id, chunk_index, substr(content, 1, 40) AS summary, CAST(len(content) AS VARCHAR) AS length, CAST(NULL AS VARCHAR) AS enrich_error FROM c""",
+)
+def _(t):
+    """Plain functions stand where models would."""
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
+    tasks = {"summary": lambda texts: [x[:40] for x in texts], "length": lambda texts: [len(x) for x in texts]}
+    return chunking.enriched(lines, "content", tasks).drop("content")

@@ -164,6 +164,31 @@ def _(t):
     return report.groupBy("status").agg(F.count("*").alias("files"), F.sum("attempts").alias("attempts"), F.sum("n_chars").alias("chars"))
 
 
+RUN = """
+    f AS (SELECT d.doc_id, sha256(text) AS h, text, coalesce(quality, 1) AS q, coalesce(toxic, 0) AS x FROM documents d LEFT JOIN labels l USING (doc_id)),
+    s AS (SELECT doc_id, text, CASE WHEN h IN (SELECT h FROM f WHERE doc_id % 10 = 0) THEN 'SKIPPED' WHEN h IN (SELECT h FROM f WHERE x = 1) THEN 'HELD' WHEN q = 0 THEN 'REJECTED' ELSE 'IMPORTED' END AS status FROM f),
+    a AS (SELECT l_orderkey AS doc_id, count(DISTINCT l_linenumber) - 1 AS retries, arg_max(l_returnflag, l_linenumber) AS flag FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) GROUP BY 1),
+    rp AS (SELECT doc_id, text, CASE WHEN status = 'IMPORTED' AND retries IS NULL THEN 'PENDING' WHEN status = 'IMPORTED' AND flag = 'R' THEN 'FAILED' ELSE status END AS status,
+           CASE WHEN status = 'IMPORTED' THEN coalesce(retries, 0) ELSE 0 END AS retries FROM s LEFT JOIN a USING (doc_id)),
+    rs AS (SELECT *, CASE WHEN status = 'IMPORTED' THEN len(string_split(text, '. ')) ELSE 0 END AS clauses, CASE WHEN status = 'IMPORTED' THEN len(string_split(text, chr(10))) ELSE 0 END AS chunks FROM rp)"""
+
+
+@family.query(
+    "src09_run_totals",
+    f"""WITH {RUN} SELECT count(*) AS tasks, count(*) FILTER (status IN ('IMPORTED', 'SKIPPED')) AS succeeded, count(*) FILTER (status NOT IN ('IMPORTED', 'SKIPPED')) AS failed,
+        CAST(sum(retries) AS BIGINT) AS retries, CAST(sum(clauses) AS BIGINT) AS clauses, CAST(sum(chunks) AS BIGINT) AS chunks FROM rs""",
+)
+def _(t):
+    """Order lines are the attempts on the document of the order's number, a returned line is one that failed."""
+    files = tables.with_content_hash(t("documents").join(t("labels"), "doc_id", "left"))
+    files = files.withColumn("quality_status", F.when(F.coalesce("quality", F.lit(1)) == 0, "FAILED").otherwise("PASS"))
+    tasks = tables.import_report(files, files.filter("doc_id % 10 = 0"), files.filter("toxic = 1"))
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("attempt")).agg(F.max("l_returnflag").alias("flag"))
+    attempts = lines.select("doc_id", "attempt", F.when(F.col("flag") == "R", "returned").alias("error"))
+    clauses = t("documents").select("doc_id", F.explode(F.split("text", r"\. ")))
+    return tables.run_totals(tables.run_report(tasks, attempts, clauses, _chunks(t)))
+
+
 def _chunks(t):
     """The lines of every document as its chunks."""
     return t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))

@@ -298,22 +298,28 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(found, "query_id long, vec_id long, score long")
 
 
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """One vector for each id, the largest as an array, so that the choice is the same in every run."""
+    return rows.groupBy("vec_id").agg(F.max("v").alias("v"))
+
+
 def top_k_inner_product(points: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Each query's ``k`` highest inner products: ``query_id, rank, vec_id, score``.
 
     Both sides are ``vec_id, v`` with whole-number components, as made by
     ``integer_vectors``.  A query never finds its own id; ties go to the
     smaller ``vec_id``; with fewer candidates all are returned; vectors of
-    another length than the query's are no candidates.  Rows that repeat an id count as one
-    candidate.  Scores must fit a long.  Empty sides give an empty result.
+    another length than the query's are no candidates.  Of rows that repeat an
+    id the largest vector counts, compared as an array from its first
+    component on.  Scores must fit a long.  Empty sides give an empty result.
     """
-    points = cut_lineage(points.dropDuplicates(["vec_id"]))
+    points = cut_lineage(_one_of_each(points))
     pivots = _pivots(points)
     placed = _with_cell(points, pivots)
     shards = cut_lineage(_shards(placed))
     # PIVOTS cells for each length of vectors.
     cells = {r["cell"]: (r["radius"], r["low"]) for r in placed.groupBy("cell").agg(F.max("far").alias("radius"), F.min("vec_id").alias("low")).collect()}
-    asked = _with_cell(queries.dropDuplicates(["vec_id"]), pivots)
+    asked = _with_cell(_one_of_each(queries), pivots)
     asked = cut_lineage(asked.withColumns({"floor": F.lit(float("-inf")), "floor_id": F.lit(-1).cast("long")}))
 
     ranked = lambda hits: hits.groupBy("query_id").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import without_citations
+from lexstrata.operators import intervals
 
 
 def _conv():
@@ -47,6 +48,17 @@ def between(messages: DataFrame, bounds: DataFrame) -> DataFrame:
     return rows.filter(inside & F.col("role").isin("user", "assistant")).drop("after", "before")
 
 
+def between_each(messages: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``between`` for any number of bounds in a conversation, which may overlap: a row for each message and each bound that it lies in.
+
+    ``bounds`` are ``conv_id, after, before`` and what tells one from another,
+    which the result keeps.  Turns are whole numbers.
+    """
+    spans = bounds.withColumns({"_from": F.col("after") + 1, "_to": F.col("before") - 1}).drop("after", "before")
+    said = messages.filter(F.col("role").isin("user", "assistant"))
+    return intervals.spans_of_points(said, spans, ["conv_id"], "turn", "_from", "_to").drop("_from", "_to")
+
+
 def summary_due(messages: DataFrame, summaries: DataFrame, start_at: int = 9, window: int = 8) -> DataFrame:
     """Conversations with enough user turns and the turn up to which to sum up: the middle of the last user turns.
 

@@ -41,6 +41,37 @@ def basic_metrics(cases: DataFrame, stages: DataFrame, ranks: DataFrame, gold: D
     )
 
 
+def bucket_report(cases: DataFrame, stages: DataFrame, ranks: DataFrame, gold: DataFrame) -> DataFrame:
+    """The report of a run in one pass: every bucket in every stage, and the totals of each stage, each bucket and the run.
+
+    Returns ``bucket, stage, level, cases, answerable, empty, hit_1, hit_5,
+    recall_5, mrr_5, mrr_20``.  ``level`` is ``cell``, ``stage``, ``bucket``
+    or ``run``; a column that a total runs over is null.  ``empty`` is the
+    share of cases to which the stage returns nothing, which is right for a
+    case without an answer.  The graded columns count answerable cases alone
+    and are null where there are none.
+    """
+    g = gold.select("case_id", "chunk_id").distinct().withColumn("_gold", F.lit(True))
+    n = g.groupBy("case_id").agg(F.count("*").alias("n_gold"))
+    found = ranks.join(g, ["case_id", "chunk_id"], "left").groupBy("case_id", "stage")
+    hits = found.agg(F.min(F.when(F.col("_gold"), F.col("rank"))).alias("best"), F.count_if(F.col("_gold") & (F.col("rank") <= 5)).alias("in5"), F.count("*").alias("returned"))
+    rows = cases.crossJoin(F.broadcast(stages)).join(n, "case_id", "left").join(hits, ["case_id", "stage"], "left")  # stages: a handful of names
+    r, level = F.col("best"), F.grouping("bucket") * 2 + F.grouping("stage")
+    mean = lambda c: F.round(F.avg(F.when(F.col("answerable"), c)), 6)
+    sets = [["bucket", "stage"], ["bucket"], ["stage"], []]
+    return rows.groupingSets([[F.col(c) for c in s] for s in sets], "bucket", "stage").agg(
+        F.element_at(F.array(*map(F.lit, ("cell", "bucket", "stage", "run"))), (level + 1).cast("int")).alias("level"),
+        F.count("*").alias("cases"),
+        F.count_if("answerable").alias("answerable"),
+        F.round(F.avg(F.when(F.col("returned") > 0, 0.0).otherwise(1.0)), 6).alias("empty"),
+        mean(F.when(r <= 1, 1.0).otherwise(0.0)).alias("hit_1"),
+        mean(F.when(r <= 5, 1.0).otherwise(0.0)).alias("hit_5"),
+        mean(F.coalesce("in5", F.lit(0)) / F.col("n_gold")).alias("recall_5"),
+        mean(F.when(r <= 5, 1.0 / r).otherwise(0.0)).alias("mrr_5"),
+        mean(F.when(r <= 20, 1.0 / r).otherwise(0.0)).alias("mrr_20"),
+    )
+
+
 def compound_metrics(ranks: DataFrame, gold: DataFrame, cut: int = 5) -> DataFrame:
     """Graded metrics of each case: ``case_id, all_groups, group_recall, missing_groups, ndcg``.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexstrata.operators import intervals
+
 
 def quality_report(elements: DataFrame, clauses: DataFrame, chunks: DataFrame, unstructured_share: float = 0.1, unknown_share: float = 0.05, most_tokens: int = 600) -> DataFrame:
     """Counts and a status for each document.
@@ -82,6 +84,18 @@ def coverage(lines: DataFrame, owned: Column) -> DataFrame:
     ).withColumn("share", F.round(F.col("covered") / F.col("chars"), 6))
 
 
+def coverage_by_spans(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """``coverage`` where the owners are spans ``doc_id, start, end`` of line indexes, which may overlap, nest and repeat.
+
+    Returns ``doc_id, chars, covered, gaps, share``; a gap is a maximal run of
+    non-blank lines that no span holds.
+    """
+    runs = intervals.united(spans.select("doc_id", "start", "end"), ["doc_id"], "start", "end")
+    held = intervals.spans_of_points(lines.select("doc_id", "line_index"), runs, ["doc_id"], "line_index", "start", "end")
+    marked = lines.join(held.select("doc_id", "line_index").distinct().withColumn("_held", F.lit(True)), ["doc_id", "line_index"], "left")
+    return coverage(marked, F.col("_held").isNotNull())
+
+
 def signature(rows: DataFrame, group: str, order: str, content: str) -> DataFrame:
     """A hash of the ordered content hashes of each group; equal for two runs that agree."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order), F.sha2(content, 256).alias("h"))))

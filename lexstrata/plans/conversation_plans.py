@@ -59,6 +59,19 @@ def summaries(t):
     return t("conversations").filter("role = 'system' or (role = 'assistant' and conv_id % 5 = 0)").select("conv_id", "turn", "text")
 
 
+@family.query(
+    "cnv04_between_summaries",
+    f"""WITH {SUMMARIES}, d AS (SELECT DISTINCT conv_id, turn FROM m), b AS (SELECT conv_id, turn AS summary_turn, lead(turn, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM d)
+    SELECT conv_id, summary_turn, turn, role FROM conversations JOIN b USING (conv_id) WHERE role IN ('user', 'assistant') AND turn > summary_turn AND (x IS NULL OR turn < x)""",
+)
+def _(t):
+    """What each summary leaves to say up to the summary after the next, so that spans overlap."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    marks = summaries(t).select("conv_id", "turn").distinct()
+    bounds = marks.select("conv_id", F.col("turn").alias("summary_turn"), F.col("turn").alias("after"), F.lead("turn", 2).over(order).alias("before"))
+    return conv.between_each(t("conversations"), bounds).select("conv_id", "summary_turn", "turn", "role")
+
+
 @family.query(
     "cnv05_summary_due",
     f"""WITH {SUMMARIES}, u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role = 'user'),

@@ -152,6 +152,22 @@ def _(t):
     return evaluation.basic_metrics(cases(t), stages(t), ranks(t), gold(t), ["bucket", "stage"])
 
 
+@family.query(
+    "evl05_report",
+    f"""{RANKS},
+    rt AS (SELECT case_id, stage, count(*) AS returned FROM rk GROUP BY 1, 2),
+    ev AS (SELECT cs.bucket, sg.stage, answerable, best, in5, n_gold, returned FROM cs JOIN sg ON true LEFT JOIN ng USING (case_id) LEFT JOIN hb USING (case_id, stage) LEFT JOIN rt USING (case_id, stage))
+    SELECT bucket, stage, CASE grouping(bucket) * 2 + grouping(stage) WHEN 0 THEN 'cell' WHEN 1 THEN 'bucket' WHEN 2 THEN 'stage' ELSE 'run' END AS level,
+        count(*) AS cases, count(*) FILTER (answerable) AS answerable, round(avg(CASE WHEN returned > 0 THEN 0.0 ELSE 1.0 END), 6) AS empty,
+        round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0.0 END) FILTER (answerable), 6) AS hit_1, round(avg(CASE WHEN best <= 5 THEN 1.0 ELSE 0.0 END) FILTER (answerable), 6) AS hit_5,
+        round(avg(coalesce(in5, 0) / n_gold) FILTER (answerable), 6) AS recall_5,
+        round(avg(CASE WHEN best <= 5 THEN CAST(1.0 AS DOUBLE) / best ELSE 0.0 END) FILTER (answerable), 6) AS mrr_5, round(avg(CASE WHEN best <= 20 THEN CAST(1.0 AS DOUBLE) / best ELSE 0.0 END) FILTER (answerable), 6) AS mrr_20
+    FROM ev GROUP BY GROUPING SETS ((bucket, stage), (bucket), (stage), ())""",
+)
+def _(t):
+    return evaluation.bucket_report(cases(t), stages(t), ranks(t), gold(t))
+
+
 @family.query(
     "evl06_unanswerable",
     f"""{RANKS}, e AS (SELECT case_id, count(*) FILTER (score >= 12) AS n, count(*) FILTER (score >= 15) AS c FROM cs LEFT JOIN kw ON query_id = case_id WHERE NOT answerable GROUP BY 1)

@@ -96,6 +96,24 @@ def _(t):
     return quality.coverage(_lines(t), F.col("line_type") != "text")
 
 
+@family.query(
+    "qlt06_coverage_by_spans",
+    f"""WITH {LINES},
+    n AS (SELECT doc_id, line_index, length(regexp_replace(line, '\\s+', '', 'g')) AS n FROM typed),
+    s AS (SELECT doc_id, line_index AS lo, line_index + CASE line_type WHEN 'clause' THEN 1 WHEN 'chapter' THEN 6 ELSE 0 END AS hi FROM typed WHERE line_type IN ('clause', 'chapter', 'role')),
+    w AS (SELECT n.doc_id, line_index, any_value(n) AS n, bool_or(lo IS NOT NULL) AS owned FROM n LEFT JOIN s ON s.doc_id = n.doc_id AND line_index BETWEEN lo AND hi GROUP BY 1, 2),
+    g AS (SELECT *, NOT owned AND coalesce(lag(owned) OVER (PARTITION BY doc_id ORDER BY line_index), true) AS start FROM w WHERE n > 0)
+    SELECT doc_id, CAST(sum(n) AS BIGINT) AS chars, CAST(sum(CASE WHEN owned THEN n ELSE 0 END) AS BIGINT) AS covered, count(*) FILTER (start) AS gaps,
+        round(sum(CASE WHEN owned THEN n ELSE 0 END) / sum(n), 6) AS share FROM g GROUP BY doc_id""",
+)
+def _(t):
+    """A clause owns the line behind it too, a chapter the six behind its title."""
+    lines = _lines(t)
+    behind = F.when(F.col("line_type") == "clause", 1).when(F.col("line_type") == "chapter", 6).otherwise(0)
+    owners = lines.filter(F.col("line_type").isin("clause", "chapter", "role"))
+    return quality.coverage_by_spans(lines, owners.select("doc_id", F.col("line_index").alias("start"), (F.col("line_index") + behind).alias("end")))
+
+
 @family.query(
     "qlt07_signatures",
     CLAUSES + " SELECT doc_id, sha256(string_agg(sha256(text), ',' ORDER BY clause_id)) AS signature FROM c GROUP BY doc_id",

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import cut_lineage, salted_join
+from lexstrata.llm.common import cut_lineage, salted_join, weighted_join
 
 #: The marks before a quoted line: ``>``, ``>>``, ``> >`` and so on.
 MARKS = r"^[ \t]*(>[ \t>]*)"
 #: White space behind the end of a sentence.
 SENTENCE_GAP = r"(?<=[.!?。！？])\s+"
+#: Turns of a run; a long conversation is numbered run by run.
+RUN = 1024
 
 
 def normalised(text: Column) -> Column:
@@ -99,23 +101,47 @@ def quotation_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     quoting = asked.select(F.col("conv_id").alias("_conv")).distinct()
     named = messages.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("text"))
     own = salted_join(named, quoting, ["_conv"], F.col("turn"), "left_semi")
-    hits = asked.join(said_first(own, "_conv", "turn", "text"), ["conv_id", "hash"]).filter("said < turn")
+    asked = cut_lineage(asked)
+    # A passage that many turns quote is one key with all of them.
+    times = asked.groupBy("conv_id", "hash").agg(F.count("*").alias("n"))
+    said = said_first(own, "_conv", "turn", "text").join(times, ["conv_id", "hash"])
+    hits = weighted_join(asked, said, ["conv_id", "hash"], F.col("turn"), "inner", "n").filter("said < turn")
     votes = hits.groupBy("conv_id", "turn", "level", "said").agg(F.sum("size").alias("_size"))
     return votes.groupBy("conv_id", "turn", "level").agg(F.max_by("said", F.struct("_size", "said")).alias("quoted_turn"))
 
 
+def places(threads: DataFrame) -> DataFrame:
+    """``conv_id, turn, reply_order`` from distinct ``conv_id, thread_root, turn``: how many turns stand before by root and turn.
+
+    Roots are counted in runs, then the turns of a root in runs, then the
+    turns of one run, so no window holds a long conversation.  Keys that are
+    null have no place.
+    """
+    runs = threads.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    runs = runs.withColumns({"_roots": F.floor(F.col("thread_root") / RUN), "_turns": F.floor(F.col("turn") / RUN)})
+    before = lambda by, order: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_roots, of_turns = ["conv_id", "_roots"], ["conv_id", "_roots", "thread_root", "_turns"]
+    counts = runs.groupBy(*of_turns).agg(F.count("*").alias("_n"))
+    inner = counts.select(*of_turns, before(of_roots, ["thread_root", "_turns"]).alias("_inner"))
+    outer = counts.groupBy(*of_roots).agg(F.sum("_n").alias("_n")).select(*of_roots, before(["conv_id"], ["_roots"]).alias("_outer"))
+    own = F.row_number().over(Window.partitionBy(*of_turns).orderBy("turn")) - 1
+    placed = runs.withColumn("_own", own).join(inner, of_turns).join(outer, of_roots)
+    return placed.select("conv_id", "turn", (F.col("_outer") + F.col("_inner") + F.col("_own")).cast("long").alias("reply_order"))
+
+
 def reply_threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Messages without quotations, each with the message it answers and its thread.
 
     Returns one row for each input row: ``conv_id, turn, role, text`` (own
     text), ``n_quoted`` (quoted lines), ``quote_depth``, ``reply_to``,
-    ``thread_root`` and ``reply_depth``.  ``reply_to`` is the earlier turn
-    cited by the outermost resolved quote level, null without one;
-    ``thread_root`` is the end of that chain, the turn itself without a
-    reply.  Sorting by ``conv_id, thread_root, turn`` gives the conversation
-    in reply order.  Null text counts as empty; a message with a null turn or
-    conversation is its own root; repeated rows are kept; other columns are
-    ignored.
+    ``thread_root``, ``reply_depth`` and ``reply_order``.  ``reply_to`` is
+    the earlier turn cited by the outermost resolved quote level, null
+    without one; ``thread_root`` is the end of that chain, the turn itself
+    without a reply.  ``reply_order`` is the place in the conversation read
+    thread by thread: the number of turns that stand before by
+    ``thread_root, turn``; rows of one turn share it.  Null text counts as
+    empty; a message with a null turn or conversation is its own root and has
+    no place; repeated rows are kept; other columns are ignored.
     """
     links = quotation_links(messages, conv_col, turn_col, text_col)
     parents = links.groupBy("conv_id", "turn").agg(F.min_by("quoted_turn", "level").alias("reply_to"))
@@ -123,7 +149,8 @@ def reply_threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     # Pointer doubling: each round doubles the length of the chains that are followed.
     while True:
         above = roots.select("conv_id", F.col("turn").alias("_up"), F.col("_up").alias("_next"), F.col("_depth").alias("_more"))
-        moved = roots.join(above, ["conv_id", "_up"], "left")
+        # Many turns may answer one, so those who answer are dealt over copies of what they answer.
+        moved = salted_join(roots, above, ["conv_id", "_up"], F.col("turn"), "left", salts=8)
         roots = cut_lineage(
             moved.select(
                 "conv_id",
@@ -147,8 +174,12 @@ def reply_threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
         F.size(F.filter(levels, lambda n: n > 0)).alias("n_quoted"),
         F.array_max(levels).alias("quote_depth"),
     )
-    found = roots.select("conv_id", "turn", "reply_to", F.col("_up").alias("thread_root"), F.col("_depth").alias("reply_depth"))
-    return m.join(found, ["conv_id", "turn"], "left").select(
+    replies = roots.select("conv_id", "turn", "reply_to", F.col("_up").alias("thread_root"), F.col("_depth").alias("reply_depth"))
+    found = m.select("conv_id", "turn").distinct().join(replies, ["conv_id", "turn"], "left")
+    found = cut_lineage(found.withColumn("thread_root", F.coalesce("thread_root", "turn")))
+    found = found.join(places(found.select("conv_id", "thread_root", "turn")), ["conv_id", "turn"])
+    # A row may be repeated any number of times; its copies are dealt by the task that reads them.
+    return salted_join(m, found, ["conv_id", "turn"], F.struct("text", F.spark_partition_id()), "left", salts=8).select(
         "conv_id",
         "turn",
         "role",
@@ -158,4 +189,5 @@ def reply_threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
         "reply_to",
         F.coalesce("thread_root", "turn").alias("thread_root"),
         F.coalesce("reply_depth", F.lit(0)).alias("reply_depth"),
+        "reply_order",
     )

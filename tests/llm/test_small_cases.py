@@ -386,6 +386,8 @@ def test_quotation_threads(spark):
     assert see((1, 4)) == (None, 4, 0, "odd")
     assert see((1, 5)) == (0, 0, 1, "Both lines")
     assert see((2, 1)) == (None, 1, 0, "")
+    assert [by[1, turn]["reply_order"] for turn in range(6)] == [0, 1, 2, 4, 5, 3]
+    assert by[2, None]["reply_order"] is None and by[None, 0]["reply_order"] is None
 
 
 def slow_threads(rows):
@@ -426,7 +428,8 @@ def slow_threads(rows):
             at, n = up[conv, at], n + 1
         depths = [level(x) for x in split(t)]
         out.append((conv, turn, role, own(t), sum(d > 0 for d in depths), max(depths), up.get((conv, turn)), at, n))
-    return sorted(out, key=repr)
+    order = {conv: sorted({(x[7], x[1]) for x in out if x[0] == conv}) for conv in {x[0] for x in out}}
+    return sorted(((*x, order[x[0]].index((x[7], x[1]))) for x in out), key=repr)
 
 
 def test_threads_against_a_loop(spark):
@@ -465,6 +468,14 @@ def test_threads_against_a_loop(spark):
     assert sum(x["reply_to"] is not None for x in got) > 150 and max(x["reply_depth"] for x in got) > 3
 
 
+def test_one_hot_conversation_of_many_turns(spark):
+    """5,000 turns that nearly all quote the first one, repeated rows, and gaps in the turns: threads, depths and places."""
+    rows = [(1, 0, "user", "The first word."), *((1, i, "user", "> The first word.\nmine") for i in range(1, 4000)), *((1, i * 7, "user", f"alone {i}") for i in range(600, 1600))]
+    rows += [rows[0]] * 50 + [rows[5]] * 50 + [(2, -3, "user", "a start"), (2, -1, "user", "> a start\nb")]
+    got = quotes.reply_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == slow_threads(rows)
+
+
 def test_language_profiles_against_a_loop(spark):
     """Bundles summed letter by letter, and cosines of each text with each prototype."""
     r = random.Random(6)

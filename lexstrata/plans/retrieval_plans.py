@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import words
-from lexstrata.operators import keyword, projections, scope, vectors
+from lexstrata.operators import dictionary, keyword, projections, scope, vectors
 from lexstrata.plans.base import Family
 
 family = Family()
@@ -116,6 +116,18 @@ def _(t):
     return t("documents").select("lang", F.explode(words(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
 
 
+@family.query("ret06_dictionary_words", "SELECT p_partkey, lower(p_name) AS words, true AS whole FROM part")
+def _(t):
+    """Names of parts without their spaces, split by the words that the names have.
+
+    No two ways through these words spell one name, so all come back as they were, and ``whole`` says so.
+    """
+    named = t("part").select("p_partkey", F.lower("p_name").alias("name"))
+    vocabulary = named.select(F.explode(F.split("name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("weight"))
+    split = dictionary.analyser(vocabulary, script="a-z")(F.replace("name", F.lit(" "), F.lit("")))
+    return named.withColumn("words", F.array_join(split, " ")).select("p_partkey", "words", (F.col("words") == F.col("name")).alias("whole"))
+
+
 @family.query(
     "ret07_outside_results",
     """WITH h AS (SELECT page_id, url, page_id % 20 AS q, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) - 1 AS rank FROM pages)

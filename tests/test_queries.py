@@ -16,7 +16,7 @@ SAMPLE = (
     "txt04_line_elements", "txt10_term_mapping", "src02_csv_documents", "src05_table_records", "str05_clauses", "str09_outline_paths", "qlt03_duplicate_groups",
     "qlt11_signal_upsert", "ret02_exact_top_k", "ret16_tree_paths", "pst05_coverage_top_up", "evl04_compound_metrics", "agg07_quality_trend", "cnv08_trim_candidates",
     "ret17_ambiguous_by_question", "cnv12_pointer_ends", "agg15_rolling_sketches", "str01_metadata", "str02_section_filter", "str04_chinese_lines", "txt11_sub_questions", "txt19_anchor_terms", "snk01_replace_artefacts", "snk06_reindex", "pst02_fusion",
-    "ret05_bm25_top_k", "ret13_intent_scores", "evl03_basic_metrics", "evl05_report", "cnv04_between_summaries", "qlt06_coverage_by_spans", "evl12_criterion_verdicts", "cnv17_extraction_state", "stm04_base_cleanup", "qlt09_enumeration_gaps",
+    "ret05_bm25_top_k", "ret06_dictionary_words", "ret13_intent_scores", "evl03_basic_metrics", "evl05_report", "cnv04_between_summaries", "qlt06_coverage_by_spans", "evl12_criterion_verdicts", "cnv17_extraction_state", "stm04_base_cleanup", "qlt09_enumeration_gaps",
     "cnv14_evictions", "sel07_condition_tree", "aud01_json_changes", "stm01_feedback_state", "flagship_cited_evidence",
 )
 

@@ -243,6 +243,32 @@ def test_token_counts_equal_a_unigram_model(spark, texts):
         assert len(ids) == model.counts([w[1:]])[w[1:]]
 
 
+def test_token_counts_of_joined_and_long_words(spark, monkeypatch):
+    """Hardly any word known to the tasks, words beyond the shared length, rows that repeat without an id, small tries: all give the same counts."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abst▁é漢") for _ in range(r.randint(1, 9))) for _ in range(300)] + ["x" * n for n in (64, 65, 66, 30_000)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(60)]
+    rows += [(None, "same words same"), (None, "same words same"), (7, "x" * 30_000 + " x"), (8, None), (9, "\t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    model = token_counts.PieceModel(token_counts.default_model_path())
+    alone = {w: token_counts.Trie(model).insert(w) for _, t in rows for w in (t or "").split()}
+    want = sorted(((i, len((t or "").split()), sum(alone[w] for w in (t or "").split())) for i, t in rows), key=repr)
+    for common in (0, 5, 100_000):
+        got = token_counts.token_counts(docs.withColumn("word", F.lit("w")), common=common).collect()
+        assert sorted(map(tuple, got), key=repr) == want
+    monkeypatch.setattr(token_counts, "GROWN", 20)
+    assert model.counts(sorted(alone)) == alone
+
+
+def test_trie_scores_a_shared_prefix_once():
+    model = token_counts.PieceModel(token_counts.default_model_path())
+    trie = token_counts.Trie(model)
+    for word in ("token", "tokens", "tokenizer", "tone", "token"):
+        trie.insert(word)
+    prefixes = {token_counts.MARK + w[:n] for w in ("tokens", "tokenizer", "tone") for n in range(len(w) + 1)}
+    assert len(trie.score) == len(prefixes) + 1
+
+
 def test_language_profiles(spark):
     r = random.Random(3)
     parts = {"en": ["the", "ing", "tion", "and"], "de": ["ung", "sch", "keit", "der"], "fr": ["eau", "que", "ment", "é"]}

@@ -13,11 +13,11 @@ PRINT, COPIES = ["_lexstrata_print_a", "_lexstrata_print_b"], "_lexstrata_copies
 BLOCK = 10_000
 
 
-def _printed(df: DataFrame) -> DataFrame:
-    """``df`` with two seeded 64-bit hashes of all its columns; null differs from every value by its own flag."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
+def printed(df: DataFrame, columns: list[str] | None = None, names: list[str] = PRINT) -> DataFrame:
+    """``df`` with two seeded 64-bit hashes of its columns, or of some; null differs from every value by its own flag."""
+    columns = [F.col(f"`{c}`") for c in columns or df.columns]
     nulls = F.concat(*(F.when(c.isNull(), F.lit("0")).otherwise(F.lit("1")) for c in columns))
-    return df.withColumns({name: F.xxhash64(F.lit(seed), nulls, *columns) for seed, name in enumerate(PRINT)})
+    return df.withColumns({name: F.xxhash64(F.lit(seed), nulls, *columns) for seed, name in enumerate(names)})
 
 
 def together(df: DataFrame) -> tuple[DataFrame, bool]:
@@ -26,7 +26,7 @@ def together(df: DataFrame) -> tuple[DataFrame, bool]:
     Prints are counted first, with a partial count in each task; only if a
     print occurs twice do rows move at all, hot prints over many tasks.
     """
-    rows = _printed(df)
+    rows = printed(df)
     repeated = cut_lineage(rows.groupBy(*PRINT).agg(F.count("*").alias("_times")).filter("_times > 1"))
     if repeated.isEmpty():
         return rows.withColumn(COPIES, F.lit(1).cast("long")), False

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexstrata.llm import oracles, sharding
 from lexstrata.llm.balltree import integer_vectors, top_k_inner_product
 from lexstrata.llm.byte_bpe import round_trip
-from lexstrata.llm.common import written
+from lexstrata.llm.common import shared_dir
 from lexstrata.llm.exact_dedup import exact_duplicates
 from lexstrata.llm.gear_chunks import substring_dedup
 from lexstrata.llm.infill import fill_in_middle
@@ -16,7 +18,7 @@ from lexstrata.llm.language import predict_languages
 from lexstrata.llm.packing import pack, with_checksums
 from lexstrata.llm.quotes import reply_threads
 from lexstrata.llm.repair import damage_and_repair
-from lexstrata.llm.sharding import shuffled_shards, text_digests
+from lexstrata.llm.sharding import read_shards, text_digests, write_shards
 from lexstrata.llm.suffix_dedup import remove_repeats
 from lexstrata.llm.token_counts import token_counts
 
@@ -71,9 +73,11 @@ def op10_token_counts(spark, sf_dir):
 
 
 def op11_shuffled_shards(spark, sf_dir):
-    # Written once: the texts are read a single time, what follows moves their digests.
-    digests = written(text_digests(_table(spark, sf_dir, "documents")), "shard-digests")
-    out = shuffled_shards(digests, 24)
+    # Whole records are laid into shards; the digests are those of the texts that the shards hold.
+    docs = _table(spark, sf_dir, "documents")
+    path = f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    write_shards(docs, path, 24)
+    out = text_digests(read_shards(docs, path), others=("shard", "slot"))
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 

@@ -102,6 +102,33 @@ def test_written_shards(spark, texts, tmp_path):
     assert len(counts) == 6 and max(counts) - min(counts) <= 1
 
 
+def test_whole_records_move_with_their_keys(spark, texts, tmp_path):
+    """Rows that repeat id and text, and differ elsewhere, are numbered together; the shards hold whole rows in the order of the digests."""
+    more = [(7000, "same key")] * 40
+    rows = docs(spark, texts).drop("shard").unionByName(docs(spark, more).drop("shard").withColumn("source", (F.monotonically_increasing_id() % 5).cast("string")))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    sharding.write_shards(rows.repartition(5), str(tmp_path / "shards"), 6)
+    back = sharding.read_shards(rows, str(tmp_path / "shards"))
+    assert back.select(rows.columns).exceptAll(rows).isEmpty() and back.count() == rows.count()
+    low = lambda r: tuple((x is not None, x) for x in r)
+    found = sharding.text_digests(back, others=("shard", "slot")).collect()
+    assert sorted((tuple(r) for r in found), key=low) == brute_shards(texts + more, 6)
+
+
+def test_query_reads_its_digests_from_whole_records(spark, tmp_path, monkeypatch):
+    from lexstrata.llm import queries
+
+    seen = []
+    write = queries.write_shards
+    monkeypatch.setattr(queries, "write_shards", lambda docs, path, shards: (seen.append(path), write(docs, path, shards)))
+    docs(spark, [(i, f"text {i}") for i in range(100)]).drop("shard").write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op11_shuffled_shards(spark, str(tmp_path)).count() == 100
+    rows = spark.read.parquet(seen[0]).collect()
+    assert sorted(r["text"] for r in rows) == sorted(f"text {i}" for i in range(100)) and len({r["shard"] for r in rows}) == 24
+    docs(spark, []).drop("shard").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert queries.op11_shuffled_shards(spark, str(tmp_path / "none")).count() == 0
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]")
 
 

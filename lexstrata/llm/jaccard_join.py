@@ -4,7 +4,10 @@ The n-grams of a text are hashed into groups, and the counts of its groups
 are a point.  Two sets share at most the sum of the smaller coordinates of
 their points, and an R-tree over points bounds this for whole boxes: boxes
 that can't reach the overlap that the similarity asks for are left out, and
-the pairs that survive are verified on the sets themselves.
+the pairs that survive are verified on the sets themselves.  Larger sets have
+more groups, a number that doubles with their size, so that chance fills no
+pair up to the overlap; what survives the tree is bounded again by the most
+groups that both sets of a pair have.
 
 Points meet in blocks.  Similar sets share an n-gram among the first few of
 each in any common order, so a block holds the sets with one such n-gram.
@@ -29,8 +32,10 @@ from lexstrata.llm.common import cut_lineage, dealt_arrays, forget, in_few_tasks
 from lexstrata.llm.components import connected_components
 from lexstrata.llm.grams import gram_sets
 
-#: Coordinates of a point, sets of a block, and points of an R-tree leaf.
-GROUPS, BLOCK, LEAF = 128, 512, 24
+#: Least coordinates of a point, n-grams of a coordinate at most, sets of a block, and points of an R-tree leaf.
+GROUPS, FILL, BLOCK, LEAF = 128, 2, 512, 24
+#: Counts of pairs that are compared together.
+COMPARED = 1 << 20
 #: An n-gram found in more than ``BLOCK`` sets, and in more than one in ``SHARE`` of all leading places, is dealt into
 #: parts.  There are fewer than ``SHARE`` of these, whatever the input, and no other is more than one in ``SHARE`` of the rows.
 SHARE = 1 << 20
@@ -46,13 +51,56 @@ def set_name(grams: np.ndarray) -> bytes:
 
 
 def point(grams: np.ndarray) -> bytes:
-    """The counts of the groups, two bytes each where they fit, else four."""
-    counts = np.bincount((grams >> np.uint64(11)) % np.uint64(GROUPS), minlength=GROUPS)
-    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+    """The bits of a count, and the counts of the groups; there are ``GROUPS``, doubled until at most ``FILL`` n-grams fall on one."""
+    groups = GROUPS
+    while groups * FILL < len(grams):
+        groups *= 2
+    counts = np.bincount(((grams >> np.uint64(11)) % np.uint64(groups)).astype(np.int64), minlength=groups)
+    if counts.max() < 1 << 4:
+        return bytes([4]) + (counts[::2] + 16 * counts[1::2]).astype("<u1").tobytes()
+    bits = 8 if counts.max() < 1 << 8 else 16 if counts.max() < 1 << 16 else 32
+    return bytes([bits]) + counts.astype(f"<u{bits // 8}").tobytes()
 
 
 def counts_of(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, "<u2" if len(packed) == 2 * GROUPS else "<u4").astype(np.int64)
+    bits = packed[0]
+    if bits > 4:
+        return np.frombuffer(packed, f"<u{bits // 8}", offset=1)
+    two = np.frombuffer(packed, "<u1", offset=1)
+    return np.stack([two & 15, two >> 4], axis=1).ravel()
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The counts of fewer groups."""
+    return counts.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+
+
+class Points:
+    """Points of a block: all with ``GROUPS`` groups for the tree, and in pairs with the most that both have."""
+
+    def __init__(self, packed: list[bytes]):
+        self.own = [counts_of(x) for x in packed]
+        self.groups = np.array([len(x) for x in self.own])
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.coarse = self._table(GROUPS)[1].astype(np.int64)
+
+    def _table(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        if groups not in self.tables:
+            rows = np.flatnonzero(self.groups >= groups)
+            table = np.array([folded(self.own[i], groups) for i in rows.tolist()])
+            self.tables[groups] = rows, table.astype(np.uint8) if table.max() < 1 << 8 else table
+        return self.tables[groups]
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For each pair the sum of its smaller coordinates."""
+        out, both = np.zeros(len(i), np.int64), np.minimum(self.groups[i], self.groups[j])
+        for groups in np.unique(both).tolist():
+            rows, table = self._table(groups)
+            at = np.flatnonzero(both == groups)
+            for some in (at[k : k + COMPARED // groups + 1] for k in range(0, len(at), COMPARED // groups + 1)):
+                one, other = np.searchsorted(rows, i[some]), np.searchsorted(rows, j[some])
+                out[some] = np.minimum(table[one], table[other]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def leading_size(n: int, share: tuple[int, int]) -> int:
@@ -251,8 +299,8 @@ def _blocks(docs: DataFrame, words: int, share: tuple[int, int], last: np.ndarra
 class RTree:
     """Points with their set sizes, in leaves of neighbours under boxes of largest coordinates."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, finer: Points | None = None):
+        self.points, self.sizes, self.finer = points, sizes, finer
         self.nodes: list[tuple[np.ndarray, int, np.ndarray | None, int, int]] = []
         self._build(np.arange(len(points)))
 
@@ -295,19 +343,27 @@ class RTree:
                     fit = (num + den) * shared >= num * (self.sizes[rows_a][:, None] + self.sizes[rows_b][None, :])
                     if a == b:
                         fit &= np.triu(np.ones(fit.shape, bool), 1)
-                    yield rows_a, rows_b, fit & differ
+                    fit &= differ
+                    if self.finer is not None and fit.any():
+                        i, j = np.nonzero(fit)
+                        x, y = rows_a[i], rows_b[j]
+                        fit[i, j] = (num + den) * self.finer.shared(x, y) >= num * (self.sizes[x] + self.sizes[y])
+                    yield rows_a, rows_b, fit
 
 
-def forest(points: np.ndarray, sizes: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
+def forest(points: np.ndarray, sizes: np.ndarray, share: tuple[int, int], finer: Points | None = None) -> list[tuple[int, int]]:
     """Surviving pairs that connect all that the surviving pairs of a block connect."""
     num, den = share
     labels = np.arange(len(points))
     star = (num + den) * np.minimum(points, points[0]).sum(axis=1, dtype=np.int64) >= num * (sizes + sizes[0])
+    if finer is not None:
+        some = np.flatnonzero(star)
+        star[some] = (num + den) * finer.shared(np.zeros_like(some), some) >= num * (sizes[some] + sizes[0])
     out = [(0, i) for i in np.flatnonzero(star).tolist() if i]
     labels[star] = 0
     if star.all():
         return out
-    for rows_a, rows_b, fit in RTree(points, sizes).survivors(share, labels):
+    for rows_a, rows_b, fit in RTree(points, sizes, finer).survivors(share, labels):
         while fit.any():
             i, j = np.unravel_index(int(fit.argmax()), fit.shape)
             a, b = int(rows_a[i]), int(rows_b[j])
@@ -330,26 +386,26 @@ def _candidate_pairs(members: DataFrame, share: tuple[int, int], mode: str) -> D
 
         def pairs(rows):
             sids, sizes, vecs, labels = zip(*sorted({r[0]: r for r in rows}.values()), strict=True)  # a repeated row has its set twice
-            points = np.array([counts_of(v) for v in vecs])
+            points = Points(vecs)
             sizes = np.array(sizes, np.int64)
 
             def near(i, j):
-                shared = int(np.minimum(points[i], points[j]).sum())
-                return shared / int(sizes[i] + sizes[j] - shared)
+                shared = points.shared(i, j)
+                return shared / (sizes[i] + sizes[j] - shared)
 
             if mode == "forest":
-                chosen = ((i, j, near(i, j)) for i, j in forest(points, sizes, share))
+                found = np.array(forest(points.coarse, sizes, share, points), np.int64).reshape(-1, 2)
+                chosen = zip(*found.T.tolist(), near(*found.T).tolist(), strict=True)
             else:
                 names = {x: i for i, x in enumerate(dict.fromkeys(labels))}
                 kinds = np.array([names[x] for x in labels])
                 chosen, best = [], {}
-                for rows_a, rows_b, fit in RTree(points, sizes).survivors(share, kinds):
+                for rows_a, rows_b, fit in RTree(points.coarse, sizes, points).survivors(share, kinds):
                     at = np.nonzero(fit)
                     i, j = rows_a[at[0]], rows_b[at[1]]
                     if not len(i):
                         continue
-                    shared = np.minimum(points[i], points[j]).sum(axis=1)
-                    score = shared / (sizes[i] + sizes[j] - shared)
+                    score = near(i, j)
                     if mode == "all":
                         chosen += zip(i.tolist(), j.tolist(), score.tolist(), strict=True)
                         continue

@@ -682,3 +682,27 @@ def test_pipeline_of_an_empty_table_and_of_clashing_columns(spark, tmp_path):
                 assert now.columns == kept
                 assert now.count() == 12 * at and now.filter(" or ".join(f"`{c}` <> {i}" for i, c in enumerate(names)) if at else "true").count() == 0
         assert now.select("doc_id").distinct().count() == 12 * at
+
+
+def test_points_bound_the_overlap_and_chance_fills_no_pair():
+    """Long sets that share next to nothing survived 128 groups, in pairs that grew with the square of a block."""
+    import numpy as np
+
+    from lexstrata.llm import jaccard_join
+
+    r = np.random.default_rng(5)
+    drawn = lambda n: np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+    sets = [drawn(n) for n in (1, 5, 300, 4000, 4100, 8000, 8200, 9000)]
+    sets += [np.unique(np.concatenate([sets[5][: 8000 * k // 100], drawn(8000 - 80 * k)])) for k in (50, 75, 90)]
+    sets.append(np.full(700_00, 3 << 11, np.uint64) + (np.arange(70_000, dtype=np.uint64) << np.uint64(40)))  # all in one group
+    packed, sizes = [jaccard_join.point(x) for x in sets], np.array([len(x) for x in sets])
+    for x, p in zip(sets, packed, strict=True):
+        assert jaccard_join.counts_of(p).sum() == len(x)
+    points = jaccard_join.Points(packed)
+    i, j = np.triu_indices(len(sets), 1)
+    shared = points.shared(i, j)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert (shared >= both).all() and (shared <= np.minimum(points.coarse[i], points.coarse[j]).sum(axis=1)).all()
+    fit = {(int(a), int(b)) for x, y, m in jaccard_join.RTree(points.coarse, sizes, points).survivors((80, 100), np.arange(len(sets))) for a, b in zip(x[np.nonzero(m)[0]], y[np.nonzero(m)[1]], strict=True)}
+    assert {tuple(sorted(p)) for p in fit} == {(5, 10)}
+    assert {tuple(sorted(p)) for p in jaccard_join.forest(points.coarse, sizes, (80, 100), points)} == {(5, 10)}

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from fractions import Fraction
 
 import numpy as np
@@ -24,8 +25,8 @@ from lexstrata.llm.common import cut_lineage, trimmed, written
 WINDOW, END_ID = 4096, 2
 #: Queues by name up to here; a corpus with more sources shares so many queues by hash.
 MOST_QUEUES = 4096
-#: Words whose ids a worker keeps, and rows of the offset table that are broadcast at most.
-MEMO, BROADCAST_ROWS = 150_000, 200_000
+#: Words whose ids a worker keeps in each of two generations, and rows of the offset table that are broadcast at most.
+MEMO, BROADCAST_ROWS = 250_000, 200_000
 
 
 def default_tokenizer_path() -> str:
@@ -45,7 +46,9 @@ class WordIds(dict):
     """Ids of words, as packed bytes.  The tokenizer drops white space, and no token spans it.
 
     A word of Latin letters is one pre-token, so it goes to the merge table
-    directly; any other word goes through the whole tokenizer.
+    directly; any other word goes through the whole tokenizer.  When the memo
+    is full it becomes the older generation; a word that is met again there
+    comes back, so frequent words are never merged anew.
     """
 
     def __init__(self, path: str, kind: str):
@@ -54,29 +57,37 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.merge, self.characters = self.tokenizer.model.tokenize, byte_characters()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.code = next(c for c in "HIL" if array(c).itemsize == np.dtype(kind).itemsize)
+        self.older: dict[str, bytes] = {}
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.merged(word)
         if len(self) >= MEMO:
+            self.older = dict(self)
             self.clear()
             self[""] = b""
-        latin = word.isascii() or (max(word) < "\u0250" and "\u0130" not in word and unicodedata.is_normalized("NFC", word))
-        if latin and (low := word.lower()) != word:
-            ids = self[low]
-        elif latin and word.isalpha():
-            ids = np.array([x.id for x in self.merge(word.encode().decode("latin-1").translate(self.characters))], self.kind).tobytes()
-        elif latin and len(word) > 1 and word[-1] in ",." and word[-2].isalpha():  # a mark behind a letter is a token of its own
-            ids = self[word[:-1]] + self[word[-1]]
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
         self[word] = ids
         return ids
 
+    def merged(self, word: str) -> bytes:
+        latin = word.isascii() or (max(word) < "\u0250" and "\u0130" not in word and unicodedata.is_normalized("NFC", word))
+        if latin and (low := word.lower()) != word:
+            return self[low]
+        if latin and word.isalpha():
+            return array(self.code, [x.id for x in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(self.characters))]).tobytes()
+        if latin and len(word) > 1 and word[-1] in ",." and word[-2].isalpha():  # a mark behind a letter is a token of its own
+            return self[word[:-1]] + self[word[-1]]
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+
     def text(self, text: str) -> bytes:
-        if any(s in text for s in self.special):  # a special token's string may stand within a word
+        low = text.lower()
+        if any(s in low for s in self.special):  # a special token's string may stand within a word, and is none in capitals
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.__getitem__, (low if text.isascii() else text).replace("\n", " ").split(" ")))
 
 
 _LOADED: dict[tuple[str, str], WordIds] = {}

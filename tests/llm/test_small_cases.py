@@ -706,3 +706,20 @@ def test_points_bound_the_overlap_and_chance_fills_no_pair():
     fit = {(int(a), int(b)) for x, y, m in jaccard_join.RTree(points.coarse, sizes, points).survivors((80, 100), np.arange(len(sets))) for a, b in zip(x[np.nonzero(m)[0]], y[np.nonzero(m)[1]], strict=True)}
     assert {tuple(sorted(p)) for p in fit} == {(5, 10)}
     assert {tuple(sorted(p)) for p in jaccard_join.forest(points.coarse, sizes, (80, 100), points)} == {(5, 10)}
+
+
+def test_word_ids_in_two_generations(monkeypatch):
+    """Frequent words were merged anew whenever the memo was full; a special token's string in capitals was taken for the token."""
+    from lexstrata.llm import packing
+
+    monkeypatch.setattr(packing, "MEMO", 20)
+    words = packing.WordIds(packing.default_tokenizer_path(), "<u2")
+    merged, plain = [], words.merged
+    words.merged = lambda word: (merged.append(word), plain(word))[1]
+    texts = [f"The and, of {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}x Straße «É»." for i in range(100)]
+    texts += ["a<|STARTOFTEXT|>b <|endoftext|> İX Ünï,\tq", "Tab\x0bA.B., It's 3,4 ﬁ Ⅷ e\u0301", "ΣΑΣ ss. 日本 x", ""]
+    for text in texts:
+        want = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert list(memoryview(words.text(text)).cast("H")) == want, text
+    assert len(words) <= 21 and len(words.older) <= 21
+    assert max(merged.count(x) for x in ("the", "and,", "of", "Straße")) == 1

@@ -27,6 +27,8 @@ WINDOW, END_ID = 4096, 2
 MOST_QUEUES = 4096
 #: Words whose ids a worker keeps in each of two generations, and rows of the offset table that are broadcast at most.
 MEMO, BROADCAST_ROWS = 250_000, 200_000
+#: The same where the workers have other steps to do as well; these words go when a task ends.
+SHARED_MEMO = 100_000
 
 
 def default_tokenizer_path() -> str:
@@ -60,19 +62,26 @@ class WordIds(dict):
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = next(c for c in "HIL" if array(c).itemsize == np.dtype(kind).itemsize)
         self.older: dict[str, bytes] = {}
+        self.most: int | None = None
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
             ids = self.merged(word)
-        if len(self) >= MEMO:
+        if len(self) >= (self.most or MEMO):
             self.older = dict(self)
             self.clear()
             self[""] = b""
         self[word] = ids
         return ids
 
+    def let_go(self) -> None:
+        """Forget all words, so that a worker that lives on holds none beside its next step."""
+        self.clear()
+        self.older = {}
+        self[""] = b""
+
     def merged(self, word: str) -> bytes:
         latin = word.isascii() or (max(word) < "\u0250" and "\u0130" not in word and unicodedata.is_normalized("NFC", word))
         if latin and (low := word.lower()) != word:
@@ -106,7 +115,7 @@ def id_width(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def tokenised(docs: DataFrame, path: str, kind: str, id_col: str, text_col: str, source_col: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, kind: str, id_col: str, text_col: str, source_col: str, end_id: int, shared: bool = False) -> DataFrame:
     """``doc_id, queue, block, start, n, ids``: a document's ids and its place in its queue.
 
     A block is a scan task, and ``start`` counts the tokens of the same queue
@@ -121,18 +130,23 @@ def tokenised(docs: DataFrame, path: str, kind: str, id_col: str, text_col: str,
         import pyarrow as pa
 
         words, block, behind = _word_ids(path, kind), TaskContext.get().partitionId(), {}
-        for batch in batches:
-            ids, start, n = [], [], []
-            for text, queue in zip(batch.column("text"), batch.column("queue").to_pylist(), strict=True):
-                own = words.text(text.as_py()) + end
-                ids.append(own)
-                n.append(len(own) // len(end))
-                start.append(behind.get(queue, 0))
-                behind[queue] = start[-1] + n[-1]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("queue"), pa.array([block] * len(n), pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "queue", "block", "start", "n", "ids"],
-            )
+        words.most = SHARED_MEMO if shared else None
+        try:
+            for batch in batches:
+                ids, start, n = [], [], []
+                for text, queue in zip(batch.column("text"), batch.column("queue").to_pylist(), strict=True):
+                    own = words.text(text.as_py()) + end
+                    ids.append(own)
+                    n.append(len(own) // len(end))
+                    start.append(behind.get(queue, 0))
+                    behind[queue] = start[-1] + n[-1]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("queue"), pa.array([block] * len(n), pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                    names=["doc_id", "queue", "block", "start", "n", "ids"],
+                )
+        finally:
+            if shared:
+                words.let_go()
 
     kind_of_id = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(trimmed(encoded), f"doc_id {kind_of_id}, queue string, block int, start long, n long, ids binary")
@@ -218,6 +232,7 @@ def pack(
     end_id: int = END_ID,
     targets: dict[str, float] | None = None,
     power: float | None = None,
+    shared: bool = False,
 ) -> DataFrame:
     """Pieces of documents in windows of ``window`` tokens.
 
@@ -230,11 +245,13 @@ def pack(
     ``smoothed`` by ``power``, until a queue ends; without either in those of
     the corpus.  The strings of special tokens in a text are those tokens, as
     the tokenizer has them by itself.  Repeated rows are packed as often as they stand there.
+    ``shared``: the Python workers do other steps of a job too, so they keep
+    fewer words and none after a task, which takes more time and no other result.
     """
     path = tokenizer_path or default_tokenizer_path()
     kind = id_width(path)
     docs = docs.select(id_col, text_col, source_col)
-    tokens = written(tokenised(docs, path, kind, id_col, text_col, source_col, end_id), "packing-ids")
+    tokens = written(tokenised(docs, path, kind, id_col, text_col, source_col, end_id, shared), "packing-ids")
     blocks = tokens.groupBy("queue", "block").agg(F.sum("n").alias("n"))
     queue = F.col("queue")
     if blocks.select("queue").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES:

@@ -723,3 +723,46 @@ def test_word_ids_in_two_generations(monkeypatch):
         assert list(memoryview(words.text(text)).cast("H")) == want, text
     assert len(words) <= 21 and len(words.older) <= 21
     assert max(merged.count(x) for x in ("the", "and,", "of", "Straße")) == 1
+
+
+def test_pipeline_deals_texts_by_bytes(spark):
+    import corpus_pipeline
+    from lexstrata.llm.common import BATCH_BYTES, BATCH_KEY
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["size", "rows"])
+
+    before = spark.conf.get(BATCH_KEY)
+    texts = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word', id, ' '), 1200)").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    texts = texts.withColumn("n_chars", F.length("text").cast("long"))
+    try:
+        for stage in (corpus_pipeline.language_id, corpus_pipeline.packing):
+            spark.conf.set(BATCH_KEY, before)
+            stage(spark, texts.limit(20), None)
+            got = texts.mapInArrow(sizes, "size long, rows long").collect()
+            assert sum(x["rows"] for x in got) == 1500 and max(x["size"] for x in got) <= BATCH_BYTES + (1 << 16)
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
+def test_workers_keep_no_words_after_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"v{i}x{k}" for k in range(300)) + (" again" * (i % 3))) for i in range(200)]
+    docs = make(spark, rows).repartition(4)
+    got = {(x["doc_id"], x["start"]): x for x in corpus_pipeline.packing(spark, docs, None).collect()}
+
+    def held(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = [len(w) + len(w.older) for w in packing._LOADED.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([max(kept, default=0)], pa.int64())], names=["n"])
+
+    assert max(x["n"] for x in spark.range(0, 8, 1, 4).mapInArrow(held, "n long").collect()) <= 1
+    words = packing.WordIds(packing.default_tokenizer_path(), "<u2")
+    for i, text in rows:
+        assert sum(x["length"] for (d, _), x in got.items() if d == i) == len(words.text(text)) // 2 + 1

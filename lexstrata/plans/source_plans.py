@@ -60,7 +60,7 @@ def _(t):
     }
     folder = shared_folder(t.spark, "files")
     for kind, df in made.items():
-        df.repartition("doc_id").write.partitionBy("doc_id").text(f"{folder}/kind={kind}")
+        files.write_files(df, f"{folder}/kind={kind}")
     found = files.scanned(t.spark, folder).withColumn("kind", F.regexp_extract("path", "kind=([a-z]+)", 1))
     blocks = files.file_blocks(found).withColumn("at", F.struct("block_index", "kind"))
     first = F.coalesce("text", F.array_join("headers", ","))

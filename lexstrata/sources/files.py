@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterable
 from html.parser import HTMLParser
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexstrata.sources.parsers import csv_table, markdown_blocks
+from lexstrata.sources.scratch import dealt
 from lexstrata.sources.tables import routed
 
 FIELDS = {
@@ -136,9 +141,56 @@ def block_function(parsers: dict[str, Parser]):
     return Blocks
 
 
+#: Tasks for a core that list folders; Spark's own setting has a task for each folder, up to 10,000.
+LISTING_TASKS = 4
+
+
+def write_files(texts: DataFrame, folder: str, key: str = "doc_id") -> None:
+    """A folder ``key=value`` for each key of ``texts``, which has the key and a text, with a file of its texts, a line feed behind each.
+
+    A file costs the same however short it is, so keys are dealt over all
+    tasks.  In a mounted folder Hadoop starts two processes for every file to
+    set its rights, so there tasks write the files of whole-number keys by
+    themselves, under another name first; elsewhere Spark's writer does.
+    """
+    (value,) = (c for c in texts.columns if c != key)
+    context = texts.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(folder)
+    mounted = place.getFileSystem(context._jsc.hadoopConfiguration()).getScheme() == "file"
+    if not mounted or not isinstance(texts.schema[key].dataType, IntegralType):
+        writer = dealt(texts, key).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        writer.partitionBy(key).text(folder)
+        return
+    top = place.toUri().getPath()
+
+    def written(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        n, task = 0, TaskContext.get().partitionId()
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for k, own in groupby(rows, key=lambda row: row[0]):
+            of_key = f"{top}/{key}={'__HIVE_DEFAULT_PARTITION__' if k is None else k}"
+            os.makedirs(of_key, exist_ok=True)
+            staged = f"{of_key}/.{uuid.uuid4().hex}"
+            with open(staged, "wb") as out:
+                out.writelines(f"{text or ''}\n".encode() for _, text in own)
+            os.replace(staged, f"{of_key}/part-{task:05d}.txt")
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    dealt(texts.select(key, value), key).sortWithinPartitions(key).mapInArrow(written, "n long").agg(F.sum("n")).collect()
+
+
 def scanned(spark: SparkSession, folder: str) -> DataFrame:
     """``path, size, modified, kind, content`` of every file below ``folder``; the kind is the end of the name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), LISTING_TASKS * spark.sparkContext.defaultParallelism)))
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    finally:
+        spark.conf.set(name, before)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("kind"), "content")
 
 

@@ -36,3 +36,35 @@ def test_a_parser_of_ones_own(spark, tmp_path):
     rows = files.file_blocks(files.scanned(spark, str(tmp_path)), own, routes).collect()
     assert sorted(r["items"] for r in rows if r["kind"] == "pair") == [["x", "1"], ["y", "2"]]
     assert {r["path"][-4:]: r["error"] for r in rows if r["error"]} == {"b.kv": "ValueError: substring not found", "c.md": "missing"}
+
+
+def _tasks(spark, group, act):
+    """The most tasks of a stage of each job that ``act`` starts, and what it returns."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out, tracker = act(), spark.sparkContext.statusTracker()
+        found = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found, out
+
+
+def test_many_small_files_are_written_and_listed_by_all_cores(spark, tmp_path):
+    texts = spark.range(200).selectExpr("if(id = 7, null, id) as doc_id", "if(id = 9, null, concat('# t', id)) as value")
+    files.write_files(texts, str(tmp_path / "made"))
+    written = list((tmp_path / "made").glob("doc_id=*/*.txt"))
+    assert len(written) == 200 and len({f.name[:10] for f in written}) == 4  # a part of the name for each task
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    tasks, found = _tasks(spark, "listing", lambda: files.scanned(spark, str(tmp_path)))
+    assert max(tasks) <= files.LISTING_TASKS * spark.sparkContext.defaultParallelism and spark.conf.get(name) == before
+    got = {r["path"].split("doc_id=")[1].split("/")[0]: bytes(r["content"]) for r in found.collect()}
+    assert got == {"__HIVE_DEFAULT_PARTITION__" if i == 7 else str(i): b"\n" if i == 9 else f"# t{i}\n".encode() for i in range(200)}
+
+
+def test_files_of_keys_that_are_names_are_those_of_sparks_writer(spark, tmp_path):
+    numbers = spark.range(40).selectExpr("id % 10 as doc_id", "concat('v', id % 10) as value")
+    for name, df in (("numbers", numbers), ("names", numbers.selectExpr("cast(doc_id as string) doc_id", "value"))):
+        files.write_files(df, str(tmp_path / name))
+    read = lambda name: {f.parent.name: f.read_bytes() for f in (tmp_path / name).glob("doc_id=*/*.txt")}
+    assert read("numbers") == read("names") and read("names")["doc_id=3"] == b"v3\n" * 4

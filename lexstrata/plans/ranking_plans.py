@@ -45,7 +45,7 @@ def hits(t: Tables):
 def _hits(t: Tables):
     kw = keyword_hits(t).select("query_id", F.lit("keyword").alias("channel"), F.col("doc_id").alias("key"), "rank", "score")
     vector = lambda table, key, name: vectors.hashed_vectors(t(table).withColumnRenamed(key, name), name, words(F.col("text")))
-    near = vectors.exact_top_k(vector("benchmark", "item_id", "query_id"), vector("documents", "doc_id", "vec_id"), 20)
+    near = vectors.exact_top_k(vector("benchmark", "item_id", "query_id"), vector("documents", "doc_id", "vec_id"), 20, n_points=t("documents").count())
     return materialised(kw.unionByName(near.select("query_id", F.lit("vector").alias("channel"), F.col("vec_id").alias("key"), "rank", "score")), "hits")
 
 

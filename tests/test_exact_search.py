@@ -1,10 +1,12 @@
 """Exact search: what it finds, how batches meet, and that nothing is worked out twice."""
 
+import time
 from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from lexstrata.functions.text import CJK, words
 from lexstrata.operators import vectors
 
 
@@ -72,3 +74,23 @@ def test_hashed_vectors_of_each_row(spark):
     got = {r["id"]: r["v"] for r in vectors.hashed_vectors(rows, "id", F.col("w")).collect()}
     assert set(got) == {1, 4} and sorted(x for x in got[4] if x) == [1.0]
     assert np.allclose(sorted(x for x in got[1] if x), np.sort(np.log1p([1, 2])) / np.linalg.norm(np.log1p([1, 2])))
+
+
+def test_words_of_every_character_by_fast_patterns(spark):
+    plain = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"[\\p{{L}}\\p{{N}}&&[^{CJK}]]+"), F.lit(0))
+    pairs = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"[{CJK}]+"), F.lit(0))
+    kept = lambda a: [chr(c) for c in range(a, a + 64) if not 0xD800 <= c < 0xE000]
+    rows = [("".join(f"{c}b {c} a{c}Z," for c in kept(a)),) for a in range(0, 0x110000, 64)] + [(None,), ("",)]
+    texts = spark.createDataFrame(rows, "text string")
+    alone = F.concat(plain(F.col("text")), F.filter(pairs(F.col("text")), lambda r: F.length(r) < 3))  # no run of CJK here is longer
+    assert texts.filter(~words(F.col("text")).eqNullSafe(alone)).count() == 0
+    long = spark.range(8).select(F.repeat(F.lit("Ein längerer Satz of plain words, número 12. "), 20000).alias("text")).cache()
+    long.count()
+
+    def seconds(c):
+        began = time.time()
+        long.select(c.alias("x")).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    seconds(words(F.col("text"))), seconds(F.split("text", " "))
+    assert min(seconds(words(F.col("text"))) for _ in range(2)) < 15 * min(seconds(F.split("text", " ")) for _ in range(2))

@@ -46,8 +46,10 @@ LINES = """
 
 
 def _numbered(t):
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return t("lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.row_number().over(order) - 1).cast("long").alias("line_index"), F.col("l_partkey").alias("p"))
+    # By the name that later windows have, so that these need no shuffle of the lines.
+    order = Window.partitionBy("doc_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    rows = t("lineitem").withColumnRenamed("l_suppkey", "doc_id")
+    return rows.select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("line_index"), F.col("l_partkey").alias("p"))
 
 
 def regulation_lines(t):

@@ -1,4 +1,4 @@
-"""Patterns of lines, token counts, and the shuffles of clause chunks."""
+"""Patterns of lines, and token counts."""
 
 import re
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lexstrata.functions import text
 from lexstrata.operators import structure
-from lexstrata.plans import registry
 
 
 def test_patterns_that_are_tried_at_the_start_alone_fit_the_same_texts(spark):
@@ -32,9 +31,9 @@ def test_token_counts_of_runs():
         assert text.token_count(x) == (max(1, -(-a // 4) + c + -(-(len(solid) - a - c) // 2)) if solid else 0)
 
 
-def test_lines_are_shuffled_once_for_clause_chunks(spark, tmp_path):
-    lines = spark.range(600).selectExpr("id % 3 as l_suppkey", "id as l_orderkey", "1 as l_linenumber", "id % 50 as l_partkey", "1.0 as l_extendedprice")
-    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
-    chunks = registry.queries()["chk11_clause_chunks"](spark, str(tmp_path))
-    assert chunks._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
-    assert {r["doc_id"] for r in chunks.collect()} == {0, 1, 2}
+def test_a_pattern_is_tried_once_for_a_line(spark):
+    rows = spark.createDataFrame([(1, 0, "第一条 总则"), (1, 1, "（一）项")], "doc_id long, line_index long, line string")
+    found = structure.classified(rows)
+    assert [(r["line_type"], r["number"], r["body"]) for r in found.orderBy("line_index").collect()] == [("article", "第一条", "总则"), ("item", "（一）", "项")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("用词说明") == 3  # to choose the kind, for the number, and for the body
